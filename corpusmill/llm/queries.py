@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, quality
+from . import pii, quality, secrets
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_secrets": lambda spark, d: secrets.report(documents(spark, d)),
         "op7_quality": lambda spark, d: quality.report(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op10_pii": lambda spark, d: pii.report(documents(spark, d)),
     }
