@@ -51,3 +51,72 @@ def groups(docs: DataFrame) -> DataFrame:
     collided = buckets.where("texts > 1").select("fingerprint")
     told = keyed.join(exact.join(collided, "fingerprint", "left_semi"), ["fingerprint", "canon"])
     return simple.unionByName(told.select("doc_id", "fingerprint", "first_id", "copies"))
+
+
+def _bounds(docs: DataFrame) -> list[int]:
+    """The least id of each range of about RANGE_ROWS documents; Spark's range partitioning samples them, only ids move."""
+    ids = docs.select(_key().alias("k"))
+    n = max(1, -(-ids.count() // RANGE_ROWS))
+    rows = ids.repartitionByRange(n, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("k")).select("k").collect()
+    return sorted({r["k"] for r in rows})
+
+
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
+
+
+def _range_of(bounds: list[int], fan: int = 64) -> Column:
+    """The number of bounds up to the id, less one: found level by level, so it looks at a few hundred bounds whatever their number."""
+    levels = [bounds]
+    while len(levels[-1]) > fan:
+        levels.append(levels[-1][::fan])
+    at = F.lit(0)
+    for level in reversed(levels):
+        chunks = [level] if level is levels[-1] else [level[i : i + fan] for i in range(0, len(level), fan)]
+        table = F.array(*[F.array(*[F.lit(b).cast("bigint") for b in c]) for c in chunks])
+        here = F.lit(0) if len(chunks) == 1 else at
+        inside = F.size(F.filter(F.get(table, here), lambda b: b <= F.col("k")))
+        at = here * fan + F.greatest(inside - 1, F.lit(0))
+    return at
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, next_text) by ascending doc_id, the first after the last.
+
+    Ranges of ids are windows of their own; the documents at a range's least id also stand at the end of the range before,
+    so the text of each document moves once and no window holds the whole table.
+    """
+    bounds = _bounds(docs)
+    n = len(bounds)
+    rows = docs.select("doc_id", text_or_empty().alias("text"), _key().alias("k")).withColumn("r", _range_of(bounds))
+    own = F.struct(F.col("r").alias("r"), F.lit(False).alias("guest"))
+    guest = F.struct(((F.col("r") + n - 1) % n).alias("r"), F.lit(True).alias("guest"))
+    first = F.get(F.array(*[F.lit(b).cast("bigint") for b in bounds]), F.col("r")) == F.col("k")
+    placed = rows.select("doc_id", "text", "k", F.explode(F.when(first, F.array(own, guest)).otherwise(F.array(own))).alias("at"))
+    by = Window.partitionBy("at.r").orderBy("at.guest", "k", "text")
+    return placed.withColumn("next_text", F.lead("text").over(by)).where(~F.col("at.guest")).select("doc_id", "text", "next_text")
+
+
+def edited(text: Column, following: Column) -> Column:
+    """The last floor(n/2) code points replaced by as many first ones of the next text, or all it has."""
+    n = F.length(text)
+    half = F.floor(n / 2).cast("int")
+    return F.concat(F.substring(text, F.lit(1), n - half), F.substring(following, F.lit(1), half))
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """The digest columns of the contract, with the group of equal canonical texts that each document is in."""
+    if docs.isEmpty():
+        bare = docs.select("doc_id", text_or_empty().alias("text"), text_or_empty().alias("next_text"))
+    else:
+        bare = with_next(docs)
+    texts = bare.withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    for name in ("text", "edited", "next_text"):
+        texts = texts.withColumn(f"c_{name}", canonical(F.col(name)))
+        texts = texts.withColumn(f"f_{name}", digest(F.col(f"c_{name}")))
+    rows = texts.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), F.col("f_text").alias("fingerprint"), F.col("f_edited").alias("edited_fingerprint"),
+        alike("c_text", "c_edited", "f_text", "f_edited").alias("near_edited"), alike("c_text", "c_next_text", "f_text", "f_next_text").alias("near_next"),
+    )
+    found = groups(docs).distinct().select(F.col("doc_id").alias("g_id"), F.col("fingerprint").alias("g_f"), "first_id", "copies")
+    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("fingerprint") == F.col("g_f")), "left").drop("g_id", "g_f")
