@@ -47,3 +47,12 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 def joined(spans: Column) -> Column:
     """kind:start:end of an array of structs with those fields, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def join_same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """a joined to b where the keys are equal or both null; b's other columns are added."""
+    other = b.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return a.join(other, on, how).drop(*[f"__{k}" for k in keys])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, pii, quality, secrets
+from . import fingerprint, mixing, packing, pii, quality, secrets
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,8 +15,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_secrets": lambda spark, d: secrets.report(documents(spark, d)),
+        "op2_packing": lambda spark, d: packing.pack(documents(spark, d)),
         "op7_quality": lambda spark, d: quality.report(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op8_fingerprint": lambda spark, d: fingerprint.report(documents(spark, d)),
+        "op9_mixing": lambda spark, d: mixing.report(documents(spark, d)),
         "op10_pii": lambda spark, d: pii.report(documents(spark, d)),
     }
 
