@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_or_empty
+from .common import settled, text_or_empty
 
 SEED = 0x5EED
 #: Documents of a range of ids that one window handles.
@@ -47,10 +47,13 @@ def groups(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", canonical(text_or_empty()).alias("canon")).withColumn("fingerprint", digest(F.col("canon")))
     exact = keyed.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     buckets = exact.groupBy("fingerprint").agg(F.min("first_id").alias("first_id"), F.sum("copies").alias("copies"), F.count("*").alias("texts"))
-    simple = keyed.select("doc_id", "fingerprint").join(buckets.where("texts = 1"), "fingerprint").select("doc_id", "fingerprint", "first_id", "copies")
+    buckets = settled(buckets, "buckets")  # texts move once, then only this
+    found = keyed.select("doc_id", "fingerprint").join(buckets.where("texts = 1"), "fingerprint").select("doc_id", "fingerprint", "first_id", "copies")
     collided = buckets.where("texts > 1").select("fingerprint")
-    told = keyed.join(exact.join(collided, "fingerprint", "left_semi"), ["fingerprint", "canon"])
-    return simple.unionByName(told.select("doc_id", "fingerprint", "first_id", "copies"))
+    if not collided.isEmpty():
+        told = keyed.join(exact.join(collided, "fingerprint", "left_semi"), ["fingerprint", "canon"])
+        found = found.unionByName(told.select("doc_id", "fingerprint", "first_id", "copies"))
+    return found
 
 
 def _bounds(docs: DataFrame) -> list[int]:
