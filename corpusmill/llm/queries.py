@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, minhash, mixing, packing, pii, quality, secrets
+from . import fingerprint, minhash, mixing, packing, pii, quality, repeats, secrets
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op1_secrets": lambda spark, d: secrets.report(documents(spark, d)),
         "op2_packing": lambda spark, d: packing.pack(documents(spark, d)),
         "op3_minhash": lambda spark, d: minhash.report(documents(spark, d)),
+        "op6_repeats": lambda spark, d: repeats.report(documents(spark, d)),
         "op7_quality": lambda spark, d: quality.report(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op8_fingerprint": lambda spark, d: fingerprint.report(documents(spark, d)),
         "op9_mixing": lambda spark, d: mixing.report(documents(spark, d)),
