@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, minhash, mixing, packing, pii, quality, repeats, search, secrets
+from . import fingerprint, minhash, mixing, packing, pii, preference, quality, repeats, search, secrets
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op2_packing": lambda spark, d: packing.pack(documents(spark, d)),
         "op3_minhash": lambda spark, d: minhash.report(documents(spark, d)),
         "op4_search": lambda spark, d: search.report(documents(spark, d)),
+        "op5_preference": lambda spark, d: preference.report(spark.read.parquet(f"{d}/conversations.parquet")),
         "op6_repeats": lambda spark, d: repeats.report(documents(spark, d)),
         "op7_quality": lambda spark, d: quality.report(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op8_fingerprint": lambda spark, d: fingerprint.report(documents(spark, d)),
@@ -29,4 +30,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_search": search.SQL,
+        "op5_preference": preference.SQL,
     }
