@@ -1,11 +1,282 @@
-"""Every query of the engine by name, with its DuckDB twin."""
+"""Every query of the engine by name, with its DuckDB twin.
+
+The tables have no domain; here a document's is decided by the number in its source's name. Its order is doc_id.
+"""
 
 from __future__ import annotations
 
+from math import cos
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusmill.functions import schedule, subword
+from corpusmill.functions import text as T
+from corpusmill.operators import allocation, audit, dedup, formatting, metrics, packing, quality, retrieval
+from corpusmill.sources.io import table
+
+LENGTH = 512
+DOMAINS = list(allocation.DOMAIN_SHARES)
+QUOTAS = allocation.allocate(205, {f"src{i}": 1 / 20 for i in range(20)})
+PLANES = [[[round(cos(1.7 + 13 * t + 5.3 * b + 0.9 * d * (b + 1)), 6) for d in range(64)] for b in range(6)] for t in range(2)]
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    n = F.substring("source", 4, 9).cast("int") % 4
+    return table(spark, d, "documents").withColumn("domain", F.get(F.array(*[F.lit(x) for x in DOMAINS]), n)).withColumn("ord", F.col("doc_id"))
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", "ord", "domain", "source", "lang", T.hash_tokens(F.coalesce("text", F.lit(""))).alias("ids"))
+
+
+def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+def _longs(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+def _examples(spark: SparkSession, d: str) -> DataFrame:
+    """A block of each document's first ids."""
+    body = F.concat(F.array(F.lit(2)), F.slice("ids", 1, LENGTH - 2), F.array(F.lit(3)))
+    return _tokens(spark, d).select("doc_id", "domain", "source", body.alias("body"), (F.col("doc_id") % 3).cast("string").alias("split"))
+
+
+def quality_measures(spark, d):
+    return _longs(quality.measures(table(spark, d, "documents")), "chars", "longest_line")
+
+
+def exact_dedup(spark, d):
+    return dedup.keep_first(dedup.hashed(table(spark, d, "documents")).select("doc_id", "source", "text_hash"), ["text_hash"], "doc_id").select("doc_id", "source", "text_hash")
+
+
+def split_exclusion(spark, d):
+    rows = dedup.hashed(table(spark, d, "documents")).select("doc_id", "text_hash")
+    return dedup.without(rows.where("doc_id % 10 >= 8"), rows.where("doc_id % 10 < 8"), "text_hash").select("doc_id", "text_hash")
+
+
+def split_overlap(spark, d):
+    return dedup.common_keys(dedup.hashed(table(spark, d, "documents")).select("text_hash", (F.col("doc_id") % 3).cast("string").alias("part")), "text_hash", "part")
+
+
+def hash_tokens(spark, d):
+    return _tokens(spark, d).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), T.ids_hash(F.col("ids")).alias("ids_hash"))
+
+
+def token_stats(spark, d):
+    return _tokens(spark, d).withColumn("n", F.size("ids")).groupBy("source", "lang").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"), F.min("n").cast("long").alias("least"), F.max("n").cast("long").alias("most"))
+
+
+def long_chunks(spark, d):
+    rows = packing.long_chunks(_tokens(spark, d).select("doc_id", "ids"), LENGTH)
+    return rows.select("doc_id", F.col("chunk").cast("long"), F.col("valid_tokens").cast("long"), T.ids_hash(F.col("input_ids")).alias("block_hash"))
+
+
+def _packed(spark, d):
+    return packing.pack(_tokens(spark, d).select("domain", "ord", "source", "ids"), LENGTH)
+
+
+def pack_blocks(spark, d):
+    return _longs(_packed(spark, d).drop("input_ids"), "block", "chunk", "valid_tokens", "doc_count")
+
+
+def block_dedup(spark, d):
+    return _longs(packing.first_blocks(_packed(spark, d), DOMAINS).select("domain", "block", "chunk", "block_hash"), "chunk")
+
+
+def domain_mix(spark, d):
+    return audit.mix_shares(_docs(spark, d), allocation.DOMAIN_SHARES)
+
+
+def mixed_blocks(spark, d):
+    return packing.mix(_docs(spark, d).select("domain", "doc_id", F.col("doc_id").cast("string").alias("key")), allocation.allocate(102, allocation.DOMAIN_SHARES), 7, "key").select("domain", "doc_id")
+
+
+def audit_blocks(spark, d):
+    blocks = _examples(spark, d).select("split", "domain", packing.padded(F.col("body"), LENGTH).alias("input_ids"))
+    return _longs(audit.audit(blocks, 32_000, LENGTH).select("split", "num_blocks", "num_tokens", "invalid_token_count", "min_valid_tokens", "missing_bos", "missing_eos", "duplicate_block_ratio", "blocked_reasons", "decision"), "invalid_token_count", "min_valid_tokens")
+
+
+def vocab_scan(spark, d):
+    return _longs(audit.id_range(_tokens(spark, d), 256, "ord"), "least", "greatest", "negative", "rows", "ids")
+
+
+def field_priority(spark, d):
+    pages = table(spark, d, "pages")
+    text, name = formatting.by_priority(pages.columns, ["title", "html", "url"])
+    return pages.select("page_id", F.sha1(text.cast("binary")).alias("text_hash"), name.alias("field"))
+
+
+def normalize(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.text_hash(T.normalized(F.col("text"))).alias("text_hash"))
+
+
+def pad_labels(spark, d):
+    e = formatting.example(F.col("ids"), LENGTH)
+    return _tokens(spark, d).select("doc_id", T.ids_hash(e["input_ids"]).alias("ids_hash"), T.ids_hash(e["labels"]).alias("labels_hash"), F.aggregate(e["attention_mask"], F.lit(0).cast("long"), lambda s, x: s + x).alias("valid"))
+
+
+def _found(spark, d):
+    v = table(spark, d, "embeddings")
+    return retrieval.top_k(v.where("vec_id % 50 = 0"), v, 10)
+
+
+def span_pool(spark, d):
+    return _rounded(_longs(retrieval.span_means(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 4), "span_idx", "pos"), 6, "mean")
+
+
+def metric_summary(spark, d):
+    log = table(spark, d, "events").select(F.col("event_id").alias("step"), F.col("event_type").alias("metric"), "value")
+    return _rounded(metrics.summary(log), 6, "mean", "drop", "first", "last", "least", "greatest")
+
+
+def schedule_trace(spark, d):
+    steps = spark.range(0, 2000, 25).withColumnRenamed("id", "step")
+    return _rounded(steps.select("step", schedule.warmup_stable_decay(F.col("step"), 0.001, 2000, 200, 400).alias("rate"), schedule.ramp(F.col("step"), 300, 900, 0.1, 0.7).alias("ramp")), 9, "rate", "ramp")
+
+
+def lsh_candidates(spark, d):
+    v = table(spark, d, "embeddings")
+    return retrieval.candidates(v.where("vec_id % 50 = 0"), v, PLANES)
+
+
+def pieces(spark, d):
+    import public_tokenizers
+
+    rows = subword.with_pieces(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return rows.select("doc_id", F.size("ids").alias("n_pieces"), T.ids_hash(F.col("ids")).alias("ids_hash"))
+
 
 def queries() -> dict:
-    return {}
+    return {
+        "q_quality_reasons": lambda s, d: quality.reasons(_docs(s, d)),
+        "q_quality_metrics": quality_measures,
+        "q_exact_dedup": exact_dedup,
+        "q_dup_groups": lambda s, d: dedup.groups(dedup.hashed(table(s, d, "documents")), "text_hash", "doc_id"),
+        "q_source_quota": lambda s, d: dedup.quota(table(s, d, "documents").select("source", "doc_id"), "source", QUOTAS, "doc_id"),
+        "q_reasons_until_full": lambda s, d: dedup.counted_until_full(quality.with_reason(_docs(s, d)).select("reason", "ord"), "reason", 300, "ord"),
+        "q_split_exclusion": split_exclusion,
+        "q_split_overlap": split_overlap,
+        "q_hash_tokens": hash_tokens,
+        "q_token_stats": token_stats,
+        "q_long_chunks": long_chunks,
+        "q_pack_blocks": pack_blocks,
+        "q_block_hash_dedup": block_dedup,
+        "q_domain_mix": domain_mix,
+        "q_mixed_blocks": mixed_blocks,
+        "q_audit": audit_blocks,
+        "q_vocab_scan": vocab_scan,
+        "q_chat_format": lambda s, d: formatting.chats(table(s, d, "conversations")),
+        "q_prompt_response": lambda s, d: formatting.prompts(table(s, d, "conversations")),
+        "q_field_priority": field_priority,
+        "q_normalize": normalize,
+        "q_pad_labels": pad_labels,
+        "q_knn_exact": lambda s, d: _rounded(_found(s, d), 6, "score"),
+        "q_knn_metrics": lambda s, d: _rounded(retrieval.measures(_found(s, d), 10), 6, "top1_mass", "top5_mass", "top10_mass", "entropy", "entropy_share"),
+        "q_knn_gather": lambda s, d: _rounded(_longs(retrieval.gathered(_found(s, d), table(s, d, "embeddings")), "pos"), 5, "value"),
+        "q_span_pool": span_pool,
+        "q_metric_summary": metric_summary,
+        "q_schedule_trace": schedule_trace,
+        "q_lsh_candidates": lsh_candidates,
+        "q_sentencepiece": pieces,
+    }
+
+
+
+
+def _words(text: str) -> str:
+    return f"regexp_extract_all({text}, '{T.WORD}')"
+
+
+DOCS = f"docs AS (SELECT *, ([{', '.join(repr(x) for x in DOMAINS)}])[(substr(source, 4)::INT % 4) + 1] AS domain FROM documents)"
+MEASURED = f"""{DOCS},
+parts AS (SELECT *, string_split(text, '') AS c, length(text) AS n, {_words('lower(text)')} AS w FROM docs),
+grams AS (SELECT *, CASE WHEN len(w) < 10 THEN [] ELSE list_transform(range(0, len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], chr(1))) END AS g FROM parts),
+measured AS (
+  SELECT doc_id, domain, n AS chars,
+    CASE WHEN n = 0 THEN 1.0 ELSE coalesce(list_sum(list_transform(range(3, n + 1), lambda i: CASE WHEN c[i] = c[i - 1] AND c[i - 1] = c[i - 2] THEN 1 ELSE 0 END)), 0) / greatest(n, 1) END AS repeated_chars,
+    CASE WHEN len(g) = 0 THEN 0.0 ELSE (len(g) - len(list_distinct(g))) / len(g) END AS repeated_5grams,
+    len(regexp_extract_all(text, '\\p{{L}}')) / (n - len(regexp_extract_all(text, '[{T.BLANK}]'))) AS alpha,
+    len(regexp_extract_all(text, '{T.URL}')) / greatest(1.0, n / 100) AS urls,
+    list_max(list_transform(regexp_split_to_array(text, '{T.LINE_END}'), lambda x: length(x))) AS longest_line
+  FROM grams),
+reasoned AS (
+  SELECT *, CASE WHEN chars < 128 THEN 'too_short_chars' WHEN repeated_chars > 0.2 THEN 'repeated_chars' WHEN repeated_5grams > 0.3 THEN 'repeated_5grams' WHEN urls > 0.25 THEN 'too_many_urls'
+    WHEN domain <> 'reasoning' AND alpha < 0.35 THEN 'low_alpha_ratio' WHEN longest_line > 4000 THEN 'very_long_line' ELSE 'ok' END AS reason FROM measured)"""
+IDS = f"""{DOCS},
+tokens AS (
+  SELECT doc_id, domain, source, lang, list_transform({_words("text")}, lambda w: (4 + list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(w, ''), lambda x: unicode(x)::BIGINT)), lambda h, x: (xor(h, x) * 16777619) & 4294967295) % 31996)::INT) AS ids
+  FROM docs)"""
+HASH = "sha1(array_to_string({0}, ','))"
+PACKED = f"""{IDS},
+d AS (SELECT domain, doc_id, source, ids, len(ids) AS n, row_number() OVER (PARTITION BY domain ORDER BY doc_id) AS rn FROM tokens WHERE len(ids) > 0),
+walk AS (
+  SELECT domain, rn, CASE WHEN n + 2 > {LENGTH} THEN 0 ELSE n + 2 END AS used, 1::BIGINT AS block FROM d WHERE rn = 1
+  UNION ALL
+  SELECT d.domain, d.rn, CASE WHEN n + 2 > {LENGTH} THEN 0 WHEN used = 0 OR used + n + 2 > {LENGTH} THEN n + 2 ELSE used + n + 2 END,
+    CASE WHEN n + 2 > {LENGTH} OR used = 0 OR used + n + 2 > {LENGTH} THEN block + 1 ELSE block END
+  FROM walk JOIN d ON d.domain = walk.domain AND d.rn = walk.rn + 1),
+placed AS (SELECT d.*, block FROM d JOIN walk USING (domain, rn)),
+short AS (SELECT domain, block, flatten(list([2] || ids || [3] ORDER BY rn)) AS c, count(*) AS doc_count FROM placed WHERE n + 2 <= {LENGTH} GROUP BY ALL),
+tally AS (SELECT domain, block, source, count(*) AS k, min(rn) AS first FROM placed WHERE n + 2 <= {LENGTH} GROUP BY ALL),
+votes AS (SELECT domain, block, source, row_number() OVER (PARTITION BY domain, block ORDER BY k DESC, first) AS v FROM tally),
+cuts AS (SELECT domain, block, source, unnest(range(0, n, {LENGTH - 2})) AS i, ids FROM placed WHERE n + 2 > {LENGTH}),
+long AS (SELECT domain, block, (i // {LENGTH - 2})::BIGINT AS chunk, source, [2] || ids[i + 1:i + {LENGTH - 2}] || [3] AS c FROM cuts),
+blocks AS (
+  SELECT domain, block, 0::BIGINT AS chunk, source, c, doc_count FROM short JOIN votes USING (domain, block) WHERE v = 1 AND len(c) >= 480
+  UNION ALL SELECT domain, block, chunk, source, c, 1 FROM long WHERE len(c) >= 480),
+packed AS (SELECT domain, block, chunk, source, len(c) AS valid_tokens, doc_count, {HASH.format(f"list_resize(c, {LENGTH}, 0)")} AS block_hash FROM blocks)"""
+FOUND = """scores AS (
+  SELECT q.vec_id AS query_id, s.vec_id AS slot_id, round(list_cosine_similarity(q.embedding::DOUBLE[], s.embedding::DOUBLE[]) / 8, 9) AS score
+  FROM embeddings q, embeddings s WHERE q.vec_id % 50 = 0),
+found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slot_id) AS rank FROM scores) WHERE rank <= 10),
+weights AS (SELECT *, exp(score - max(score) OVER (PARTITION BY query_id)) / sum(exp(score)) OVER (PARTITION BY query_id) * exp(max(score) OVER (PARTITION BY query_id)) AS w FROM found)"""
+
+
+def _sign(t: int, b: int) -> str:
+    return f"(CASE WHEN list_dot_product(embedding::DOUBLE[], {PLANES[t][b]}::DOUBLE[]) > 0 THEN {1 << b} ELSE 0 END)"
+
+
+CODES = "codes AS (" + " UNION ALL ".join(f"SELECT vec_id, {t} AS tab, {' + '.join(_sign(t, b) for b in range(6))} AS code FROM embeddings" for t in range(2)) + ")"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    expected = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in allocation.DOMAIN_SHARES.items())
+    limits = ", ".join(f"('{k}', {v})" for k, v in QUOTAS.items())
+    takes = ", ".join(f"('{k}', {v})" for k, v in allocation.allocate(102, allocation.DOMAIN_SHARES).items())
+    chat = "CASE WHEN lower(role) IN ('assistant', 'gpt', 'bot') THEN '<|assistant|>' ELSE '<|user|>' END || chr(10) || trim(text, ' ' || chr(10) || chr(9))"
+    return {
+        "q_quality_reasons": f"WITH {MEASURED} SELECT reason, count(*) AS n FROM reasoned GROUP BY 1",
+        "q_quality_metrics": f"WITH {MEASURED} SELECT doc_id, chars, repeated_chars, repeated_5grams, alpha, urls, longest_line FROM measured",
+        "q_exact_dedup": "SELECT doc_id, source, text_hash FROM (SELECT *, sha1(text) AS text_hash, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) AS r FROM documents) WHERE r = 1",
+        "q_dup_groups": "SELECT sha1(text) AS text_hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1",
+        "q_source_quota": f"WITH lim(source, k) AS (VALUES {limits}) SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) JOIN lim USING (source) WHERE r <= k",
+        "q_reasons_until_full": f"WITH {MEASURED}, last AS (SELECT max(doc_id) AS last, count(*) AS k FROM (SELECT doc_id FROM reasoned WHERE reason = 'ok' ORDER BY doc_id LIMIT 300)) SELECT reason, count(*) AS n FROM reasoned, last WHERE k < 300 OR doc_id <= last GROUP BY 1",
+        "q_split_exclusion": "SELECT doc_id, sha1(text) AS text_hash FROM documents WHERE doc_id % 10 >= 8 AND sha1(text) NOT IN (SELECT sha1(text) FROM documents WHERE doc_id % 10 < 8)",
+        "q_split_overlap": "WITH h AS (SELECT DISTINCT sha1(text) AS h, (doc_id % 3)::VARCHAR AS p FROM documents) SELECT x.p AS a, y.p AS b, count(*) AS n FROM h x JOIN h y ON x.h = y.h AND x.p < y.p GROUP BY ALL",
+        "q_hash_tokens": f"WITH {IDS} SELECT doc_id, len(ids) AS n_tokens, {HASH.format('ids')} AS ids_hash FROM tokens",
+        "q_token_stats": f"WITH {IDS} SELECT source, lang, count(*) AS docs, sum(len(ids))::BIGINT AS tokens, min(len(ids)) AS least, max(len(ids)) AS most FROM tokens GROUP BY ALL",
+        "q_long_chunks": f"WITH {IDS}, cuts AS (SELECT doc_id, unnest(range(0, len(ids), {LENGTH - 2})) AS i, ids FROM tokens WHERE len(ids) + 2 > {LENGTH}), c AS (SELECT doc_id, (i // {LENGTH - 2})::BIGINT AS chunk, [2] || ids[i + 1:i + {LENGTH - 2}] || [3] AS c FROM cuts) SELECT doc_id, chunk, len(c) AS valid_tokens, {HASH.format(f'list_resize(c, {LENGTH}, 0)')} AS block_hash FROM c WHERE len(c) >= 480",
+        "q_pack_blocks": f"WITH RECURSIVE {PACKED} SELECT domain, block, chunk, source, valid_tokens, doc_count, block_hash FROM packed",
+        "q_block_hash_dedup": f"WITH RECURSIVE {PACKED} SELECT domain, block, chunk, block_hash FROM (SELECT *, row_number() OVER (PARTITION BY block_hash ORDER BY list_position({DOMAINS}, domain), block, chunk) AS r FROM packed) WHERE r = 1",
+        "q_domain_mix": f"WITH {DOCS}, want(domain, expected) AS (VALUES {expected}), c AS (SELECT domain, count(*) AS n FROM docs GROUP BY 1) SELECT domain, coalesce(n, 0) AS n, coalesce(n, 0) / (SELECT count(*) FROM docs) AS share, expected, expected IS NULL OR abs(coalesce(n, 0) / (SELECT count(*) FROM docs) - expected) <= 0.01 AS within FROM c FULL JOIN want USING (domain)",
+        "q_mixed_blocks": f"WITH {DOCS}, lim(domain, k) AS (VALUES {takes}) SELECT domain, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY sha1('7:' || doc_id::VARCHAR), doc_id::VARCHAR) AS r FROM docs) JOIN lim USING (domain) WHERE r <= k",
+        "q_audit": f"""WITH {IDS}, e AS (SELECT (doc_id % 3)::VARCHAR AS split, [2] || ids[1:{LENGTH - 2}] || [3] AS b FROM tokens),
+m AS (SELECT split, count(*) AS num_blocks, (count(*) * {LENGTH})::BIGINT AS num_tokens, 0::BIGINT AS invalid_token_count, min(len(b)) AS min_valid_tokens, 0::BIGINT AS missing_bos, 0::BIGINT AS missing_eos, 1 - count(DISTINCT {HASH.format(f'list_resize(b, {LENGTH}, 0)')}) / count(*) AS duplicate_block_ratio FROM e GROUP BY 1)
+SELECT *, array_to_string(list_filter([CASE WHEN min_valid_tokens < 480 THEN 'min_valid' END, CASE WHEN duplicate_block_ratio > 0.01 THEN 'duplicates' END], lambda x: x IS NOT NULL), ',') AS blocked_reasons, CASE WHEN min_valid_tokens < 480 OR duplicate_block_ratio > 0.01 THEN 'BLOCKED' ELSE 'PASS' END AS decision FROM m""",
+        "q_vocab_scan": f"WITH {IDS}, h AS (SELECT * FROM tokens ORDER BY doc_id LIMIT 256) SELECT min(list_min(ids))::BIGINT AS least, max(list_max(ids))::BIGINT AS greatest, 0::BIGINT AS negative, count(*) AS rows, sum(len(ids))::BIGINT AS ids FROM h",
+        "q_chat_format": f"SELECT conv_id, string_agg({chat}, chr(10) ORDER BY turn) AS text FROM conversations WHERE trim(text, ' ' || chr(10) || chr(9)) <> '' GROUP BY 1 HAVING count(*) >= 2",
+        "q_prompt_response": "SELECT conv_id, turn, text AS prompt, response FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS response FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'",
+        "q_field_priority": "SELECT page_id, sha1(coalesce(nullif(html, ''), nullif(url, ''))) AS text_hash, CASE WHEN coalesce(html, '') <> '' THEN 'html' WHEN coalesce(url, '') <> '' THEN 'url' END AS field FROM pages",
+        "q_normalize": r"SELECT doc_id, sha1(trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))) AS text_hash FROM documents",
+        "q_pad_labels": f"WITH {IDS}, p AS (SELECT doc_id, list_resize(ids[1:{LENGTH}], {LENGTH}, 0) AS i FROM tokens) SELECT doc_id, {HASH.format('i')} AS ids_hash, {HASH.format('list_transform(i, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)')} AS labels_hash, len(list_filter(i, lambda x: x <> 0)) AS valid FROM p",
+        "q_knn_exact": f"WITH {FOUND} SELECT query_id, slot_id, round(score, 6) AS score, rank::INT AS rank FROM found",
+        "q_knn_metrics": f"WITH {FOUND}, q AS (SELECT query_id, sum(w) FILTER (rank <= 1) AS t1, sum(w) FILTER (rank <= 5) AS t5, sum(w) AS t10, -sum(w * ln(w)) AS e FROM weights GROUP BY 1) SELECT round(avg(t1), 6) AS top1_mass, round(avg(t5), 6) AS top5_mass, round(avg(t10), 6) AS top10_mass, 1.0::DOUBLE AS uniform_top10, round(avg(e), 6) AS entropy, round(avg(e) / ln(10), 6) AS entropy_share FROM q",
+        "q_knn_gather": f"WITH {FOUND} SELECT query_id, pos, round(sum(w * x), 5) AS value FROM (SELECT query_id, w, unnest(embedding::DOUBLE[]) AS x, unnest(range(0, 64)) AS pos FROM weights JOIN embeddings ON vec_id = slot_id) GROUP BY ALL",
+        "q_span_pool": "WITH p AS (SELECT label, ((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 4)::BIGINT AS span_idx, embedding FROM embeddings), u AS (SELECT label, span_idx, unnest(embedding::DOUBLE[]) AS x, unnest(range(0, 64)) AS pos FROM p) SELECT label, span_idx, pos, round(avg(x), 6) AS mean FROM u GROUP BY ALL HAVING count(*) = 4",
+        "q_metric_summary": "WITH s AS (SELECT event_type AS metric, count(*) AS n, arg_min(value, event_id) AS first, arg_max(value, event_id) AS last, min(value) AS least, max(value) AS greatest, avg(value) AS mean FROM events WHERE isfinite(value) GROUP BY 1), t AS (SELECT *, (first - last) / greatest(abs(first), 1e-12) AS d FROM s) SELECT metric, n, round(first, 6) AS first, round(last, 6) AS last, round(least, 6) AS least, round(greatest, 6) AS greatest, round(mean, 6) AS mean, round(d, 6) AS drop, CASE WHEN d >= 0.05 THEN 'PASS' ELSE 'REVIEW' END AS decision FROM t",
+        "q_schedule_trace": "SELECT step, round(CASE WHEN step < 200 THEN 0.001 * (step + 1) / 200 WHEN step < 1600 THEN 0.001 ELSE 0.001 * (0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(greatest((step - 1600) / 400, 0), 1)))) END::DOUBLE, 9) AS rate, round((0.1 + 0.6 * least(greatest((step - 300) / 600, 0), 1))::DOUBLE, 9) AS ramp FROM range(0, 2000, 25) t(step)",
+        "q_lsh_candidates": f"WITH {CODES} SELECT DISTINCT q.vec_id AS query_id, s.vec_id AS slot_id FROM codes q JOIN codes s USING (tab, code) WHERE q.vec_id % 50 = 0",
+    }
