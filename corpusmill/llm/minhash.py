@@ -6,9 +6,10 @@ when its next point is later than every register's. Two texts agree in a registe
 
 1. Equal texts become one (a 128-bit hash of the text, combined on the map side), so copies cost nothing further.
 2. Registers are banded. In a bucket every member is compared with the member of least id; verified on whole texts.
-3. Members that are not close to that one meet among themselves, each compared with all leaders found so far in their bucket,
-   and become leaders themselves unless nearly equal to one. So every member is compared until it is covered, without a row
-   for each pair of a group.
+3. Buckets whose members are not of one component yet are looked at again: each member is verified against its most similar
+   members of other components, by signature, 2, 8, 32 ... of them in further rounds, until none is left. What is already
+   joined is skipped, so a group of near copies costs a few rows a member and nothing that could join two classes is left out.
+   Large buckets are dealt to parts, the largest component once and all others to every part.
 4. Links (Jaccard of the shingle sets at least 0.8) make classes by spreading the least id; rounds are written tables.
 
 With 24 bands of 4 registers a pair at 0.8 is missed by all bands with probability 3e-6. Null and empty texts have no shingle
@@ -34,9 +35,10 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS = 24
 ROWS = 4
-#: By signature: below MAYBE a pair cannot reach THRESHOLD (five standard deviations); from COVERED on a leader stands for a member.
+#: By signature: below MAYBE a pair does not reach THRESHOLD (five standard deviations).
 MAYBE = 0.6
-COVERED = 0.92
+#: Members of one bucket that meet in one task.
+SUB = 1024
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -166,40 +168,66 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, sim double")
 
 
-def _leaders(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (member, leader) of one bucket that may be similar."""
-    pdf = pdf.sort_values("a")
-    ids, sig = pdf["a"].to_numpy(), np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-    led, out = np.zeros(0, np.int64), []
-    for i in range(len(ids)):
-        est = agreement(sig[led], sig[i]) if len(led) else np.zeros(0)
-        out += [(ids[i], ids[j]) for j in led[est >= MAYBE]]
-        if not len(est) or est.max() < COVERED:
-            led = np.append(led, i)
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+def _nearest(k: int):
+    """For a sub-bucket (a, label, sig): each member's k most similar members of other components, and whether it has more."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("a")
+        ids, label, sig = pdf["a"].to_numpy(), pdf["label"].to_numpy(), np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+        out = []
+        for i in range(len(ids)):
+            near = np.flatnonzero(label != label[i])
+            est = agreement(sig[near], sig[i])
+            near, est = near[est >= MAYBE], est[est >= MAYBE]
+            best = near[np.argsort(-est, kind="stable")[:k]]
+            out += [(max(ids[i], ids[j]), min(ids[i], ids[j]), len(near) > k) for j in best]
+        return pd.DataFrame(out, columns=["a", "b", "more"]).astype({"a": "int64", "b": "int64", "more": "bool"})
+
+    return run
+
+
+def _unsettled(roster: DataFrame, sigs: DataFrame, labels: DataFrame, spread: bool) -> DataFrame:
+    """(band, key, part, a, label, sig) of the buckets whose members are not of one component yet.
+
+    Large buckets are dealt to parts of SUB members. With `spread` all but the largest component of a bucket go to every part,
+    so that any two members of different components meet.
+    """
+    rows = roster.join(labels.withColumnRenamed("id", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+    sizes = rows.groupBy("band", "key", "label").agg(F.count("*").alias("c"))
+    buckets = sizes.groupBy("band", "key").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.sum("c").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    parts = F.ceil(F.col("n") / SUB).cast("int")
+    own = F.array(F.pmod(F.xxhash64("a", "band"), parts).cast("int"))
+    places = F.when((F.col("label") != F.col("main")) & (parts > 1), F.sequence(F.lit(0), parts - 1)).otherwise(own) if spread else own
+    placed = rows.join(buckets, ["band", "key"]).select("band", "key", F.explode(places).alias("part"), "a", "label")
+    return placed.join(sigs.select(F.col("rep").alias("a"), "sig"), "a")
 
 
 def links(docs: DataFrame, sk: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rep, d1, d2) of each distinct text, and verified links (a, b) between representatives."""
+    """(rep, d1, d2) of each distinct text, and (id, label) of the representatives that verified links join."""
     reps = settled(sk.groupBy("d1", "d2").agg(F.min("k").alias("rep")), "reps")
     sigs = settled(sk.where("n_words > 0").join(reps.select(F.col("rep").alias("k"), "d1", "d2"), ["k", "d1", "d2"]).dropDuplicates(["k", "d1", "d2"]).select(F.col("k").alias("rep"), "sig", "bands"), "sigs")
     rows = sigs.select(F.col("rep").alias("a"), F.posexplode("bands").alias("band", "key"))
     led = rows.groupBy("band", "key").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = settled(rows.join(led, ["band", "key"]).where("a <> b"), "members")
-    pairs = members.select("a", "b").distinct()
-    # ids may repeat with other texts: the text of a representative is the one of its digest
-    texts = keyed(docs).select("k", "text", "d1", "d2").join(reps.select(F.col("rep").alias("k"), "d1", "d2"), ["k", "d1", "d2"])
-    est = settled(_compared(pairs, sigs), "compared")
-    first = settled(_verified(est.where(F.col("est") >= MAYBE).select("a", "b"), texts), "verified")
-    close = first.where(F.col("sim") >= COVERED).select("a", "b")
-    rest = members.join(close, ["a", "b"], "left_anti").select("band", "key", "a")
-    several = rest.groupBy("band", "key").count().where("count > 1").select("band", "key")
-    rest = rest.join(several, ["band", "key"], "left_semi").join(sigs.select(F.col("rep").alias("a"), "sig"), "a")
-    more = settled(rest.groupBy("band", "key").applyInPandas(_leaders, "a bigint, b bigint").distinct(), "more")
-    found = first.where(F.col("sim") >= THRESHOLD).select("a", "b")
-    if not more.isEmpty():
-        found = found.unionByName(_verified(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), texts).where(F.col("sim") >= THRESHOLD).select("a", "b"))
-    return reps, settled(found, "links")
+    roster = settled(rows.join(led, ["band", "key"]), "roster")
+    est = _compared(roster.where("a <> b").select("a", "b").distinct(), sigs)
+    pairs = settled(est.where(F.col("est") >= MAYBE).select("a", "b"), "pairs")
+    roster = roster.select("band", "key", "a")
+    # the texts of members, by id and digest: an id may have other texts too
+    wanted = reps.select(F.col("rep").alias("k"), "d1", "d2").join(roster.select(F.col("a").alias("k")).distinct(), "k", "left_semi")
+    texts = settled(keyed(docs).select("k", "text", "d1", "d2").join(wanted, ["k", "d1", "d2"], "left_semi").select("k", "text"), "candidates")
+    verified = settled(_verified(pairs, texts), "verified")
+    k, turn = 2, 0
+    labels = components(verified.where(F.col("sim") >= THRESHOLD))
+    while True:
+        near = settled(_unsettled(roster, sigs, labels, turn > 0).groupBy("band", "key", "part").applyInPandas(_nearest(k), "a bigint, b bigint, more boolean"), "near")
+        new = settled(_verified(near.select("a", "b").distinct().join(verified.select("a", "b"), ["a", "b"], "left_anti"), texts), "verified")
+        if not new.isEmpty():
+            verified = verified.unionByName(new)
+            if not new.where(F.col("sim") >= THRESHOLD).isEmpty():
+                labels = components(verified.where(F.col("sim") >= THRESHOLD))
+        elif turn and near.where("more").isEmpty():
+            return reps, labels
+        k, turn = k * 4 if turn else k, turn + 1
 
 
 def components(found: DataFrame) -> DataFrame:
@@ -219,8 +247,8 @@ def components(found: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """(k, d1, d2, class_id, text_id): each row's class and the least id with its text; both least ids of what they name."""
     sk = settled(sketches(docs), "sketches")
-    reps, found = links(docs, sk)
-    named = reps.join(components(found).withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.col("rep").alias("text_id"), F.coalesce("label", "rep").alias("class_id"))
+    reps, labels = links(docs, sk)
+    named = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.col("rep").alias("text_id"), F.coalesce("label", "rep").alias("class_id"))
     rows = sk.select("k", "d1", "d2", "n_words").join(named, ["d1", "d2"])
     alone = F.col("n_words") == 0
     return rows.select("k", "d1", "d2", F.when(alone, F.col("k")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("k")).otherwise(F.col("text_id")).alias("text_id"))
