@@ -21,7 +21,7 @@ from .common import WORD, join_same, settled
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
-MOST = 2.0
+MOST = 2
 SEED = 20240601
 
 
@@ -47,8 +47,8 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     return rows.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def fit_budget(length: np.ndarray, count: np.ndarray, budget: float) -> np.ndarray:
-    """How many documents of each length to take, so that their words come nearest to `budget` from below.
+def fit_budget(length: np.ndarray, count: np.ndarray, budget: float, each: int = 1) -> np.ndarray:
+    """How many documents of each length to take, each up to `each` times, so that their words come nearest to `budget` from below.
 
     A proportional share first, then the knapsack over a few times the longest document: a sum is first reached by the
     earliest part that can reach it, which is enough to walk back.
@@ -67,14 +67,14 @@ def fit_budget(length: np.ndarray, count: np.ndarray, budget: float) -> np.ndarr
         if (over := (length * take).sum() - budget) > 0 and length[i]:
             take[i] -= min(take[i], int(-(-over // length[i])))
     room = int(budget - (length * take).sum())
-    left = count - take
     parts = []
-    for i in np.argsort(-length):
-        n, k = (int(min(left[i], room // length[i])) if length[i] else 0), 1
-        while n > 0:
-            parts.append((int(i), min(k, n)))
-            n -= parts[-1][1]
-            k *= 2
+    for left in (count - take, count * (each - 1)):  # second times only where first ones do not meet the budget
+        for i in np.argsort(-length):
+            n, k = (int(min(left[i], room // length[i])) if length[i] else 0), 1
+            while n > 0:
+                parts.append((int(i), min(k, n)))
+                n -= parts[-1][1]
+                k *= 2
     first = np.full(room + 1, -1, np.int32)
     reached = np.zeros(room + 1, bool)
     reached[0] = True
@@ -96,13 +96,13 @@ def fit_budget(length: np.ndarray, count: np.ndarray, budget: float) -> np.ndarr
 
 
 def quotas(histogram: DataFrame) -> DataFrame:
-    """(source, size, n, base, extra) from (source, size, n, source_size, target): each document base times, and extra documents once more."""
+    """(source, size, n, base, extra) from (source, size, n, source_size, target): each document base times, and extra documents once more (twice, as far as extra exceeds n)."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size")
         whole, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
         base = int(target // whole) if whole else 0
-        extra = fit_budget(pdf["size"].to_numpy(), pdf["n"].to_numpy(), target - base * whole) if base < MOST else np.zeros(len(pdf), np.int64)
+        extra = fit_budget(pdf["size"].to_numpy(), pdf["n"].to_numpy(), target - base * whole, MOST - base) if base < MOST else np.zeros(len(pdf), np.int64)
         return pd.DataFrame({"source": pdf["source"], "size": pdf["size"], "n": pdf["n"], "base": base, "extra": extra})
 
     return histogram.groupBy("source").applyInPandas(one, "source string, size bigint, n bigint, base bigint, extra bigint")
@@ -124,7 +124,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     per = per.select("source", "size", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     order = Window.partitionBy("source", "size", "chunk").orderBy("h", "doc_id")
     ranked = join_same(rows.withColumn("place", F.row_number().over(order)), per, ["source", "size", "chunk"]).withColumn("rank", F.col("place") + F.col("before"))
-    times = F.col("base") + (F.col("rank") <= F.col("extra")).cast("long")
+    times = F.col("base") + (F.col("rank") <= F.col("extra")).cast("long") + (F.col("rank") <= F.col("extra") - F.col("n")).cast("long")
     return join_same(ranked, goals, ["source"]).select("doc_id", "source", "size", "source_size", "target", times.alias("times"))
 
 

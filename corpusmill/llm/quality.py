@@ -17,6 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import text_or_empty
 
@@ -130,7 +131,7 @@ def with_score(docs: DataFrame, model: Model, score: str = "score") -> DataFrame
             scores = [one(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], [*names, score])
 
-    schema = docs.schema.add(score, "double")
+    schema = StructType([*docs.schema.fields, StructField(score, DoubleType())])
     whole = docs.select([F.col(f"`{n}`") for n in names] + [text_or_empty().alias("__text")])
     return whole.mapInArrow(run, schema)
 
