@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NULL_ID, text_or_empty
+from .common import NULL_ID, WORD, text_or_empty
 
 K1, B = 1.2, 0.75
 TOP = 10
@@ -32,8 +32,8 @@ BLOCK = 64
 FIRST = 8
 
 
-def terms(docs: DataFrame) -> DataFrame:
-    """(id, d, size, terms array<bigint>, counts array<int>): hashed distinct words of each row; size counts repeats."""
+def terms(docs: DataFrame, where: Column | None = None) -> DataFrame:
+    """(id, d, size, terms array<bigint>, counts array<int>): hashed distinct words of each row (where a condition on id holds); size counts repeats."""
 
     def run(batches):
         for b in batches:
@@ -46,6 +46,7 @@ def terms(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sizes, pa.ListArray.from_arrays(offsets, flat), pa.ListArray.from_arrays(offsets, counts)], ["id", "d", "size", "terms", "counts"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_or_empty()).alias("d"), text_or_empty().cast("binary").alias("body"))
+    rows = rows if where is None else rows.where(where)
     return rows.mapInArrow(run, "id bigint, d bigint, size bigint, terms array<bigint>, counts array<int>")
 
 
@@ -55,13 +56,17 @@ class Shard:
         order = sorted(range(len(ids)), key=lambda i: (lead[i], sizes[i], ids[i]))
         self.ids = np.array([ids[i] for i in order], np.int64)
         lengths = np.array([len(term_lists[i]) for i in order], np.int64)
-        doc = np.repeat(np.arange(len(order)), lengths)
         term = np.concatenate([term_lists[i] for i in order]) if order else np.zeros(0, np.int64)
-        tf = np.concatenate([count_lists[i] for i in order]).astype(float) if order else np.zeros(0)
-        norm = K1 * (1 - B + B * np.array([sizes[i] for i in order], float) / max(mean, 1e-9))
         by = np.argsort(term, kind="stable")  # documents ascend within a term
-        self.doc, term = doc[by].astype(np.int32), term[by]
-        self.part = tf[by] * (K1 + 1) / (tf[by] + norm[self.doc])
+        term = term[by]
+        tf = (np.concatenate([count_lists[i] for i in order]) if order else np.zeros(0, np.int32))[by]
+        self.doc = np.repeat(np.arange(len(order), dtype=np.int32), lengths)[by]
+        del by
+        norm = K1 * (1 - B + B * np.array([sizes[i] for i in order], float) / max(mean, 1e-9))
+        self.part = norm[self.doc]
+        self.part += tf
+        np.divide(tf * (K1 + 1), self.part, out=self.part)
+        del tf
         # one entry for each term and block: where its postings start, their largest part
         block = self.doc // BLOCK
         new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
@@ -121,16 +126,15 @@ def _ranges(start: np.ndarray, end: np.ndarray, weight: np.ndarray) -> tuple[np.
 
 def search(docs: DataFrame, queries: Column, k: int = TOP) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best rows of docs for each row of docs that `queries` (over id) selects."""
-    rows = terms(docs)
-    sums = rows.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
+    sums = docs.agg(F.count("*").alias("n"), F.avg(F.regexp_count(text_or_empty(), F.lit(WORD))).alias("mean")).first()
     total, mean = sums["n"], float(sums["mean"] or 0)
+    rows = terms(docs)
     shards = max(1, -(-total // SHARD_DOCS))
-    df = rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    asked = rows.where(queries).dropDuplicates(["id", "d"]).select("id", "d", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("id", "d", F.col("x.terms").alias("t"), F.col("x.counts").alias("c"))
-    weighted = asked.join(df, "t").withColumn("w", F.col("c") * F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    q = weighted.groupBy("id", "d").agg(F.array_sort(F.collect_list(F.struct("t", "w"))).alias("x"))  # the distinct words of one text
-    q = q.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "d", F.lit(0).cast("bigint").alias("size"), F.col("x.t").alias("terms"), F.lit(None).cast("array<int>").alias("counts"), F.col("x.w").alias("weights"))
-    d = rows.select(F.pmod(F.xxhash64("id", "d"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "d", "size", "terms", "counts", F.lit(None).cast("array<double>").alias("weights"))
+    df = rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").cast("int").alias("df"))
+    asked = terms(docs, queries).dropDuplicates(["id", "d"]).select("id", "d", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("id", "d", F.col("x.terms").alias("t"), F.col("x.counts").alias("c"))
+    q = asked.join(df, "t").groupBy("id", "d").agg(F.array_sort(F.collect_list(F.struct("t", "c", "df"))).alias("x"))  # the distinct words of one text
+    q = q.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "d", F.lit(0).cast("bigint").alias("size"), F.col("x.t").alias("terms"), F.col("x.c").alias("counts"), F.col("x.df").alias("df"))
+    d = rows.select(F.pmod(F.xxhash64("id", "d"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "d", "size", "terms", "counts", F.lit(None).cast("array<int>").alias("df"))
 
     def run(batches):
         shard, held, index, out = None, [], None, []
@@ -141,7 +145,7 @@ def search(docs: DataFrame, queries: Column, k: int = TOP) -> DataFrame:
 
         for b in batches:
             names = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            lists = {n: (names[n].values.to_numpy(zero_copy_only=False), names[n].offsets.to_numpy()) for n in ("terms", "counts", "weights")}
+            lists = {n: (names[n].values.to_numpy(zero_copy_only=False), names[n].offsets.to_numpy()) for n in ("terms", "counts", "df")}
             part = lambda n, i: lists[n][0][lists[n][1][i] : lists[n][1][i + 1]]  # noqa: B023, E731
             for i, (s, kind, id_, dd, size) in enumerate(zip(*[names[n].to_pylist() for n in ("shard", "kind", "id", "d", "size")], strict=True)):
                 if s != shard:
@@ -151,7 +155,9 @@ def search(docs: DataFrame, queries: Column, k: int = TOP) -> DataFrame:
                     continue
                 if index is None:
                     index, held = Shard(*(list(x) for x in (zip(*held, strict=True) if held else ([], [], [], []))), mean), []
-                ids, scores = index.top(part("terms", i), part("weights", i), k)
+                found_in = part("df", i)
+                weights = part("counts", i) * np.log(1 + (total - found_in + 0.5) / (found_in + 0.5))
+                ids, scores = index.top(part("terms", i), weights, k)
                 out.append((np.full(len(ids), id_), np.full(len(ids), dd), ids, scores))
                 if len(out) >= 512:
                     yield rows_out()
