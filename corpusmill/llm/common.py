@@ -13,6 +13,7 @@ if TYPE_CHECKING:
 
 #: A word of the contracts: anything but the six ASCII blanks (Java and Python syntax alike).
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Stands for a null doc_id where documents are ordered; null sorts first.
 NULL_ID = -(2**63)
 
@@ -37,10 +38,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read again: lineage is cut, a lost executor costs nothing before this."""
+    """The rows written to the shared folder and read again: lineage is cut, a lost executor costs nothing before this.
+
+    The shuffle files of the write go as it ends; nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

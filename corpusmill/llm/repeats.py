@@ -3,8 +3,10 @@ text that may hold one is streamed through its shard to locate all occurrences.
 
 A window is SPAN consecutive words. Its anchor is the GRAM-word sequence with the least hash in it, so equal windows have equal
 anchors. Only anchors that occur twice can belong to a recurring window; the stretches of text around those, and no others, are
-sent to shards by anchor. Common anchors (more than COMMON places) are sent window by window instead, each different window
-once from a task, the rest being decided there; so a passage that a third of all documents share is a row for each task.
+sent to shards by anchor. Texts are dealt to tasks by their least anchor, so that most copies meet, and a task decides what it
+has seen before by itself: it sends the different windows of common anchors (more than COMMON places) once, window by window.
+A passage that a third of all documents share is thus a row for each task. A least anchor that more than its share of the
+documents have is dealt to several tasks; those are fewer than HEAVY times the tasks, whatever the corpus.
 A shard takes whole keys, about UNITS windows at a time: it confirms the windows that recur in it, compiles them over word
 numbers with pyahocorasick, streams its stretches, and reports every place but the first. Comparison is of words, hashes only route.
 
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,12 +33,14 @@ SPAN = 20
 GRAM = 6
 COMMON = 64
 UNITS = 60_000
+HEAVY = 4
 _REACH = 1 << 24
 
-ROW = "kind int, o bigint, doc_id bigint, key bigint, s bigint, e bigint, body binary"
-_NAMES = ["kind", "o", "doc_id", "key", "s", "e", "body"]
-_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-DONE, STRETCH, TEXT, REMOVED = range(4)
+ROW = "o bigint, key bigint, s bigint, e bigint, body binary"
+_NAMES = ["o", "key", "s", "e", "body"]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+#: Texts that one pass of arrays covers.
+TOGETHER = 500
 
 
 def owners(h: np.ndarray, width: int = SPAN - GRAM + 1) -> np.ndarray:
@@ -54,9 +58,17 @@ def owners(h: np.ndarray, width: int = SPAN - GRAM + 1) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def _places(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    h = shingle_hashes(words, GRAM) if len(words) >= SPAN else np.zeros(0, np.uint64)
-    return h, owners(h)
+def places(bodies: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """For each text its words, the hashes of its word sequences, and the anchor of each of its windows; arrays span all texts."""
+    split = [b.split() for b in bodies]
+    flat = [w for ws in split for w in ws]
+    h = shingle_hashes(flat, GRAM) if len(flat) >= GRAM else np.zeros(0, np.uint64)
+    own = owners(h)
+    at = 0
+    for ws in split:
+        n = len(ws) - SPAN + 1
+        yield ws, h[at : at + max(0, len(ws) - GRAM + 1)], (own[at : at + n] - at if n > 0 else own[:0])
+        at += len(ws)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -73,31 +85,58 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def anchors(texts: DataFrame) -> DataFrame:
-    """(o, anchor, pos): every place that is the anchor of some window."""
+    """(o, least, anchor, pos): every place that is the anchor of some window, with the least anchor of its text."""
 
     def run(batches):
         for b in batches:
-            for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
-                o, key, pos = [], [], []
-                for i, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    h, own = _places(body.split())
+            for part in (b.slice(i, TOGETHER) for i in range(0, b.num_rows, TOGETHER)):
+                o, least, key, pos = [], [], [], []
+                for i, (_, h, own) in zip(part.column(0).to_pylist(), places(part.column(1).to_pylist()), strict=True):
                     if len(own):
                         p = own[np.flatnonzero(np.diff(own, prepend=-1))]
+                        k = h[p].astype(np.int64)
                         o.append(np.full(len(p), i))
-                        key.append(h[p].astype(np.int64))
+                        least.append(np.full(len(p), k.min()))
+                        key.append(k)
                         pos.append(p)
                 if o:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (o, key, pos)], ["o", "anchor", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (o, least, key, pos)], ["o", "least", "anchor", "pos"])
 
-    return texts.select("o", "body").mapInArrow(run, "o bigint, anchor bigint, pos bigint")
+    return texts.select("o", "body").mapInArrow(run, "o bigint, least bigint, anchor bigint, pos bigint")
+
+
+def with_least(texts: DataFrame) -> DataFrame:
+    """texts with the least anchor of each; short ones have their own."""
+
+    def run(batches):
+        for b in batches:
+            for part in (b.slice(i, TOGETHER) for i in range(0, b.num_rows, TOGETHER)):
+                found = places(part.column(2).to_pylist())
+                least = [int(h[own].astype(np.int64).min()) if len(own) else i for i, (_, h, own) in zip(part.column(0).to_pylist(), found, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least, pa.int64())], ["o", "doc_id", "body", "least"])
+
+    return texts.select("o", "doc_id", "body").mapInArrow(run, "o bigint, doc_id bigint, body binary, least bigint")
+
+
+def _spread(found: DataFrame) -> Column:
+    """The task key of a text: its least anchor, and for the heavy ones one of several parts."""
+    spark = found.sparkSession
+    share = HEAVY * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    per = settled(found.groupBy("least", "o").agg(F.lit(1).alias("x")).groupBy("least").agg(F.count("*").alias("n")), "least")
+    total = per.agg(F.sum("n")).first()[0] or 0
+    heavy = {r["least"]: int(r["n"] * share // total) + 1 for r in per.where(F.col("n") * share > total).collect()}  # fewer than `share` rows
+    if not heavy:
+        return F.col("least")
+    parts = F.coalesce(F.create_map(*[F.lit(x) for kv in heavy.items() for x in kv])[F.col("least")], F.lit(1))
+    return F.xxhash64("least", F.pmod(F.xxhash64("o"), parts))
 
 
 class _Rows:
     def __init__(self):
         self.rows, self.size = [], 0
 
-    def add(self, kind, o, doc_id=None, key=None, s=None, e=None, body=None):
-        self.rows.append((kind, o, doc_id, key, s, e, body))
+    def add(self, o, key, s, e, body=None):
+        self.rows.append((o, key, s, e, body))
         self.size += len(body or b"") + 64
 
     def batch(self) -> pa.RecordBatch:
@@ -126,53 +165,71 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[
         yield o, texts, rest
 
 
-def _together(texts: DataFrame, others: DataFrame) -> DataFrame:
-    """Texts (o, doc_id, body) followed by what belongs to them (o, x, y, z), one exchange each, nothing gathered."""
-    a = texts.select("o", F.lit(0).alias("t"), "doc_id", *[F.lit(0).cast("bigint").alias(c) for c in "xyz"], "body")
-    b = others.select("o", F.lit(1).alias("t"), F.lit(None).cast("bigint").alias("doc_id"), "x", "y", "z", F.lit(None).cast("binary").alias("body"))
-    return a.unionByName(b).repartition("o").sortWithinPartitions("o", "t", "x")
+def _together(texts: DataFrame, others: DataFrame, to: str = "o") -> DataFrame:
+    """Texts (o, doc_id, body) followed by what belongs to them (o, x, y, z), dealt by `to`: one exchange, nothing gathered."""
+    a = texts.select(F.col(to).alias("to"), "o", F.lit(0).alias("t"), "doc_id", *[F.lit(0).cast("bigint").alias(c) for c in "xyz"], "body")
+    b = others.select(F.col(to).alias("to"), "o", F.lit(1).alias("t"), F.lit(None).cast("bigint").alias("doc_id"), "x", "y", "z", F.lit(None).cast("binary").alias("body"))
+    return a.unionByName(b).repartition("to").drop("to").sortWithinPartitions("o", "t", "x")
 
 
 def stretches(texts: DataFrame, hits: DataFrame) -> DataFrame:
-    """Rows of four kinds: finished documents, stretches for the shards, texts that wait for them, and removals decided here."""
+    """(o, key, s, e, body): windows s to e (exclusive) of o with their words, for the shards; without words: removed here, words s to e."""
 
     def run(batches):
-        out, seen = _Rows(), {}
-        for o, docs, found in _by_document(batches):
-            words = docs[0][1].split()
-            if not found:
-                for doc_id, _ in docs:
-                    out.add(DONE, o, doc_id, s=len(words), body=hashlib.sha256(b" ".join(words)).hexdigest().encode())
-            else:
-                for doc_id, body in docs:
-                    out.add(TEXT, o, doc_id, body=body)
-                h, own = _places(words)
+        out, seen, met = _Rows(), set(), {}
+        for group in _grouped(_by_document(batches)):
+            for (o, _, found), (words, h, own) in zip(group, places([docs[0][1] for _, docs, _ in group]), strict=True):
+                if not found:
+                    continue
                 count = {p: n for p, n, _ in found}
                 starts = np.flatnonzero(np.diff(own, prepend=-1))
-                ends = np.append(starts[1:], len(own))
-                for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                    p = int(own[s])
+                anchor = own[starts]
+                keys = h[anchor].astype(np.int64).tolist()
+                for s, e, p, key in zip(starts.tolist(), [*starts[1:].tolist(), len(own)], anchor.tolist(), keys, strict=True):
                     n = count.get(p)
                     if n is None:
                         continue
                     if n <= COMMON:
-                        out.add(STRETCH, o, None, int(h[p].astype(np.int64)), s, e, b" ".join(words[s : e + SPAN - 1]))
+                        out.add(o, key, s, e, b" ".join(words[s : e + SPAN - 1]))
                         continue
+                    whole = b" ".join(words[s : e + SPAN - 1])
+                    if met.get(whole, o) != o:  # a stretch of an earlier text: all its windows were seen
+                        out.add(o, None, s, e + SPAN - 1)
+                        continue
+                    met[whole] = o
+                    low = None
                     for i in range(s, e):
                         w = b" ".join(words[i : i + SPAN])
                         if w in seen:
-                            out.add(REMOVED, o, s=i, e=i + SPAN)
+                            if low is None:
+                                low = i
                             continue
-                        if len(seen) > 100_000:
-                            seen.clear()  # windows met before go to their shard once more
-                        seen[w] = None
-                        key = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True)
-                        out.add(STRETCH, o, None, key, i, i + 1, w)
-            if out.full():
-                yield out.batch()
+                        if low is not None:
+                            out.add(o, None, low, i - 1 + SPAN)
+                            low = None
+                        seen.add(w)
+                        out.add(o, int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), i, i + 1, w)
+                    if low is not None:
+                        out.add(o, None, low, e - 1 + SPAN)
+                    if len(seen) > 200_000:
+                        seen.clear()  # what was met before goes to its shard once more
+                        met.clear()
+                if out.full():
+                    yield out.batch()
         yield out.batch()
 
-    return _together(texts, hits.select("o", F.col("pos").alias("x"), F.col("n").alias("y"), F.lit(0).cast("bigint").alias("z"))).mapInArrow(run, ROW)
+    return _together(texts, hits.select("o", "to", F.col("pos").alias("x"), F.col("n").alias("y"), F.lit(0).cast("bigint").alias("z")), "to").mapInArrow(run, ROW)
+
+
+def _grouped(items: Iterator, size: int = 200) -> Iterator[list]:
+    group = []
+    for x in items:
+        group.append(x)
+        if len(group) >= size:
+            yield group
+            group = []
+    if group:
+        yield group
 
 
 def _locate(units: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
@@ -235,7 +292,7 @@ def occurrences(rows: DataFrame) -> DataFrame:
         if units:
             yield flush()
 
-    wanted = rows.where(F.col("kind") == STRETCH).select("key", "o", "s", "e", "body")
+    wanted = rows.where(F.col("key").isNotNull()).select("key", "o", "s", "e", "body")
     return wanted.repartition("key").sortWithinPartitions("key", "o", "s").mapInArrow(run, "o bigint, x bigint, y bigint, z bigint")
 
 
@@ -264,15 +321,15 @@ def _finish(texts: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept): kept holds the words that stay where a document may have lost some; null where none recurs in it."""
+    """(doc_id, n_words, n_removed, kept_sha256, kept): kept holds the words that stay."""
     texts = numbered(docs)
-    twice = anchors(texts).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    hits = anchors(texts).join(twice, "anchor").select("o", "pos", "n")
-    rows = settled(stretches(texts, hits), "stretches")
-    here = rows.where(F.col("kind") == REMOVED).select("o", F.col("s").alias("x"), F.col("e").alias("y"), F.lit(0).cast("bigint").alias("z"))
-    ended = rows.where(F.col("kind") == DONE).select("doc_id", F.col("s").alias("n_words"), F.lit(0).cast("bigint").alias("n_removed"), F.col("body").cast("string").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
-    waiting = rows.where(F.col("kind") == TEXT).select("o", "doc_id", "body")
-    return ended.unionByName(_finish(waiting, occurrences(rows).unionByName(here)))
+    places_ = anchors(texts)
+    twice = places_.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    to = _spread(places_.select("o", "least"))
+    hits = places_.join(twice, "anchor").select("o", "pos", "n", to.alias("to"))
+    rows = settled(stretches(with_least(texts).withColumn("to", to), hits), "stretches")
+    here = rows.where(F.col("key").isNull()).select("o", F.col("s").alias("x"), F.col("e").alias("y"), F.lit(0).cast("bigint").alias("z"))
+    return _finish(texts, occurrences(rows).unionByName(here))
 
 
 def report(docs: DataFrame) -> DataFrame:
