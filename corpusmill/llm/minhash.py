@@ -7,8 +7,7 @@ when its next point is later than every register's. Two texts agree in a registe
 1. Equal texts become one (a 128-bit hash of the text, combined on the map side), so copies cost nothing further.
 2. Registers are banded. In a bucket every member is compared with the member of least id; verified on whole texts.
 3. Buckets whose members are not of one component yet are looked at again: each member is verified against its most similar
-   members of other components, by signature, 2, 8, 32 ... of them in further rounds, until none is left. What is already
-   joined is skipped, so a group of near copies costs a few rows a member and nothing that could join two classes is left out.
+   members of other components, by signature, a few, then more, then all that are left. What is already joined is skipped, so a group of near copies costs a few rows a member and nothing that could join two classes is left out.
    Large buckets are dealt to parts, the largest component once and all others to every part.
 4. Links (Jaccard of the shingle sets at least 0.8) make classes by spreading the least id; rounds are written tables.
 
@@ -37,6 +36,8 @@ BANDS = 24
 ROWS = 4
 #: By signature: below MAYBE a pair does not reach THRESHOLD (five standard deviations).
 MAYBE = 0.6
+#: How many of its nearest members of other components each member is compared with, round by round; the last round takes all.
+NEAREST = (4, 64, 1 << 30)
 #: Members of one bucket that meet in one task.
 SUB = 1024
 
@@ -216,18 +217,17 @@ def links(docs: DataFrame, sk: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = reps.select(F.col("rep").alias("k"), "d1", "d2").join(roster.select(F.col("a").alias("k")).distinct(), "k", "left_semi")
     texts = settled(keyed(docs).select("k", "text", "d1", "d2").join(wanted, ["k", "d1", "d2"], "left_semi").select("k", "text"), "candidates")
     verified = settled(_verified(pairs, texts), "verified")
-    k, turn = 2, 0
     labels = components(verified.where(F.col("sim") >= THRESHOLD))
-    while True:
+    for turn, k in enumerate(NEAREST):
         near = settled(_unsettled(roster, sigs, labels, turn > 0).groupBy("band", "key", "part").applyInPandas(_nearest(k), "a bigint, b bigint, more boolean"), "near")
         new = settled(_verified(near.select("a", "b").distinct().join(verified.select("a", "b"), ["a", "b"], "left_anti"), texts), "verified")
         if not new.isEmpty():
             verified = verified.unionByName(new)
             if not new.where(F.col("sim") >= THRESHOLD).isEmpty():
                 labels = components(verified.where(F.col("sim") >= THRESHOLD))
-        elif turn and near.where("more").isEmpty():
-            return reps, labels
-        k, turn = k * 4 if turn else k, turn + 1
+        if turn and near.where("more").isEmpty():
+            break  # every two members of different components that may be similar have been compared
+    return reps, labels
 
 
 def components(found: DataFrame) -> DataFrame:
