@@ -154,4 +154,4 @@ def forget_edges(edges: DataFrame, rate: float, prune: float) -> DataFrame:
     rows = edge_softmax(edges).withColumn("q", mixed).withColumn("q", F.when(F.col("q") < prune, 0.0).otherwise(F.col("q")))
     total = F.sum("q").over(by)
     rows = rows.withColumn("q", F.when(total > 0, F.col("q") / F.greatest(total, F.lit(1e-300))).otherwise(1 / F.count("*").over(by)))
-    return rows.select("src", "dst", F.log(F.greatest("q", F.lit(1e-12))).alias("logit"))
+    return rows.select("src", "dst", F.log(F.greatest("q", F.lit(1e-8))).alias("logit"))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import schedule, subword
 from corpusmill.functions import text as T
-from corpusmill.operators import allocation, audit, dedup, formatting, metrics, packing, quality, retrieval
-from corpusmill.sources.io import table
+from corpusmill.operators import allocation, audit, dedup, formatting, memory, metrics, packing, quality, retrieval
+from corpusmill.sources.io import table, training_text
 
 LENGTH = 512
 DOMAINS = list(allocation.DOMAIN_SHARES)
@@ -142,6 +142,37 @@ def lsh_candidates(spark, d):
     return retrieval.candidates(v.where("vec_id % 50 = 0"), v, PLANES)
 
 
+def _edges(spark: SparkSession) -> DataFrame:
+    """A graph of 24 nodes with made-up logits."""
+    i = F.col("id")
+    return spark.range(24 * 24).select(F.floor(i / 24).cast("long").alias("src"), (i % 24).alias("dst"), F.sin(i * 1.7).alias("logit"))
+
+
+def _nodes(spark, d):
+    return table(spark, d, "embeddings").where("vec_id < 24").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+def _sequences(spark, d):
+    return table(spark, d, "embeddings").where("vec_id >= 24 and vec_id < 124").select("label", "vec_id", F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+def write_skips(spark, d):
+    rows = table(spark, d, "events").select((F.col("event_id") % 10 * 100).alias("step"), F.col("value").alias("surprise"))
+    return _rounded(memory.skip_rate(rows, "surprise", "step", initial=60.0, target=20.0, every=200, amount=12.5), 9, "skip_rate")
+
+
+def running(spark, d):
+    rows = table(spark, d, "events").where("user_id % 10 = 0").select("user_id", "event_id", "value", (F.col("event_id") % 7).cast("double").alias("score"))
+    out = retrieval.running_softmax(retrieval.running_mean(rows, "user_id", "event_id", "value"), "user_id", "event_id", "score", "value")
+    return _rounded(out.select("user_id", "event_id", "running_mean", "running_softmax"), 9, "running_mean", "running_softmax")
+
+
+def branches(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("seq"), (F.col("l_linenumber") % 2).cast("long").alias("branch"), F.col("l_linenumber").cast("long").alias("line"), F.col("l_discount").alias("s"), F.col("l_tax").alias("t")).where("seq < 500")
+    rows = rows.groupBy("seq", "branch", F.floor(F.col("line") / 2).alias("pos")).agg(F.max("s").alias("s"), F.max("t").alias("t"))
+    return _rounded(memory.branch_weights(rows, "s", "t", (2.0, 3.0)).select("seq", "branch", "pos", "weight"), 9, "weight")
+
+
 def pieces(spark, d):
     import public_tokenizers
 
@@ -181,6 +212,19 @@ def queries() -> dict:
         "q_schedule_trace": schedule_trace,
         "q_lsh_candidates": lsh_candidates,
         "q_sentencepiece": pieces,
+        "q_slot_reuse": lambda s, d: memory.reusable(memory.slot_counts(_found(s, d), table(s, d, "embeddings")), 0.75),
+        "q_write_skips": write_skips,
+        "q_running": running,
+        "q_branch_weights": branches,
+        "q_graph_measures": lambda s, d: _rounded(retrieval.graph_measures(_edges(s)), 9, "entropy", "mean_max", "over_002", "over_005", "over_010"),
+        "q_edge_forgetting": lambda s, d: _rounded(retrieval.forget_edges(_edges(s), 0.2, 0.03), 6, "logit"),
+        "q_graph_overview": lambda s, d: _rounded(_longs(memory.overview(_sequences(s, d), _nodes(s, d), _edges(s)), "pos"), 6, "value"),
+        "q_coactivation": lambda s, d: _rounded(memory.coactivation(_sequences(s, d), _nodes(s, d), _edges(s), "label", "vec_id"), 9, "p"),
+        "q_adjacent_contrast": lambda s, d: _rounded(memory.adjacent_contrast(_sequences(s, d), "label", "vec_id", "v", 0.1, 4), 6, "loss"),
+        "q_vector_validation": lambda s, d: _rounded(retrieval.validation(table(s, d, "embeddings"), "embedding"), 6, "mean", "std", "mean_norm"),
+        "q_training_text": lambda s, d: training_text(_docs(s, d), 200_000).select(F.sha1(F.col("value").cast("binary")).alias("line_hash"), F.length("value").cast("long").alias("n")),
+        "q_dialogue_head": lambda s, d: _docs(s, d).where("domain = 'dialogue'").select("doc_id").orderBy("doc_id").limit(40),
+        "q_text_number": lambda s, d: table(s, d, "documents").select("doc_id", T.number_of(F.col("text")).alias("number")),
     }
 
 
@@ -242,12 +286,32 @@ def _sign(t: int, b: int) -> str:
 CODES = "codes AS (" + " UNION ALL ".join(f"SELECT vec_id, {t} AS tab, {' + '.join(_sign(t, b) for b in range(6))} AS code FROM embeddings" for t in range(2)) + ")"
 
 
+EDGES = """g AS (SELECT range // 24 AS src, range % 24 AS dst, sin(range * 1.7) AS logit FROM range(576)),
+trans AS (SELECT src, dst, exp(logit) / sum(exp(logit)) OVER (PARTITION BY src) AS p FROM g)"""
+GRAPH = EDGES + """, cosines AS (SELECT q.vec_id AS query, n.vec_id AS node, exp(list_cosine_similarity(q.embedding::DOUBLE[], n.embedding::DOUBLE[])) AS x FROM embeddings q, embeddings n WHERE q.vec_id >= 24 AND q.vec_id < 124 AND n.vec_id < 24),
+aff AS (SELECT query, node, x / sum(x) OVER (PARTITION BY query) AS p FROM cosines)"""
+
+
 def oracle_sql() -> dict[str, str]:
     expected = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in allocation.DOMAIN_SHARES.items())
     limits = ", ".join(f"('{k}', {v})" for k, v in QUOTAS.items())
     takes = ", ".join(f"('{k}', {v})" for k, v in allocation.allocate(102, allocation.DOMAIN_SHARES).items())
     chat = "CASE WHEN lower(role) IN ('assistant', 'gpt', 'bot') THEN '<|assistant|>' ELSE '<|user|>' END || chr(10) || trim(text, ' ' || chr(10) || chr(9))"
+    moved = f"{GRAPH}, moved AS (SELECT query, dst, sum(a.p * t.p) AS w FROM aff a JOIN trans t ON t.src = a.node GROUP BY ALL)"
     return {
+        "q_slot_reuse": f"WITH {FOUND}, c AS (SELECT vec_id AS slot_id, count(query_id) AS retrieved FROM embeddings LEFT JOIN found ON slot_id = vec_id GROUP BY 1) SELECT slot_id, retrieved FROM c WHERE retrieved < 0.75 * (SELECT greatest(1.0, avg(retrieved)) FROM c)",
+        "q_write_skips": "SELECT event_id % 10 * 100 AS step, count(*) AS rows, round(avg((value <= greatest(20.0, 60.0 - floor((event_id % 10 * 100) / 200) * 12.5))::INT), 9) AS skip_rate FROM events GROUP BY 1",
+        "q_running": "SELECT user_id, event_id, round(avg(value) OVER w, 9) AS running_mean, round(sum(exp(event_id % 7) * value) OVER w / sum(exp(event_id % 7)) OVER w, 9) AS running_softmax FROM events WHERE user_id % 10 = 0 WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)",
+        "q_branch_weights": "WITH l AS (SELECT l_orderkey AS seq, (l_linenumber % 2)::BIGINT AS branch, (l_linenumber // 2)::BIGINT AS pos, max(l_discount) AS s, max(l_tax) AS t FROM lineitem WHERE l_orderkey < 500 GROUP BY ALL), r AS (SELECT seq, branch, pos, 2 * avg(s) OVER (PARTITION BY seq, branch ORDER BY pos ROWS UNBOUNDED PRECEDING) + 3 * t AS s FROM l) SELECT seq, branch, pos, round(exp(s) / sum(exp(s)) OVER (PARTITION BY seq, pos), 9) AS weight FROM r",
+        "q_graph_measures": f"WITH {EDGES}, r AS (SELECT src, -sum(p * ln(p)) AS e, max(p) AS m, count(*) AS n, count(*) FILTER (p > 0.02) AS a, count(*) FILTER (p > 0.05) AS b, count(*) FILTER (p > 0.1) AS c FROM trans GROUP BY 1) SELECT round(avg(e), 9) AS entropy, round(avg(m), 9) AS mean_max, round(sum(a) / sum(n), 9) AS over_002, round(sum(b) / sum(n), 9) AS over_005, round(sum(c) / sum(n), 9) AS over_010 FROM r",
+        "q_edge_forgetting": f"WITH {EDGES}, m AS (SELECT src, dst, CASE WHEN 0.8 * p + 0.2 / 24 < 0.03 THEN 0 ELSE 0.8 * p + 0.2 / 24 END AS q FROM trans) SELECT src, dst, round(ln(greatest(q / sum(q) OVER (PARTITION BY src), 1e-8)), 6) AS logit FROM m",
+        "q_graph_overview": f"WITH {moved} SELECT query, pos, round(sum(w * x), 6) AS value FROM (SELECT query, w, unnest(embedding::DOUBLE[]) AS x, unnest(range(0, 64)) AS pos FROM moved JOIN embeddings ON vec_id = dst) GROUP BY ALL",
+        "q_coactivation": f"WITH {moved}, nx AS (SELECT label, vec_id, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings WHERE vec_id >= 24 AND vec_id < 124) SELECT label, vec_id, round(least(greatest(sum(w * b.p), 1e-6), 1 - 1e-6), 9) AS p FROM nx JOIN moved m ON m.query = vec_id JOIN aff b ON b.query = nxt AND b.node = m.dst GROUP BY ALL",
+        "q_adjacent_contrast": "WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY label, vec_id) - 1 AS i, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings WHERE vec_id >= 24 AND vec_id < 124), q AS (SELECT e.v, n.v AS nv, row_number() OVER (ORDER BY e.label, e.vec_id) - 1 AS m FROM e JOIN e n ON n.vec_id = e.nxt), l AS (SELECT m, exp(any_value(list_cosine_similarity(q.v, q.nv)) / 0.1) AS own, sum(exp(list_cosine_similarity(q.v, e.v) / 0.1)) AS others FROM q, range(2, 6) s(s) JOIN e ON e.i = (m + s) % (SELECT count(*) FROM e) GROUP BY m) SELECT count(*) AS n, round(avg(ln(others + own) - ln(own)), 6) AS loss FROM l",
+        "q_vector_validation": "WITH u AS (SELECT unnest(embedding::DOUBLE[]) AS x FROM embeddings) SELECT round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, 0::BIGINT AS nan_count, 0::BIGINT AS inf_count, (SELECT round(avg(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) FROM embeddings) AS mean_norm, 'PASS' AS decision FROM u",
+        "q_training_text": r"SELECT sha1(v) AS line_hash, length(v) AS n FROM (SELECT v, coalesce(sum(length(v)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT doc_id, regexp_replace(text, '[\r\n]+', ' ', 'g') AS v FROM documents WHERE text <> '')) WHERE before < 200000",
+        "q_dialogue_head": f"WITH {DOCS} SELECT doc_id FROM docs WHERE domain = 'dialogue' ORDER BY doc_id LIMIT 40",
+        "q_text_number": "SELECT doc_id, ('0x' || sha1(text)[1:8])::BIGINT AS number FROM documents",
         "q_quality_reasons": f"WITH {MEASURED} SELECT reason, count(*) AS n FROM reasoned GROUP BY 1",
         "q_quality_metrics": f"WITH {MEASURED} SELECT doc_id, chars, repeated_chars, repeated_5grams, alpha, urls, longest_line FROM measured",
         "q_exact_dedup": "SELECT doc_id, source, text_hash FROM (SELECT *, sha1(text) AS text_hash, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) AS r FROM documents) WHERE r = 1",
