@@ -3,12 +3,12 @@ text that may hold one is streamed through its shard to locate all occurrences.
 
 A window is SPAN consecutive words. Its anchor is the GRAM-word sequence with the least hash in it, so equal windows have equal
 anchors. Only anchors that occur twice can belong to a recurring window; the stretches of text around those, and no others, are
-sent to shards by anchor. Texts are dealt to tasks by their least anchor, so that most copies meet, and a task decides what it
-has seen before by itself: it sends the different windows of common anchors (more than COMMON places) once, window by window.
-A passage that a third of all documents share is thus a row for each task. A least anchor that more than its share of the
+sent to shards by anchor. Texts are dealt to tasks by their least anchor, so that most copies meet, and a task decides by itself
+what it has seen before (by 128-bit hashes): it sends different windows once, those of common anchors (more than COMMON places)
+one by one by their own hashes. A passage that a third of all documents share is thus a row for each task. A least anchor that more than its share of the
 documents have is dealt to several tasks; those are fewer than HEAVY times the tasks, whatever the corpus.
 A shard takes whole keys, about UNITS windows at a time: it confirms the windows that recur in it, compiles them over word
-numbers with pyahocorasick, streams its stretches, and reports every place but the first. Comparison is of words, hashes only route.
+numbers with pyahocorasick, streams its stretches, and reports every place but the first. Words are letters of a small alphabet there.
 
 Documents are ordered by doc_id (null first); rows of one id but different texts by a hash of the text; equal rows are one
 document and lose the same words. Null text has no words. Empty tables give an empty table; other columns are ignored.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from xxhash import xxh3_128_digest
 
 from .common import NULL_ID, settled, text_or_empty
 from .minhash import shingle_hashes
@@ -34,6 +36,7 @@ GRAM = 6
 COMMON = 64
 UNITS = 60_000
 HEAVY = 4
+SEEN = 1_000_000
 _REACH = 1 << 24
 
 ROW = "o bigint, key bigint, s bigint, e bigint, body binary"
@@ -176,44 +179,48 @@ def stretches(texts: DataFrame, hits: DataFrame) -> DataFrame:
     """(o, key, s, e, body): windows s to e (exclusive) of o with their words, for the shards; without words: removed here, words s to e."""
 
     def run(batches):
-        out, seen, met = _Rows(), set(), {}
+        out, seen, met = _Rows(), set(), set()
         for group in _grouped(_by_document(batches)):
             for (o, _, found), (words, h, own) in zip(group, places([docs[0][1] for _, docs, _ in group]), strict=True):
                 if not found:
                     continue
                 count = {p: n for p, n, _ in found}
+                ends = list(accumulate(map(len, words), lambda a, n: a + n + 1, initial=0))  # where each word starts in the joined text
+                text = b" ".join(words)
                 starts = np.flatnonzero(np.diff(own, prepend=-1))
                 anchor = own[starts]
                 keys = h[anchor].astype(np.int64).tolist()
+                new = []
                 for s, e, p, key in zip(starts.tolist(), [*starts[1:].tolist(), len(own)], anchor.tolist(), keys, strict=True):
                     n = count.get(p)
                     if n is None:
                         continue
-                    if n <= COMMON:
-                        out.add(o, key, s, e, b" ".join(words[s : e + SPAN - 1]))
-                        continue
-                    whole = b" ".join(words[s : e + SPAN - 1])
-                    if met.get(whole, o) != o:  # a stretch of an earlier text: all its windows were seen
+                    whole = xxh3_128_digest(text[ends[s] : ends[e + SPAN - 1] - 1])
+                    if whole in met:  # a stretch of an earlier text: all its windows were seen
                         out.add(o, None, s, e + SPAN - 1)
                         continue
-                    met[whole] = o
-                    low = None
-                    for i in range(s, e):
-                        w = b" ".join(words[i : i + SPAN])
-                        if w in seen:
-                            if low is None:
-                                low = i
-                            continue
-                        if low is not None:
+                    new.append(whole)
+                    low, fresh = None, None
+                    for i in range(s, e + 1):
+                        w = xxh3_128_digest(text[ends[i] : ends[i + SPAN] - 1]) if i < e else None
+                        known = w is None or w in seen
+                        if not known:
+                            seen.add(w)
+                        if low is not None and (w is None or not known):
                             out.add(o, None, low, i - 1 + SPAN)
                             low = None
-                        seen.add(w)
-                        out.add(o, int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), i, i + 1, w)
-                    if low is not None:
-                        out.add(o, None, low, e - 1 + SPAN)
-                    if len(seen) > 200_000:
-                        seen.clear()  # what was met before goes to its shard once more
-                        met.clear()
+                        if fresh is not None and (known or n > COMMON):
+                            at = key if n <= COMMON else route
+                            out.add(o, at, fresh, i, text[ends[fresh] : ends[i + SPAN - 1] - 1])
+                            fresh = None
+                        if w is not None and known and low is None:
+                            low = i
+                        if w is not None and not known and fresh is None:
+                            fresh, route = i, int.from_bytes(w[:8], "little", signed=True)
+                met.update(new)
+                if len(seen) > SEEN:
+                    seen.clear()  # what was met before goes to its shard once more
+                    met.clear()
                 if out.full():
                     yield out.batch()
         yield out.batch()
@@ -235,20 +242,28 @@ def _grouped(items: Iterator, size: int = 200) -> Iterator[list]:
 def _locate(units: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
     """(o, s, e) of words to remove, from stretches (o, first window, end of windows, words) that hold every place of their windows."""
     number: dict[bytes, int] = {}
+    split = [body.split() for _, _, _, body in units]
+    for words in split:
+        for w in words:
+            number.setdefault(w, len(number))
+    digits = max(1, -(-(len(number) - 1).bit_length() // 6))
+    # a word is `digits` letters, each place with letters of its own: nodes of the automaton have few children, matches begin at words
     coded = []
-    times: dict[bytes, int] = {}
-    for o, s, e, body in units:
-        ids = np.array([number.setdefault(w, len(number) + 1) for w in body.split()], np.uint32)
-        data = ids.tobytes()
-        coded.append(data)
-        for i in range(e - s):
-            w = data[4 * i : 4 * (i + SPAN)]
+    for words in split:
+        ids = np.fromiter(map(number.__getitem__, words), np.uint32, len(words))
+        letters = np.stack([((ids >> np.uint32(6 * d)) & np.uint32(63)) + np.uint32(256 + 64 * d) for d in range(digits)], axis=1)
+        coded.append(letters.astype("<u4").tobytes().decode("utf-32-le"))
+    size = SPAN * digits
+    times: dict[str, int] = {}
+    for (_, s, e, _), code in zip(units, coded, strict=True):
+        for at in range(0, (e - s) * digits, digits):
+            w = code[at : at + size]
             times[w] = times.get(w, 0) + 1
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     n = 0
     for w, t in times.items():
         if t > 1:
-            automaton.add_word(tuple(np.frombuffer(w, np.uint32).tolist()), n)
+            automaton.add_word(w, n)
             n += 1
     if not n:
         return
@@ -257,8 +272,8 @@ def _locate(units: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int
     for j in sorted(range(len(units)), key=lambda j: units[j][:2]):
         o, s, _, _ = units[j]
         low = high = None
-        for end, phrase in automaton.iter(tuple(np.frombuffer(coded[j], np.uint32).tolist())):
-            place = (o, s + end - SPAN + 1)
+        for end, phrase in automaton.iter(coded[j]):
+            place = (o, s + (end + 1 - size) // digits)
             if first.setdefault(phrase, place) == place:
                 continue
             if low is not None and place[1] <= high:
