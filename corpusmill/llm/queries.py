@@ -29,6 +29,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_secrets": secrets.sql(),
         "op4_search": search.SQL,
         "op5_preference": preference.SQL,
     }

@@ -115,3 +115,23 @@ def report(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     return findings(docs, ledger=ledger).select(
         "doc_id", *[count(k).alias(f"n_{k}") for k in kinds], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), "blob",
     )
+
+
+def _rule_sql(r: Rule, rank: int) -> str:
+    p = r.pattern.replace("'", "''")
+    measured = f"length(regexp_extract(h[i], '{p}', {r.measured}))" if r.measured else "length(h[i])"
+    return f"""
+  SELECT doc_id, n, {rank} AS rank, '{r.kind}' AS kind, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS start, length(h[i]) AS size
+  FROM (SELECT doc_id, n, g, h, unnest(range(1, len(h) + 1)) AS i FROM (SELECT doc_id, n, string_split_regex(text, '{p}') AS g, regexp_extract_all(text, '{p}') AS h FROM d WHERE regexp_matches(text, '{p}')))
+  WHERE {measured} >= {r.least}"""
+
+
+def sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """DuckDB's twin of report()."""
+    span = "kind || ':' || start || ':' || (start + size)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    zeros = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS n FROM documents),
+f AS ({" UNION ALL ".join(_rule_sql(r, i) for i, r in enumerate(rules))}),
+s AS (SELECT n, {counts}, string_agg({span}, ',' ORDER BY start, rank) FILTER (rank < {len(BASE)}) AS base, string_agg({span}, ',' ORDER BY start, rank) AS spans FROM f GROUP BY n)
+SELECT doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(text) AS blob FROM d LEFT JOIN s USING (n)"""
