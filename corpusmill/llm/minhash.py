@@ -22,7 +22,6 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,22 +168,46 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, sim double")
 
 
-def _nearest(k: int):
-    """For a sub-bucket (a, label, sig): each member's k most similar members of other components, and whether it has more."""
+def _nearest(placed: DataFrame, k: int) -> DataFrame:
+    """(a, b, more) from (band, key, part, a, label, sig): each member's k most similar members of other components in its part of a bucket, and whether it has more.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("a")
-        ids, label, sig = pdf["a"].to_numpy(), pdf["label"].to_numpy(), np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-        out = []
+    The number of tasks is fixed: the rows are few and small, the comparisons are what takes time.
+    """
+
+    def pairs(ids: np.ndarray, label: np.ndarray, sig: np.ndarray):
         for i in range(len(ids)):
             near = np.flatnonzero(label != label[i])
             est = agreement(sig[near], sig[i])
             near, est = near[est >= MAYBE], est[est >= MAYBE]
-            best = near[np.argsort(-est, kind="stable")[:k]]
-            out += [(max(ids[i], ids[j]), min(ids[i], ids[j]), len(near) > k) for j in best]
-        return pd.DataFrame(out, columns=["a", "b", "more"]).astype({"a": "int64", "b": "int64", "more": "bool"})
+            for j in near[np.argsort(-est, kind="stable")[:k]]:
+                yield max(ids[i], ids[j]), min(ids[i], ids[j]), len(near) > k
+
+    def run(batches):
+        at, rows, out = None, [], []
 
-    return run
+        def flush():
+            if len(rows) > 1:
+                ids, label = (np.array([r[c] for r in rows], np.int64) for c in (0, 1))
+                out.extend(pairs(ids, label, np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)))
+
+        def table():
+            return pa.RecordBatch.from_arrays([pa.array([int(r[0]) for r in out], pa.int64()), pa.array([int(r[1]) for r in out], pa.int64()), pa.array([bool(r[2]) for r in out], pa.bool_())], ["a", "b", "more"])
+
+        for b in batches:
+            for band, key, part, *row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if (band, key, part) != at:
+                    flush()
+                    at, rows = (band, key, part), []
+                    if len(out) > 50_000:
+                        yield table()
+                        out = []
+                rows.append(row)
+        flush()
+        yield table()
+
+    n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.repartition(n, "band", "key", "part").sortWithinPartitions("band", "key", "part", "a")
+    return dealt.select("band", "key", "part", "a", "label", "sig").mapInArrow(run, "a bigint, b bigint, more boolean")
 
 
 def _unsettled(roster: DataFrame, sigs: DataFrame, labels: DataFrame, spread: bool) -> DataFrame:
@@ -219,7 +242,7 @@ def links(docs: DataFrame, sk: DataFrame) -> tuple[DataFrame, DataFrame]:
     verified = settled(_verified(pairs, texts), "verified")
     labels = components(verified.where(F.col("sim") >= THRESHOLD))
     for turn, k in enumerate(NEAREST):
-        near = settled(_unsettled(roster, sigs, labels, turn > 0).groupBy("band", "key", "part").applyInPandas(_nearest(k), "a bigint, b bigint, more boolean"), "near")
+        near = settled(_nearest(_unsettled(roster, sigs, labels, turn > 0), k), "near")
         new = settled(_verified(near.select("a", "b").distinct().join(verified.select("a", "b"), ["a", "b"], "left_anti"), texts), "verified")
         if not new.isEmpty():
             verified = verified.unionByName(new)
