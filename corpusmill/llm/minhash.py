@@ -1,8 +1,8 @@
 """Near-duplicates by ProbMinHash, banding and verification.
 
-Shingles are five consecutive words (all words of a shorter text), weighted by 1 + ln(count). Each shingle is a Poisson process
-of that rate whose points fall on random registers; a register keeps the shingle that reaches it first, and a shingle stops
-when its next point is later than every register's. Two texts agree in a register with the probability Jaccard similarity.
+Shingles are five consecutive words (all words of a shorter text), each counted once. Each shingle is a Poisson process of
+rate 1 whose points fall on random registers; a register keeps the shingle that reaches it first, and a shingle stops when its
+next point is later than every register's. Two texts agree in a register with the Jaccard similarity of their sets, the one verified.
 
 1. Equal texts become one (a 128-bit hash of the text, combined on the map side), so copies cost nothing further.
 2. Registers are banded. In a bucket every member is compared with the member of least id; verified on whole texts.
@@ -66,29 +66,28 @@ def shingle_hashes(words: list[bytes], n: int = WORDS) -> np.ndarray:
 
 def signatures(texts: list[bytes], registers: int = BANDS * ROWS) -> np.ndarray:
     """(texts, registers): the winning shingle of each register, 0 where a text has none. All texts run their rounds together."""
-    doc, element, weight = [], [], []
+    doc, element = [], []
     for i, t in enumerate(texts):
-        e, c = np.unique(shingle_hashes(t.split()), return_counts=True)
+        e = np.unique(shingle_hashes(t.split()))
         doc.append(np.full(len(e), i, np.int64))
         element.append(e)
-        weight.append(1 + np.log(c))
     first = np.full(len(texts) * registers, np.inf)
     winner = np.zeros(len(texts) * registers, np.uint64)
     if not texts:
         return winner.reshape(0, registers)
-    d, x, w = (np.concatenate(a) for a in (doc, element, weight))
+    d, x = (np.concatenate(a) for a in (doc, element))
     at, turn = np.zeros(len(x)), 0
     while len(x):
         turn += 1
         with np.errstate(over="ignore"):
             r = mixed_bits(x + np.uint64(turn) * _M2)
-        at = at - np.log((r >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / w
+        at = at - np.log((r >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54)
         to = d * registers + (mixed_bits(r) % np.uint64(registers)).astype(np.int64)
         np.minimum.at(first, to, at)
         won = first[to] == at
         winner[to[won]] = x[won]
         go = at < first.reshape(-1, registers).max(axis=1)[d]
-        d, x, w, at = d[go], x[go], w[go], at[go]
+        d, x, at = d[go], x[go], at[go]
     return winner.reshape(-1, registers)
 
 

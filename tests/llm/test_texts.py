@@ -108,6 +108,22 @@ def test_probability_jaccard_is_estimated():
     assert (sig[2] == 0).all() and len(set(sig[3].tolist())) == 1
 
 
+def test_near_copies_with_a_repeated_passage(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(20):
+        w = [f"r{rng.randrange(10**6)}" for _ in range(40)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w + w[-8:] * 50))]
+    for a, b in zip(rows[::2], rows[1::2], strict=True):
+        x, y = shingles(a[1]), shingles(b[1])
+        assert len(x & y) / len(x | y) >= 0.8
+    sig = minhash.signatures([t.encode() for _, t in rows[:2]], 4096)
+    x, y = shingles(rows[0][1]), shingles(rows[1][1])
+    assert abs((sig[0] == sig[1]).mean() - len(x & y) / len(x | y)) < 0.04
+    got = {r["doc_id"]: r["class_id"] for r in minhash.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_near_duplicates_odd_rows(odd, none):
     got = minhash.report(odd).collect()
     assert len(got) == len(ROWS)
