@@ -162,7 +162,7 @@ def write_skips(spark, d):
 
 
 def running(spark, d):
-    rows = table(spark, d, "events").where("user_id % 10 = 0").select("user_id", "event_id", "value", (F.col("event_id") % 7).cast("double").alias("score"))
+    rows = table(spark, d, "events").select("user_id", "event_id", "value", (F.col("event_id") % 7).cast("double").alias("score"))
     out = retrieval.running_softmax(retrieval.running_mean(rows, "user_id", "event_id", "value"), "user_id", "event_id", "score", "value")
     return _rounded(out.select("user_id", "event_id", "running_mean", "running_softmax"), 9, "running_mean", "running_softmax")
 

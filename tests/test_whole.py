@@ -28,3 +28,7 @@ def same(spark, con, name, sql):
 
 def test_branch_weights_of_all_orders(spark, con):
     same(spark, con, "q_branch_weights", SQL["q_branch_weights"].replace(" WHERE l_orderkey < 500", ""))
+
+
+def test_running_measures_of_all_users(spark, con):
+    same(spark, con, "q_running", SQL["q_running"].replace(" WHERE user_id % 10 = 0", ""))
