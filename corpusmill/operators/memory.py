@@ -1,6 +1,6 @@
 """Measures of a slot memory and its graph, over tables of retrievals, vectors and edges.
 
-What is called a batch is the batch of one training step, so its rows may be numbered in one task.
+Rows are numbered over runs of 65,536 orders, so no task sees a whole table; orders are whole numbers and near dense.
 """
 
 from __future__ import annotations
@@ -52,12 +52,24 @@ def overview(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFram
     return moved.join(long, "dst").groupBy("query", "pos").agg(F.sum(F.col("w") * F.col("x")).alias("value"))
 
 
+def _numbered(rows: DataFrame, seq: str, order: str, name: str) -> DataFrame:
+    """rows with their place by (seq, order), from 0: the rows of earlier runs, and the place in the run."""
+    runs = rows.withColumn("__run", F.floor(F.col(order) / 65_536))
+    before = F.sum("c").over(Window.orderBy(seq, "__run").rowsBetween(Window.unboundedPreceding, -1))
+    bases = runs.groupBy(seq, "__run").agg(F.count("*").alias("c")).select(F.col(seq).alias("__seq"), F.col("__run").alias("__r"), F.coalesce(before, F.lit(0)).alias("__base"))
+    at = F.row_number().over(Window.partitionBy(seq, "__run").orderBy(order)) - 1
+    placed = runs.withColumn("__at", at).join(bases, F.col(seq).eqNullSafe(F.col("__seq")) & F.col("__run").eqNullSafe(F.col("__r")))
+    return placed.withColumn(name, F.col("__base") + F.col("__at")).drop("__run", "__seq", "__r", "__base", "__at")
+
+
 def adjacent_contrast(rows: DataFrame, seq: str, order: str, value: str, tau: float, negatives: int) -> DataFrame:
     """(n, loss) of a batch: each vector against the next of its sequence and against cyclically shifted vectors of the batch."""
     unit = rows.select(seq, order, V.unit(V.doubles(F.col(value))).alias("u"))
-    by = Window.orderBy(seq, order)
-    pool = unit.select((F.row_number().over(by) - 1).alias("i"), F.col("u").alias("n"))
-    pairs = unit.withColumn("next", F.lead("u").over(Window.partitionBy(seq).orderBy(order))).where("next is not null").withColumn("m", F.row_number().over(by) - 1)
+    placed = _numbered(unit, seq, order, "i")
+    pool = placed.select("i", F.col("u").alias("n"))
+    after = placed.select((F.col("i") - 1).alias("i"), F.col(seq).alias("__next"), F.col("u").alias("next"))
+    pairs = placed.join(after, "i").where(F.col(seq).eqNullSafe(F.col("__next"))).select(seq, order, "u", "next")
+    pairs = _numbered(pairs, seq, order, "m")
     size = pool.agg(F.count("*").alias("p"))  # one row
     shifted = pairs.crossJoin(F.broadcast(size)).select("m", "u", "next", F.explode(F.sequence(F.lit(2), F.lit(1 + max(1, negatives)))).alias("s"), "p").withColumn("i", (F.col("m") + F.col("s")) % F.col("p"))
     logits = shifted.join(pool, "i").groupBy("m").agg(F.sum(F.exp(V.dot(F.col("u"), F.col("n")) / tau)).alias("others"), F.max(V.dot(F.col("u"), F.col("next")) / tau).alias("own"))

@@ -153,7 +153,7 @@ def _nodes(spark, d):
 
 
 def _sequences(spark, d):
-    return table(spark, d, "embeddings").where("vec_id >= 24 and vec_id < 124").select("label", "vec_id", F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return table(spark, d, "embeddings").where("vec_id >= 24").select("label", "vec_id", F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
 
 
 def write_skips(spark, d):

@@ -32,3 +32,11 @@ def test_branch_weights_of_all_orders(spark, con):
 
 def test_running_measures_of_all_users(spark, con):
     same(spark, con, "q_running", SQL["q_running"].replace(" WHERE user_id % 10 = 0", ""))
+
+
+@pytest.mark.parametrize("name", ["q_graph_overview", "q_coactivation", "q_adjacent_contrast"])
+def test_sequences_of_all_vectors(spark, con, name):
+    sql = SQL[name]
+    for column in ("q.vec_id", "vec_id"):
+        sql = sql.replace(f" AND {column} < 124", "")
+    same(spark, con, name, sql)
