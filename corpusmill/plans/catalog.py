@@ -38,12 +38,6 @@ def _longs(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
 
-def _examples(spark: SparkSession, d: str) -> DataFrame:
-    """A block of each document's first ids."""
-    body = F.concat(F.array(F.lit(2)), F.slice("ids", 1, LENGTH - 2), F.array(F.lit(3)))
-    return _tokens(spark, d).select("doc_id", "domain", "source", body.alias("body"), (F.col("doc_id") % 3).cast("string").alias("split"))
-
-
 def quality_measures(spark, d):
     return _longs(quality.measures(table(spark, d, "documents")), "chars", "longest_line")
 
@@ -95,7 +89,10 @@ def mixed_blocks(spark, d):
 
 
 def audit_blocks(spark, d):
-    blocks = _examples(spark, d).select("split", "domain", packing.padded(F.col("body"), LENGTH).alias("input_ids"))
+    """Of the packed blocks; documents are split first, and each split is packed by domain."""
+    part = F.concat_ws(":", F.col("doc_id") % 3, "domain")
+    blocks = packing.pack(_tokens(spark, d).select(part.alias("domain"), "ord", "source", "ids"), LENGTH)
+    blocks = blocks.withColumn("split", F.substring_index("domain", ":", 1))
     return _longs(audit.audit(blocks, 32_000, LENGTH).select("split", "num_blocks", "num_tokens", "invalid_token_count", "min_valid_tokens", "missing_bos", "missing_eos", "duplicate_block_ratio", "blocked_reasons", "decision"), "invalid_token_count", "min_valid_tokens")
 
 

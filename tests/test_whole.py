@@ -40,3 +40,12 @@ def test_sequences_of_all_vectors(spark, con, name):
     for column in ("q.vec_id", "vec_id"):
         sql = sql.replace(f" AND {column} < 124", "")
     same(spark, con, name, sql)
+
+
+def test_audit_of_all_packed_blocks(spark, con):
+    packed = catalog.PACKED.replace("SELECT doc_id, domain, source", "SELECT doc_id, (doc_id % 3)::VARCHAR || ':' || domain AS domain, source", 1)
+    assert packed != catalog.PACKED
+    want = con.execute(f"""WITH RECURSIVE {packed}, m AS (
+      SELECT domain[1] AS split, count(*) AS n, min(valid_tokens) AS least, 1 - count(DISTINCT block_hash) / count(*) AS ratio FROM packed GROUP BY 1)
+    SELECT split, n, n * {catalog.LENGTH}, 0, least, 0, 0, ratio, CASE WHEN ratio > 0.01 THEN 'duplicates' ELSE '' END, CASE WHEN ratio > 0.01 THEN 'BLOCKED' ELSE 'PASS' END FROM m ORDER BY 1""").fetchall()
+    assert [tuple(r) for r in QUERIES["q_audit"](spark, D).orderBy("split").collect()] == want
