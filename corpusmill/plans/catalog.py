@@ -219,7 +219,7 @@ def queries() -> dict:
         "q_coactivation": lambda s, d: _rounded(memory.coactivation(_sequences(s, d), _nodes(s, d), _edges(s), "label", "vec_id"), 9, "p"),
         "q_adjacent_contrast": lambda s, d: _rounded(memory.adjacent_contrast(_sequences(s, d), "label", "vec_id", "v", 0.1, 4), 6, "loss"),
         "q_vector_validation": lambda s, d: _rounded(retrieval.validation(table(s, d, "embeddings"), "embedding"), 6, "mean", "std", "mean_norm"),
-        "q_training_text": lambda s, d: training_text(_docs(s, d), 200_000).select(F.sha1(F.col("value").cast("binary")).alias("line_hash"), F.length("value").cast("long").alias("n")),
+        "q_training_text": lambda s, d: training_text(_docs(s, d)).select(F.sha1(F.col("value").cast("binary")).alias("line_hash"), F.length("value").cast("long").alias("n")),
         "q_dialogue_head": lambda s, d: _docs(s, d).where("domain = 'dialogue'").select("doc_id").orderBy("doc_id").limit(40),
         "q_text_number": lambda s, d: table(s, d, "documents").select("doc_id", T.number_of(F.col("text")).alias("number")),
     }

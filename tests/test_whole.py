@@ -49,3 +49,7 @@ def test_audit_of_all_packed_blocks(spark, con):
       SELECT domain[1] AS split, count(*) AS n, min(valid_tokens) AS least, 1 - count(DISTINCT block_hash) / count(*) AS ratio FROM packed GROUP BY 1)
     SELECT split, n, n * {catalog.LENGTH}, 0, least, 0, 0, ratio, CASE WHEN ratio > 0.01 THEN 'duplicates' ELSE '' END, CASE WHEN ratio > 0.01 THEN 'BLOCKED' ELSE 'PASS' END FROM m ORDER BY 1""").fetchall()
     assert [tuple(r) for r in QUERIES["q_audit"](spark, D).orderBy("split").collect()] == want
+
+
+def test_training_text_of_all_documents(spark, con):
+    same(spark, con, "q_training_text", SQL["q_training_text"].replace(" WHERE before < 200000", ""))
