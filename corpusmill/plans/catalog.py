@@ -111,7 +111,7 @@ def normalize(spark, d):
 
 
 def pad_labels(spark, d):
-    e = formatting.example(F.col("ids"), LENGTH)
+    e = formatting.example(F.col("ids"), LENGTH, formatting.crop_start(F.col("ids"), LENGTH, F.col("doc_id"), 7))
     return _tokens(spark, d).select("doc_id", T.ids_hash(e["input_ids"]).alias("ids_hash"), T.ids_hash(e["labels"]).alias("labels_hash"), F.aggregate(e["attention_mask"], F.lit(0).cast("long"), lambda s, x: s + x).alias("valid"))
 
 

@@ -1,6 +1,7 @@
 """Queries over whole tables; the SQL is the twin's without its subset."""
 
 import glob
+import hashlib
 
 import duckdb
 import pytest
@@ -53,3 +54,19 @@ def test_audit_of_all_packed_blocks(spark, con):
 
 def test_training_text_of_all_documents(spark, con):
     same(spark, con, "q_training_text", SQL["q_training_text"].replace(" WHERE before < 200000", ""))
+
+
+def test_crops_anywhere_in_long_documents(spark):
+    n = catalog.LENGTH
+    sha = lambda ids: hashlib.sha1(",".join(map(str, ids)).encode()).hexdigest()
+    docs = {r["doc_id"]: r["ids"] for r in catalog._tokens(spark, D).collect()}
+    got = {r["doc_id"]: r for r in QUERIES["q_pad_labels"](spark, D).collect()}
+    assert got.keys() == docs.keys()
+    places = []
+    for i, ids in docs.items():
+        whole = ids + [0] * (n - len(ids))
+        at = [k for k in range(len(whole) - n + 1) if sha(whole[k : k + n]) == got[i]["ids_hash"]]
+        assert at and got[i]["labels_hash"] == sha(x or -100 for x in whole[at[0] : at[0] + n]) and got[i]["valid"] == min(len(ids), n)
+        if len(ids) > n:
+            places.append(at[0] / (len(ids) - n))
+    assert places and min(places) < 0.25 and max(places) > 0.75
