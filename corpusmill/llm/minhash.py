@@ -226,9 +226,12 @@ def _unsettled(roster: DataFrame, sigs: DataFrame, labels: DataFrame, spread: bo
 
 
 def links(docs: DataFrame, sk: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rep, d1, d2) of each distinct text, and (id, label) of the representatives that verified links join."""
-    reps = settled(sk.groupBy("d1", "d2").agg(F.min("k").alias("rep")), "reps")
-    sigs = settled(sk.where("n_words > 0").join(reps.select(F.col("rep").alias("k"), "d1", "d2"), ["k", "d1", "d2"]).dropDuplicates(["k", "d1", "d2"]).select(F.col("k").alias("rep"), "sig", "bands"), "sigs")
+    """(rep, k, d1, d2) of each distinct text, its number and least id, and (id, label) of the numbers that verified links join.
+
+    Texts have numbers of their own since an id may have several texts; they are fixed when the table is written.
+    """
+    reps = settled(sk.groupBy("d1", "d2").agg(F.min("k").alias("k")).withColumn("rep", F.monotonically_increasing_id()), "reps")
+    sigs = settled(sk.where("n_words > 0").join(reps, ["k", "d1", "d2"]).dropDuplicates(["rep"]).select("rep", "sig", "bands"), "sigs")
     rows = sigs.select(F.col("rep").alias("a"), F.posexplode("bands").alias("band", "key"))
     led = rows.groupBy("band", "key").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     roster = settled(rows.join(led, ["band", "key"]), "roster")
@@ -236,8 +239,8 @@ def links(docs: DataFrame, sk: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = settled(est.where(F.col("est") >= MAYBE).select("a", "b"), "pairs")
     roster = roster.select("band", "key", "a")
     # the texts of members, by id and digest: an id may have other texts too
-    wanted = reps.select(F.col("rep").alias("k"), "d1", "d2").join(roster.select(F.col("a").alias("k")).distinct(), "k", "left_semi")
-    texts = settled(keyed(docs).select("k", "text", "d1", "d2").join(wanted, ["k", "d1", "d2"], "left_semi").select("k", "text"), "candidates")
+    wanted = reps.join(roster.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi")
+    texts = settled(keyed(docs).select("k", "text", "d1", "d2").join(wanted, ["k", "d1", "d2"]).select(F.col("rep").alias("k"), "text"), "candidates")
     verified = settled(_verified(pairs, texts), "verified")
     labels = components(verified.where(F.col("sim") >= THRESHOLD))
     for turn, k in enumerate(NEAREST):
@@ -270,7 +273,10 @@ def classes(docs: DataFrame) -> DataFrame:
     """(k, d1, d2, class_id, text_id): each row's class and the least id with its text; both least ids of what they name."""
     sk = settled(sketches(docs), "sketches")
     reps, labels = links(docs, sk)
-    named = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.col("rep").alias("text_id"), F.coalesce("label", "rep").alias("class_id"))
+    joined = settled(reps.join(labels.withColumnRenamed("id", "rep"), "rep"), "joined")
+    least = joined.groupBy("label").agg(F.min("k").alias("class_id"))
+    of = joined.join(least, "label").select("rep", "class_id")
+    named = reps.join(of, "rep", "left").select("d1", "d2", F.col("k").alias("text_id"), F.coalesce("class_id", "k").alias("class_id"))
     rows = sk.select("k", "d1", "d2", "n_words").join(named, ["d1", "d2"])
     alone = F.col("n_words") == 0
     return rows.select("k", "d1", "d2", F.when(alone, F.col("k")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("k")).otherwise(F.col("text_id")).alias("text_id"))

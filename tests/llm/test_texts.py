@@ -124,6 +124,16 @@ def test_near_copies_with_a_repeated_passage(spark):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def test_near_copy_of_one_text_of_an_id(spark):
+    rng = random.Random(6)
+    a, b = ([f"t{rng.randrange(10**6)}" for _ in range(100)] for _ in range(2))
+    rows = [(3, " ".join(a)), (6, " ".join(a[:-1] + ["other"])), (6, " ".join(b)), (9, " ".join(b[:-1] + ["other"]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["class_id"]) for r in minhash.report(docs).collect())
+    assert got == [(3, 3), (6, 3), (6, 6), (9, 6)]
+    assert {(r["doc_id"], r["text"]) for r in minhash.first_of_each(docs).collect()} == {rows[0], rows[2]}
+
+
 def test_near_duplicates_odd_rows(odd, none):
     got = minhash.report(odd).collect()
     assert len(got) == len(ROWS)
