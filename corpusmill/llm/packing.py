@@ -7,7 +7,8 @@ as often as its rounded-down share says; what remains, fewer pieces than a few f
 knapsack, one sequence after another. Pieces are ranked within their class in chunks of about the square root of the class,
 by a hash of their document, so a class that holds a third of all pieces is spread over many tasks.
 
-Null text counts as empty: one piece, the end id alone. Repeated rows are packed each. An empty table gives an empty table.
+Null text counts as empty: one piece, the end id alone. A very long text is held and encoded by itself and becomes as many
+pieces as it needs. Repeated rows are packed each. An empty table gives an empty table.
 Other columns are ignored.
 """
 
@@ -40,8 +41,8 @@ def pieces(docs: DataFrame, size: int = SIZE, paths: tuple = (), with_ids: bool
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
             ids_out: list[bytes] = []
-            for row, text in enumerate(b.column(1).to_pylist()):
-                ids = np.append(enc.ids(text), np.uint32(END_ID)).astype("<u4")
+            for row, ids in enumerate(enc.batch(b.column(1).to_pylist())):
+                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                 for start in range(0, len(ids), size):
                     part = ids[start : start + size]
                     data = part.tobytes()

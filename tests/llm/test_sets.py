@@ -4,6 +4,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from corpusmill.llm import mixing, packing, preference, queries, search, tokens
 from corpusmill.llm.common import documents
@@ -14,10 +16,24 @@ from .conftest import ROWS, texts_of
 def test_ids_are_those_of_the_vocabulary_file():
     from tokenizers import Tokenizer
 
-    slow, enc = Tokenizer.from_file(tokens.public("byte_bpe_50k.json")), tokens.encoder()
-    texts = [t for _, t in texts_of()] + ["", "  two  blanks \n\n x 　y", "a<|endoftext|>b", "don't 😀 ½ ١٢٣ \r\n\t", " "]
-    for t in texts:
-        assert enc.ids(t).tolist() == slow.encode(t, add_special_tokens=False).ids, t[:80]
+    slow, enc = Tokenizer.from_file(tokens.public("byte_bpe_50k.json")), tokens.Encoder()
+    odd = ["", "  two  blanks \n\n x 　y", "a<|endoftext|>b <|endoftext|>", "x  <|endoftext|>  y", "don't 😀 ½ ١٢٣ \r\n\t", " ", "a\x1c \x1d b\x85 c᠎ d​ e  f  \t g\xa0 h", " \t\n x\t\t y\n\n\nz  "]
+    texts = [t for _, t in texts_of()] + odd
+    for t, ids in zip(texts * 2, enc.batch(texts * 2), strict=True):
+        assert ids.tolist() == slow.encode(t, add_special_tokens=False).ids, t[:80]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from(" \n\t\r\x1c\x85᠎　.,'ab1éß😀<|>"), max_size=40))
+def test_ids_of_any_text(text):
+    enc = tokens.encoder()
+    assert enc.ids(text).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "a" * 1_000_000, "ab \n" * 250_000], ids=["blanks", "line ends", "letters", "short lines"])
+def test_ids_of_long_runs(text):
+    enc = tokens.Encoder()
+    assert enc.ids(text).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def packed_well(rows, texts, padding):
