@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +57,17 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def grouped(b: pa.RecordBatch, column: int, rows: int = 256, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows, and of about so many bytes in a column of texts; a longer text is a slice of its own."""
+    sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))])
+    at = 0
+    while at < b.num_rows:
+        end = min(at + rows, int(np.searchsorted(sizes, sizes[at] + size, side="right")) - 1, b.num_rows)
+        end = max(end, at + 1)
+        yield b.slice(at, end - at)
+        at = end
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end of an array of structs with those fields, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -1,25 +1,31 @@
 """Near-duplicates by ProbMinHash, banding and verification.
 
-Shingles are five consecutive words (all words of a shorter text), each counted once. Each shingle is a Poisson process of
-rate 1 whose points fall on random registers; a register keeps the shingle that reaches it first, and a shingle stops when its
-next point is later than every register's. Two texts agree in a register with the Jaccard similarity of their sets, the one verified.
+Shingles are five consecutive words (all words of a shorter text); one that occurs c times weighs 1 + ln c. Each shingle is a
+Poisson process with its weight as rate, whose points fall on random registers; a register keeps the shingle that reaches it
+first, and a shingle stops when its next point is later than every register's. Two texts agree in a register with probability
+J, the probability Jaccard similarity of their weighted shingles (Jaccard similarity where nothing repeats); J is what is
+verified too, on whole texts.
 
 1. Equal texts become one (a 128-bit hash of the text, combined on the map side), so copies cost nothing further.
-2. Registers are banded. In a bucket every member is compared with the member of least id; verified on whole texts.
-3. Buckets whose members are not of one component yet are looked at again: each member is verified against its most similar
-   members of other components, by signature, a few, then more, then all that are left. What is already joined is skipped, so a group of near copies costs a few rows a member and nothing that could join two classes is left out.
-   Large buckets are dealt to parts, the largest component once and all others to every part.
-4. Links (Jaccard of the shingle sets at least 0.8) make classes by spreading the least id; rounds are written tables.
-
-With 24 bands of 4 registers a pair at 0.8 is missed by all bands with probability 3e-6. Null and empty texts have no shingle
-and stay alone, each distinct id its own class (equal ids share one). A null doc_id is handled as the least id and returned as
-null with its class. Rows of one id and text share a class; an empty table gives an empty table; other columns are ignored.
+2. Registers are banded. In a bucket the pairs that may reach the threshold by their signatures are a graph; a spanning forest of
+   the most similar, fewer pairs than members, is verified. Links (J at least 0.8) make components.
+3. Where a bucket has such pairs outside its forest and members of different components still, each member outside the
+   largest component is compared with all members of others by an index over their shingles, and links that join two
+   components are kept: fewer rows than members again, and no pair of a bucket that could join two classes is left out.
+4. Links make classes by spreading the least id; rounds are written tables.
+
+With 24 bands of 4 registers a pair at 0.8 is missed by all bands with probability 3e-6. A bucket is met in parts of bounded size: in
+step 2 large ones are dealt by hash, with a common member in each part; in step 3 each two parts of which one holds members outside
+the largest component meet, so memory is bounded while time grows with members outside it times members.
+
+Null and empty texts have no shingle and stay alone, each distinct id its own class (equal ids share one). A null doc_id is
+handled as the least id and returned as null with its class. Rows of one id and text share a class; an id with two texts has two
+classes if they differ; a very long text is held by itself. An empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NULL_ID, settled, text_or_empty
+from .common import NULL_ID, grouped, settled, text_or_empty
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -35,10 +41,8 @@ BANDS = 24
 ROWS = 4
 #: By signature: below MAYBE a pair does not reach THRESHOLD (five standard deviations).
 MAYBE = 0.6
-#: How many of its nearest members of other components each member is compared with, round by round; the last round takes all.
-NEAREST = (4, 64, 1 << 30)
-#: Members of one bucket that meet in one task.
-SUB = 1024
+#: Members of one part of a bucket in step 2, words of one in step 3.
+SUB, SUB_WORDS = 1024, 400_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -64,30 +68,45 @@ def shingle_hashes(words: list[bytes], n: int = WORDS) -> np.ndarray:
     return h
 
 
-def signatures(texts: list[bytes], registers: int = BANDS * ROWS) -> np.ndarray:
+def weighted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of a text, ascending, and their weights."""
+    h, n = np.unique(shingle_hashes(text.split()), return_counts=True)
+    return h, 1 + np.log(n)
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Probability Jaccard similarity: the sum over common i of 1 / sum over j of max(x_j / x_i, y_j / y_i)."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    x, y = a[1][i], b[1][j]
+    t = x / y
+    order = np.argsort(t)
+    x, y, t = x[order], y[order], t[order]
+    only_a, only_b = max(0.0, a[1].sum() - x.sum()), max(0.0, b[1].sum() - y.sum())
+    from_here = x[::-1].cumsum()[::-1]  # of those with a ratio as great or greater
+    before = np.concatenate([[0.0], y.cumsum()[:-1]]) if len(y) else y
+    return float((x / (only_a + from_here + t * (only_b + before))).sum())
+
+
+def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = BANDS * ROWS) -> np.ndarray:
     """(texts, registers): the winning shingle of each register, 0 where a text has none. All texts run their rounds together."""
-    doc, element = [], []
-    for i, t in enumerate(texts):
-        e = np.unique(shingle_hashes(t.split()))
-        doc.append(np.full(len(e), i, np.int64))
-        element.append(e)
-    first = np.full(len(texts) * registers, np.inf)
-    winner = np.zeros(len(texts) * registers, np.uint64)
-    if not texts:
+    first = np.full(len(sets) * registers, np.inf)
+    winner = np.zeros(len(sets) * registers, np.uint64)
+    if not sets:
         return winner.reshape(0, registers)
-    d, x = (np.concatenate(a) for a in (doc, element))
+    d = np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])
+    x, w = (np.concatenate(c) for c in zip(*sets, strict=True))
     at, turn = np.zeros(len(x)), 0
     while len(x):
         turn += 1
         with np.errstate(over="ignore"):
             r = mixed_bits(x + np.uint64(turn) * _M2)
-        at = at - np.log((r >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54)
+        at = at - np.log((r >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / w
         to = d * registers + (mixed_bits(r) % np.uint64(registers)).astype(np.int64)
         np.minimum.at(first, to, at)
         won = first[to] == at
         winner[to[won]] = x[won]
         go = at < first.reshape(-1, registers).max(axis=1)[d]
-        d, x, at = d[go], x[go], at[go]
+        d, x, w, at = d[go], x[go], w[go], at[go]
     return winner.reshape(-1, registers)
 
 
@@ -115,9 +134,9 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
+            for part in grouped(b, 1):
                 texts = [t.encode() for t in part.column(1).to_pylist()]
-                sig = signatures(texts)
+                sig = signatures([weighted(t) for t in texts])
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(bands_of(sig).ravel()))
                 small = pa.array([row.tobytes() for row in (sig & np.uint64(255)).astype(np.uint8)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array([len(t.split()) for t in texts], pa.int64()), small, bands], ["k", "d1", "d2", "n_words", "sig", "bands"])
@@ -131,98 +150,166 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same - 1 / 256) / (1 - 1 / 256)
 
 
-def _compared(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """pairs (a, b) with est, from the signatures alone."""
-    both = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+def sets_of(texts: DataFrame) -> DataFrame:
+    """(rep, h, w) from (rep, text): weighted shingles as bytes; w is empty where all weigh 1."""
 
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                sa, sb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sa", "sb"))
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(agreement(sa, sb))], ["a", "b", "est"])
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint, est double")
-
+            for part in grouped(b, 1):
+                found = [weighted(t.encode()) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([w.tobytes() if (w > 1).any() else b"" for _, w in found], pa.binary())], ["rep", "h", "w"])
 
-def shingle_set(text: bytes, n: int = WORDS) -> set:
-    w = text.split()
-    return set(zip(*[w[j:] for j in range(n)], strict=False)) if len(w) >= n else ({tuple(w)} if w else set())
+    return texts.select("rep", "text").mapInArrow(run, "rep bigint, h binary, w binary")
 
 
-def jaccard(a: set, b: set) -> float:
-    both = len(a & b)
-    return both / max(1, len(a) + len(b) - both)
+def _set(h: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
+    h = np.frombuffer(h, np.uint64)
+    return h, np.frombuffer(w, np.float64) if w else np.ones(len(h))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b) with sim, the Jaccard similarity of the shingle sets of their whole texts (k, text)."""
-    both = pairs.join(texts.select(F.col("k").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("text").alias("tb")), "b")
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose similarity reaches the threshold."""
+    side = lambda c: sets.select(F.col("rep").alias(c), F.col("h").alias(f"h{c}"), F.col("w").alias(f"w{c}"))
 
     def run(batches):
-        of = lru_cache(8)(lambda t: shingle_set(t.encode()))
         for b in batches:
-            sims = [jaccard(shingle_set(x.encode()), of(y)) for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(sims, pa.float64())], ["a", "b", "sim"])
-
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, sim double")
-
-
-def _nearest(placed: DataFrame, k: int) -> DataFrame:
-    """(a, b, more) from (band, key, part, a, label, sig): each member's k most similar members of other components in its part of a bucket, and whether it has more.
-
-    The number of tasks is fixed: the rows are few and small, the comparisons are what takes time.
-    """
-
-    def pairs(ids: np.ndarray, label: np.ndarray, sig: np.ndarray):
-        for i in range(len(ids)):
-            near = np.flatnonzero(label != label[i])
-            est = agreement(sig[near], sig[i])
-            near, est = near[est >= MAYBE], est[est >= MAYBE]
-            for j in near[np.argsort(-est, kind="stable")[:k]]:
-                yield max(ids[i], ids[j]), min(ids[i], ids[j]), len(near) > k
+            columns = [b.column(c).to_pylist() for c in ("ha", "wa", "hb", "wb")]
+            linked = [similarity(_set(ha, wa), _set(hb, wb)) >= THRESHOLD for ha, wa, hb, wb in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(linked, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(run, "a bigint, b bigint")
+
+
+def _runs(batches, keys: int):
+    """(key, rows) of rows sorted by their first `keys` columns."""
+    at, rows = None, []
+    for b in batches:
+        for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if row[:keys] != at:
+                if rows:
+                    yield at, rows
+                at, rows = row[:keys], []
+            rows.append(row[keys:])
+    if rows:
+        yield at, rows
+
+
+def forest(sig: np.ndarray) -> tuple[list[tuple[int, int]], bool]:
+    """A spanning forest of the most similar pairs that may reach the threshold, and whether there are such pairs outside it."""
+    n = len(sig)
+    left = np.ones(n, bool)
+    best, via = np.full(n, -1.0), np.zeros(n, np.int64)
+    edges, pairs = [], 0
+    for _ in range(n):
+        i = int(np.where(left, best, -2.0).argmax())
+        left[i] = False
+        if best[i] >= MAYBE:
+            edges.append((i, int(via[i])))
+        est = agreement(sig, sig[i])
+        pairs += int((est[left] >= MAYBE).sum())
+        nearer = left & (est > best)
+        best[nearer], via[nearer] = est[nearer], i
+    return edges, pairs > len(edges)
+
+
+def _forests(roster: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(a, b) pairs of the forests of all buckets, and (band, key) of those to be looked at again."""
 
     def run(batches):
-        at, rows, out = None, [], []
-
-        def flush():
-            if len(rows) > 1:
-                ids, label = (np.array([r[c] for r in rows], np.int64) for c in (0, 1))
-                out.extend(pairs(ids, label, np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)))
+        pairs, again = set(), set()
 
         def table():
-            return pa.RecordBatch.from_arrays([pa.array([int(r[0]) for r in out], pa.int64()), pa.array([int(r[1]) for r in out], pa.int64()), pa.array([bool(r[2]) for r in out], pa.bool_())], ["a", "b", "more"])
-
-        for b in batches:
-            for band, key, part, *row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if (band, key, part) != at:
-                    flush()
-                    at, rows = (band, key, part), []
-                    if len(out) > 50_000:
-                        yield table()
-                        out = []
-                rows.append(row)
-        flush()
+            rows = [(a, b, None, None) for a, b in pairs] + [(None, None, *k) for k in again]
+            pairs.clear()
+            again.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["a", "b", "band", "key"])
+
+        for (band, key, _, parts), rows in _runs(batches, 4):
+            edges, more = forest(np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1))
+            pairs.update((max(rows[i][0], rows[j][0]), min(rows[i][0], rows[j][0])) for i, j in edges)
+            if more or parts > 1:
+                again.add((band, key))
+            if len(pairs) + len(again) > 50_000:
+                yield table()
         yield table()
 
-    n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = F.ceil(F.col("n") / SUB).cast("int")
+    own = F.array(F.pmod(F.xxhash64("a", "band"), F.col("parts")).cast("int"))
+    placed = roster.withColumn("parts", parts).withColumn("part", F.explode(F.when(F.col("a") == F.col("b"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
+    placed = placed.select("band", "key", "part", "parts", "a").join(sigs.select(F.col("rep").alias("a"), "sig"), "a")
+    n = int(roster.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the rows are few and small, the comparisons take time
     dealt = placed.repartition(n, "band", "key", "part").sortWithinPartitions("band", "key", "part", "a")
-    return dealt.select("band", "key", "part", "a", "label", "sig").mapInArrow(run, "a bigint, b bigint, more boolean")
+    return dealt.select("band", "key", "part", "parts", "a", "sig").mapInArrow(run, "a bigint, b bigint, band int, key bigint")
+
+
+def joining(members: list[tuple], main) -> list[tuple[int, int]]:
+    """Links between members (id, label, h, w) of different labels, as many as it takes to join all that links join."""
+    sets = [_set(h, w) for _, _, h, w in members]
+    label = np.unique([m[1] for m in members], return_inverse=True)[1]
+    sizes = np.array([len(h) for h, _ in sets])
+    mass = np.array([w.sum() for _, w in sets])
+    plain = np.array([not m[3] for m in members])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shingles, inverse = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+    by = np.argsort(inverse, kind="stable")
+    holder, share = owner[by], np.concatenate([w / max(w.sum(), 1e-300) for _, w in sets])[by]
+    start = np.searchsorted(inverse[by], np.arange(len(shingles) + 1))
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    out = []
+    for i, (id_, own, *_) in enumerate(members):
+        if own == main:
+            continue
+        mine = inverse[first[i] : first[i + 1]]
+        n = start[mine + 1] - start[mine]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - start[mine], n)
+        common = np.bincount(holder[at], minlength=len(sets))
+        jaccard = common / np.maximum(sizes + sizes[i] - common, 1)
+        # the similarity is at most what the two distributions share
+        shared = np.bincount(holder[at], np.minimum(share[at], np.repeat(sets[i][1] / mass[i], n)), len(sets)) if not plain.all() else jaccard
+        both = plain & plain[i]
+        likely = np.where(both, jaccard, shared) >= THRESHOLD - 1e-9 * ~both
+        for j in np.flatnonzero(likely & (label != label[i])):
+            if label[j] != label[i] and (both[j] or similarity(sets[i], sets[j]) >= THRESHOLD):
+                out.append((max(id_, members[j][0]), min(id_, members[j][0])))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _joined(roster: DataFrame, again: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components of the buckets `again` (band, key). Members without a set have no likely partner."""
+    sized = sets.select(F.col("rep").alias("a"), "h", "w")
+    rows = roster.select("band", "key", "a").join(again, ["band", "key"]).join(labels.withColumnRenamed("id", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+    rows = settled(rows.join(sized.select("a", (F.length("h") / 8).alias("words")), "a"), "unsettled")
+    sizes = rows.groupBy("band", "key", "label").agg(F.sum("words").alias("c"))
+    buckets = sizes.groupBy("band", "key").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("all"), F.count("*").alias("labels")).where("labels > 1")
+    blocks = lambda words: F.ceil(words / SUB_WORDS).cast("int")
+    buckets = buckets.select("band", "key", F.col("main.label").alias("main"), blocks(F.col("main.c")).alias("m"), blocks(F.col("all") - F.col("main.c")).alias("r"), (F.col("all") <= SUB_WORDS).alias("small"))
+    # parts of the largest component meet parts of the rest, those meet each other; what is small meets at once
+    of = lambda k: F.pmod(F.xxhash64("a", "band"), F.col(k)).cast("int")
+    upto = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
+    place = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    of_main = F.transform(upto("r"), lambda j: place(1, of("m"), j))
+    of_rest = F.concat(F.transform(upto("m"), lambda i: place(1, i, of("r"))), F.transform(upto("r"), lambda j: place(2, F.least(j, of("r")), F.greatest(j, of("r")))))
+    places = F.when(F.col("small"), F.array(place(0, F.lit(0), F.lit(0)))).when(F.col("label") == F.col("main"), of_main).otherwise(of_rest)
+    placed = rows.join(buckets, ["band", "key"]).select("band", "key", F.explode(places).alias("p"), "a", "label", "main").join(sized, "a")
 
+    def run(batches):
+        out: list[tuple[int, int]] = []
 
-def _unsettled(roster: DataFrame, sigs: DataFrame, labels: DataFrame, spread: bool) -> DataFrame:
-    """(band, key, part, a, label, sig) of the buckets whose members are not of one component yet.
+        def table():
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    Large buckets are dealt to parts of SUB members. With `spread` all but the largest component of a bucket go to every part,
-    so that any two members of different components meet.
-    """
-    rows = roster.join(labels.withColumnRenamed("id", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-    sizes = rows.groupBy("band", "key", "label").agg(F.count("*").alias("c"))
-    buckets = sizes.groupBy("band", "key").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.sum("c").alias("n"), F.count("*").alias("labels")).where("labels > 1")
-    parts = F.ceil(F.col("n") / SUB).cast("int")
-    own = F.array(F.pmod(F.xxhash64("a", "band"), parts).cast("int"))
-    places = F.when((F.col("label") != F.col("main")) & (parts > 1), F.sequence(F.lit(0), parts - 1)).otherwise(own) if spread else own
-    placed = rows.join(buckets, ["band", "key"]).select("band", "key", F.explode(places).alias("part"), "a", "label")
-    return placed.join(sigs.select(F.col("rep").alias("a"), "sig"), "a")
+        for (*_, main), members in _runs(batches, 6):
+            out += joining(members, main)
+            if len(out) > 50_000:
+                yield table()
+                out = []
+        yield table()
+
+    n = int(roster.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["band", "key", "p"]
+    dealt = placed.repartition(n, *keys).sortWithinPartitions(*keys, "a")
+    return dealt.select("band", "key", "p.kind", "p.x", "p.y", "main", "a", "label", "h", "w").mapInArrow(run, "a bigint, b bigint")
 
 
 def links(docs: DataFrame, sk: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -230,29 +317,25 @@ def links(docs: DataFrame, sk: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Texts have numbers of their own since an id may have several texts; they are fixed when the table is written.
     """
-    reps = settled(sk.groupBy("d1", "d2").agg(F.min("k").alias("k")).withColumn("rep", F.monotonically_increasing_id()), "reps")
+    per_id = sk.groupBy("d1", "d2", "k").agg(F.count("*").alias("rows"))
+    reps = settled(per_id.groupBy("d1", "d2").agg(F.min(F.struct("k", "rows")).alias("x")).select("d1", "d2", "x.k", "x.rows").withColumn("rep", F.monotonically_increasing_id()), "reps")
     sigs = settled(sk.where("n_words > 0").join(reps, ["k", "d1", "d2"]).dropDuplicates(["rep"]).select("rep", "sig", "bands"), "sigs")
     rows = sigs.select(F.col("rep").alias("a"), F.posexplode("bands").alias("band", "key"))
-    led = rows.groupBy("band", "key").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    led = rows.groupBy("band", "key").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1")
     roster = settled(rows.join(led, ["band", "key"]), "roster")
-    est = _compared(roster.where("a <> b").select("a", "b").distinct(), sigs)
-    pairs = settled(est.where(F.col("est") >= MAYBE).select("a", "b"), "pairs")
-    roster = roster.select("band", "key", "a")
-    # the texts of members, by id and digest: an id may have other texts too
-    wanted = reps.join(roster.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi")
-    texts = settled(keyed(docs).select("k", "text", "d1", "d2").join(wanted, ["k", "d1", "d2"]).select(F.col("rep").alias("k"), "text"), "candidates")
-    verified = settled(_verified(pairs, texts), "verified")
-    labels = components(verified.where(F.col("sim") >= THRESHOLD))
-    for turn, k in enumerate(NEAREST):
-        near = settled(_nearest(_unsettled(roster, sigs, labels, turn > 0), k), "near")
-        new = settled(_verified(near.select("a", "b").distinct().join(verified.select("a", "b"), ["a", "b"], "left_anti"), texts), "verified")
-        if not new.isEmpty():
-            verified = verified.unionByName(new)
-            if not new.where(F.col("sim") >= THRESHOLD).isEmpty():
-                labels = components(verified.where(F.col("sim") >= THRESHOLD))
-        if turn and near.where("more").isEmpty():
-            break  # every two members of different components that may be similar have been compared
-    return reps, labels
+    found = settled(_forests(roster, sigs), "forests")
+    pairs = found.where("a is not null").select("a", "b").distinct()
+    again = found.where("band is not null").select("band", "key").distinct()
+    # whole texts of those that may have a partner, by id and digest: an id may have other texts too
+    likely = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(roster.where(F.col("n") > SUB).select(F.col("a").alias("rep"))).distinct()
+    texts = keyed(docs).select("k", "text", "d1", "d2").join(reps.join(likely, "rep", "left_semi"), ["k", "d1", "d2"])
+    once = texts.where("rows = 1")
+    if not reps.where("rows > 1").isEmpty():  # rows that repeat with id and text
+        once = once.unionByName(texts.where("rows > 1").dropDuplicates(["rep"]))
+    sets = settled(sets_of(once), "sets")
+    linked = settled(verified(pairs, sets), "verified")
+    more = settled(_joined(roster, again, components(linked), sets), "joined")
+    return reps, components(linked.unionByName(more))
 
 
 def components(found: DataFrame) -> DataFrame:
