@@ -32,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_secrets": secrets.sql(),
         "op4_search": search.SQL,
         "op5_preference": preference.SQL,
+        "op6_repeats": repeats.SQL,
     }

@@ -1,50 +1,45 @@
 """Removal of passages that repeat: recurring passages are confirmed, compiled into sharded Aho-Corasick automata, and every
-text that may hold one is streamed through its shard to locate all occurrences.
+document is streamed through the automata that may match it, to locate all occurrences.
 
 A window is SPAN consecutive words. Its anchor is the GRAM-word sequence with the least hash in it, so equal windows have equal
-anchors. Only anchors that occur twice can belong to a recurring window; the stretches of text around those, and no others, are
-sent to shards by anchor. Texts are dealt to tasks by their least anchor, so that most copies meet, and a task decides by itself
-what it has seen before (by 128-bit hashes): it sends different windows once, those of common anchors (more than COMMON places)
-one by one by their own hashes. A passage that a third of all documents share is thus a row for each task. A least anchor that more than its share of the
-documents have is dealt to several tasks; those are fewer than HEAVY times the tasks, whatever the corpus.
-A shard takes whole keys, about UNITS windows at a time: it confirms the windows that recur in it, compiles them over word
-numbers with pyahocorasick, streams its stretches, and reports every place but the first. Words are letters of a small alphabet there.
+anchors, and only windows whose anchor stands in two places can recur. Each document is split and hashed once, for its anchors.
+The windows of an anchor that recurs are one stretch of text; stretches and no others are sent to the shard of their anchor:
+
+- A shard takes the whole keys of anchors of up to COMMON places, about UNITS windows at a time. It confirms the windows that
+  recur in it, compiles them over word numbers with pyahocorasick, streams its stretches and reports every place but the first.
+- The windows of a more common anchor are confirmed by an aggregate that combines on the map side (their first places too).
+  What is confirmed is compiled in each of as many parts as the anchor's places need, and a part streams its share of them.
+
+So no task meets all places of a passage that a third of all documents share. Words are letters of a small alphabet in an automaton. Texts
+that are equal as wholes are one document to all this: the first keeps what it keeps, the others repeat it from their first word.
 
 Documents are ordered by doc_id (null first); rows of one id but different texts by a hash of the text; equal rows are one
-document and lose the same words. Null text has no words. Empty tables give an empty table; other columns are ignored.
+document and lose the same words. Null text has no words. A very long text is held by itself, its stretches go their own ways.
+Empty tables give an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh3_128_digest
 
-from .common import NULL_ID, settled, text_or_empty
+from .common import NULL_ID, grouped, settled, text_or_empty
 from .minhash import shingle_hashes
 
 SPAN = 20
 GRAM = 6
-COMMON = 64
+COMMON = 512
 UNITS = 60_000
-HEAVY = 4
-SEEN = 1_000_000
 _REACH = 1 << 24
 
-ROW = "o bigint, key bigint, s bigint, e bigint, body binary"
-_NAMES = ["o", "key", "s", "e", "body"]
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-#: Texts that one pass of arrays covers.
-TOGETHER = 500
-
 
 def owners(h: np.ndarray, width: int = SPAN - GRAM + 1) -> np.ndarray:
     """For each window of `width` hashes the place of the least, the leftmost of equals."""
@@ -61,291 +56,320 @@ def owners(h: np.ndarray, width: int = SPAN - GRAM + 1) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def places(bodies: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    """For each text its words, the hashes of its word sequences, and the anchor of each of its windows; arrays span all texts."""
-    split = [b.split() for b in bodies]
-    flat = [w for ws in split for w in ws]
-    h = shingle_hashes(flat, GRAM) if len(flat) >= GRAM else np.zeros(0, np.uint64)
-    own = owners(h)
-    at = 0
-    for ws in split:
-        n = len(ws) - SPAN + 1
-        yield ws, h[at : at + max(0, len(ws) - GRAM + 1)], (own[at : at + n] - at if n > 0 else own[:0])
-        at += len(ws)
-
-
 def numbered(docs: DataFrame) -> DataFrame:
-    """(o, doc_id, body): o orders documents and is one for equal rows only. It is doc_id itself unless an id has several texts."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("k"), text_or_empty().alias("text"))
-    ids = rows.select("k", F.xxhash64("text").alias("d"))
+    """(o, doc_id, body, d1, d2): o orders documents and is one for equal rows only; it is doc_id itself unless an id has several texts. d1, d2: the text's hash."""
+    text = text_or_empty()
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("k"), text.cast("binary").alias("body"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(7), text).alias("d2"))
+    ids = rows.select("k", F.col("d1").alias("d"))
     if ids.groupBy("k").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a <> b").isEmpty():
-        return rows.select(F.col("k").alias("o"), F.col("k").alias("doc_id"), F.col("text").cast("binary").alias("body"))
+        return rows.select(F.col("k").alias("o"), F.col("k").alias("doc_id"), "body", "d1", "d2")
     ids = settled(ids.distinct().repartitionByRange("k", "d").withColumn("p", F.spark_partition_id()), "ids")
     before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ids.groupBy("p").count().select("p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))  # a row for each partition
-    o = ids.join(offsets, "p").select("k", "d", (F.col("before") + F.row_number().over(Window.partitionBy("p").orderBy("k", "d"))).alias("o"))
-    return rows.withColumn("d", F.xxhash64("text")).join(settled(o, "order"), ["k", "d"]).select("o", F.col("k").alias("doc_id"), F.col("text").cast("binary").alias("body"))
+    o = ids.join(offsets, "p").select("k", F.col("d").alias("d1"), (F.col("before") + F.row_number().over(Window.partitionBy("p").orderBy("k", "d"))).alias("o"))
+    return rows.join(settled(o, "order"), ["k", "d1"]).select("o", F.col("k").alias("doc_id"), "body", "d1", "d2")
 
 
 def anchors(texts: DataFrame) -> DataFrame:
-    """(o, least, anchor, pos): every place that is the anchor of some window, with the least anchor of its text."""
+    """(o, anchor array, s array, e array): for each text the hash of every anchor and the windows it owns, start to end (exclusive)."""
 
     def run(batches):
         for b in batches:
-            for part in (b.slice(i, TOGETHER) for i in range(0, b.num_rows, TOGETHER)):
-                o, least, key, pos = [], [], [], []
-                for i, (_, h, own) in zip(part.column(0).to_pylist(), places(part.column(1).to_pylist()), strict=True):
-                    if len(own):
-                        p = own[np.flatnonzero(np.diff(own, prepend=-1))]
-                        k = h[p].astype(np.int64)
-                        o.append(np.full(len(p), i))
-                        least.append(np.full(len(p), k.min()))
-                        key.append(k)
-                        pos.append(p)
-                if o:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (o, least, key, pos)], ["o", "least", "anchor", "pos"])
-
-    return texts.select("o", "body").mapInArrow(run, "o bigint, least bigint, anchor bigint, pos bigint")
+            for part in grouped(b, 1):
+                split = [t.split() for t in part.column(1).to_pylist()]
+                flat = [w for ws in split for w in ws]
+                h = shingle_hashes(flat, GRAM) if len(flat) >= GRAM else np.zeros(0, np.uint64)
+                own = owners(h)
+                columns: list[list[np.ndarray]] = [[], [], []]
+                sizes, at = [], 0
+                for ws in split:
+                    n = max(0, len(ws) - SPAN + 1)
+                    mine = own[at : at + n]
+                    start = np.flatnonzero(np.diff(mine, prepend=-1))
+                    for c, x in zip(columns, (h[mine[start]].view(np.int64), start, np.append(start[1:], n)[: len(start)]), strict=True):
+                        c.append(x)
+                    sizes.append(len(start))
+                    at += len(ws)
+                offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c), t)) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["o", "anchor", "s", "e"])
+
+    return texts.select("o", "body").mapInArrow(run, "o bigint, anchor array<bigint>, s array<int>, e array<int>")
+
+
+def _hits(found: DataFrame) -> DataFrame:
+    """(o, anchor, s, e, n) of anchors that stand in two places; n: places.
+
+    An anchor of more than its share of all places is joined in parts: fewer anchors than parts have so many.
+    """
+    places = found.select("o", F.explode(F.arrays_zip("anchor", "s", "e")).alias("x")).select("o", F.col("x.anchor").alias("anchor"), F.col("x.s").alias("s"), F.col("x.e").alias("e"))
+    twice = settled(places.groupBy("anchor").agg(F.count("*").cast("int").alias("n")).where("n > 1"), "twice")
+    total = twice.agg(F.sum("n")).first()[0] or 0
+    share = max(1, total // (4 * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = F.floor(F.col("n") / share).cast("int") + 1
+    heavy = F.broadcast(twice.where(F.col("n") > share).select("anchor", parts.alias("parts")))  # fewer rows than four times the partitions
+    salted = places.join(heavy, "anchor", "left").withColumn("salt", F.pmod(F.xxhash64("o"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    return salted.join(twice.select("anchor", "n", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt")), ["anchor", "salt"]).drop("salt")
+
+
+def _words_at(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text starts and ends."""
+    blank = np.isin(np.frombuffer(text, np.uint8), np.frombuffer(b" \t\n\v\f\r", np.uint8))
+    edge = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+    return edge[::2], edge[1::2]
 
 
-def with_least(texts: DataFrame) -> DataFrame:
-    """texts with the least anchor of each; short ones have their own."""
+def stretches(texts: DataFrame, hits: DataFrame) -> DataFrame:
+    """(anchor, n, o, s, e, body): windows s to e (exclusive) of o, with their words."""
 
     def run(batches):
         for b in batches:
-            for part in (b.slice(i, TOGETHER) for i in range(0, b.num_rows, TOGETHER)):
-                found = places(part.column(2).to_pylist())
-                least = [int(h[own].astype(np.int64).min()) if len(own) else i for i, (_, h, own) in zip(part.column(0).to_pylist(), found, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least, pa.int64())], ["o", "doc_id", "body", "least"])
-
-    return texts.select("o", "doc_id", "body").mapInArrow(run, "o bigint, doc_id bigint, body binary, least bigint")
-
-
-def _spread(found: DataFrame) -> Column:
-    """The task key of a text: its least anchor, and for the heavy ones one of several parts."""
-    spark = found.sparkSession
-    share = HEAVY * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    per = settled(found.groupBy("least", "o").agg(F.lit(1).alias("x")).groupBy("least").agg(F.count("*").alias("n")), "least")
-    total = per.agg(F.sum("n")).first()[0] or 0
-    heavy = {r["least"]: int(r["n"] * share // total) + 1 for r in per.where(F.col("n") * share > total).collect()}  # fewer than `share` rows
-    if not heavy:
-        return F.col("least")
-    parts = F.coalesce(F.create_map(*[F.lit(x) for kv in heavy.items() for x in kv])[F.col("least")], F.lit(1))
-    return F.xxhash64("least", F.pmod(F.xxhash64("o"), parts))
-
-
-class _Rows:
-    def __init__(self):
-        self.rows, self.size = [], 0
-
-    def add(self, o, key, s, e, body=None):
-        self.rows.append((o, key, s, e, body))
-        self.size += len(body or b"") + 64
-
-    def batch(self) -> pa.RecordBatch:
-        cols = list(zip(*self.rows, strict=True)) or [[]] * len(_NAMES)
-        self.rows, self.size = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], _NAMES)
-
-    def full(self) -> bool:
-        return self.size > 8 << 20
-
-
-def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple], list[tuple]]]:
-    """(o, text rows (doc_id, body), other rows) from rows sorted by o, texts first."""
-    o, texts, rest = None, [], []
-    for b in batches:
-        for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            if row[0] != o:
-                if texts:
-                    yield o, texts, rest
-                o, texts, rest = row[0], [], []
-            if row[1] == 0:
-                texts.append((row[2], row[6]))
-            else:
-                rest.append(row[3:6])
-    if texts:
-        yield o, texts, rest
-
-
-def _together(texts: DataFrame, others: DataFrame, to: str = "o") -> DataFrame:
-    """Texts (o, doc_id, body) followed by what belongs to them (o, x, y, z), dealt by `to`: one exchange, nothing gathered."""
-    a = texts.select(F.col(to).alias("to"), "o", F.lit(0).alias("t"), "doc_id", *[F.lit(0).cast("bigint").alias(c) for c in "xyz"], "body")
-    b = others.select(F.col(to).alias("to"), "o", F.lit(1).alias("t"), F.lit(None).cast("bigint").alias("doc_id"), "x", "y", "z", F.lit(None).cast("binary").alias("body"))
-    return a.unionByName(b).repartition("to").drop("to").sortWithinPartitions("o", "t", "x")
-
+            for part in grouped(b, 1, 1000):
+                out: list[list] = [[], [], [], [], [], []]
+                for o, body, found in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                    start, end = _words_at(body)
+                    s, e = (np.fromiter((x[c] for x in found), np.int64, len(found)) for c in ("s", "e"))
+                    low, high = start[s].tolist(), end[e + SPAN - 2].tolist()
+                    out[0] += [x["anchor"] for x in found]
+                    out[1] += [x["n"] for x in found]
+                    out[2] += [o] * len(found)
+                    out[3] += s.tolist()
+                    out[4] += e.tolist()
+                    out[5] += [body[i:j] for i, j in zip(low, high, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["anchor", "n", "o", "s", "e", "body"])
+
+    per = hits.groupBy("o").agg(F.collect_set(F.struct("anchor", "n", "s", "e")).alias("found"))  # fewer than the words of one document
+    return texts.select("o", "body").join(per, "o").select("o", "body", "found").mapInArrow(run, "anchor bigint, n int, o bigint, s int, e int, body binary")
+
+
+class Shard:
+    """An automaton over windows of words, with the first place of each."""
+
+    def __init__(self, bodies: list[bytes]):
+        split = [b.split() for b in bodies]
+        self.number: dict[bytes, int] = {}
+        for words in split:
+            for w in words:
+                if w not in self.number:
+                    self.number[w] = len(self.number)
+        # a word is `digits` letters, each place with letters of its own: nodes have few children, matches begin at words
+        self.digits = max(1, -(-len(self.number).bit_length() // 6))
+        self.size = SPAN * self.digits
+        self.first: list[tuple[int, int]] = []
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.text, self.at = self.coded(split)
+
+    def coded(self, split: list[list[bytes]]) -> tuple[str, list[int]]:
+        """All texts in one, and where each starts; words without a number are one letter that no phrase has."""
+        none = len(self.number)
+        ids = np.fromiter((self.number.get(w, none) for words in split for w in words), np.uint32)
+        letters = np.stack([((ids >> np.uint32(6 * d)) & np.uint32(63)) + np.uint32(256 + 64 * d) for d in range(self.digits)], axis=1)
+        at = np.cumsum([0, *map(len, split)]) * self.digits
+        return letters.astype("<u4").tobytes().decode("utf-32-le"), at.tolist()
+
+    def add(self, phrase: str, place: tuple[int, int] | None) -> None:
+        self.automaton.add_word(phrase, len(self.first))
+        self.first.append(place)
+
+    def ranges(self, text: str, start: int, end: int, o: int, s: int) -> Iterator[tuple[int, int, int]]:
+        """(o, low, high) of the words of one stretch that repeat; places come in order, so one without a first place is the first."""
+        first, size, digits = self.first, self.size, self.digits
+        low = high = None
+        for last, phrase in self.automaton.iter(text, start, end):
+            place = (o, s + (last + 1 - size - start) // digits)
+            if first[phrase] is None:
+                first[phrase] = place
+            if first[phrase] == place:
+                continue
+            if low is None or place[1] > high:
+                if low is not None:
+                    yield o, low, high
+                low = place[1]
+            high = place[1] + SPAN
+        if low is not None:
+            yield o, low, high
 
-def stretches(texts: DataFrame, hits: DataFrame) -> DataFrame:
-    """(o, key, s, e, body): windows s to e (exclusive) of o with their words, for the shards; without words: removed here, words s to e."""
 
-    def run(batches):
-        out, seen, met = _Rows(), set(), set()
-        for group in _grouped(_by_document(batches)):
-            for (o, _, found), (words, h, own) in zip(group, places([docs[0][1] for _, docs, _ in group]), strict=True):
-                if not found:
-                    continue
-                count = {p: n for p, n, _ in found}
-                ends = list(accumulate(map(len, words), lambda a, n: a + n + 1, initial=0))  # where each word starts in the joined text
-                text = b" ".join(words)
-                starts = np.flatnonzero(np.diff(own, prepend=-1))
-                anchor = own[starts]
-                keys = h[anchor].astype(np.int64).tolist()
-                new = []
-                for s, e, p, key in zip(starts.tolist(), [*starts[1:].tolist(), len(own)], anchor.tolist(), keys, strict=True):
-                    n = count.get(p)
-                    if n is None:
-                        continue
-                    whole = xxh3_128_digest(text[ends[s] : ends[e + SPAN - 1] - 1])
-                    if whole in met:  # a stretch of an earlier text: all its windows were seen
-                        out.add(o, None, s, e + SPAN - 1)
-                        continue
-                    new.append(whole)
-                    low, fresh = None, None
-                    for i in range(s, e + 1):
-                        w = xxh3_128_digest(text[ends[i] : ends[i + SPAN] - 1]) if i < e else None
-                        known = w is None or w in seen
-                        if not known:
-                            seen.add(w)
-                        if low is not None and (w is None or not known):
-                            out.add(o, None, low, i - 1 + SPAN)
-                            low = None
-                        if fresh is not None and (known or n > COMMON):
-                            at = key if n <= COMMON else route
-                            out.add(o, at, fresh, i, text[ends[fresh] : ends[i + SPAN - 1] - 1])
-                            fresh = None
-                        if w is not None and known and low is None:
-                            low = i
-                        if w is not None and not known and fresh is None:
-                            fresh, route = i, int.from_bytes(w[:8], "little", signed=True)
-                met.update(new)
-                if len(seen) > SEEN:
-                    seen.clear()  # what was met before goes to its shard once more
-                    met.clear()
-                if out.full():
-                    yield out.batch()
-        yield out.batch()
-
-    return _together(texts, hits.select("o", "to", F.col("pos").alias("x"), F.col("n").alias("y"), F.lit(0).cast("bigint").alias("z")), "to").mapInArrow(run, ROW)
-
-
-def _grouped(items: Iterator, size: int = 200) -> Iterator[list]:
-    group = []
-    for x in items:
-        group.append(x)
-        if len(group) >= size:
-            yield group
-            group = []
-    if group:
-        yield group
-
-
-def _locate(units: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
-    """(o, s, e) of words to remove, from stretches (o, first window, end of windows, words) that hold every place of their windows."""
-    number: dict[bytes, int] = {}
-    split = [body.split() for _, _, _, body in units]
-    for words in split:
-        for w in words:
-            number.setdefault(w, len(number))
-    digits = max(1, -(-(len(number) - 1).bit_length() // 6))
-    # a word is `digits` letters, each place with letters of its own: nodes of the automaton have few children, matches begin at words
-    coded = []
-    for words in split:
-        ids = np.fromiter(map(number.__getitem__, words), np.uint32, len(words))
-        letters = np.stack([((ids >> np.uint32(6 * d)) & np.uint32(63)) + np.uint32(256 + 64 * d) for d in range(digits)], axis=1)
-        coded.append(letters.astype("<u4").tobytes().decode("utf-32-le"))
-    size = SPAN * digits
+def locate(units: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
+    """(o, low, high) of words to remove, from stretches (o, first window, end of windows, words) that hold every place of their windows."""
+    units.sort()
+    shard = Shard([u[3] for u in units])
+    text, at, digits, size = shard.text, shard.at, shard.digits, shard.size
     times: dict[str, int] = {}
-    for (_, s, e, _), code in zip(units, coded, strict=True):
-        for at in range(0, (e - s) * digits, digits):
-            w = code[at : at + size]
+    for (_, s, e, _), a in zip(units, at, strict=False):
+        for i in range(a, a + (e - s) * digits, digits):
+            w = text[i : i + size]
             times[w] = times.get(w, 0) + 1
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    n = 0
     for w, t in times.items():
         if t > 1:
-            automaton.add_word(w, n)
-            n += 1
-    if not n:
+            shard.add(w, None)
+    if not shard.first:
         return
-    automaton.make_automaton()
-    first: dict[int, tuple[int, int]] = {}
-    for j in sorted(range(len(units)), key=lambda j: units[j][:2]):
-        o, s, _, _ = units[j]
-        low = high = None
-        for end, phrase in automaton.iter(coded[j]):
-            place = (o, s + (end + 1 - size) // digits)
-            if first.setdefault(phrase, place) == place:
-                continue
-            if low is not None and place[1] <= high:
-                high = place[1] + SPAN
-                continue
-            if low is not None:
-                yield o, low, high
-            low, high = place[1], place[1] + SPAN
-        if low is not None:
-            yield o, low, high
+    shard.automaton.make_automaton()
+    for j, (o, s, _, _) in enumerate(units):
+        yield from shard.ranges(text, at[j], at[j + 1], o, s)
 
 
-def occurrences(rows: DataFrame) -> DataFrame:
-    """(o, x, y, z): words x to y of document o repeat what started earlier."""
+_FOUND = "o bigint, low int, high int"
 
-    def run(batches):
-        units, key, size = [], None, 0
 
-        def flush():
-            found = list(_locate(units))
-            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)] + [pa.array([0] * len(found), pa.int64())], ["o", "x", "y", "z"])
+def _table(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["o", "low", "high"])
+
+
+def rare(rows: DataFrame) -> DataFrame:
+    """(o, low, high) of words that repeat, from the stretches of anchors of few places."""
 
+    def run(batches):
+        units, key, size = [], None, 0
         for b in batches:
             for k, o, s, e, body in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if k != key and size > UNITS:
-                    yield flush()
+                    yield _table(list(locate(units)))
                     units, size = [], 0
                 key = k
                 units.append((o, s, e, body))
                 size += e - s
         if units:
-            yield flush()
+            yield _table(list(locate(units)))
+
+    return rows.select("anchor", "o", "s", "e", "body").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _FOUND)
+
+
+def confirmed(rows: DataFrame) -> DataFrame:
+    """(anchor, parts, words, o, s) of windows that recur, with their first place, from the stretches of common anchors."""
+
+    def run(batches):
+        seen: dict[tuple, list] = {}
 
-    wanted = rows.where(F.col("key").isNotNull()).select("key", "o", "s", "e", "body")
-    return wanted.repartition("key").sortWithinPartitions("key", "o", "s").mapInArrow(run, "o bigint, x bigint, y bigint, z bigint")
+        def table():
+            columns = list(zip(*[(k[0], n, k[1], w, o, s, t) for k, (n, w, o, s, t) in seen.items()], strict=True)) or [[]] * 7
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["anchor", "n", "d", "words", "o", "s", "times"])
 
+        for b in batches:
+            for anchor, n, o, s, e, body in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                words = body.split()
+                for i in range(e - s):
+                    w = b" ".join(words[i : i + SPAN])
+                    key = (anchor, xxh3_128_digest(w))
+                    if (x := seen.get(key)) is None:
+                        seen[key] = [n, w, o, s + i, 1]
+                    else:
+                        x[4] += 1
+                        if (o, s + i) < (x[2], x[3]):
+                            x[2], x[3] = o, s + i
+                if len(seen) > 50_000:
+                    yield table()
+        yield table()
+
+    per = rows.select("anchor", "n", "o", "s", "e", "body").mapInArrow(run, "anchor bigint, n int, d binary, words binary, o bigint, s int, times bigint")
+    # the digest names the words: they move once for each task that has them
+    found = per.groupBy("anchor", "d").agg(F.sum("times").alias("times"), F.max("n").alias("n"), F.min(F.struct("o", "s")).alias("at"), F.min("words").alias("words")).where("times > 1")
+    return found.select("anchor", _parts(), "words", "at.o", "at.s")
+
+
+def _parts():
+    return (F.floor(F.col("n") / COMMON) + 1).cast("int").alias("parts")
+
+
+def common(rows: DataFrame) -> DataFrame:
+    """(o, low, high) of words that repeat, from the stretches of anchors of many places: phrases go to every part of their anchor, a stretch to one."""
+    rows = rows.select("anchor", _parts(), "n", "o", "s", "e", "body")
+    phrases = settled(confirmed(rows), "phrases")
+    # an automaton holds about UNITS phrases of an anchor
+    chunks = phrases.groupBy("anchor").agg((F.floor(F.count("*") / UNITS) + 1).cast("int").alias("chunks"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    each = phrases.join(chunks, "anchor").select("anchor", upto("parts").alias("part"), F.pmod(F.xxhash64("words"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("kind"), "o", "s", F.col("words").alias("body"))
+    own = rows.join(chunks, "anchor").select("anchor", F.pmod(F.xxhash64("o", "s"), F.col("parts")).cast("int").alias("part"), upto("chunks").alias("chunk"), F.lit(1).alias("kind"), "o", "s", "body")
+
+    def run(batches):
+        out, key, phrases, units = [], None, [], []
+
+        def flush():
+            if phrases and units:
+                shard = Shard([w for _, _, w in phrases])
+                for (o, s, _), a in zip(phrases, shard.at, strict=False):
+                    shard.add(shard.text[a : a + shard.size], (o, s))
+                shard.automaton.make_automaton()
+                text, at = shard.coded([b.split() for _, _, b in units])
+                for j, (o, s, _) in enumerate(units):
+                    out.extend(shard.ranges(text, at[j], at[j + 1], o, s))
 
-def _finish(texts: DataFrame, removed: DataFrame) -> DataFrame:
+        for b in batches:
+            for *at, kind, o, s, body in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if at != key:
+                    flush()
+                    key, phrases, units = at, [], []
+                (units if kind else phrases).append((o, s, body))
+            if len(out) > 50_000:
+                yield _table(out)
+                out = []
+        flush()
+        yield _table(out)
+
+    dealt = each.unionByName(own).repartition("anchor", "part", "chunk").sortWithinPartitions("anchor", "part", "chunk", "kind")
+    return dealt.select("anchor", "part", "chunk", "kind", "o", "s", "body").mapInArrow(run, _FOUND)
+
+
+def copies(texts: DataFrame) -> DataFrame:
+    """(o, low, high): documents whose whole text an earlier document has."""
+    ids = texts.select("o", "d1", "d2")
+    first = ids.groupBy("d1", "d2").agg(F.min("o").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = ids.join(first, ["d1", "d2"]).where(F.col("o") > F.col("first")).select("o").distinct()
+    return later.select("o", F.lit(0).alias("low"), F.lit(2**31 - 1).alias("high"))
+
+
+def occurrences(texts: DataFrame) -> DataFrame:
+    """(o, low, high): words low to high of document o repeat what started earlier; a whole text that repeats is one range."""
+    later = settled(copies(texts), "copies")
+    hits = _hits(settled(anchors(texts), "anchors").join(later.select("o"), "o", "left_anti"))
+    rows = settled(stretches(texts, hits), "stretches")
+    return rare(rows.where(F.col("n") <= COMMON)).unionByName(common(rows.where(F.col("n") > COMMON))).unionByName(later)
+
+
+def _finish(texts: DataFrame, removed: DataFrame, with_text: bool) -> DataFrame:
     def run(batches):
-        out = [[], [], [], [], []]
-        for _, docs, ranges in _by_document(batches):
-            words = docs[0][1].split()
-            keep = np.ones(len(words), bool)
-            for x, y, _ in ranges:
-                keep[x:y] = False
-            kept = [words[i] for i in np.flatnonzero(keep)]
-            text = b" ".join(kept)
-            for doc_id, _ in docs:
-                for c, v in zip(out, (doc_id, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text), strict=True):
-                    c.append(v)
-            if len(out[0]) >= 1000:
-                yield batch(out)
-                out = [[], [], [], [], []]
-        yield batch(out)
-
-    def batch(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    return _together(texts, removed).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept binary")
-
-
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept): kept holds the words that stay."""
+        for b in batches:
+            for part in grouped(b, 1, 1000):
+                counts, gone, sums, kept_texts = [], [], [], []
+                for body, ranges in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    words = body.split()
+                    n = len(words)
+                    if ranges and n >= SPAN:
+                        step = np.zeros(n + 1, np.int64)
+                        np.add.at(step, [r["low"] for r in ranges], 1)
+                        np.add.at(step, [min(n, r["high"]) for r in ranges], -1)
+                        words = [words[i] for i in np.flatnonzero(np.cumsum(step[:-1]) == 0)]
+                    text = b" ".join(words)
+                    counts.append(n)
+                    gone.append(n - len(words))
+                    sums.append(hashlib.sha256(text).hexdigest())
+                    if with_text:
+                        kept_texts.append(text)
+                columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(sums, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(kept_texts, pa.binary())] * with_text, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text)
+
+    per = removed.groupBy("o").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))  # fewer than the words of one document
+    rows = texts.select("o", "doc_id", "body").join(per, "o", "left").select("doc_id", "body", "ranges")
+    return rows.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept binary" * with_text)
+
+
+def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256[, kept]): kept holds the words that stay."""
     texts = numbered(docs)
-    places_ = anchors(texts)
-    twice = places_.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    to = _spread(places_.select("o", "least"))
-    hits = places_.join(twice, "anchor").select("o", "pos", "n", to.alias("to"))
-    rows = settled(stretches(with_least(texts).withColumn("to", to), hits), "stretches")
-    here = rows.where(F.col("key").isNull()).select("o", F.col("s").alias("x"), F.col("e").alias("y"), F.lit(0).cast("bigint").alias("z"))
-    return _finish(texts, occurrences(rows).unionByName(here))
+    return _finish(texts, occurrences(texts), with_text)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return remove_repeats(docs).select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+    return remove_repeats(docs, False).select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, s, md5(array_to_string(w[s + 1:s + 20], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(0, len(w) - 19)) AS s FROM w)),
+again AS (SELECT doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS r FROM windows) WHERE r > 1),
+gone AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(s + 1, s + 21)) AS i FROM again) GROUP BY 1),
+kept AS (SELECT doc_id, w, CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END AS k FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(k))::BIGINT AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""

@@ -29,6 +29,15 @@ def public(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _head(piece: str) -> str | None:
+    """What stands before the full stops and commas that end a piece, where it ends in a letter of a table's first pages: a sure boundary too."""
+    if piece[-1] in ".,":
+        head = piece.rstrip(".,")
+        if head and head[-1] < "\u0250" and head[-1].isalpha():
+            return head
+    return None
+
+
 class Encoder:
     def __init__(self, vocabulary: str | None = None):
         from tokenizers import Tokenizer
@@ -53,23 +62,30 @@ class Encoder:
 
     def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
         known = self.known
-        if len(known) > KEPT:
-            known.clear()
-        cut, lacking = [], set()
+        cut, holes_in, n = [], set(), 0
         for t in texts:
             pieces = _PIECE.findall(t)
             ids = list(map(known.get, pieces))
             holes = [i for i, x in enumerate(ids) if x is None] if None in ids else ()
             own = [pieces[i] for i in holes]
-            lacking.update(own)
+            holes_in.update(own)
+            n += len(pieces)
             cut.append((ids, holes, own))
-        order = list(lacking)
+        if len(known) > KEPT and 3 * sum(len(holes) for _, holes, _ in cut) > n:  # another language
+            known.clear()
+        parted = {p: h for p in holes_in if (h := _head(p))}
+        order = list({x for p in holes_in for x in ((parted[p], p[len(parted[p]) :]) if p in parted else (p,)) if x not in known})
         found = dict(zip(order, self._raw(order), strict=True)) if order else {}
+        part = lambda x: known[x] if x in known else found[x]
+        whole = {p: part(h) + part(p[len(h) :]) for p, h in parted.items()}
+        again = [p for p, h in parted.items() if h in known]
         for ids, holes, own in cut:
             for i, p in zip(holes, own, strict=True):
-                ids[i] = found[p]
+                ids[i] = whole[p] if p in whole else found[p]
             yield np.frombuffer(b"".join(ids), "<u4")
-        known.update((p, ids) for p, ids in found.items() if len(p) <= SHORT)
+        if len(known) <= KEPT:
+            known.update((p, whole[p]) for p in again if len(p) <= SHORT)
+            known.update((p, ids) for p, ids in found.items() if len(p) <= SHORT)
 
     def ids(self, text: str) -> np.ndarray:
         return next(self.batch([text]))

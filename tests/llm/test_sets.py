@@ -132,7 +132,7 @@ def test_budgets_are_met_to_the_word():
         assert (take >= 0).all() and (take <= count).all() and 0 <= budget - (length * take).sum() < 30
 
 
-@pytest.mark.parametrize("name", ["op1_secrets", "op4_search", "op5_preference"])
+@pytest.mark.parametrize("name", ["op1_secrets", "op4_search", "op5_preference", "op6_repeats"])
 def test_sql_twins(spark, name):
     import duckdb
 

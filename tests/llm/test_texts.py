@@ -193,9 +193,23 @@ def without_repeats(rows, span=20):
     return out
 
 
-def test_repeats(spark, docs, monkeypatch):
+@pytest.mark.parametrize("small", [(512, 60_000), (16, 60_000), (3, 40)], ids=["rare", "common", "many parts"])
+def test_repeats(spark, docs, monkeypatch, small):
+    """Through automata of rare and of common anchors, whose phrases fill one automaton or many."""
+    monkeypatch.setattr(repeats, "COMMON", small[0])
+    monkeypatch.setattr(repeats, "UNITS", small[1])
     want = without_repeats(texts_of())
     assert {r["doc_id"]: tuple(r)[1:] for r in repeats.report(docs).collect()} == want
+    located = repeats.occurrences(repeats.numbered(docs)).collect()
+    whole = {r["o"] for r in located if r["high"] == 2**31 - 1}
+    texts = dict(texts_of())
+    firsts = {t: min(i for i, u in texts.items() if u == t) for t in texts.values()}
+    assert whole == {i for i, t in texts.items() if i != firsts[t]}  # equal texts alone are told without an automaton
+    by_automaton = {}
+    for r in located:
+        if r["o"] not in whole:
+            by_automaton.setdefault(r["o"], set()).update(range(r["low"], r["high"]))
+    assert by_automaton and {i: len(w) for i, w in by_automaton.items()} == {i: n for i, (_, n, _) in want.items() if n and i not in whole}
     rng = random.Random(5)
     phrase = [f"p{i}" for i in range(70)]
     rows = []
