@@ -1,15 +1,18 @@
-"""Exact BM25 top-k: an inverted index with block maxima for each shard, pruned by upper bounds, merged by global statistics.
-
-Documents are dealt to shards of about SHARD_DOCS by a hash of id and text. A shard orders its documents so that like ones share
-a block, keeps for each term and block the largest contribution, and answers a query in two steps: blocks are bounded by the
-sum of their maxima and taken from the best down until k documents are scored; then every other block whose bound reaches the
-k-th score is scored, and the rest cannot matter. Each shard returns k rows for a query, and the k best of all are exact
-because document frequencies, their number and their mean length are those of the whole table.
-
-Queries are rows too and may grow with the corpus: their terms are sent to every shard, never broadcast or collected. Words are
-taken as they stand. Scores are rounded to six digits; ties go to the smaller doc_id (null first). Null and empty texts match
-nothing and ask nothing. Equal query rows are one query; rows of one id with different texts are queries of their own; equal
-rows are documents each. Empty tables give an empty table; other columns are ignored.
+"""Exact BM25 top-k: an inverted index with block maxima for each shard, block-max WAND inside it, merged by global statistics.
+
+Documents are dealt to shards of about SHARD_DOCS, of about SHARD_WORDS where texts are long, by a hash of id and text. A shard orders its documents so that like ones share
+a block of BLOCK documents, the same blocks for all terms, and keeps each term's largest contribution to each block. A query has
+a cursor on every term's entries in order of blocks. A walk finds the pivot, the next block at which the maxima of the terms that
+stand there reach the threshold (the k-th score so far); all cursors skip to it, what lies between is never scored; the pivot's
+documents are scored and the threshold rises. Pivots are taken a few at a time, more as the walk goes on, and the blocks of the
+greatest bounds come before all others, so that the threshold is high from the start. Each shard returns k rows for a query, and
+the k best of all are exact because document frequencies, their number and their mean length are those of the whole table.
+
+Queries are rows too and may grow with the corpus: their terms are sent to every shard, never broadcast or collected, which is
+queries times shards rows. Words are taken as they stand. Scores are rounded to six digits; ties go to the smaller doc_id (null
+first). Null and empty texts match nothing and ask nothing; a very long text is a row, and its shard has few others. Equal query
+rows are one query; rows of one id with different texts are queries of their own; equal rows are documents each. Empty tables
+give an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +30,9 @@ from .common import NULL_ID, WORD, text_or_empty
 
 K1, B = 1.2, 0.75
 TOP = 10
-SHARD_DOCS = 16_384
+SHARD_DOCS, SHARD_WORDS = 16_384, 8 << 20
 BLOCK = 64
+#: Blocks that are scored at once: of the greatest bounds, then pivots, twice as many from turn to turn.
 FIRST = 8
 
 
@@ -51,53 +55,97 @@ def terms(docs: DataFrame, where: Column | None = None) -> DataFrame:
 
 
 class Shard:
-    def __init__(self, ids: list[int], sizes: list[int], term_lists: list[np.ndarray], count_lists: list[np.ndarray], mean: float):
-        lead = [int(t[c == c.max()].min()) if len(t) else 0 for t, c in zip(term_lists, count_lists, strict=True)]
-        order = sorted(range(len(ids)), key=lambda i: (lead[i], sizes[i], ids[i]))
-        self.ids = np.array([ids[i] for i in order], np.int64)
-        lengths = np.array([len(term_lists[i]) for i in order], np.int64)
-        term = np.concatenate([term_lists[i] for i in order]) if order else np.zeros(0, np.int64)
-        by = np.argsort(term, kind="stable")  # documents ascend within a term
-        term = term[by]
-        tf = (np.concatenate([count_lists[i] for i in order]) if order else np.zeros(0, np.int32))[by]
-        self.doc = np.repeat(np.arange(len(order), dtype=np.int32), lengths)[by]
-        del by
-        norm = K1 * (1 - B + B * np.array([sizes[i] for i in order], float) / max(mean, 1e-9))
-        self.part = norm[self.doc]
+    """The index of some documents: ids and sizes one each, terms and counts of one after another, `lengths` of each."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, mean: float):
+        n = len(ids)
+        first = np.cumsum(lengths) - lengths
+        some = np.flatnonzero(lengths)
+        lead = np.zeros(n, np.int64)
+        if len(some):  # the least of a document's most frequent terms
+            most = np.repeat(np.maximum.reduceat(counts, first[some]), lengths[some])
+            lead[some] = np.minimum.reduceat(np.where(counts == most, terms, np.iinfo(np.int64).max), first[some])
+            del most
+        order = np.lexsort((ids, sizes, lead))
+        self.ids, self.blocks = ids[order], -(-n // BLOCK)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        doc = np.repeat(place.astype(np.int32), lengths)
+        names = np.unique(terms)
+        term = np.searchsorted(names, terms).astype(np.int32)
+        # postings by term and document: one sort of packed numbers where they fit, else of indices
+        tf_bits, doc_bits = int(counts.max(initial=1)).bit_length(), max(1, n).bit_length()
+        if len(names).bit_length() + tf_bits + doc_bits < 63:
+            packed = (term.astype(np.int64) << (doc_bits + tf_bits)) | (doc.astype(np.int64) << tf_bits) | counts
+            packed.sort()
+            tf = (packed & ((1 << tf_bits) - 1)).astype(np.int32)
+            packed >>= tf_bits
+            doc = (packed & ((1 << doc_bits) - 1)).astype(np.int32)
+            packed >>= doc_bits
+            term = packed.astype(np.int32)
+            del packed
+        else:
+            by = np.lexsort((doc, term))
+            term, doc, tf = term[by], doc[by], counts[by]
+        self.doc = doc
+        norm = K1 * (1 - B + B * sizes[order].astype(float) / max(mean, 1e-9))
+        self.part = norm[doc]
         self.part += tf
         np.divide(tf * (K1 + 1), self.part, out=self.part)
         del tf
         # one entry for each term and block: where its postings start, their largest part
-        block = self.doc // BLOCK
+        block = doc // BLOCK
         new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
         self.start, self.end = new, np.append(new[1:], len(term)) if len(new) else new
-        self.block = block[new]
+        self.block = block[new].astype(np.uint16 if self.blocks < 1 << 16 else np.int32)
         self.most = np.maximum.reduceat(self.part, new) if len(new) else self.part
-        self.names, at = np.unique(term[new], return_index=True)
-        self.at = np.append(at, len(new))
-        self.blocks = -(-len(order) // BLOCK)
+        self.names = names
+        self.at = np.searchsorted(term[new], np.arange(len(names) + 1))
+        self.scored = self.skipped = 0  # blocks
 
     def top(self, wanted: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores rounded to six digits) of the k best documents that have one of the terms."""
+        none = self.ids[:0], np.zeros(0)
         if not len(self.names):
-            return self.ids[:0], np.zeros(0)
+            return none
         slot = np.minimum(np.searchsorted(self.names, wanted), len(self.names) - 1)
         has = self.names[slot] == wanted
         slot, weight = slot[has], weight[has]
         entries, w = _ranges(self.at[slot], self.at[slot + 1], weight)
         if not len(entries):
-            return self.ids[:0], np.zeros(0)
+            return none
         blocks = self.block[entries]
         bound = np.bincount(blocks, w * self.most[entries], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        ids, scores = self._score(entries, w, blocks, np.isin(np.arange(self.blocks), order[:FIRST]))
-        rest = bound > 0
-        rest[order[:FIRST]] = False
-        if len(scores) >= k:
-            rest &= bound >= np.partition(scores, -k)[-k] - 1e-6  # a bound below the k-th score by more than rounding cannot enter
-        if rest.any():
-            more = self._score(entries, w, blocks, rest)
-            ids, scores = np.concatenate([ids, more[0]]), np.concatenate([scores, more[1]])
+        by = np.argsort(blocks, kind="stable")  # cursors in order of blocks
+        entries, w = entries[by], w[by]
+        cursor = np.concatenate([[0], np.cumsum(np.bincount(blocks, minlength=self.blocks))])
+        ids, scores, threshold = *none, 0.0
+        before = self.scored
+
+        def score(chosen: np.ndarray) -> None:
+            nonlocal ids, scores, threshold
+            here, _ = _ranges(cursor[chosen], cursor[chosen + 1], chosen)
+            postings, weights = _ranges(self.start[entries[here]], self.end[entries[here]], w[here])
+            total = np.bincount(self.doc[postings], weights * self.part[postings], len(self.ids))
+            hit = np.flatnonzero(total > threshold)
+            ids, scores = np.concatenate([ids, self.ids[hit]]), np.concatenate([scores, total[hit]])
+            if len(scores) >= k:
+                # by more than rounding below the k-th score: such a document or block cannot enter
+                threshold = max(threshold, float(np.partition(scores, -k)[-k]) - 1e-6)
+                ids, scores = ids[scores >= threshold], scores[scores >= threshold]
+            self.scored += len(chosen)
+
+        best = np.argpartition(-bound, min(FIRST, self.blocks - 1))[:FIRST] if self.blocks > FIRST else np.arange(self.blocks)
+        score(np.sort(best[bound[best] > 0]))
+        bound[best] = 0
+        pivots = np.flatnonzero(bound > threshold)
+        step = FIRST
+        while len(pivots):
+            score(pivots[:step])
+            pivots = pivots[step:]
+            pivots = pivots[bound[pivots] > threshold]
+            step *= 2
+        self.skipped += self.blocks - (self.scored - before)
         scores = np.round(scores, 6)
         if len(scores) > k:  # ties at the k-th score stay until ids decide
             near = scores >= np.partition(scores, -k)[-k]
@@ -105,14 +153,6 @@ class Shard:
         best = np.lexsort((ids, -scores))[:k]
         return ids[best], scores[best]
 
-    def _score(self, entries, w, blocks, chosen):
-        here = chosen[blocks]
-        postings, weight = _ranges(self.start[entries[here]], self.end[entries[here]], w[here])
-        docs = self.doc[postings]
-        total = np.bincount(docs, weight * self.part[postings], len(self.ids))
-        hit = np.flatnonzero(total > 0)
-        return self.ids[hit], total[hit]
-
 
 def _ranges(start: np.ndarray, end: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the ranges, one after another, each with its range's weight."""
@@ -129,7 +169,7 @@ def search(docs: DataFrame, queries: Column, k: int = TOP) -> DataFrame:
     sums = docs.agg(F.count("*").alias("n"), F.avg(F.regexp_count(text_or_empty(), F.lit(WORD))).alias("mean")).first()
     total, mean = sums["n"], float(sums["mean"] or 0)
     rows = terms(docs)
-    shards = max(1, -(-total // SHARD_DOCS))
+    shards = max(1, -(-total // SHARD_DOCS), int(total * mean) // SHARD_WORDS + 1)
     df = rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").cast("int").alias("df"))
     asked = terms(docs, queries).dropDuplicates(["id", "d"]).select("id", "d", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("id", "d", F.col("x.terms").alias("t"), F.col("x.counts").alias("c"))
     q = asked.join(df, "t").groupBy("id", "d").agg(F.array_sort(F.collect_list(F.struct("t", "c", "df"))).alias("x"))  # the distinct words of one text
@@ -143,28 +183,37 @@ def search(docs: DataFrame, queries: Column, k: int = TOP) -> DataFrame:
             cols = [np.concatenate(c) if c else np.zeros(0) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
             return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols[:3]] + [pa.array(cols[3].astype(float))], ["query_id", "d", "doc_id", "score"])
 
+        def built():
+            parts = [np.concatenate(c) for c in zip(*held, strict=True)] if held else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.int32)]
+            held.clear()
+            return Shard(*parts, mean)
+
         for b in batches:
-            names = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            lists = {n: (names[n].values.to_numpy(zero_copy_only=False), names[n].offsets.to_numpy()) for n in ("terms", "counts", "df")}
-            part = lambda n, i: lists[n][0][lists[n][1][i] : lists[n][1][i + 1]]  # noqa: B023, E731
-            for i, (s, kind, id_, dd, size) in enumerate(zip(*[names[n].to_pylist() for n in ("shard", "kind", "id", "d", "size")], strict=True)):
-                if s != shard:
-                    shard, held, index = s, [], None
-                if kind == 0:
-                    held.append((id_, size, part("terms", i).copy(), part("counts", i).copy()))
+            plain = {n: b.column(n).to_numpy(zero_copy_only=False) for n in ("shard", "kind", "id", "d", "size")}
+            flat = {n: b.column(n).values.to_numpy(zero_copy_only=False) for n in ("terms", "counts", "df")}
+            at = {n: b.column(n).offsets.to_numpy() for n in flat}
+            # runs of rows of one shard and kind
+            edges = np.flatnonzero(np.diff(plain["shard"] * 2 + plain["kind"], prepend=-1, append=-1))
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if plain["shard"][i] != shard:
+                    shard, index = plain["shard"][i], None
+                    held.clear()
+                if plain["kind"][i] == 0:  # documents come first; one copy for each run
+                    low, high = at["terms"][i], at["terms"][j]
+                    held.append((plain["id"][i:j].copy(), plain["size"][i:j].copy(), np.diff(at["terms"][i : j + 1]).astype(np.int64), flat["terms"][low:high].copy(), flat["counts"][low:high].copy()))
                     continue
-                if index is None:
-                    index, held = Shard(*(list(x) for x in (zip(*held, strict=True) if held else ([], [], [], []))), mean), []
-                found_in = part("df", i)
-                weights = part("counts", i) * np.log(1 + (total - found_in + 0.5) / (found_in + 0.5))
-                ids, scores = index.top(part("terms", i), weights, k)
-                out.append((np.full(len(ids), id_), np.full(len(ids), dd), ids, scores))
-                if len(out) >= 512:
-                    yield rows_out()
-                    out = []
+                index = built() if index is None else index
+                for q in range(i, j):
+                    terms_, counts, found_in = (flat[n][at[n][q] : at[n][q + 1]] for n in ("terms", "counts", "df"))
+                    ids, scores = index.top(terms_, counts * np.log(1 + (total - found_in + 0.5) / (found_in + 0.5)), k)
+                    out.append((np.full(len(ids), plain["id"][q]), np.full(len(ids), plain["d"][q]), ids, scores))
+                    if len(out) >= 512:
+                        yield rows_out()
+                        out = []
         yield rows_out()
 
-    found = d.unionByName(q).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(run, "query_id bigint, d bigint, doc_id bigint, score double")
+    # twice as many tasks as shards, so that few have two; a task holds one index at a time
+    found = d.unionByName(q).repartition(2 * shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(run, "query_id bigint, d bigint, doc_id bigint, score double")
     best = Window.partitionBy("query_id", "d").orderBy(F.desc("score"), "doc_id")
     top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return top.select("query_id", F.col("rank").cast("int").alias("rank"), F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "score")

@@ -150,7 +150,8 @@ def test_search_prunes_without_loss():
     lists = [np.unique(rng.zipf(1.3, rng.integers(5, 60)) % 2000).astype(np.int64) for _ in range(n)]
     counts = [rng.integers(1, 5, len(t)) for t in lists]
     sizes = [int(c.sum()) for c in counts]
-    shard = search.Shard(list(range(n)), sizes, lists, counts, float(np.mean(sizes)))
+    flat = np.arange(n), np.array(sizes), np.array([len(t) for t in lists]), np.concatenate(lists), np.concatenate(counts).astype(np.int32)
+    shard = search.Shard(*flat, float(np.mean(sizes)))
     for q in range(0, n, 300):
         w = rng.uniform(0.1, 5, len(lists[q]))
         exact = np.zeros(n)
@@ -164,6 +165,13 @@ def test_search_prunes_without_loss():
         ids, scores = shard.top(lists[q], w, k)
         want = np.lexsort((np.arange(n), -exact))[:k]
         assert ids.tolist() == want.tolist() and np.allclose(scores, exact[want])
+    assert shard.skipped > 0 and shard.scored + shard.skipped == shard.blocks * len(range(0, n, 300))
+    # a rare term and a common one: at a threshold from documents with both, blocks without the rare one are never scored
+    shard.scored = shard.skipped = 0
+    df = np.bincount(np.concatenate(lists))
+    rare = int(np.flatnonzero((df > k) & (df < 25))[0])
+    shard.top(np.array([1, rare]), np.array([0.5, 5.0]), k)
+    assert shard.skipped > shard.scored
 
 
 def test_search_odd_rows(odd, none):
