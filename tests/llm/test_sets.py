@@ -181,20 +181,43 @@ def test_search_odd_rows(odd, none):
     assert search.report(none).count() == 0
 
 
-def test_preference_odd_rows(spark):
-    schema = "conv_id bigint, turn bigint, role string, text string, part string, cut bigint"
+SIDES = "pair_id bigint, rejected boolean, turn bigint, role string, text string, part string, cut bigint"
+
+
+def test_preference_pairs_odd_rows(spark):
     rows = [
-        (0, 0, "user", "hi"), (0, 1, "assistant", "a"), (0, 2, "user", "more"), (1, 0, "user", "hi"), (1, 1, "assistant", "b"),
-        (2, 0, None, None), (3, 0, None, None), (4, 0, "user", "alone"), (None, 0, "user", "x"), (6, None, "user", "n"), (7, None, "user", "n"), (7, 1, "GPT", "😀"),
-        (8, 0, "user", "r"), (8, 0, "user", "r"), (9, 0, "user", "r"),
+        (0, False, 0, "user", "hi"), (0, False, 1, "assistant", "a"), (0, False, 2, "user", "more"), (0, True, 0, "user", "hi"), (0, True, 1, "assistant", "b"),
+        (1, False, 0, None, None), (1, True, 0, None, None), (2, False, 0, "user", "alone"), (None, False, 0, "user", "x"), (3, False, None, "user", "n"), (3, True, None, "user", "n"), (3, True, 1, "GPT", "😀"),
+        (4, False, 0, "user", "r"), (4, False, 0, "user", "r"), (4, True, 0, "user", "r"),
     ]
-    df = spark.createDataFrame([(*r, "x", 1) for r in rows], schema)
-    got = sorted((r["pair_id"], r["part"], -1 if r["turn"] is None else r["turn"], r["rendered"], r["masked_chars"]) for r in preference.report(df).collect())
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SIDES)
+    found = preference.format_pairs(df).collect()
+    got = sorted((r["pair_id"], r["part"], -1 if r["turn"] is None else r["turn"], r["rendered"], r["masked_chars"]) for r in found)
     assert got == sorted([
         (0, "prompt", 0, "<|user|>\nhi\n", 12), (0, "chosen", 1, "<|assistant|>\na\n", 14), (0, "chosen", 2, "<|user|>\nmore\n", 14), (0, "rejected", 1, "<|assistant|>\nb\n", 14),
         (1, "prompt", 0, "<||>\n\n", 6), (3, "prompt", -1, "<|user|>\nn\n", 11), (3, "rejected", 1, "<|gpt|>\n😀\n", 8),
         (4, "chosen", 0, "<|user|>\nr\n", 11), (4, "chosen", 0, "<|user|>\nr\n", 11), (4, "rejected", 0, "<|user|>\nr\n", 11),
     ])
+    other = {"chosen": "rejected", "rejected": "chosen"}
+    for r in found:
+        want = (None, None) if r["part"] == "prompt" else (f"{r['pair_id']}:{r['part']}", f"{r['pair_id']}:{other[r['part']]}")
+        assert (r["completion"], r["other"]) == want
+    assert preference.format_pairs(df.where("false")).count() == 0
+
+
+def test_preference_sides_of_conversations(spark):
+    rows = [
+        (0, 0, "user", "q0"), (0, 1, "assistant", "a0"), (0, 2, "user", "q1"), (0, 3, "assistant", "a1"), (1, 0, "user", "p"), (1, 1, "gpt", None), (2, 0, "user", "no reply"), (3, 0, "user", "x"), (3, 1, "bot", "y"),
+        (5, 0, "user", "no neighbour"), (5, 1, "bot", "z"), (None, 0, "user", "x"), (6, None, "bot", "same"), (6, None, "bot", "same"), (7, 0, None, "same"), (7, 4, "Bot", "same"),
+    ]
+    schema = "conv_id bigint, turn bigint, role string, text string, pair_id bigint, rejected boolean, reply string"
+    df = spark.createDataFrame([(*r, 1, True, "x") for r in rows], schema)
+    got = sorted((r["pair_id"], r["part"], -1 if r["turn"] is None else r["turn"], r["rendered"]) for r in preference.report(df).collect())
+    assert got == sorted([
+        (0, "prompt", 0, "<|user|>\nq0\n"), (0, "prompt", 1, "<|assistant|>\na0\n"), (0, "prompt", 2, "<|user|>\nq1\n"), (0, "chosen", 3, "<|assistant|>\na1\n"), (0, "rejected", 3, "<|assistant|>\n\n"),
+        (1, "prompt", 0, "<|user|>\np\n"), (1, "chosen", 1, "<|gpt|>\n\n"), (1, "rejected", 1, "<|gpt|>\na1\n"),
+        (6, "prompt", -1, "<|bot|>\nsame\n"), (6, "prompt", -1, "<|bot|>\nsame\n"), (7, "prompt", 0, "<||>\nsame\n"), (7, "prompt", 4, "<|bot|>\nsame\n"),
+    ])
     assert preference.report(df.where("false")).count() == 0
 
 
