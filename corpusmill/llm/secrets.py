@@ -1,23 +1,28 @@
 """Secret scans over an incremental ledger of blobs, by DataFrame functions alone.
 
-Every version of every path is addressed by its content (SHA-256). Only (blob, rule version) pairs that the ledger has not
-seen are scanned, each distinct blob once however many paths hold it, and the findings are joined back to all paths.
+Every version of every path is addressed by its content (SHA-256). The ledger is a table of rows (blob, rules, spans): which rule
+versions a scan has applied to a blob and what they found. Only (blob, rule version) pairs that the ledger has not seen are
+scanned, each distinct blob once however many paths hold it; what is new is appended, and the findings are joined back to all paths.
 
 Equal texts meet in one blob before the scan by a grouping that combines on the map side, so a group of copies with a third
 of all rows costs no more than its share of one row for each task; the join back carries an id and a hash for each path and
-adaptive execution splits it where a blob has very many. Null text counts as empty; an empty table gives an empty table;
-repeated rows are repeated paths; other columns are ignored. A blob's time is linear in its length, its findings are
-gathered in one row (in square time of the count of findings of one blob, a few microseconds each).
+adaptive execution splits it where a blob has very many. Of the ledger, only rows of the blobs at hand are read into a join.
+Pairs that the ledger has twice (two scans at once) give each span once; what it has of other rules or versions stays unused.
+
+Null text counts as empty; an empty table gives an empty table; repeated rows are repeated paths; other columns are ignored. A
+very long text is one row, its time is linear in its length and its findings, which meet again in one row of the ledger.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import joined, text_or_empty
+from .common import joined, shared_dir, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -46,28 +51,24 @@ ADDED = (
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE + ADDED
+SPAN = "struct<rule:string,start:bigint,end:bigint>"
+LEDGER = f"blob string, rules array<string>, spans array<{SPAN}>"
 FINDING = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
+_PLACE = "array<struct<rank:int,i:int,gap:int,hit:int,measured:int>>"
 
 
-def matches(text: Column, rule: Rule, rank: int) -> Column:
-    """The rule's spans. What stands between matches and the matches themselves, in turn, give the offsets."""
-    pattern = F.lit(rule.pattern)
-    found = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
-    none = F.array().cast(FINDING)
+def name(rule: Rule) -> str:
+    return f"{rule.kind}@{rule.version}"
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        measured = F.length(x["hit"]) if not rule.measured else F.length(F.regexp_extract(x["hit"], rule.pattern, rule.measured))
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        # the last gap has no match after it
-        return F.struct(
-            F.coalesce(end, start).alias("at"),
-            F.when(x["hit"].isNotNull() & (measured >= rule.least), F.concat(acc["spans"], F.array(span).cast(FINDING))).otherwise(acc["spans"]).alias("spans"),
-        )
 
-    seen = F.aggregate(found, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(text.rlike(rule.pattern), seen).otherwise(none)
+def gaps_and_hits(text: Column, rule: Rule, rank: int) -> Column:
+    """For each match the length of what stands before it (since the last), its own, and that of the measured group."""
+    pattern = F.lit(rule.pattern)
+    hits = F.regexp_extract_all(text, pattern, F.lit(0))
+    measured = F.regexp_extract_all(text, pattern, F.lit(rule.measured)) if rule.measured else hits
+    found = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), hits.alias("hit"), measured.alias("measured"))
+    struct = lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("i"), *[F.length(x[c]).alias(c) for c in ("gap", "hit", "measured")])
+    return F.filter(F.transform(found, struct), lambda x: x["hit"].isNotNull()).cast(_PLACE)  # the last gap has no match after it
 
 
 def blobs(versions: DataFrame, text: str = "text") -> DataFrame:
@@ -75,44 +76,61 @@ def blobs(versions: DataFrame, text: str = "text") -> DataFrame:
     return versions.select(F.sha2(text_or_empty(text), 256).alias("blob"), text_or_empty(text).alias("text")).distinct()
 
 
-def rule_set(rules: tuple[Rule, ...]) -> str:
-    """Names the rules and versions of a scan in the ledger."""
-    return ",".join(f"{r.kind}@{r.version}" for r in rules)
-
-
 def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
-    """New ledger rows (blob, rule, spans): one for each blob of versions and rule version that `ledger` lacks; spans may be empty."""
+    """New ledger rows (blob, rules, spans): one for each blob of versions that `ledger` has not seen under all rules; spans may be empty."""
     todo = blobs(versions)
-    names = [f"{r.kind}@{r.version}" for r in rules]
+    names = F.array(*[F.lit(name(r)) for r in rules])
     if ledger is None:
-        lacking = todo.withColumn("have", F.array().cast("array<string>"))
+        lacking = todo.withColumn("rules", names)
     else:
-        have = ledger.where(F.col("rule").isin(names)).groupBy("blob").agg(F.collect_set("rule").alias("have"))  # one entry for each rule at most
-        lacking = todo.join(have, "blob", "left").withColumn("have", F.coalesce("have", F.array().cast("array<string>"))).where(F.size("have") < len(set(names)))
-    rows = [
-        F.when(~F.array_contains("have", name), F.struct(F.lit(name).alias("rule"), matches(F.col("text"), r, i).alias("spans")))
-        for i, (name, r) in enumerate(zip(names, rules, strict=True))
-    ]
-    return lacking.select("blob", F.explode(F.array(*rows)).alias("r")).where("r is not null").select("blob", "r.rule", "r.spans")
-
-
-def findings(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, paths: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(paths..., blob, spans): all spans of each row of versions by start and rule, from the ledger and the new scan."""
-    new = scan(versions, rules, ledger)
-    if ledger is not None:
-        names = [f"{r.kind}@{r.version}" for r in rules]
-        new = new.unionByName(ledger.where(F.col("rule").isin(names)))
-    hits = new.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))  # a row for each rule
+        have = ledger.select("blob", F.explode("rules").alias("rule")).where(F.col("rule").isin(*[name(r) for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("have"))  # one entry for each rule at most
+        lacking = todo.join(have, "blob", "left").withColumn("rules", F.array_except(names, F.coalesce("have", F.array().cast("array<string>")))).where(F.size("rules") > 0)
+    none = F.array().cast(_PLACE)
+    found = [F.when(F.array_contains("rules", name(r)) & F.col("text").rlike(r.pattern), gaps_and_hits(F.col("text"), r, i)).otherwise(none) for i, r in enumerate(rules)]
+    # a row for each match, and one for each blob without any
+    rows = lacking.select("blob", "rules", F.explode_outer(F.flatten(F.array(*found))).alias("x")).select("blob", "rules", "x.*").repartition("blob")
+    by = Window.partitionBy("blob", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gap") + F.col("hit")).over(by)
+    rule = F.get(names, F.col("rank"))
+    least = F.get(F.array(*[F.lit(r.least) for r in rules]), F.col("rank"))
+    span = F.when(F.col("measured") >= least, F.struct(rule.alias("rule"), (F.col("end") - F.col("hit")).alias("start"), F.col("end").alias("end")))
+    return rows.withColumn("end", end).groupBy("blob").agg(F.first("rules").alias("rules"), F.collect_list(span).cast(f"array<{SPAN}>").alias("spans"))
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger's rows; none where nothing has been written yet."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def update_ledger(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scans what the ledger at `path` has not seen and appends it; returns the whole ledger. A scan that fails appends nothing."""
+    spark = versions.sparkSession
+    scan(versions, rules, read_ledger(spark, path)).write.mode("append").parquet(path)
+    return read_ledger(spark, path)
+
+
+def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, paths: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(paths..., blob, spans): all spans of each row of versions by start and rule, from the ledger."""
     keyed = versions.select(*paths, F.sha2(text_or_empty(), 256).alias("blob"))
+    ranks = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(name(r)), F.struct(F.lit(i).alias("rank"), F.lit(r.kind).alias("kind")))])
+    current = F.filter("spans", lambda s: s["rule"].isin(*[name(r) for r in rules]))
+    known = ledger.where(F.size("spans") > 0).join(keyed.select("blob").distinct(), "blob", "left_semi")
+    once = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list(current))).alias("spans"))
+    ordered = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), ranks[s["rule"]]["rank"].alias("rank"), ranks[s["rule"]]["kind"].alias("kind"), s["end"].alias("end"))).cast(FINDING)
+    hits = once.select("blob", F.array_sort(ordered).alias("spans"))
     return keyed.join(hits, "blob", "left").select(*paths, "blob", F.coalesce("spans", F.array().cast(FINDING)).alias("spans"))
 
 
-def report(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """The digest columns of the contract, from what findings() returns."""
+def report(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The digest columns of the contract, from what findings() returns, after the ledger at `path` (else a new one) has been updated."""
+    path = path or f"{shared_dir(docs.sparkSession)}/secrets-ledger-{uuid.uuid4().hex}"
     kinds = [r.kind for r in BASE]
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["kind"].isin(*kinds))
-    return findings(docs, ledger=ledger).select(
+    return findings(docs, update_ledger(docs, path)).select(
         "doc_id", *[count(k).alias(f"n_{k}") for k in kinds], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), "blob",
     )
 

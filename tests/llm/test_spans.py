@@ -99,14 +99,29 @@ def test_no_retry_inside_a_failed_match(spark):
     assert got == {i: sha(base_secrets(t)) for i, t in enumerate(texts)}
 
 
-def test_ledger_is_incremental(spark):
-    one = spark.createDataFrame([(1, "secret: abcdef1"), (2, "secret: abcdef1"), (3, "nothing here")], "doc_id bigint, text string")
-    ledger = secrets.scan(one, secrets.BASE).cache()
-    assert ledger.select("blob").distinct().count() == 2 and ledger.count() == 6
-    two = one.unionByName(spark.createDataFrame([(4, "token = zzzzzzz")], one.schema))
-    new = secrets.scan(two, secrets.BASE, ledger)
-    assert new.select("blob").distinct().count() == 1
+def test_ledger_is_incremental(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    one = spark.createDataFrame([(1, "secret: abcdef1"), (2, "secret: abcdef1"), (3, "nothing here"), (4, None)], "doc_id bigint, text string")
+    ledger = secrets.update_ledger(one, path, secrets.BASE)
+    assert ledger.count() == 3 and {tuple(r["rules"]) for r in ledger.collect()} == {("assign@1", "access@1", "hex@1")}
+    assert secrets.scan(one, secrets.BASE, ledger).count() == 0  # a second pass scans nothing
+    assert secrets.update_ledger(one, path, secrets.BASE).count() == 3
+    two = one.unionByName(spark.createDataFrame([(5, "token = zzzzzzz")], one.schema))
+    assert secrets.scan(two, secrets.BASE, ledger).count() == 1
     newer = (secrets.Rule("assign", 2, r"secret", 0, 1), *secrets.BASE[1:])
-    assert {r["rule"] for r in secrets.scan(one, newer, ledger).collect()} == {"assign@2"}
-    got = {r["doc_id"]: len(r["spans"]) for r in secrets.findings(two, secrets.BASE, ledger).collect()}
-    assert got == {1: 1, 2: 1, 3: 0, 4: 1}
+    assert {tuple(r["rules"]) for r in secrets.scan(one, newer, ledger).collect()} == {("assign@2",)}  # only unseen pairs
+    ledger = secrets.update_ledger(two, path, newer)
+    assert ledger.count() == 3 + 4
+    of = lambda rules: {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.findings(two, ledger, rules).collect()}
+    assert of(newer) == {1: [(0, 0, "assign", 6)], 2: [(0, 0, "assign", 6)], 3: [], 4: [], 5: []}
+    assert of(secrets.BASE[:1])[1] == [(0, 0, "assign", 15)]
+    twice = ledger.unionByName(ledger)  # two scans at once have appended the same pairs
+    assert {r["doc_id"]: len(r["spans"]) for r in secrets.findings(two, twice, newer[::-1]).collect()} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0}
+    assert secrets.report(two, path).count() == 5 and secrets.update_ledger(two, path).count() == secrets.read_ledger(spark, path).count()
+
+
+def test_many_findings_of_one_text(spark):
+    text = " ".join(f"{i:024x}" for i in range(30_000))
+    row = secrets.report(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert row["n_hex"] == 30_000 and row["spans"].startswith("hex:0:24,hex:25:49") and row["spans"].endswith(f"hex:{len(text) - 24}:{len(text)}")
+
