@@ -3,11 +3,15 @@
 import hashlib
 import math
 import random
+import re
+import struct
+import unicodedata
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from corpusmill.llm import fingerprint, minhash, quality, repeats
 
@@ -19,6 +23,18 @@ def edited(t, following):
     return t[: len(t) - h] + following[:h]
 
 
+def canonical(t):
+    t = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold())
+    return re.sub("[ \t\n\x0b\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " ", t).strip(" ")
+
+
+def fingerprint_of(t):
+    """Two seeds of 64 bits: 42, and what 42 makes of the operator's own."""
+    data = canonical(t).encode()
+    seeds = 42, xxhash.xxh64_intdigest(struct.pack("<i", fingerprint.SEED), 42)
+    return "".join(f"{xxhash.xxh64_intdigest(data, s):016x}" for s in seeds)
+
+
 def test_fingerprints(docs):
     got = {r["doc_id"]: r for r in fingerprint.report(docs).collect()}
     rows = sorted(texts_of())
@@ -28,7 +44,10 @@ def test_fingerprints(docs):
         assert got[i]["edited_sha256"] == hashlib.sha256(edited(t, rows[(j + 1) % len(rows)][1]).encode()).hexdigest()
         by_text.setdefault(t, set()).add(got[i]["fingerprint"])
     assert all(len(f) == 1 for f in by_text.values())
-    for i, t in rows:
+    for j, (i, t) in enumerate(rows):
+        following = rows[(j + 1) % len(rows)][1]
+        assert got[i]["fingerprint"] == fingerprint_of(t) and got[i]["edited_fingerprint"] == fingerprint_of(edited(t, following))
+        assert got[i]["near_edited"] == float(canonical(t) == canonical(edited(t, following))) and got[i]["near_next"] == float(canonical(t) == canonical(following))
         assert got[i]["copies"] == sum(t == u for _, u in rows) and got[i]["first_id"] == min(k for k, u in rows if u == t)
 
 
