@@ -6,7 +6,8 @@ fills the remaining budget to the word; which documents of a length are taken is
 The histogram of a source has a row for each distinct length, so a source with a third of all rows is as small as another.
 Documents of one source and length, however many, are ranked in chunks of about the square root of their number. Null source
 is a source of its own and comes last; null text has size 0; repeated rows count each; an empty table gives an empty table;
-other columns are ignored. Reruns agree, whatever the partitioning.
+other columns are ignored. Reruns agree, whatever the partitioning. The knapsack of a source looks at budgets up to twice its
+longest document's words, with a byte and a number for each word of that: 100 MB for a document of ten million words.
 """
 
 from __future__ import annotations
@@ -133,8 +134,19 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. Rows of one id, source and size are taken alike, by their mean."""
-    keyed = docs.withColumn("__s", F.col("source").cast("string")).withColumn("__z", size_of())
-    t = mix(docs, **how).groupBy("doc_id", "source", "size").agg(F.round(F.avg("times")).cast("int").alias("__times")).where("__times > 0")
-    t = t.withColumnsRenamed({"source": "__s", "size": "__z"})
-    return join_same(keyed, t, ["doc_id", "__s", "__z"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*[f"`{c}`" for c in docs.columns])
+    """The rows of docs, each as often as the mix takes it.
+
+    Rows of one id, source and size are told apart by nothing that the mix knows: what it takes of them all is spread evenly
+    over them, so that as many words stand here as report() says. Where they repeat they are counted in a window of their own.
+    """
+    taken = mix(docs, **how).groupBy("doc_id", "source", "size").agg(F.sum("times").alias("times"), F.count("*").alias("rows")).where("times > 0")
+    taken = settled(taken, "taken")
+    keyed = docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of().alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keys = ["doc_id", "source", "size"]
+    once = join_same(keyed, taken.where("rows = 1"), keys).select("row", "times")
+    if not taken.where("rows > 1").isEmpty():
+        again = join_same(keyed, taken.where("rows > 1"), keys)
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("row")))
+        share = F.floor(F.col("times") / F.col("rows")) + (place <= F.pmod("times", "rows")).cast("long")
+        once = once.unionByName(again.select("row", share.alias("times")).where("times > 0"))
+    return once.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*")

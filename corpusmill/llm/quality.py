@@ -1,8 +1,8 @@
 """Compression classifier: one zstandard dictionary from good and one from bad labelled text; the normalised difference of
 the compressed sizes, calibrated by logistic regression, is the score.
 
-The model is fitted on the driver from at most SAMPLE_PER_CLASS labelled texts a class of at most SAMPLE_CHARS code points
-each (the rows with the smallest hashed ids), and is a few hundred KB, whatever the size of the corpus. Scoring reads every
+The model is fitted on the driver from at most SAMPLE_PER_CLASS labelled texts a class (the rows with the smallest hashed ids), of
+longer ones SAMPLE_CHARS code points at a place decided by the id, and is a few hundred KB, whatever the size of the corpus. Scoring reads every
 whole text, one row at a time, in pieces of PIECE bytes; nothing is shuffled. Null and empty texts get the score of a
 difference of 0. Rows repeat as they come; a null doc_id counts as the empty string for the split; a document with several
 labels is seen once with each. With labels of one class only, every score is the training rate (0.5 without labels).
@@ -107,7 +107,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     texts: dict[int, list[str]] = {0: [], 1: []}
     for y in share:
         ids = train.where(F.col("y") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS)
-        found = docs.select("doc_id", "text").where((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS)).join(F.broadcast(ids), "doc_id")
+        place = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1  # of long texts a part
+        found = docs.select("doc_id", F.substring("text", place, F.lit(SAMPLE_CHARS)).alias("text")).where(F.length("text") > 0).join(F.broadcast(ids), "doc_id")
         texts[y] = [r["text"] for r in found.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text").limit(SAMPLE_PER_CLASS).collect()]
     if min(len(texts[0]), len(texts[1])) < 3:
         rate = share.get(1, 0) / max(1, sum(share.values())) if share else 0.5
@@ -121,9 +122,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 
 
 def with_score(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
-    """docs with one more column, the probability of label 1."""
+    """docs with one more column, the probability of label 1. A column of that name is refused."""
     names = [f.name for f in docs.schema.fields]
-    assert score not in names, f"docs has a column {score}"
+    if score in names:
+        raise ValueError(f"docs has a column {score}")
 
     def run(batches):
         one = model.scorer()
@@ -131,9 +133,12 @@ def with_score(docs: DataFrame, model: Model, score: str = "score") -> DataFrame
             scores = [one(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], [*names, score])
 
-    schema = StructType([*docs.schema.fields, StructField(score, DoubleType())])
-    whole = docs.select([F.col(f"`{n}`") for n in names] + [text_or_empty().alias("__text")])
-    return whole.mapInArrow(run, schema)
+    return _whole(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField(score, DoubleType())]))
+
+
+def _whole(docs: DataFrame) -> DataFrame:
+    """docs and, last, its text without nulls; columns go by place from here."""
+    return docs.select([F.col(f"`{n}`") for n in docs.columns] + [text_or_empty().alias("whole_text")])
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -142,5 +147,13 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without the rows whose score is below the threshold; its columns stay."""
-    return with_score(docs, fit(docs, labels), "__score").where(F.col("__score") >= threshold).drop("__score")
+    """docs without the rows whose score is below the threshold; its columns stay, whatever their names."""
+    model, names = fit(docs, labels), docs.columns
+
+    def run(batches):
+        one = model.scorer()
+        for b in batches:
+            kept = pa.array([one(t) >= threshold for t in b.column(b.num_columns - 1).to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(kept) for c in b.columns[:-1]], names)
+
+    return _whole(docs).mapInArrow(run, docs.schema)

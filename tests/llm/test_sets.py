@@ -8,7 +8,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpusmill.llm import mixing, packing, preference, queries, search, tokens
-from corpusmill.llm.common import documents
 
 from .conftest import ROWS, texts_of
 
@@ -119,7 +118,17 @@ def test_mixing_odd_rows(odd, none):
     assert len(rows) == len(ROWS) and all(r["taken"] <= 2 * r["size"] for r in rows)
     assert mixing.report(none).count() == 0
     out = mixing.mixed(odd)
-    assert out.columns == odd.columns and out.count() > 0
+    assert out.columns == odd.columns and mixing.mixed(none).count() == 0
+    assert sum(len((r["text"] or "").split()) for r in out.collect()) == sum(r["taken"] for r in rows)
+
+
+@pytest.mark.parametrize("copies", [1, 2, 7])
+def test_mixed_rows_hold_what_is_taken(spark, copies):
+    rows = [(1, "a b c d e f g h i j k l", "x")] * copies + [(2, "a b c", "y"), (3, "a b c d", "z"), (None, None, None)]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id bigint, text string, source string, __times int, size int, row int")
+    out = mixing.mixed(df)
+    assert out.columns == df.columns
+    assert sum(len((r["text"] or "").split()) for r in out.collect()) == sum(r["taken"] for r in mixing.report(df).collect()) > 0
 
 
 def test_budgets_are_met_to_the_word():
@@ -219,29 +228,3 @@ def test_preference_sides_of_conversations(spark):
         (6, "prompt", -1, "<|bot|>\nsame\n"), (6, "prompt", -1, "<|bot|>\nsame\n"), (7, "prompt", 0, "<||>\nsame\n"), (7, "prompt", 4, "<|bot|>\nsame\n"),
     ])
     assert preference.report(df.where("false")).count() == 0
-
-
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-    from corpusmill.llm import minhash, pii, quality
-
-    d = "/root/testdata/sf0.001"
-    docs = documents(spark, d)
-    labels = spark.read.parquet(f"{d}/labels.parquet")
-    kept = corpus_pipeline.good_documents(spark, docs, d)
-    scores = {r["doc_id"]: r["score"] for r in quality.report(docs, labels).collect()}
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, s in scores.items() if s >= 0.5}
-    one = corpus_pipeline.one_of_each_class(spark, docs, d)
-    classes = minhash.report(docs).collect()
-    assert one.columns == docs.columns and sorted(r["doc_id"] for r in one.collect()) == sorted({r["class_id"] for r in classes})
-    clean = corpus_pipeline.without_personal_data(spark, docs, d)
-    assert clean.columns == docs.columns
-    texts = dict(texts_of())
-    for r in clean.collect():
-        t = texts[r["doc_id"]]
-        assert r["text"] == pii.redacted(t, pii.scored(t, 0.5)) and r["n_chars"] == len(r["text"])
-    mixed = corpus_pipeline.mixture(spark, docs, d)
-    want = {r["doc_id"]: r["taken"] // max(1, r["size"]) for r in mixing.report(docs).collect()}
-    assert mixed.columns == docs.columns and mixed.count() == sum(want.values())
-    rows = corpus_pipeline.run(spark, d).collect()
-    assert rows and max(r["offset"] + r["length"] for r in rows) <= packing.SIZE

@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 
 from corpusmill.llm import fingerprint, minhash, quality, repeats
 
@@ -269,6 +270,29 @@ def test_quality_on_held_out_rows(spark):
     assert all(0 <= g["score"] <= 1 and g["predicted"] == (g["score"] >= 0.5) for g in got.values())
 
 
+def plain_score(model, text):
+    """From the model's dictionaries and weights alone, each piece with a compressor of its own."""
+    data = text.encode()
+    shares = []
+    for i in range(0, len(data), 2048):
+        piece = data[i : i + 2048]
+        good, bad = (len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(piece)) for d in (model.good, model.bad))
+        shares.append((bad - good, max(len(piece), 256)))
+    x = [1.0, 10 * sum(d for d, _ in shares) / max(len(data), 256), 10 * min((d / n for d, n in shares), default=0.0)]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(model.weights, x, strict=True))))
+
+
+def test_quality_scores_by_brute_force(spark, docs):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality.fit(docs, labels)
+    assert model.trained and len(model.good) and model.good != model.bad
+    got = {r["doc_id"]: r["score"] for r in quality.report(docs, labels).collect()}
+    assert got.keys() == dict(texts_of()).keys()
+    for i, t in texts_of():
+        assert got[i] == pytest.approx(plain_score(model, t), abs=1e-9)
+    assert {r["doc_id"] for r in quality.keep_good(docs, labels).collect()} == {i for i, x in got.items() if x >= 0.5}
+
+
 def test_quality_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(5, 1, 0), (6, 0, 0), (None, 1, 0), (7, None, 0)], "doc_id bigint, quality int, toxic int")
     assert quality.report(odd, labels).count() == len(ROWS) and quality.report(none, labels).count() == 0
