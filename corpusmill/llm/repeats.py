@@ -1,9 +1,8 @@
 """Removal of passages that repeat: recurring passages are confirmed, compiled into sharded Aho-Corasick automata, and every
 document is streamed through the automata that may match it, to locate all occurrences.
 
-A window is SPAN consecutive words. Its anchor is the GRAM-word sequence with the least hash in it, with the SIDE words before it
-or else, where a window has not so many before it, after it. Equal windows have equal anchors, and only windows whose anchor
-stands in two places can recur. Each document is split and hashed once, for its anchors.
+A window is SPAN consecutive words. Its anchor is the GRAM-word sequence with the least hash in it, so equal windows have equal
+anchors, and only windows whose anchor stands in two places can recur. Each document is split and hashed once, for its anchors.
 The windows of an anchor that recurs are one stretch of text; stretches and no others are sent to the shard of their anchor:
 
 - A shard takes the whole keys of anchors of up to COMMON places, about UNITS windows at a time. It confirms the windows that
@@ -33,12 +32,10 @@ from pyspark.sql.window import Window
 from xxhash import xxh3_128_digest
 
 from .common import NULL_ID, grouped, settled, text_or_empty
-from .minhash import mixed_bits, shingle_hashes
+from .minhash import shingle_hashes
 
 SPAN = 20
 GRAM = 6
-#: Half of what a window has besides its GRAM words: one side of them always has so many.
-SIDE = 7
 COMMON = 512
 UNITS = 60_000
 _REACH = 1 << 24
@@ -83,22 +80,16 @@ def anchors(texts: DataFrame) -> DataFrame:
                 flat = [w for ws in split for w in ws]
                 h = shingle_hashes(flat, GRAM) if len(flat) >= GRAM else np.zeros(0, np.uint64)
                 own = owners(h)
-                before = own - np.arange(len(own)) >= SIDE  # by window; the words before the sequence count, else those after it
-                place = own - SIDE * before
                 columns: list[list[np.ndarray]] = [[], [], []]
                 sizes, at = [], 0
                 for ws in split:
                     n = max(0, len(ws) - SPAN + 1)
-                    mine = 2 * own[at : at + n] + before[at : at + n]
+                    mine = own[at : at + n]
                     start = np.flatnonzero(np.diff(mine, prepend=-1))
-                    for c, x in zip(columns, (place[at + start], start, np.append(start[1:], n)[: len(start)]), strict=True):
+                    for c, x in zip(columns, (h[mine[start]].view(np.int64), start, np.append(start[1:], n)[: len(start)]), strict=True):
                         c.append(x)
                     sizes.append(len(start))
                     at += len(ws)
-                if len(own):
-                    i = np.concatenate(columns[0])
-                    with np.errstate(over="ignore"):  # of GRAM + SIDE words: the sequences at both ends and one between
-                        columns[0] = [mixed_bits(mixed_bits(mixed_bits(h[i]) + h[i + GRAM]) + h[i + SIDE]).view(np.int64)]
                 offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c), t)) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["o", "anchor", "s", "e"])
@@ -180,12 +171,12 @@ class Shard:
         self.automaton.add_word(phrase, len(self.first))
         self.first.append(place)
 
-    def ranges(self, text: str, start: int, end: int, o: int, s: int) -> Iterator[tuple[int, int, int]]:
+    def ranges(self, text: str, o: int, s: int) -> Iterator[tuple[int, int, int]]:
         """(o, low, high) of the words of one stretch that repeat; places come in order, so one without a first place is the first."""
         first, size, digits = self.first, self.size, self.digits
         low = high = None
-        for last, phrase in self.automaton.iter(text, start, end):
-            place = (o, s + (last + 1 - size - start) // digits)
+        for last, phrase in self.automaton.iter(text):
+            place = (o, s + (last + 1 - size) // digits)
             if first[phrase] is None:
                 first[phrase] = place
             if first[phrase] == place:
@@ -216,7 +207,7 @@ def locate(units: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int,
         return
     shard.automaton.make_automaton()
     for j, (o, s, _, _) in enumerate(units):
-        yield from shard.ranges(text, at[j], at[j + 1], o, s)
+        yield from shard.ranges(text[at[j] : at[j + 1]], o, s)
 
 
 _FOUND = "o bigint, low int, high int"
@@ -303,7 +294,7 @@ def common(rows: DataFrame) -> DataFrame:
                 shard.automaton.make_automaton()
                 text, at = shard.coded([b.split() for _, _, b in units])
                 for j, (o, s, _) in enumerate(units):
-                    out.extend(shard.ranges(text, at[j], at[j + 1], o, s))
+                    out.extend(shard.ranges(text[at[j] : at[j + 1]], o, s))
 
         for b in batches:
             for *at, kind, o, s, body in zip(*[c.to_pylist() for c in b.columns], strict=True):
