@@ -22,16 +22,16 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NULL_ID, WORD, text_or_empty
+from .common import NULL_ID, settled, text_or_empty
 
 K1, B = 1.2, 0.75
 TOP = 10
 SHARD_DOCS, SHARD_WORDS = 16_384, 8 << 20
-BLOCK = 64
+BLOCK = 128
 #: Blocks that are scored at once: of the greatest bounds, then pivots, twice as many from turn to turn.
 FIRST = 8
 
@@ -55,9 +55,12 @@ def terms(docs: DataFrame, where: Column | None = None) -> DataFrame:
 
 
 class Shard:
-    """The index of some documents: ids and sizes one each, terms and counts of one after another, `lengths` of each."""
+    """The index of some documents: ids and sizes one each, how many distinct terms each has, those one after another, their counts."""
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, mean: float):
+    def __init__(self, parts: list[np.ndarray], mean: float):
+        """Empties the list `parts`: terms and counts go as soon as they have been taken in."""
+        ids, sizes, lengths, terms, counts = parts
+        parts.clear()
         n = len(ids)
         first = np.cumsum(lengths) - lengths
         some = np.flatnonzero(lengths)
@@ -71,12 +74,17 @@ class Shard:
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         doc = np.repeat(place.astype(np.int32), lengths)
-        names = np.unique(terms)
-        term = np.searchsorted(names, terms).astype(np.int32)
+        by = np.argsort(terms)
+        terms, doc, counts = terms[by], doc[by], counts[by]
+        del by
+        new = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.zeros(0, np.int64)
+        names, term = terms[new], np.repeat(np.arange(len(new), dtype=np.int32), np.diff(new, append=len(terms)))
+        del terms
         # postings by term and document: one sort of packed numbers where they fit, else of indices
         tf_bits, doc_bits = int(counts.max(initial=1)).bit_length(), max(1, n).bit_length()
         if len(names).bit_length() + tf_bits + doc_bits < 63:
-            packed = (term.astype(np.int64) << (doc_bits + tf_bits)) | (doc.astype(np.int64) << tf_bits) | counts
+            packed = (term.astype(np.int64) << doc_bits | doc) << tf_bits | counts
+            del doc, term, counts
             packed.sort()
             tf = (packed & ((1 << tf_bits) - 1)).astype(np.int32)
             packed >>= tf_bits
@@ -93,12 +101,12 @@ class Shard:
         self.part += tf
         np.divide(tf * (K1 + 1), self.part, out=self.part)
         del tf
-        # one entry for each term and block: where its postings start, their largest part
+        # one entry for each term and block: where its postings start, how many they are, their largest part
         block = doc // BLOCK
         new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
-        self.start, self.end = new, np.append(new[1:], len(term)) if len(new) else new
-        self.block = block[new].astype(np.uint16 if self.blocks < 1 << 16 else np.int32)
         self.most = np.maximum.reduceat(self.part, new) if len(new) else self.part
+        self.start, self.count = new, np.diff(new, append=len(term))
+        self.block = block[new].astype(np.uint16 if self.blocks < 1 << 16 else np.int32)
         self.names = names
         self.at = np.searchsorted(term[new], np.arange(len(names) + 1))
         self.scored = self.skipped = 0  # blocks
@@ -111,22 +119,25 @@ class Shard:
         slot = np.minimum(np.searchsorted(self.names, wanted), len(self.names) - 1)
         has = self.names[slot] == wanted
         slot, weight = slot[has], weight[has]
-        entries, w = _ranges(self.at[slot], self.at[slot + 1], weight)
+        n = self.at[slot + 1] - self.at[slot]
+        entries, w = _ranges(self.at[slot], n), np.repeat(weight, n)
         if not len(entries):
             return none
         blocks = self.block[entries]
         bound = np.bincount(blocks, w * self.most[entries], self.blocks)
         by = np.argsort(blocks, kind="stable")  # cursors in order of blocks
         entries, w = entries[by], w[by]
+        start, count = self.start[entries], self.count[entries]
         cursor = np.concatenate([[0], np.cumsum(np.bincount(blocks, minlength=self.blocks))])
         ids, scores, threshold = *none, 0.0
         before = self.scored
 
         def score(chosen: np.ndarray) -> None:
             nonlocal ids, scores, threshold
-            here, _ = _ranges(cursor[chosen], cursor[chosen + 1], chosen)
-            postings, weights = _ranges(self.start[entries[here]], self.end[entries[here]], w[here])
-            total = np.bincount(self.doc[postings], weights * self.part[postings], len(self.ids))
+            here = _ranges(cursor[chosen], cursor[chosen + 1] - cursor[chosen])
+            n = count[here]
+            postings = _ranges(start[here], n)
+            total = np.bincount(self.doc.take(postings), np.repeat(w[here], n) * self.part.take(postings), len(self.ids))
             hit = np.flatnonzero(total > threshold)
             ids, scores = np.concatenate([ids, self.ids[hit]]), np.concatenate([scores, total[hit]])
             if len(scores) >= k:
@@ -154,23 +165,20 @@ class Shard:
         return ids[best], scores[best]
 
 
-def _ranges(start: np.ndarray, end: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges, one after another, each with its range's weight."""
-    n = end - start
-    total = int(n.sum())
-    if not total:
-        return np.zeros(0, np.int64), np.zeros(0)
-    first = np.cumsum(n) - n
-    return np.arange(total) - np.repeat(first - start, n), np.repeat(weight, n)
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges of n from start, one after another."""
+    out = np.repeat(start - np.cumsum(n) + n, n)
+    out += np.arange(len(out))
+    return out
 
 
 def search(docs: DataFrame, queries: Column, k: int = TOP) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best rows of docs for each row of docs that `queries` (over id) selects."""
-    sums = docs.agg(F.count("*").alias("n"), F.avg(F.regexp_count(text_or_empty(), F.lit(WORD))).alias("mean")).first()
-    total, mean = sums["n"], float(sums["mean"] or 0)
-    rows = terms(docs)
+    seen, rows = Observation(), terms(docs)
+    counted = rows.observe(seen, F.count("*").alias("n"), F.avg("size").alias("mean"))
+    df = settled(counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").cast("int").alias("df")), "df")
+    total, mean = seen.get["n"], float(seen.get["mean"] or 0)
     shards = max(1, -(-total // SHARD_DOCS), int(total * mean) // SHARD_WORDS + 1)
-    df = rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").cast("int").alias("df"))
     asked = terms(docs, queries).dropDuplicates(["id", "d"]).select("id", "d", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("id", "d", F.col("x.terms").alias("t"), F.col("x.counts").alias("c"))
     q = asked.join(df, "t").groupBy("id", "d").agg(F.array_sort(F.collect_list(F.struct("t", "c", "df"))).alias("x"))  # the distinct words of one text
     q = q.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "d", F.lit(0).cast("bigint").alias("size"), F.col("x.t").alias("terms"), F.col("x.c").alias("counts"), F.col("x.df").alias("df"))
@@ -186,7 +194,7 @@ def search(docs: DataFrame, queries: Column, k: int = TOP) -> DataFrame:
         def built():
             parts = [np.concatenate(c) for c in zip(*held, strict=True)] if held else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.int32)]
             held.clear()
-            return Shard(*parts, mean)
+            return Shard(parts, mean)
 
         for b in batches:
             plain = {n: b.column(n).to_numpy(zero_copy_only=False) for n in ("shard", "kind", "id", "d", "size")}

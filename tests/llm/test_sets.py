@@ -153,14 +153,15 @@ def test_sql_twins(spark, name):
     assert sorted(map(str, got.itertuples(index=False, name=None))) == sorted(map(str, want.itertuples(index=False, name=None)))
 
 
-def test_search_prunes_without_loss():
+def test_search_prunes_without_loss(monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 32)
     rng = np.random.default_rng(0)
     n, k = 3000, 10
     lists = [np.unique(rng.zipf(1.3, rng.integers(5, 60)) % 2000).astype(np.int64) for _ in range(n)]
     counts = [rng.integers(1, 5, len(t)) for t in lists]
     sizes = [int(c.sum()) for c in counts]
-    flat = np.arange(n), np.array(sizes), np.array([len(t) for t in lists]), np.concatenate(lists), np.concatenate(counts).astype(np.int32)
-    shard = search.Shard(*flat, float(np.mean(sizes)))
+    flat = [np.arange(n), np.array(sizes), np.array([len(t) for t in lists]), np.concatenate(lists), np.concatenate(counts).astype(np.int32)]
+    shard = search.Shard(flat, float(np.mean(sizes)))
     for q in range(0, n, 300):
         w = rng.uniform(0.1, 5, len(lists[q]))
         exact = np.zeros(n)
