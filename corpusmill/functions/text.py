@@ -10,7 +10,6 @@ BLANK = r"\x{1c}-\x{1f}\t\n\x{0b}\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{20
 WORD = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_" + BLANK + "]"
 LINE_END = r"\r\n|[\n\r\x{0b}\f\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 URL = r"(?i)https?://|www\."
-SEPARATOR = "\u0001"
 
 
 def normalized(text: Column) -> Column:
@@ -30,11 +29,11 @@ def repeated_chars(text: Column) -> Column:
 
 
 def repeated_ngrams(text: Column, n: int = 5) -> Column:
-    """Share of word n-grams that occurred before, 0 below 2n words."""
+    """Share of word n-grams that occurred before, 0 below 2n words. They are compared by 64-bit hashes."""
     words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
     # one array element in, so that the words are found once
     def share(w: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), SEPARATOR))
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, n)))
         return F.transform(F.array(grams), lambda g: (F.size(g) - F.size(F.array_distinct(g))) / F.size(g))[0]
 
     return F.transform(F.array(words), lambda w: F.when(F.size(w) < 2 * n, 0.0).otherwise(share(w)))[0]

@@ -29,22 +29,44 @@ def measured(blocks: DataFrame, vocabulary: int, length: int) -> DataFrame:
     })
 
 
-def audit(blocks: DataFrame, vocabulary: int, length: int, split: str = "split") -> DataFrame:
-    """One row a split: counts, the duplicate ratio, and the reasons that block it."""
+def _counts(blocks: DataFrame, split: str, column: str, name: str) -> DataFrame:
+    """(split, name): a map from each value of a column ("unknown" for null) to its blocks; a split has a few domains and sources."""
+    value = F.coalesce(F.col(column), F.lit("unknown")) if column in blocks.columns else F.lit("unknown")
+    rows = blocks.groupBy(split, value.alias("v")).agg(F.count("*").alias("c"))
+    return rows.groupBy(split).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("v", "c")))).alias(name))
+
+
+def audit(blocks: DataFrame, vocabulary: int, length: int, split: str = "split", mix: dict[str, float] | None = None, mixed: tuple[str, ...] = ("train",), splits: tuple[str, ...] = ()) -> DataFrame:
+    """One row a split: counts, the duplicate ratio, domains and sources, and the reasons that block it.
+
+    The shares of `mix` are held against the splits named in `mixed`. A split named in `splits` without any block is blocked as empty.
+    """
     yes = lambda c: F.count_if(F.col(c))
     sums = measured(blocks, vocabulary, length).groupBy(split).agg(
-        F.count("*").alias("num_blocks"), F.sum(F.size("input_ids")).alias("num_tokens"), yes("bad_length").alias("bad_length"), F.sum("invalid").alias("invalid_token_count"), yes("bad_pad").alias("bad_pad"),
+        F.count("*").alias("num_blocks"), (F.count("*") * length).alias("num_tokens"), yes("bad_length").alias("bad_length"), F.sum("invalid").alias("invalid_token_count"), yes("bad_pad").alias("bad_pad"),
         F.min("valid").alias("min_valid_tokens"), F.count_if(F.col("valid") > 1).alias("labelled"), yes("no_bos").alias("missing_bos"), yes("no_eos").alias("missing_eos"), F.countDistinct("hash").alias("distinct"),
     )
-    n = F.col("num_blocks")
-    ratio = 1 - F.col("distinct") / n
+    for column, name in (("domain", "domain_counts"), ("source", "source_counts")):
+        other = _counts(blocks, split, column, name).withColumnRenamed(split, "__split")
+        sums = sums.join(other, F.col(split).eqNullSafe(F.col("__split"))).drop("__split")  # a row a split
+    if splits:
+        named = blocks.sparkSession.createDataFrame([(s,) for s in splits], f"{split} string")
+        sums = sums.join(named, split, "full")
+    empty = F.col("num_blocks").isNull()
+    sums = sums.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("num_blocks", "num_tokens", "bad_length", "invalid_token_count", "bad_pad", "min_valid_tokens", "labelled", "missing_bos", "missing_eos", "distinct")})
+    n = F.greatest(F.col("num_blocks"), F.lit(1))
+    ratio = F.when(F.col("num_blocks") > 0, 1 - F.col("distinct") / n).otherwise(0.0)
     few = lambda share: F.greatest(F.lit(1), F.floor(n * share))
     found = [
-        ("wrong_length", F.col("bad_length") > 0), ("invalid_tokens", F.col("invalid_token_count") > 0), ("padding", F.col("bad_pad") > 0), ("no_labels", F.col("labelled") == 0), ("min_valid", F.col("min_valid_tokens") < least_valid(length)),
-        ("bos", F.col("missing_bos") > few(0.01)), ("eos", F.col("missing_eos") > few(0.10)), ("duplicates", ratio > MOST_DUPLICATES),
+        ("empty", empty | (F.col("num_blocks") == 0)), ("wrong_length", F.col("bad_length") > 0), ("invalid_tokens", F.col("invalid_token_count") > 0), ("padding", F.col("bad_pad") > 0), ("no_labels", F.col("labelled") == 0),
+        ("min_valid", (F.col("num_blocks") > 0) & (F.col("min_valid_tokens") < least_valid(length))), ("bos", F.col("missing_bos") > few(0.01)), ("eos", F.col("missing_eos") > few(0.10)), ("duplicates", ratio > MOST_DUPLICATES),
     ]
+    for domain, share in (mix or {}).items():
+        actual = F.coalesce(F.col("domain_counts")[domain], F.lit(0)) / n
+        found.append((f"mix:{domain}", F.col(split).isin(*mixed) & (F.col("num_blocks") > 0) & (F.abs(actual - share) > MIX_TOLERANCE)))
     reasons = F.filter(F.array(*[F.when(test, name) for name, test in found]), lambda x: x.isNotNull())
-    return sums.withColumn("duplicate_block_ratio", ratio).withColumn("blocked_reasons", F.array_join(reasons, ",")).withColumn("decision", F.when(F.size(reasons) == 0, "PASS").otherwise("BLOCKED"))
+    shares = F.transform_values("domain_counts", lambda _, c: c / n)
+    return sums.withColumn("mix_ratio", shares).withColumn("duplicate_block_ratio", ratio).withColumn("blocked_reasons", F.array_join(reasons, ",")).withColumn("decision", F.when(F.size(reasons) == 0, "PASS").otherwise("BLOCKED"))
 
 
 def mix_shares(blocks: DataFrame, expected: dict[str, float]) -> DataFrame:
@@ -60,7 +82,10 @@ def mix_shares(blocks: DataFrame, expected: dict[str, float]) -> DataFrame:
 
 def id_range(rows: DataFrame, first: int, order: str, ids: str = "ids") -> DataFrame:
     """Least and greatest id, negative ids, rows and ids of the first rows by order."""
-    head = rows.orderBy(order).limit(first)
+    return ids_measured(rows.orderBy(order).limit(first), ids)
+
+
+def ids_measured(head: DataFrame, ids: str = "ids") -> DataFrame:
     return head.agg(F.min(F.array_min(ids)).alias("least"), F.max(F.array_max(ids)).alias("greatest"), F.sum(F.size(F.filter(ids, lambda x: x < 0))).alias("negative"), F.count("*").alias("rows"), F.sum(F.size(ids)).alias("ids"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.functions.text import text_hash
+from corpusmill.functions.text import normalized, text_hash
 
 
 def hashed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -26,6 +26,24 @@ def keep_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.join(firsts(rows.select(*keys, order), keys, order), [*keys, order], "left_semi")
 
 
+def first_usable(cached: DataFrame, n: int, earlier: DataFrame | None = None, order: str = "ord") -> DataFrame:
+    """The first n rows of a cached table that may be used again: texts normalised once more, empty ones out, a stored text_hash
+    trusted, rows of `earlier` (text_hash) and later copies out. Quality is not judged again; fewer than n are the caller's to refuse.
+    """
+    rows = cached.withColumn("text", normalized(F.col("text"))).where("text <> ''")
+    stored = F.nullif(F.col("text_hash"), F.lit("")) if "text_hash" in cached.columns else F.lit(None).cast("string")
+    rows = rows.withColumn("text_hash", F.coalesce(stored, text_hash(F.col("text"))))
+    if earlier is not None:
+        rows = without(rows, earlier, "text_hash")
+    return keep_first(rows, ["text_hash"], order).orderBy(order).limit(n)
+
+
+def corpus_size(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(docs, chars) of the texts that are not blank, blanks around them left out."""
+    stripped = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\r\x0b\f"))
+    return docs.select(F.length(stripped).alias("n")).where("n > 0").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("chars"))
+
+
 def groups(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("copies"), F.min(order).alias("first_id"))
 

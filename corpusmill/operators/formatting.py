@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, StringType, StructType
 from pyspark.sql.window import Window
 
 # Tags, and the names a field may have, in their order.
@@ -20,6 +23,24 @@ def stripped(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
+def stringified(value: Column, kind: DataType) -> Column:
+    """A value of any type as text: null is empty, a list has a line for each item, a map or record "key: value" lines by key."""
+    none = F.lit("")
+    if isinstance(kind, StringType):
+        return F.coalesce(value, none)
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.array_join(F.transform(value, lambda x: stringified(x, kind.elementType)), "\n"), none)
+    if isinstance(kind, MapType):
+        lines = F.transform(F.array_sort(F.map_entries(value)), lambda e: F.concat(stringified(e["key"], kind.keyType), F.lit(": "), stringified(e["value"], kind.valueType)))
+        return F.coalesce(F.array_join(lines, "\n"), none)
+    if isinstance(kind, StructType):
+        lines = [F.concat(F.lit(f"{f.name}: "), stringified(value[f.name], f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(value.isNull(), none).otherwise(F.concat_ws("\n", *lines))
+    if isinstance(kind, BooleanType):
+        return F.when(value, "True").when(~value, "False").otherwise("")
+    return F.coalesce(value.cast("string"), none)
+
+
 def first_of(columns: list[str], names: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.col(n).cast("string") for n in names if n in columns], F.lit(""))
 
@@ -102,6 +123,29 @@ def prompts(conversations: DataFrame) -> DataFrame:
     return rows.where("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("prompt"), "response")
 
 
+def loader_ids(rows: DataFrame, encode: Callable[[Column], Column], eos: int | None = 3, separator: str = "\n") -> Column:
+    """A record's ids: its own, else those of prompt, separator and response, else those of its text, with the end id; fewer than two get two pads.
+
+    A record has what is not null in it.
+    """
+    field = lambda name, kind: F.col(name).cast(kind) if name in rows.columns else F.lit(None).cast(kind)
+    between = F.coalesce(field("separator", "string"), F.lit(separator))
+    text = F.coalesce(F.concat(field("prompt", "string"), between, field("response", "string")), field("text", "string"), F.lit(""))
+    made = encode(text) if eos is None else F.concat(encode(text), F.array(F.lit(eos)))
+    ids = F.coalesce(field("input_ids", "array<int>"), made)
+    return F.when(F.size(ids) < 2, F.concat(ids, F.array(F.lit(0), F.lit(0)))).otherwise(ids)
+
+
+def prompt_ids(ids: Column, bos: int = 2) -> Column:
+    """The ids with the begin id in front, once."""
+    return F.when(F.coalesce(F.get(ids, F.lit(0)) == bos, F.lit(False)), ids).otherwise(F.concat(F.array(F.lit(bos)), ids))
+
+
+def spoken_ids(ids: Column, special: int = 3) -> Column:
+    """The ids that stand for text: those beyond the special ones."""
+    return F.filter(ids, lambda x: x > special)
+
+
 def example(ids: Column, length: int, start: Column | None = None) -> dict[str, Column]:
     """input_ids cropped or padded to length, labels without loss on pads, and the mask."""
     at = F.lit(0) if start is None else start

@@ -1,6 +1,6 @@
 """Measures of a slot memory and its graph, over tables of retrievals, vectors and edges.
 
-Rows are numbered over runs of 65,536 orders, so no task sees a whole table; orders are whole numbers and near dense.
+Rows are numbered by ranges of their order, so no task sees a whole table.
 """
 
 from __future__ import annotations
@@ -11,6 +11,11 @@ from pyspark.sql.window import Window
 
 from corpusmill.functions import vector as V
 from corpusmill.operators.retrieval import edge_softmax
+from corpusmill.sources.shared import settled
+
+
+#: Nodes of a graph, whose vectors are broadcast: 16 MB at 512 numbers each.
+MOST_NODES = 4096
 
 
 def write_threshold(step: Column, initial: float, target: float, every: int, amount: float) -> Column:
@@ -37,10 +42,12 @@ def reusable(counts: DataFrame, ratio: float) -> DataFrame:
 
 
 def _affinity(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(query, node, p): softmax over nodes of the cosine; both sides are (id, v), nodes a model's few hundred."""
+    """(query, node, p): softmax over nodes of the cosine; both sides are (id, v). Nodes are a model's few hundred: more than MOST_NODES are refused."""
+    if nodes.limit(MOST_NODES + 1).count() > MOST_NODES:
+        raise ValueError(f"more than {MOST_NODES} nodes")
     n = nodes.select(F.col("id").alias("node"), V.unit(F.col("v")).alias("nv"))
     q = queries.select(F.col("id").alias("query"), V.unit(F.col("v")).alias("qv"))
-    logits = q.crossJoin(n).select("query", F.col("node"), V.dot(F.col("qv"), F.col("nv")).alias("logit"))
+    logits = q.crossJoin(F.broadcast(n)).select("query", F.col("node"), V.dot(F.col("qv"), F.col("nv")).alias("logit"))
     return edge_softmax(logits.withColumnsRenamed({"query": "src", "node": "dst"})).select(F.col("src").alias("query"), F.col("dst").alias("node"), "p")
 
 
@@ -53,13 +60,12 @@ def overview(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFram
 
 
 def _numbered(rows: DataFrame, seq: str, order: str, name: str) -> DataFrame:
-    """rows with their place by (seq, order), from 0: the rows of earlier runs, and the place in the run."""
-    runs = rows.withColumn("__run", F.floor(F.col(order) / 65_536))
-    before = F.sum("c").over(Window.orderBy(seq, "__run").rowsBetween(Window.unboundedPreceding, -1))
-    bases = runs.groupBy(seq, "__run").agg(F.count("*").alias("c")).select(F.col(seq).alias("__seq"), F.col("__run").alias("__r"), F.coalesce(before, F.lit(0)).alias("__base"))
-    at = F.row_number().over(Window.partitionBy(seq, "__run").orderBy(order)) - 1
-    placed = runs.withColumn("__at", at).join(bases, F.col(seq).eqNullSafe(F.col("__seq")) & F.col("__run").eqNullSafe(F.col("__r")))
-    return placed.withColumn(name, F.col("__base") + F.col("__at")).drop("__run", "__seq", "__r", "__base", "__at")
+    """rows with their place by (seq, order), from 0: the rows of the ranges before, and the place in the range."""
+    ranged = settled(rows.repartitionByRange(seq, order).withColumn("__p", F.spark_partition_id()), "ranges")
+    before = F.sum("c").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    bases = ranged.groupBy(F.col("__p").alias("__r")).agg(F.count("*").alias("c")).select("__r", F.coalesce(before, F.lit(0)).alias("__base"))
+    at = F.row_number().over(Window.partitionBy("__p").orderBy(seq, order)) - 1
+    return ranged.withColumn("__at", at).join(bases, F.col("__p") == F.col("__r")).withColumn(name, F.col("__base") + F.col("__at")).drop("__p", "__r", "__base", "__at")
 
 
 def adjacent_contrast(rows: DataFrame, seq: str, order: str, value: str, tau: float, negatives: int) -> DataFrame:

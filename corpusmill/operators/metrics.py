@@ -22,5 +22,22 @@ def summary(log: DataFrame) -> DataFrame:
     return out.withColumn("drop", drop).withColumn("decision", F.when(drop >= 0.05, "PASS").otherwise("REVIEW"))
 
 
+def report_bits(found: DataFrame) -> DataFrame:
+    """(decision, drop, recon_drop_ge_5pct, retrieval_entropy_decreased, retrieval_top10_over_0_18) of a memory run's summary(), one row.
+
+    Fixed values: the metrics' names and the mass that the ten best should have.
+    """
+    of = lambda metric, c: F.max(F.when(F.col("metric") == metric, F.col(c)))
+    yes = lambda test: F.coalesce(test, F.lit(False))
+    first = of("recon_loss", "first")
+    row = found.agg(
+        F.when(first != 0, of("recon_loss", "drop")).alias("drop"),
+        yes(of("retrieval_entropy_div_logtopk", "last") < of("retrieval_entropy_div_logtopk", "first")).alias("retrieval_entropy_decreased"),
+        yes(of("retrieval_top10_mass", "last") > 0.18).alias("retrieval_top10_over_0_18"),
+    )
+    enough = yes(F.col("drop") >= 0.05)
+    return row.select(F.when(enough, "PASS").otherwise("REVIEW").alias("decision"), "drop", enough.alias("recon_drop_ge_5pct"), "retrieval_entropy_decreased", "retrieval_top10_over_0_18")
+
+
 def averages_after(log: DataFrame, warmup: int) -> DataFrame:
     return log.where((F.col("step") >= warmup) & finite(F.col("value"))).groupBy("metric").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))

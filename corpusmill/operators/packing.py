@@ -2,8 +2,8 @@
 
 Next fit is a state machine over the tokens used in the open block, so it is a function from 0..length to 0..length for any
 run of documents. Runs of RUN consecutive documents are summarised in parallel by that function (from every start at once),
-the functions of a part are chained from its first run, and each run is replayed from its known start. No task ever
-holds more than a run of lengths or, for chaining, one function a run.
+the functions of FAN runs are composed, and so on up; starts are then chained down again, and each run is replayed from its
+known start. No task ever holds more than a run of lengths or FAN functions.
 """
 
 from __future__ import annotations
@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.functions.text import ids_hash
+from corpusmill.sources.shared import settled
 
 # Ids with a meaning.
 PAD, UNK, BOS, EOS = 0, 1, 2, 3
 RUN = 4096
+#: Functions of runs that one task chains: 2 MB at 512 tokens each.
+FAN = 256
 
 
 def least_valid(length: int) -> int:
@@ -53,6 +56,46 @@ def _replay(cost: np.ndarray, length: int, used: int) -> np.ndarray:
     return out
 
 
+def _composed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The function of runs one after another."""
+    used, opened = None, None
+    for u, o in zip(pdf["used"], pdf["opened"], strict=True):
+        u, o = np.asarray(u), np.asarray(o)
+        used, opened = (u, o) if used is None else (u[used], opened + o[used])
+    return used, opened
+
+
+def _starts(functions: DataFrame, part: str, last: int) -> DataFrame:
+    """(part, run, start, base): the tokens used and blocks opened before each run, from the runs' functions; the last run is `last`.
+
+    FAN runs together are a function again, so a task holds FAN functions whatever the number of documents.
+    """
+
+    def compose(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        used, opened = _composed(pdf.sort_values("run"))
+        return pd.DataFrame({part: [key[0]], "run": [key[1]], "used": [used.tolist()], "opened": [opened.tolist()]})
+
+    def chained(pdf: pd.DataFrame, used: int, base: int) -> pd.DataFrame:
+        pdf, starts, bases = pdf.sort_values("run"), [], []
+        for ends, opened in zip(pdf["used"], pdf["opened"], strict=True):
+            starts.append(used)
+            bases.append(base)
+            used, base = int(ends[used]), base + int(opened[used])
+        return pd.DataFrame({part: pdf[part], "run": pdf["run"], "start": starts, "base": bases})
+
+    out = f"{part} string, run bigint, start bigint, base bigint"
+    if last < FAN:
+        return functions.groupBy(part).applyInPandas(lambda pdf: chained(pdf, 0, 0), out)
+    group = F.floor(F.col("run") / FAN).alias("group")
+    upper = functions.groupBy(part, group).applyInPandas(compose, f"{part} string, run bigint, used array<bigint>, opened array<bigint>")
+    known = _starts(settled(upper, "runs"), part, last // FAN)
+
+    def inside(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return chained(left, int(right["start"].iloc[0]), int(right["base"].iloc[0])) if len(left) else pd.DataFrame({part: [], "run": [], "start": [], "base": []})
+
+    return functions.groupBy(part, group).cogroup(known.withColumnRenamed("run", "group").groupBy(part, "group")).applyInPandas(inside, out)
+
+
 def assign(sizes: DataFrame, length: int, part: str = "domain", order: str = "ord") -> DataFrame:
     """(part, order, n_tokens, block): sizes (part, order bigint, n_tokens) with the block each document opens or joins.
 
@@ -65,15 +108,6 @@ def assign(sizes: DataFrame, length: int, part: str = "domain", order: str = "or
         used, opened = _summary(pdf.sort_values(order)["cost"].to_numpy(), length)
         return pd.DataFrame({part: [key[0]], "run": [key[1]], "used": [used.tolist()], "opened": [opened.tolist()]})
 
-    def chain(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("run")
-        starts, bases, used, base = [], [], 0, 0
-        for ends, opened in zip(pdf["used"], pdf["opened"], strict=True):
-            starts.append(used)
-            bases.append(base)
-            used, base = int(ends[used]), base + int(opened[used])
-        return pd.DataFrame({part: pdf[part], "run": pdf["run"], "start": starts, "base": bases})
-
     def replay(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame({part: [], order: [], "n_tokens": [], "block": []})
@@ -82,7 +116,8 @@ def assign(sizes: DataFrame, length: int, part: str = "domain", order: str = "or
         return pd.DataFrame({part: left[part], order: left[order], "n_tokens": left["n_tokens"], "block": block})
 
     functions = runs.groupBy(part, "run").applyInPandas(summarise, f"{part} string, run bigint, used array<bigint>, opened array<bigint>")
-    starts = functions.groupBy(part).applyInPandas(chain, f"{part} string, run bigint, start bigint, base bigint")
+    last = sizes.agg(F.max(order)).first()[0]
+    starts = _starts(settled(functions, "runs"), part, 0 if last is None else int(last) // RUN)
     return runs.groupBy(part, "run").cogroup(starts.groupBy(part, "run")).applyInPandas(replay, f"{part} string, {order} bigint, n_tokens bigint, block bigint")
 
 
@@ -110,9 +145,9 @@ def pack(tokens: DataFrame, length: int, valid: int | None = None, part: str = "
     Blocks below `valid` tokens are given up with their documents. A block's source is its most common, of equals the first.
     """
     valid = least_valid(length) if valid is None else valid
-    rows = tokens.where(F.size("ids") > 0)
-    placed = assign(rows.select(part, F.col(order).cast("bigint").alias(order), F.size("ids").cast("bigint").alias("n_tokens")), length, part, order).drop("n_tokens")
-    full = rows.join(placed, [part, order])
+    rows = settled(tokens.where(F.size("ids") > 0).withColumns({order: F.col(order).cast("bigint"), "n_tokens": F.size("ids").cast("bigint")}), "tokens")  # made once, read twice
+    placed = assign(rows.select(part, order, "n_tokens"), length, part, order).drop("n_tokens")
+    full = rows.drop("n_tokens").join(placed, [part, order])
     wrapped = F.concat(F.array(F.lit(BOS)), F.col("ids"), F.array(F.lit(EOS)))
     short = full.where(F.size("ids") + 2 <= length)
     # a block holds at most length / 3 documents

@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 from corpusmill.functions import vector as V
 
 QUERY_BLOCK, SLOT_BLOCK = 512, 8192
+#: Scores further apart than this do not see each other in a softmax: exp(-STRETCH) is a double still, its square is not.
+STRETCH = 500.0
 
 
 def _blocked(vectors: DataFrame, key: str, value: str, block: int) -> DataFrame:
@@ -117,11 +119,41 @@ def running_mean(rows: DataFrame, seq: str, order: str, value: str) -> DataFrame
 
 
 def running_softmax(rows: DataFrame, seq: str, order: str, score: str, value: str) -> DataFrame:
-    """The softmax-weighted mean of the values so far; shifted by each sequence's greatest score, which the ratio forgets."""
-    whole = Window.partitionBy(seq)
-    by = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    w = F.exp(F.col(score) - F.max(score).over(whole))
-    return rows.withColumn("__w", w).withColumn("running_softmax", F.sum(F.col("__w") * F.col(value)).over(by) / F.sum("__w").over(by)).drop("__w")
+    """The softmax-weighted mean of the values so far.
+
+    Rows go by the epoch of the greatest score so far, STRETCH wide; sums run within an epoch, shifted by its upper end, so the
+    greatest score always counts. Of earlier epochs only the last one's whole sums can still be seen beside it.
+    """
+    by = Window.partitionBy("__q").orderBy("__o").rowsBetween(Window.unboundedPreceding, 0)
+    w = F.exp(F.col("__s") - (F.col("__e") + 1) * STRETCH)
+    named = rows.withColumns({"__q": F.col(seq), "__o": F.col(order), "__s": F.col(score).cast("double"), "__v": F.col(value).cast("double")})
+    named = named.withColumn("__e", F.floor(F.max("__s").over(by) / STRETCH)).withColumn("__w", w)
+    sums = named.groupBy("__q", "__e").agg(F.sum(F.col("__w") * F.col("__v")).alias("__n1"), F.sum("__w").alias("__d1"))
+    last = sums.select(F.col("__q").alias("__p"), (F.col("__e") + 1).alias("__f"), "__n1", "__d1")
+    within = Window.partitionBy("__q", "__e").orderBy("__o").rowsBetween(Window.unboundedPreceding, 0)
+    run = named.withColumns({"__n": F.sum(F.col("__w") * F.col("__v")).over(within), "__d": F.sum("__w").over(within)})
+    run = run.join(last, F.col("__q").eqNullSafe(F.col("__p")) & (F.col("__e") == F.col("__f")), "left")
+    both = lambda c: F.col(f"__{c}") + F.coalesce(F.col(f"__{c}1"), F.lit(0.0)) * float(np.exp(-STRETCH))
+    return run.withColumn("running_softmax", both("n") / both("d")).drop(*[c for c in run.columns if c.startswith("__")])
+
+
+def in_batch_contrast(pairs: DataFrame, order: str, query: str, target: str, size: int, tau: float) -> DataFrame:
+    """(n, loss): cross-entropy of each row's own target among all targets of its batch, `size` rows by `order` (a whole number), by cosine over tau.
+
+    A batch is a row for each pair of its members, so size squared; batches are as many as the table needs.
+    """
+    unit = pairs.select(F.col(order).cast("bigint").alias("i"), F.floor(F.col(order) / size).alias("b"), V.unit(V.doubles(F.col(query))).alias("q"), V.unit(V.doubles(F.col(target))).alias("k"))
+    logits = unit.select("b", "i", "q").join(unit.select("b", F.col("i").alias("j"), "k"), "b").select("b", "i", "j", (V.dot(F.col("q"), F.col("k")) / tau).alias("x"))
+    rows = logits.groupBy("b", "i").agg(F.max("x").alias("m"), F.max(F.when(F.col("i") == F.col("j"), F.col("x"))).alias("own"), F.sum(F.exp("x")).alias("all"))
+    return rows.agg(F.count("*").alias("n"), F.avg(F.log("all") - F.col("own")).alias("loss"))  # a cosine over tau is small enough to exponentiate
+
+
+def off_diagonal(vectors: DataFrame, group: list[str], order: str, value: str) -> DataFrame:
+    """(group..., n, cosine): the mean absolute cosine between different vectors of each group, 0 for one alone. A group is a few branches."""
+    rows = vectors.select(*group, order, V.unit(V.doubles(F.col(value))).alias("u"))
+    other = rows.select(*group, F.col(order).alias("__j"), F.col("u").alias("__w"))
+    pairs = rows.join(other, group).groupBy(*group).agg(F.countDistinct(order).alias("n"), F.sum(F.when(F.col(order) != F.col("__j"), F.abs(V.dot(F.col("u"), F.col("__w")))).otherwise(0.0)).alias("s"))
+    return pairs.select(*group, "n", F.when(F.col("n") > 1, F.col("s") / F.greatest(F.lit(1), F.col("n") * (F.col("n") - 1))).otherwise(0.0).alias("cosine"))
 
 
 def validation(vectors: DataFrame, value: str) -> DataFrame:

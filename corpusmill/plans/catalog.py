@@ -16,8 +16,12 @@ from corpusmill.operators import allocation, audit, dedup, formatting, memory, m
 from corpusmill.sources.io import table, training_text
 
 LENGTH = 512
+MIX = "general=0.60, dialogue=0.20, reasoning=0.15, divergent=0.05"
+#: SQL of Spark and DuckDB alike: letters with their marks apart.
+DECOMPOSED = "replace(replace(replace(text, 'é', 'é'), 'ü', 'ü'), 'ö', 'ö')"
 DOMAINS = list(allocation.DOMAIN_SHARES)
 QUOTAS = allocation.allocate(205, {f"src{i}": 1 / 20 for i in range(20)})
+BITS = ("recon_loss", "retrieval_entropy_div_logtopk", "retrieval_top10_mass")
 PLANES = [[[round(cos(1.7 + 13 * t + 5.3 * b + 0.9 * d * (b + 1)), 6) for d in range(64)] for b in range(6)] for t in range(2)]
 
 
@@ -93,11 +97,16 @@ def audit_blocks(spark, d):
     part = F.concat_ws(":", F.col("doc_id") % 3, "domain")
     blocks = packing.pack(_tokens(spark, d).select(part.alias("domain"), "ord", "source", "ids"), LENGTH)
     blocks = blocks.withColumn("split", F.substring_index("domain", ":", 1))
-    return _longs(audit.audit(blocks, 32_000, LENGTH).select("split", "num_blocks", "num_tokens", "invalid_token_count", "min_valid_tokens", "missing_bos", "missing_eos", "duplicate_block_ratio", "blocked_reasons", "decision"), "invalid_token_count", "min_valid_tokens")
+    blocks = blocks.withColumn("domain", F.substring_index("domain", ":", -1))
+    found = audit.audit(blocks, 32_000, LENGTH, mix=allocation.parsed_mix(MIX), mixed=("0", "1", "2"), splits=("0", "1", "2", "empty"))
+    listed = lambda name: F.array_join(F.transform(F.array_sort(F.map_entries(name)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    found = found.select("split", "num_blocks", "num_tokens", "invalid_token_count", "min_valid_tokens", "missing_bos", "missing_eos", "duplicate_block_ratio", listed("domain_counts").alias("domains"), listed("source_counts").alias("sources"), "blocked_reasons", "decision")
+    return _longs(found, "invalid_token_count", "min_valid_tokens")
 
 
 def vocab_scan(spark, d):
-    return _longs(audit.id_range(_tokens(spark, d), 256, "ord"), "least", "greatest", "negative", "rows", "ids")
+    head = table(spark, d, "documents").orderBy("doc_id").limit(256)  # before anything is made of texts
+    return _longs(audit.ids_measured(head.select(T.hash_tokens(F.coalesce("text", F.lit(""))).alias("ids"))), "least", "greatest", "negative", "rows", "ids")
 
 
 def field_priority(spark, d):
@@ -107,7 +116,8 @@ def field_priority(spark, d):
 
 
 def normalize(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.text_hash(T.normalized(F.col("text"))).alias("text_hash"))
+    """Of texts that are no longer composed."""
+    return table(spark, d, "documents").select("doc_id", T.text_hash(T.normalized(F.expr(DECOMPOSED))).alias("text_hash"))
 
 
 def pad_labels(spark, d):
@@ -170,6 +180,65 @@ def branches(spark, d):
     return _rounded(memory.branch_weights(rows, "s", "t", (2.0, 3.0)).select("seq", "branch", "pos", "weight"), 9, "weight")
 
 
+def batch_contrast(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", "embedding", F.reverse("embedding").alias("turned"))
+    return _rounded(retrieval.in_batch_contrast(v, "vec_id", "embedding", "turned", 64, 0.5), 6, "loss")
+
+
+def branch_cosines(spark, d):
+    v = table(spark, d, "embeddings").withColumn("place", F.floor(F.col("vec_id") / 8))
+    return _rounded(retrieval.off_diagonal(v, ["place"], "vec_id", "embedding"), 6, "cosine")
+
+
+def loader_ids(spark, d):
+    """Documents as records of three shapes in turn."""
+    docs, kind = table(spark, d, "documents"), F.col("doc_id") % 3
+    rows = docs.select(
+        "doc_id", F.when(kind == 0, F.array((F.col("doc_id") % 7).cast("int"))).alias("input_ids"), F.when(kind == 1, F.col("lang")).alias("prompt"),
+        F.when((kind == 1) & (F.col("doc_id") % 2 == 0), " : ").alias("separator"), F.when(kind == 1, F.col("text")).alias("response"), F.when(kind == 2, F.col("text")).alias("text"),
+    )
+    ids = formatting.loader_ids(rows, T.hash_tokens)
+    return rows.select("doc_id", ids.alias("ids")).select("doc_id", F.size("ids").cast("long").alias("n"), T.ids_hash(F.col("ids")).alias("ids_hash"))
+
+
+def prompt_ids(spark, d):
+    ids = table(spark, d, "conversations").select("conv_id", "turn", T.hash_tokens(F.coalesce("text", F.lit(""))).alias("ids"))
+    made = ids.select("conv_id", "turn", formatting.prompt_ids(formatting.prompt_ids(F.col("ids"))).alias("ids"))
+    return made.select("conv_id", "turn", F.size("ids").cast("long").alias("n"), T.ids_hash(F.col("ids")).alias("ids_hash"), T.ids_hash(formatting.spoken_ids(F.col("ids"))).alias("spoken_hash"))
+
+
+def stringified(spark, d):
+    docs = table(spark, d, "documents")
+    record = F.struct(F.col("text").alias("text"), F.struct(F.lit(True).alias("ok"), F.col("n_chars").alias("n"), F.lit(None).cast("string").alias("gone")).alias("meta"), F.array("source", F.lit(None).cast("string"), "lang").alias("tags"), F.create_map(F.lit("z"), F.col("lang"), F.lit("b"), F.col("source")).alias("by"))
+    rows = docs.select("doc_id", record.alias("r"))
+    return rows.select("doc_id", F.sha1(formatting.stringified(F.col("r"), rows.schema["r"].dataType).cast("binary")).alias("text_hash"))
+
+
+def cached_split(spark, d):
+    """Of a cached table, half of whose hashes are stored, what the next split may use."""
+    docs = table(spark, d, "documents").withColumn("text_hash", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("stored "), F.sha1("text"))))
+    earlier = dedup.hashed(table(spark, d, "documents").where("doc_id % 5 = 0")).select("text_hash").unionByName(docs.where("doc_id % 10 = 4").select("text_hash"))
+    return dedup.first_usable(docs, 500, earlier, "doc_id").select("doc_id", "text_hash")
+
+
+def shares(spark, d):
+    """Quotas of sources within their languages, by how many documents each has."""
+    n = table(spark, d, "documents").groupBy(F.col("lang").alias("part"), F.col("source").alias("name")).agg(F.count("*").alias("n"))
+    whole = n.groupBy("part").agg(F.sum("n").alias("all"))
+    pos = F.substring("name", 4, 9).cast("int")
+    return allocation.allocated(n.join(whole, "part").select("part", "name", pos.alias("pos"), (F.col("n") / F.col("all")).alias("share"), F.lit(1009).alias("total"))).select("part", "name", "quota")
+
+
+def report_bits(spark, d):
+    log = table(spark, d, "events").select(F.col("event_id").alias("step"), F.get(F.array(*[F.lit(x) for x in BITS]), F.col("event_id") % 3).alias("metric"), "value")
+    return _rounded(metrics.report_bits(metrics.summary(log)), 6, "drop")
+
+
+def averages(spark, d):
+    log = table(spark, d, "events").select(F.col("event_id").alias("step"), F.col("event_type").alias("metric"), "value")
+    return _rounded(metrics.averages_after(log, 1000), 6, "mean")
+
+
 def pieces(spark, d):
     import public_tokenizers
 
@@ -209,6 +278,17 @@ def queries() -> dict:
         "q_schedule_trace": schedule_trace,
         "q_lsh_candidates": lsh_candidates,
         "q_sentencepiece": pieces,
+        "q_batch_contrast": batch_contrast,
+        "q_branch_cosines": branch_cosines,
+        "q_loader_ids": loader_ids,
+        "q_prompt_ids": prompt_ids,
+        "q_stringified": stringified,
+        "q_cached_split": cached_split,
+        "q_allocated": shares,
+        "q_report_bits": report_bits,
+        "q_averages": averages,
+        "q_mock_reasons": lambda s, d: quality.reasons(_docs(s, d), mock=True),
+        "q_corpus_size": lambda s, d: dedup.corpus_size(table(s, d, "documents")),
         "q_slot_reuse": lambda s, d: memory.reusable(memory.slot_counts(_found(s, d), table(s, d, "embeddings")), 0.75),
         "q_write_skips": write_skips,
         "q_running": running,
@@ -285,7 +365,7 @@ CODES = "codes AS (" + " UNION ALL ".join(f"SELECT vec_id, {t} AS tab, {' + '.jo
 
 EDGES = """g AS (SELECT range // 24 AS src, range % 24 AS dst, sin(range * 1.7) AS logit FROM range(576)),
 trans AS (SELECT src, dst, exp(logit) / sum(exp(logit)) OVER (PARTITION BY src) AS p FROM g)"""
-GRAPH = EDGES + """, cosines AS (SELECT q.vec_id AS query, n.vec_id AS node, exp(list_cosine_similarity(q.embedding::DOUBLE[], n.embedding::DOUBLE[])) AS x FROM embeddings q, embeddings n WHERE q.vec_id >= 24 AND q.vec_id < 124 AND n.vec_id < 24),
+GRAPH = EDGES + """, cosines AS (SELECT q.vec_id AS query, n.vec_id AS node, exp(list_cosine_similarity(q.embedding::DOUBLE[], n.embedding::DOUBLE[])) AS x FROM embeddings q, embeddings n WHERE q.vec_id >= 24 AND n.vec_id < 24),
 aff AS (SELECT query, node, x / sum(x) OVER (PARTITION BY query) AS p FROM cosines)"""
 
 
@@ -294,19 +374,36 @@ def oracle_sql() -> dict[str, str]:
     limits = ", ".join(f"('{k}', {v})" for k, v in QUOTAS.items())
     takes = ", ".join(f"('{k}', {v})" for k, v in allocation.allocate(102, allocation.DOMAIN_SHARES).items())
     chat = "CASE WHEN lower(role) IN ('assistant', 'gpt', 'bot') THEN '<|assistant|>' ELSE '<|user|>' END || chr(10) || trim(text, ' ' || chr(10) || chr(9))"
+    mix = ", ".join(f"({i}, '{k}', {v})" for i, (k, v) in enumerate(allocation.parsed_mix(MIX).items()))
     moved = f"{GRAPH}, moved AS (SELECT query, dst, sum(a.p * t.p) AS w FROM aff a JOIN trans t ON t.src = a.node GROUP BY ALL)"
+    hashed_ids = IDS.replace("SELECT *, (", "SELECT * REPLACE (CASE doc_id % 3 WHEN 1 THEN lang || CASE WHEN doc_id % 2 = 0 THEN ' : ' ELSE chr(10) END || text ELSE text END AS text), (", 1)
+    assert hashed_ids != IDS
+    said = IDS.replace("documents)", "(SELECT conv_id AS doc_id, turn, '' AS source, '' AS lang, coalesce(text, '') AS text FROM conversations))", 1).replace("(substr(source, 4)::INT % 4) + 1", "1").replace("SELECT doc_id, domain,", "SELECT doc_id, turn, domain,")
+    bits = f"(['{BITS[0]}', '{BITS[1]}', '{BITS[2]}'])[event_id % 3 + 1]"
+    normal = rf"trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
     return {
+        "q_batch_contrast": "WITH e AS (SELECT vec_id AS i, vec_id // 64 AS b, embedding::DOUBLE[] AS q, list_reverse(embedding::DOUBLE[]) AS k FROM embeddings), l AS (SELECT a.i, a.i = c.i AS own, list_cosine_similarity(a.q, c.k) / 0.5 AS x FROM e a JOIN e c USING (b)), r AS (SELECT i, ln(sum(exp(x))) - max(x) FILTER (own) AS loss FROM l GROUP BY 1) SELECT count(*) AS n, round(avg(loss), 6) AS loss FROM r",
+        "q_branch_cosines": "WITH e AS (SELECT vec_id, vec_id // 8 AS place, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT place, abs(list_cosine_similarity(a.v, b.v)) AS x FROM e a JOIN e b USING (place) WHERE a.vec_id <> b.vec_id) SELECT place, count(*) AS n, round(coalesce((SELECT avg(x) FROM p WHERE p.place = e.place), 0), 6) AS cosine FROM e GROUP BY place",
+        "q_loader_ids": f"WITH {hashed_ids}, r AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN [(doc_id % 7)::INT] ELSE ids || [3] END AS i FROM tokens), p AS (SELECT doc_id, CASE WHEN len(i) < 2 THEN i || [0, 0] ELSE i END AS i FROM r) SELECT doc_id, len(i) AS n, {HASH.format('i')} AS ids_hash FROM p",
+        "q_prompt_ids": f"WITH {said} SELECT doc_id AS conv_id, turn, len(ids) + 1 AS n, {HASH.format('[2] || ids')} AS ids_hash, {HASH.format('ids')} AS spoken_hash FROM tokens",
+        "q_stringified": r"SELECT doc_id, sha1('by: b: ' || source || chr(10) || 'z: ' || lang || chr(10) || 'meta: gone: ' || chr(10) || 'n: ' || n_chars || chr(10) || 'ok: True' || chr(10) || 'tags: ' || source || chr(10) || chr(10) || lang || chr(10) || 'text: ' || text) AS text_hash FROM documents",
+        "q_cached_split": f"WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'stored ' || sha1(text) ELSE sha1({normal}) END AS h, {normal} AS t FROM documents), x AS (SELECT sha1(text) AS h FROM documents WHERE doc_id % 5 = 0 UNION SELECT 'stored ' || sha1(text) FROM documents WHERE doc_id % 10 = 4) SELECT doc_id, h AS text_hash FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS r FROM d WHERE t <> '' AND h NOT IN (SELECT h FROM x)) WHERE r = 1 ORDER BY doc_id LIMIT 500",
+        "q_allocated": "WITH n AS (SELECT lang AS part, source AS name, count(*) AS n, substr(source, 4)::INT AS pos FROM documents GROUP BY ALL), e AS (SELECT *, 1009 * (n / sum(n) OVER (PARTITION BY part)) AS e FROM n), r AS (SELECT *, floor(e)::BIGINT AS low, row_number() OVER (PARTITION BY part ORDER BY e - floor(e) DESC, pos) AS turn FROM e) SELECT part, name, low + (turn <= 1009 - sum(low) OVER (PARTITION BY part))::BIGINT AS quota FROM r",
+        "q_report_bits": f"WITH s AS (SELECT {bits} AS metric, arg_min(value, event_id) AS first, arg_max(value, event_id) AS last FROM events GROUP BY 1), b AS (SELECT max((first - last) / abs(first)) FILTER (metric = '{BITS[0]}') AS drop, coalesce(bool_or(last < first) FILTER (metric = '{BITS[1]}'), false) AS retrieval_entropy_decreased, coalesce(bool_or(last > 0.18) FILTER (metric = '{BITS[2]}'), false) AS retrieval_top10_over_0_18 FROM s) SELECT CASE WHEN drop >= 0.05 THEN 'PASS' ELSE 'REVIEW' END AS decision, round(drop, 6) AS drop, coalesce(drop >= 0.05, false) AS recon_drop_ge_5pct, retrieval_entropy_decreased, retrieval_top10_over_0_18 FROM b",
+        "q_averages": "SELECT event_type AS metric, round(avg(value), 6) AS mean, count(*) AS n FROM events WHERE event_id >= 1000 GROUP BY 1",
+        "q_mock_reasons": "SELECT CASE WHEN length(text) >= 128 THEN 'mock_kept' ELSE 'too_short_chars' END AS reason, count(*) AS n FROM documents GROUP BY 1",
+        "q_corpus_size": r"SELECT count(*) AS docs, sum(length(t))::BIGINT AS chars FROM (SELECT trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents) WHERE t <> ''",
         "q_slot_reuse": f"WITH {FOUND}, c AS (SELECT vec_id AS slot_id, count(query_id) AS retrieved FROM embeddings LEFT JOIN found ON slot_id = vec_id GROUP BY 1) SELECT slot_id, retrieved FROM c WHERE retrieved < 0.75 * (SELECT greatest(1.0, avg(retrieved)) FROM c)",
         "q_write_skips": "SELECT event_id % 10 * 100 AS step, count(*) AS rows, round(avg((value <= greatest(20.0, 60.0 - floor((event_id % 10 * 100) / 200) * 12.5))::INT), 9) AS skip_rate FROM events GROUP BY 1",
-        "q_running": "SELECT user_id, event_id, round(avg(value) OVER w, 9) AS running_mean, round(sum(exp(event_id % 7) * value) OVER w / sum(exp(event_id % 7)) OVER w, 9) AS running_softmax FROM events WHERE user_id % 10 = 0 WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)",
-        "q_branch_weights": "WITH l AS (SELECT l_orderkey AS seq, (l_linenumber % 2)::BIGINT AS branch, (l_linenumber // 2)::BIGINT AS pos, max(l_discount) AS s, max(l_tax) AS t FROM lineitem WHERE l_orderkey < 500 GROUP BY ALL), r AS (SELECT seq, branch, pos, 2 * avg(s) OVER (PARTITION BY seq, branch ORDER BY pos ROWS UNBOUNDED PRECEDING) + 3 * t AS s FROM l) SELECT seq, branch, pos, round(exp(s) / sum(exp(s)) OVER (PARTITION BY seq, pos), 9) AS weight FROM r",
+        "q_running": "SELECT user_id, event_id, round(avg(value) OVER w, 9) AS running_mean, round(sum(exp(event_id % 7) * value) OVER w / sum(exp(event_id % 7)) OVER w, 9) AS running_softmax FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)",
+        "q_branch_weights": "WITH l AS (SELECT l_orderkey AS seq, (l_linenumber % 2)::BIGINT AS branch, (l_linenumber // 2)::BIGINT AS pos, max(l_discount) AS s, max(l_tax) AS t FROM lineitem GROUP BY ALL), r AS (SELECT seq, branch, pos, 2 * avg(s) OVER (PARTITION BY seq, branch ORDER BY pos ROWS UNBOUNDED PRECEDING) + 3 * t AS s FROM l) SELECT seq, branch, pos, round(exp(s) / sum(exp(s)) OVER (PARTITION BY seq, pos), 9) AS weight FROM r",
         "q_graph_measures": f"WITH {EDGES}, r AS (SELECT src, -sum(p * ln(p)) AS e, max(p) AS m, count(*) AS n, count(*) FILTER (p > 0.02) AS a, count(*) FILTER (p > 0.05) AS b, count(*) FILTER (p > 0.1) AS c FROM trans GROUP BY 1) SELECT round(avg(e), 9) AS entropy, round(avg(m), 9) AS mean_max, round(sum(a) / sum(n), 9) AS over_002, round(sum(b) / sum(n), 9) AS over_005, round(sum(c) / sum(n), 9) AS over_010 FROM r",
         "q_edge_forgetting": f"WITH {EDGES}, m AS (SELECT src, dst, CASE WHEN 0.8 * p + 0.2 / 24 < 0.03 THEN 0 ELSE 0.8 * p + 0.2 / 24 END AS q FROM trans) SELECT src, dst, round(ln(greatest(q / sum(q) OVER (PARTITION BY src), 1e-8)), 6) AS logit FROM m",
         "q_graph_overview": f"WITH {moved} SELECT query, pos, round(sum(w * x), 6) AS value FROM (SELECT query, w, unnest(embedding::DOUBLE[]) AS x, unnest(range(0, 64)) AS pos FROM moved JOIN embeddings ON vec_id = dst) GROUP BY ALL",
-        "q_coactivation": f"WITH {moved}, nx AS (SELECT label, vec_id, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings WHERE vec_id >= 24 AND vec_id < 124) SELECT label, vec_id, round(least(greatest(sum(w * b.p), 1e-6), 1 - 1e-6), 9) AS p FROM nx JOIN moved m ON m.query = vec_id JOIN aff b ON b.query = nxt AND b.node = m.dst GROUP BY ALL",
-        "q_adjacent_contrast": "WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY label, vec_id) - 1 AS i, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings WHERE vec_id >= 24 AND vec_id < 124), q AS (SELECT e.v, n.v AS nv, row_number() OVER (ORDER BY e.label, e.vec_id) - 1 AS m FROM e JOIN e n ON n.vec_id = e.nxt), l AS (SELECT m, exp(any_value(list_cosine_similarity(q.v, q.nv)) / 0.1) AS own, sum(exp(list_cosine_similarity(q.v, e.v) / 0.1)) AS others FROM q, range(2, 6) s(s) JOIN e ON e.i = (m + s) % (SELECT count(*) FROM e) GROUP BY m) SELECT count(*) AS n, round(avg(ln(others + own) - ln(own)), 6) AS loss FROM l",
-        "q_vector_validation": "WITH u AS (SELECT unnest(embedding::DOUBLE[]) AS x FROM embeddings) SELECT round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, 0::BIGINT AS nan_count, 0::BIGINT AS inf_count, (SELECT round(avg(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) FROM embeddings) AS mean_norm, 'PASS' AS decision FROM u",
-        "q_training_text": r"SELECT sha1(v) AS line_hash, length(v) AS n FROM (SELECT v, coalesce(sum(length(v)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT doc_id, regexp_replace(text, '[\r\n]+', ' ', 'g') AS v FROM documents WHERE text <> '')) WHERE before < 200000",
+        "q_coactivation": f"WITH {moved}, nx AS (SELECT label, vec_id, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings WHERE vec_id >= 24) SELECT label, vec_id, round(least(greatest(sum(w * b.p), 1e-6), 1 - 1e-6), 9) AS p FROM nx JOIN moved m ON m.query = vec_id JOIN aff b ON b.query = nxt AND b.node = m.dst GROUP BY ALL",
+        "q_adjacent_contrast": "WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY label, vec_id) - 1 AS i, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings WHERE vec_id >= 24), q AS (SELECT e.v, n.v AS nv, row_number() OVER (ORDER BY e.label, e.vec_id) - 1 AS m FROM e JOIN e n ON n.vec_id = e.nxt), l AS (SELECT m, exp(any_value(list_cosine_similarity(q.v, q.nv)) / 0.1) AS own, sum(exp(list_cosine_similarity(q.v, e.v) / 0.1)) AS others FROM q, range(2, 6) s(s) JOIN e ON e.i = (m + s) % (SELECT count(*) FROM e) GROUP BY m) SELECT count(*) AS n, round(avg(ln(others + own) - ln(own)), 6) AS loss FROM l",
+        "q_vector_validation": "WITH u AS (SELECT unnest(embedding::DOUBLE[]) AS x FROM embeddings) SELECT round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, count(*) FILTER (isnan(x)) AS nan_count, count(*) FILTER (isinf(x)) AS inf_count, (SELECT round(avg(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) FROM embeddings) AS mean_norm, CASE WHEN count(*) FILTER (isnan(x) OR isinf(x)) = 0 THEN 'PASS' ELSE 'FAIL' END AS decision FROM u",
+        "q_training_text": r"SELECT sha1(v) AS line_hash, length(v) AS n FROM (SELECT regexp_replace(text, '[\r\n]+', ' ', 'g') AS v FROM documents WHERE text <> '')",
         "q_dialogue_head": f"WITH {DOCS} SELECT doc_id FROM docs WHERE domain = 'dialogue' ORDER BY doc_id LIMIT 40",
         "q_text_number": "SELECT doc_id, ('0x' || sha1(text)[1:8])::BIGINT AS number FROM documents",
         "q_quality_reasons": f"WITH {MEASURED} SELECT reason, count(*) AS n FROM reasoned GROUP BY 1",
@@ -324,15 +421,28 @@ def oracle_sql() -> dict[str, str]:
         "q_block_hash_dedup": f"WITH RECURSIVE {PACKED} SELECT domain, block, chunk, block_hash FROM (SELECT *, row_number() OVER (PARTITION BY block_hash ORDER BY list_position({DOMAINS}, domain), block, chunk) AS r FROM packed) WHERE r = 1",
         "q_domain_mix": f"WITH {DOCS}, want(domain, expected) AS (VALUES {expected}), c AS (SELECT domain, count(*) AS n FROM docs GROUP BY 1) SELECT domain, coalesce(n, 0) AS n, coalesce(n, 0) / (SELECT count(*) FROM docs) AS share, expected, expected IS NULL OR abs(coalesce(n, 0) / (SELECT count(*) FROM docs) - expected) <= 0.01 AS within FROM c FULL JOIN want USING (domain)",
         "q_mixed_blocks": f"WITH {DOCS}, lim(domain, k) AS (VALUES {takes}) SELECT domain, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY sha1('7:' || doc_id::VARCHAR), doc_id::VARCHAR) AS r FROM docs) JOIN lim USING (domain) WHERE r <= k",
-        "q_audit": f"""WITH {IDS}, e AS (SELECT (doc_id % 3)::VARCHAR AS split, [2] || ids[1:{LENGTH - 2}] || [3] AS b FROM tokens),
-m AS (SELECT split, count(*) AS num_blocks, (count(*) * {LENGTH})::BIGINT AS num_tokens, 0::BIGINT AS invalid_token_count, min(len(b)) AS min_valid_tokens, 0::BIGINT AS missing_bos, 0::BIGINT AS missing_eos, 1 - count(DISTINCT {HASH.format(f'list_resize(b, {LENGTH}, 0)')}) / count(*) AS duplicate_block_ratio FROM e GROUP BY 1)
-SELECT *, array_to_string(list_filter([CASE WHEN min_valid_tokens < 480 THEN 'min_valid' END, CASE WHEN duplicate_block_ratio > 0.01 THEN 'duplicates' END], lambda x: x IS NOT NULL), ',') AS blocked_reasons, CASE WHEN min_valid_tokens < 480 OR duplicate_block_ratio > 0.01 THEN 'BLOCKED' ELSE 'PASS' END AS decision FROM m""",
-        "q_vocab_scan": f"WITH {IDS}, h AS (SELECT * FROM tokens ORDER BY doc_id LIMIT 256) SELECT min(list_min(ids))::BIGINT AS least, max(list_max(ids))::BIGINT AS greatest, 0::BIGINT AS negative, count(*) AS rows, sum(len(ids))::BIGINT AS ids FROM h",
+        "q_audit": f"""WITH RECURSIVE {PACKED.replace("SELECT doc_id, domain, source", "SELECT doc_id, (doc_id % 3)::VARCHAR || ':' || domain AS domain, source", 1)},
+b AS (SELECT domain[1] AS split, domain[3:] AS domain, source, c, valid_tokens, block_hash FROM blocks JOIN packed USING (domain, block, chunk, source)),
+m AS (
+  SELECT split, count(*) AS num_blocks, count(*) * {LENGTH} AS num_tokens, sum(len(list_filter(c, lambda x: x < 0 OR x >= 32000)))::BIGINT AS invalid_token_count, min(valid_tokens)::BIGINT AS min_valid_tokens,
+    count(*) FILTER (c[1] <> 2) AS missing_bos, count(*) FILTER (NOT list_contains(c, 3)) AS missing_eos, 1 - count(DISTINCT block_hash) / count(*) AS duplicate_block_ratio FROM b GROUP BY 1),
+listed AS (
+  SELECT split, (SELECT string_agg(domain || '=' || n, ',' ORDER BY domain) FROM (SELECT domain, count(*) AS n FROM b x WHERE x.split = s.split GROUP BY 1)) AS domains,
+    (SELECT string_agg(source || '=' || n, ',' ORDER BY source) FROM (SELECT source, count(*) AS n FROM b x WHERE x.split = s.split GROUP BY 1)) AS sources FROM (SELECT DISTINCT split FROM b) s),
+off AS (
+  SELECT split, string_agg('mix:' || domain, ',' ORDER BY pos) AS off FROM (SELECT DISTINCT split FROM b) s CROSS JOIN (VALUES {mix}) w(pos, domain, want)
+  WHERE abs((SELECT count(*) FROM b x WHERE x.split = s.split AND x.domain = w.domain) / (SELECT count(*) FROM b x WHERE x.split = s.split) - want) > 0.01 GROUP BY 1),
+found AS (
+  SELECT split, num_blocks, num_tokens, invalid_token_count, min_valid_tokens, missing_bos, missing_eos, duplicate_block_ratio, domains, sources, concat_ws(',', CASE WHEN invalid_token_count > 0 THEN 'invalid_tokens' END, CASE WHEN min_valid_tokens < 480 THEN 'min_valid' END,
+    CASE WHEN missing_bos > greatest(1, floor(num_blocks * 0.01)) THEN 'bos' END, CASE WHEN missing_eos > greatest(1, floor(num_blocks * 0.1)) THEN 'eos' END, CASE WHEN duplicate_block_ratio > 0.01 THEN 'duplicates' END, off) AS blocked_reasons
+  FROM m JOIN listed USING (split) LEFT JOIN off USING (split))
+SELECT *, CASE WHEN blocked_reasons = '' THEN 'PASS' ELSE 'BLOCKED' END AS decision FROM found
+UNION ALL SELECT 'empty', 0, 0, 0, 0, 0, 0, 0, NULL, NULL, 'empty,no_labels', 'BLOCKED'""",
+        "q_vocab_scan": f"WITH {IDS}, h AS (SELECT * FROM tokens ORDER BY doc_id LIMIT 256) SELECT min(list_min(ids))::BIGINT AS least, max(list_max(ids))::BIGINT AS greatest, sum(len(list_filter(ids, lambda x: x < 0)))::BIGINT AS negative, count(*) AS rows, sum(len(ids))::BIGINT AS ids FROM h",
         "q_chat_format": f"SELECT conv_id, string_agg({chat}, chr(10) ORDER BY turn) AS text FROM conversations WHERE trim(text, ' ' || chr(10) || chr(9)) <> '' GROUP BY 1 HAVING count(*) >= 2",
         "q_prompt_response": "SELECT conv_id, turn, text AS prompt, response FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS response FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'",
         "q_field_priority": "SELECT page_id, sha1(coalesce(nullif(html, ''), nullif(url, ''))) AS text_hash, CASE WHEN coalesce(html, '') <> '' THEN 'html' WHEN coalesce(url, '') <> '' THEN 'url' END AS field FROM pages",
-        "q_normalize": r"SELECT doc_id, sha1(trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))) AS text_hash FROM documents",
-        "q_pad_labels": f"WITH {IDS}, p AS (SELECT doc_id, list_resize(ids[1:{LENGTH}], {LENGTH}, 0) AS i FROM tokens) SELECT doc_id, {HASH.format('i')} AS ids_hash, {HASH.format('list_transform(i, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)')} AS labels_hash, len(list_filter(i, lambda x: x <> 0)) AS valid FROM p",
+        "q_normalize": rf"SELECT doc_id, sha1(trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize({DECOMPOSED}), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))) AS text_hash FROM documents",
         "q_knn_exact": f"WITH {FOUND} SELECT query_id, slot_id, round(score, 6) AS score, rank::INT AS rank FROM found",
         "q_knn_metrics": f"WITH {FOUND}, q AS (SELECT query_id, sum(w) FILTER (rank <= 1) AS t1, sum(w) FILTER (rank <= 5) AS t5, sum(w) AS t10, -sum(w * ln(w)) AS e FROM weights GROUP BY 1) SELECT round(avg(t1), 6) AS top1_mass, round(avg(t5), 6) AS top5_mass, round(avg(t10), 6) AS top10_mass, 1.0::DOUBLE AS uniform_top10, round(avg(e), 6) AS entropy, round(avg(e) / ln(10), 6) AS entropy_share FROM q",
         "q_knn_gather": f"WITH {FOUND} SELECT query_id, pos, round(sum(w * x), 5) AS value FROM (SELECT query_id, w, unnest(embedding::DOUBLE[]) AS x, unnest(range(0, 64)) AS pos FROM weights JOIN embeddings ON vec_id = slot_id) GROUP BY ALL",

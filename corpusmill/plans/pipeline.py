@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.operators import allocation, audit, dedup, formatting, packing, quality
 from corpusmill.sources import cache
+from corpusmill.sources.io import write_jsonl
 
 
 @dataclass
@@ -44,16 +45,26 @@ def collect(raw: DataFrame, spec: dict, name: str, n: int, earlier: DataFrame |
     return kept, dedup.counted_until_full(rows.select("reason", "ord"), "reason", n, "ord")
 
 
+def sample(raw: DataFrame, spec: dict, name: str, n: int, path: str, out: str, **cache_flags) -> tuple[int, dict]:
+    """n usable documents of one source as JSON lines at `out`, through the cache at `path`; how many, and the cache's report."""
+    docs, found = cache.through(raw.sparkSession, path, lambda: collect(raw, spec, name, n)[0], usable=lambda rows: dedup.first_usable(rows, n), **cache_flags)
+    written = write_jsonl(docs, out)
+    if written < n:
+        raise TooFew(f"{name}: {written} of {n} documents")
+    return written, found
+
+
 def split_documents(tables: dict[str, DataFrame], cfg: Config, split: str, blocks: int, earlier: DataFrame | None) -> DataFrame:
     """The documents of one split, written by source; quotas by domain and source."""
     parts = []
     for name, n in allocation.source_quotas(blocks, cfg.sources).items():
         if n == 0 or name not in tables:
             continue
-        docs, report = cache.through(tables[name].sparkSession, f"{cfg.out}/raw/{split}/{name}", lambda name=name, n=n: collect(tables[name], cfg.sources[name], name, n, earlier)[0])
-        if report["records_loaded"] < n:
+        docs, report = cache.through(tables[name].sparkSession, f"{cfg.out}/raw/{split}/{name}", lambda name=name, n=n: collect(tables[name], cfg.sources[name], name, n, earlier)[0], usable=lambda rows, n=n: dedup.first_usable(rows, n, earlier))
+        usable = docs.count() if report["cache_hit"] else report["records_loaded"]
+        if usable < n:
             reasons = {r["reason"]: r["n"] for r in collect(tables[name], cfg.sources[name], name, n, earlier)[1].collect()}
-            raise TooFew(f"{split}/{name}: {report['records_loaded']} of {n} documents; {reasons}")
+            raise TooFew(f"{split}/{name}: {usable} of {n} documents; {reasons}")
         parts.append(docs)
     whole = parts[0]
     for p in parts[1:]:
@@ -87,4 +98,4 @@ def run(tables: dict[str, DataFrame], cfg: Config) -> tuple[DataFrame, DataFrame
         split_blocks(docs, cfg, n).withColumn("split", F.lit(split)).write.mode("overwrite").parquet(path)
         out.append(spark.read.parquet(path))
     blocks = out[0].unionByName(out[1]).unionByName(out[2])
-    return blocks, audit.audit(blocks, cfg.vocabulary, cfg.length), dedup.common_keys(blocks, "block_hash", "split")
+    return blocks, audit.audit(blocks, cfg.vocabulary, cfg.length, mix=cfg.shares, splits=("train", "val", "test")), dedup.common_keys(blocks, "block_hash", "split")

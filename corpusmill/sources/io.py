@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corpusmill.operators.formatting import selected_text
+from corpusmill.sources.shared import spread
+
 DOC = "text string, source string, domain string, subdomain string, selected_text_field string, text_hash string, split string, ord bigint"
 BLOCK = "input_ids array<int>, source string, domain string, valid_tokens int, doc_count int, block_hash string"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
@@ -34,23 +39,46 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def registry(path: str) -> dict[str, dict]:
-    """A source registry: YAML where a reader is installed, else JSON."""
+    """A source registry: .json, or YAML, which needs its reader."""
     raw = Path(path).read_text(encoding="utf-8")
-    try:
-        import yaml
-
-        return yaml.safe_load(raw)["sources"]
-    except ImportError:
+    if path.endswith(".json"):
         return json.loads(raw)["sources"]
+    import yaml
+
+    return yaml.safe_load(raw)["sources"]
 
 
-def probe(df: DataFrame, n: int = 5) -> dict:
-    """Fields, and the lengths of text in the first rows."""
+def probe(source: DataFrame | Callable[[], DataFrame], spec: dict | None = None, n: int = 3) -> dict:
+    """What a source's first rows look like: their fields, the text field chosen for each, and the text's length.
+
+    What Spark says against the source, as a missing table or column, is the report; other exceptions are the caller's.
+    """
     try:
-        rows = df.limit(n).collect()
-        return {"status": "ok", "fields": df.schema.fieldNames(), "rows": len(rows), "text_lengths": [len(r["text"] or "") for r in rows] if "text" in df.columns else []}
-    except Exception as e:  # a probe reports what went wrong
+        df = source() if callable(source) else source
+        rows = selected_text(df, spec or {}).select(F.length("text").alias("n"), "selected_text_field").limit(n).collect()
+    except PySparkException as e:
         return {"status": "error", "error": str(e)[:300]}
+    if not rows:
+        return {"status": "error", "error": "no rows returned"}
+    fields = df.schema.fieldNames()
+    return {"status": "ok", "selected_text_field": next((r[1] for r in rows if r[1]), None), "rows": [{"fields": fields, "selected_field": r[1], "text_len": r[0]} for r in rows]}
+
+
+def probe_all(sources: dict[str, dict], tables: dict[str, DataFrame | Callable[[], DataFrame]], n: int = 3) -> dict:
+    """Reports of all sources of a registry, and the decision: a required source that fails blocks it."""
+    out: dict = {"sources": {}, "blocked_reasons": []}
+    for name, spec in sources.items():
+        found = probe(tables[name], spec, n) if name in tables else {"status": "error", "error": "no such table"}
+        out["sources"][name] = found
+        if spec.get("required") and found["status"] != "ok":
+            out["blocked_reasons"].append(f"required source {name} failed: {found['error']}")
+    return out | {"decision": "BLOCKED" if out["blocked_reasons"] else "PASS"}
+
+
+def gate(found: dict) -> None:
+    """Ends the program with status 2 where a probe is blocked."""
+    if found["decision"] != "PASS":
+        raise SystemExit(2)
 
 
 def report(df: DataFrame, path: str | None = None) -> str:
@@ -90,6 +118,24 @@ def check_features(df: DataFrame, fields: dict[str, str]) -> None:
         raise ValueError(f"feature table: expected {fields}, found {wrong}")
 
 
+def read_features(df: DataFrame, query: str, target: str, most: int = 0) -> DataFrame:
+    """The features of the first `most` samples (0: all) of a table (sample_id, span_idx, vectors...), after a look at their shape.
+
+    Query and target are vectors of numbers of one width in all rows, and every sample has the same spans: else it is refused.
+    """
+    for name in (query, target):
+        if name not in df.columns or df.schema[name].dataType.simpleString() not in ("array<float>", "array<double>"):
+            raise ValueError(f"feature table: {name} is no vector of numbers")
+    width = F.struct(F.size(query), F.size(target))
+    per = df.groupBy("sample_id").agg(F.count("*").alias("spans"), F.min(width).alias("a"), F.max(width).alias("b"))
+    s = per.agg(F.min("spans").alias("s0"), F.max("spans").alias("s1"), F.min("a").alias("a"), F.max("b").alias("b")).first()
+    if s["s0"] is not None and (s["s0"] != s["s1"] or s["a"] != s["b"] or s["a"][0] != s["a"][1] or s["a"][0] < 1):
+        raise ValueError(f"feature table: {s['s0']} to {s['s1']} spans a sample, widths from {tuple(s['a'])} to {tuple(s['b'])}")
+    if not most:
+        return df
+    return df.join(df.select("sample_id").distinct().orderBy("sample_id").limit(most), "sample_id", "left_semi")
+
+
 def check_processed(path: str, root: str) -> Path:
     """A path of processed blocks: given, there, .jsonl, and under the root."""
     p = Path(path).resolve()

@@ -35,6 +35,13 @@ def divergent(spark: SparkSession, n: int, seed: int, lines: int = 48) -> DataFr
     return rows.select(text.alias("text"), F.lit("synthetic_divergent").alias("source"), F.lit("divergent").alias("domain"), F.lit("uses").alias("prompt_type"), "object", F.array(F.lit("list"), F.lit("uses")).alias("category_labels"), "ord")
 
 
+def write_divergent(spark: SparkSession, path: str, n: int, seed: int) -> int:
+    """divergent() as JSON lines; returns the number of rows."""
+    from corpusmill.sources.io import write_jsonl
+
+    return write_jsonl(divergent(spark, n, seed).drop("ord"), path)
+
+
 def token_rows(spark: SparkSession, n: int, vocabulary: int, length: int, seed: int = 0) -> DataFrame:
     """Rows that take turns: hashed ids, an arithmetic progression, a repeated 8-gram."""
     room = vocabulary - 3

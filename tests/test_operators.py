@@ -190,7 +190,7 @@ def test_sources(spark, tmp_path):
     assert io.write_jsonl(df, f"{tmp_path}/j") == 3
     assert sorted(r["text"] for r in io.read_jsonl(spark, f"{tmp_path}/j", "text string, ord bigint").collect()) == ["a\nb", "ccc", "ü"]
     assert [r["value"] for r in io.training_text(df, 4).collect()] == ["a b", "ü"] and io.training_text(df).count() == 3
-    assert io.probe(df)["text_lengths"] == [3, 1, 3] and '"ord": 0' in io.report(df, f"{tmp_path}/r/x.json")
+    assert [r["text_len"] for r in io.probe(df, {"text_field": "text"})["rows"]] == [3, 1, 3] and '"ord": 0' in io.report(df, f"{tmp_path}/r/x.json")
     calls = []
     make = lambda: calls.append(1) or df
     _, miss = cache.through(spark, f"{tmp_path}/c", make)
