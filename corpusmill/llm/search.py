@@ -174,6 +174,8 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def search(docs: DataFrame, queries: Column, k: int = TOP) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best rows of docs for each row of docs that `queries` (over id) selects."""
+    if docs.isEmpty():
+        return docs.sparkSession.createDataFrame([], "query_id bigint, rank int, doc_id bigint, score double")
     seen, rows = Observation(), terms(docs)
     counted = rows.observe(seen, F.count("*").alias("n"), F.avg("size").alias("mean"))
     df = settled(counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").cast("int").alias("df")), "df")
