@@ -1,59 +1,25 @@
-"""Queries over whole tables; the SQL is the twin's without its subset."""
+"""Queries over whole tables that SQL cannot express, by brute force."""
 
-import glob
 import hashlib
 
-import duckdb
-import pytest
+import pyarrow.parquet as pq
+import sentencepiece
 
 from corpusmill.plans import catalog
 
-from .test_queries import D, rows
+from .test_queries import D
 
-QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
+QUERIES = catalog.queries()
 
 
-@pytest.fixture(scope="module")
-def con():
-    c = duckdb.connect()
-    for f in glob.glob(f"{D}/*.parquet"):
-        c.execute(f"CREATE VIEW {f.rpartition('/')[2][:-8]} AS SELECT * FROM '{f}'")
-    return c
+def test_pieces_are_the_models(spark):
+    import public_tokenizers
 
-
-def same(spark, con, name, sql):
-    got, want = QUERIES[name](spark, D).toPandas(), con.execute(sql).df()
-    assert sorted(got.columns) == sorted(want.columns) and len(want)
-    assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
-
-
-def test_branch_weights_of_all_orders(spark, con):
-    same(spark, con, "q_branch_weights", SQL["q_branch_weights"].replace(" WHERE l_orderkey < 500", ""))
-
-
-def test_running_measures_of_all_users(spark, con):
-    same(spark, con, "q_running", SQL["q_running"].replace(" WHERE user_id % 10 = 0", ""))
-
-
-@pytest.mark.parametrize("name", ["q_graph_overview", "q_coactivation", "q_adjacent_contrast"])
-def test_sequences_of_all_vectors(spark, con, name):
-    sql = SQL[name]
-    for column in ("q.vec_id", "vec_id"):
-        sql = sql.replace(f" AND {column} < 124", "")
-    same(spark, con, name, sql)
-
-
-def test_audit_of_all_packed_blocks(spark, con):
-    packed = catalog.PACKED.replace("SELECT doc_id, domain, source", "SELECT doc_id, (doc_id % 3)::VARCHAR || ':' || domain AS domain, source", 1)
-    assert packed != catalog.PACKED
-    want = con.execute(f"""WITH RECURSIVE {packed}, m AS (
-      SELECT domain[1] AS split, count(*) AS n, min(valid_tokens) AS least, 1 - count(DISTINCT block_hash) / count(*) AS ratio FROM packed GROUP BY 1)
-    SELECT split, n, n * {catalog.LENGTH}, 0, least, 0, 0, ratio, CASE WHEN ratio > 0.01 THEN 'duplicates' ELSE '' END, CASE WHEN ratio > 0.01 THEN 'BLOCKED' ELSE 'PASS' END FROM m ORDER BY 1""").fetchall()
-    assert [tuple(r) for r in QUERIES["q_audit"](spark, D).orderBy("split").collect()] == want
-
-
-def test_training_text_of_all_documents(spark, con):
-    same(spark, con, "q_training_text", SQL["q_training_text"].replace(" WHERE before < 200000", ""))
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    docs = pq.read_table(f"{D}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
+    want = {i: model.encode(t or "") for i, t in zip(docs["doc_id"], docs["text"], strict=True)}
+    got = {r["doc_id"]: (r["n_pieces"], r["ids_hash"]) for r in QUERIES["q_sentencepiece"](spark, D).collect()}
+    assert got == {i: (len(x), hashlib.sha1(",".join(map(str, x)).encode()).hexdigest()) for i, x in want.items()}
 
 
 def test_crops_anywhere_in_long_documents(spark):
