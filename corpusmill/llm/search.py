@@ -8,8 +8,10 @@ documents are scored and the threshold rises. Pivots are taken a few at a time,
 greatest bounds come before all others, so that the threshold is high from the start. Each shard returns k rows for a query, and
 the k best of all are exact because document frequencies, their number and their mean length are those of the whole table.
 
-Queries are rows too and may grow with the corpus: their terms are sent to every shard, never broadcast or collected, which is
-queries times shards rows. Words are taken as they stand. Scores are rounded to six digits; ties go to the smaller doc_id (null
+Shards are searched in waves, each GROWTH times as many as before: a query takes the threshold that it reached in all earlier
+shards along, so the more there are, the less of each is scored. Queries are rows too and may grow with the corpus: their terms
+are sent to every shard, never broadcast or collected, which is queries times shards rows; more than QUERIES meet a copy of the
+shard in as many tasks as it takes. Words are taken as they stand. Scores are rounded to six digits; ties go to the smaller doc_id (null
 first). Null and empty texts match nothing and ask nothing; a very long text is a row, and its shard has few others. Equal query
 rows are one query; rows of one id with different texts are queries of their own; equal rows are documents each. Empty tables
 give an empty table; other columns are ignored.
@@ -32,6 +34,7 @@ K1, B = 1.2, 0.75
 TOP = 10
 SHARD_DOCS, SHARD_WORDS = 16_384, 8 << 20
 BLOCK = 128
+GROWTH, QUERIES = 6, 8192
 #: Blocks that are scored at once: of the greatest bounds, then pivots, twice as many from turn to turn.
 FIRST = 8
 
@@ -111,8 +114,8 @@ class Shard:
         self.at = np.searchsorted(term[new], np.arange(len(names) + 1))
         self.scored = self.skipped = 0  # blocks
 
-    def top(self, wanted: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores rounded to six digits) of the k best documents that have one of the terms."""
+    def top(self, wanted: np.ndarray, weight: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores rounded to six digits) of the k best documents that have one of the terms and reach a score of `least`."""
         none = self.ids[:0], np.zeros(0)
         if not len(self.names):
             return none
@@ -129,7 +132,7 @@ class Shard:
         entries, w = entries[by], w[by]
         start, count = self.start[entries], self.count[entries]
         cursor = np.concatenate([[0], np.cumsum(np.bincount(blocks, minlength=self.blocks))])
-        ids, scores, threshold = *none, 0.0
+        ids, scores, threshold = *none, max(0.0, least - 1e-6)
         before = self.scored
 
         def score(chosen: np.ndarray) -> None:
@@ -147,7 +150,7 @@ class Shard:
             self.scored += len(chosen)
 
         best = np.argpartition(-bound, min(FIRST, self.blocks - 1))[:FIRST] if self.blocks > FIRST else np.arange(self.blocks)
-        score(np.sort(best[bound[best] > 0]))
+        score(np.sort(best[bound[best] > threshold]))
         bound[best] = 0
         pivots = np.flatnonzero(bound > threshold)
         step = FIRST
@@ -183,11 +186,29 @@ def search(docs: DataFrame, queries: Column, k: int = TOP) -> DataFrame:
     shards = max(1, -(-total // SHARD_DOCS), int(total * mean) // SHARD_WORDS + 1)
     asked = terms(docs, queries).dropDuplicates(["id", "d"]).select("id", "d", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("id", "d", F.col("x.terms").alias("t"), F.col("x.counts").alias("c"))
     q = asked.join(df, "t").groupBy("id", "d").agg(F.array_sort(F.collect_list(F.struct("t", "c", "df"))).alias("x"))  # the distinct words of one text
-    q = q.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "d", F.lit(0).cast("bigint").alias("size"), F.col("x.t").alias("terms"), F.col("x.c").alias("counts"), F.col("x.df").alias("df"))
-    d = rows.select(F.pmod(F.xxhash64("id", "d"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "d", "size", "terms", "counts", F.lit(None).cast("array<int>").alias("df"))
+    q = settled(q.select("id", "d", F.transform("x", lambda x: x["t"]).alias("terms"), F.transform("x", lambda x: x["c"]).alias("counts"), F.transform("x", lambda x: x["df"]).alias("df")), "queries")
+    parts = max(1, -(-q.count() // QUERIES))
+    shard = F.pmod(F.xxhash64("id", "d"), F.lit(shards)).cast("int").alias("shard")
+    order = F.desc("score"), "doc_id"
+
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "d").orderBy(*order))).where(F.col("rank") <= k)
+
+    def wave(low: int, high: int, so_far: DataFrame | None) -> DataFrame:
+        """What the shards from low to high find that can be among the best."""
+        if so_far is None:
+            asking = q.withColumn("least", F.lit(0.0))
+        else:
+            reached = so_far.where(F.col("rank") == k).select(F.col("query_id").alias("id"), "d", F.col("score").alias("least"))
+            asking = q.join(reached, ["id", "d"], "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+        sent = asking.select(F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("shard"), F.pmod(F.xxhash64("id", "d"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "id", "d", F.lit(0).cast("bigint").alias("size"), "terms", "counts", "df", "least")
+        here = terms(docs, (shard >= low) & (shard < high)).select(shard, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), "id", "d", "size", "terms", "counts", F.lit(None).cast("array<int>").alias("df"), F.lit(0.0).alias("least"))
+        # twice as many tasks as shards, so that few have two; a task holds one index at a time
+        keys = ["shard", "part"]
+        return here.unionByName(sent).repartition(2 * (high - low) * parts, *keys).sortWithinPartitions(*keys, "kind").mapInArrow(run, "query_id bigint, d bigint, doc_id bigint, score double")
 
     def run(batches):
-        shard, held, index, out = None, [], None, []
+        at_shard, held, index, out = None, [], None, []
 
         def rows_out():
             cols = [np.concatenate(c) if c else np.zeros(0) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
@@ -199,14 +220,14 @@ def search(docs: DataFrame, queries: Column, k: int = TOP) -> DataFrame:
             return Shard(parts, mean)
 
         for b in batches:
-            plain = {n: b.column(n).to_numpy(zero_copy_only=False) for n in ("shard", "kind", "id", "d", "size")}
+            plain = {n: b.column(n).to_numpy(zero_copy_only=False) for n in ("shard", "part", "kind", "id", "d", "size", "least")}
             flat = {n: b.column(n).values.to_numpy(zero_copy_only=False) for n in ("terms", "counts", "df")}
             at = {n: b.column(n).offsets.to_numpy() for n in flat}
-            # runs of rows of one shard and kind
-            edges = np.flatnonzero(np.diff(plain["shard"] * 2 + plain["kind"], prepend=-1, append=-1))
+            # runs of rows of one shard, part and kind
+            edges = np.flatnonzero(np.diff((plain["shard"].astype(np.int64) * parts + plain["part"]) * 2 + plain["kind"], prepend=-1, append=-1))
             for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if plain["shard"][i] != shard:
-                    shard, index = plain["shard"][i], None
+                if (plain["shard"][i], plain["part"][i]) != at_shard:
+                    at_shard, index = (plain["shard"][i], plain["part"][i]), None
                     held.clear()
                 if plain["kind"][i] == 0:  # documents come first; one copy for each run
                     low, high = at["terms"][i], at["terms"][j]
@@ -215,17 +236,19 @@ def search(docs: DataFrame, queries: Column, k: int = TOP) -> DataFrame:
                 index = built() if index is None else index
                 for q in range(i, j):
                     terms_, counts, found_in = (flat[n][at[n][q] : at[n][q + 1]] for n in ("terms", "counts", "df"))
-                    ids, scores = index.top(terms_, counts * np.log(1 + (total - found_in + 0.5) / (found_in + 0.5)), k)
+                    ids, scores = index.top(terms_, counts * np.log(1 + (total - found_in + 0.5) / (found_in + 0.5)), k, plain["least"][q])
                     out.append((np.full(len(ids), plain["id"][q]), np.full(len(ids), plain["d"][q]), ids, scores))
                     if len(out) >= 512:
                         yield rows_out()
                         out = []
         yield rows_out()
 
-    # twice as many tasks as shards, so that few have two; a task holds one index at a time
-    found = d.unionByName(q).repartition(2 * shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(run, "query_id bigint, d bigint, doc_id bigint, score double")
-    best = Window.partitionBy("query_id", "d").orderBy(F.desc("score"), "doc_id")
-    top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    top, low, step = None, 0, 1
+    while low < shards:
+        high = min(shards, low + step)
+        found = wave(low, high, top)
+        top = settled(best(found if top is None else found.unionByName(top.drop("rank"))), "best")
+        low, step = high, step * GROWTH
     return top.select("query_id", F.col("rank").cast("int").alias("rank"), F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "score")
 
 

@@ -184,6 +184,15 @@ def test_search_prunes_without_loss(monkeypatch):
     assert shard.skipped > shard.scored
 
 
+def test_search_in_waves(spark, docs, monkeypatch):
+    """Thresholds of earlier shards, queries in parts: the same result as from one shard."""
+    whole = sorted(map(tuple, search.report(docs).collect()))
+    monkeypatch.setattr(search, "SHARD_DOCS", 23)
+    monkeypatch.setattr(search, "GROWTH", 2)
+    monkeypatch.setattr(search, "QUERIES", 2)
+    assert sorted(map(tuple, search.report(docs).collect())) == whole and len(whole) == 40
+
+
 def test_search_odd_rows(odd, none):
     rows = search.report(odd).collect()
     assert {r["query_id"] for r in rows} == {50, 100}
