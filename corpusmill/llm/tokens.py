@@ -8,6 +8,7 @@ without white space, or of white space alone, take tokenizers' own time.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from struct import pack
@@ -60,7 +61,17 @@ class Encoder:
                 group, size = [], 0
         yield from self._group(group)
 
-    def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def _group(self, texts: list[str]) -> list[np.ndarray]:
+        """Without the collector of cycles, which would look at every list of pieces and find none."""
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encoded(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         known = self.known
         cut, holes_in, n = [], set(), 0
         for t in texts:
@@ -79,13 +90,15 @@ class Encoder:
         part = lambda x: known[x] if x in known else found[x]
         whole = {p: part(h) + part(p[len(h) :]) for p, h in parted.items()}
         again = [p for p, h in parted.items() if h in known]
+        out = []
         for ids, holes, own in cut:
             for i, p in zip(holes, own, strict=True):
                 ids[i] = whole[p] if p in whole else found[p]
-            yield np.frombuffer(b"".join(ids), "<u4")
+            out.append(np.frombuffer(b"".join(ids), "<u4"))
         if len(known) <= KEPT:
             known.update((p, whole[p]) for p in again if len(p) <= SHORT)
             known.update((p, ids) for p, ids in found.items() if len(p) <= SHORT)
+        return out
 
     def ids(self, text: str) -> np.ndarray:
         return next(self.batch([text]))
