@@ -22,10 +22,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -125,18 +127,17 @@ def stretches(texts: DataFrame, hits: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for part in grouped(b, 1, 1000):
-                out: list[list] = [[], [], [], [], [], []]
-                for o, body, found in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                found = part.column(2).flatten()
+                anchor, n, s, e = (found.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "n", "s", "e"))
+                counts = part.column(2).value_lengths().to_numpy(zero_copy_only=False)
+                bodies, at = [], 0
+                for body, k in zip(part.column(1).to_pylist(), counts.tolist(), strict=True):
                     start, end = _words_at(body)
-                    s, e = (np.fromiter((x[c] for x in found), np.int64, len(found)) for c in ("s", "e"))
-                    low, high = start[s].tolist(), end[e + SPAN - 2].tolist()
-                    out[0] += [x["anchor"] for x in found]
-                    out[1] += [x["n"] for x in found]
-                    out[2] += [o] * len(found)
-                    out[3] += s.tolist()
-                    out[4] += e.tolist()
-                    out[5] += [body[i:j] for i, j in zip(low, high, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["anchor", "n", "o", "s", "e", "body"])
+                    low, high = start[s[at : at + k]].tolist(), end[e[at : at + k] + SPAN - 2].tolist()
+                    bodies += [body[i:j] for i, j in zip(low, high, strict=True)]
+                    at += k
+                o = np.repeat(part.column(0).to_numpy(zero_copy_only=False), counts)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (anchor, n, o, s, e)] + [pa.array(bodies, pa.binary())], ["anchor", "n", "o", "s", "e", "body"])
 
     per = hits.groupBy("o").agg(F.collect_set(F.struct("anchor", "n", "s", "e")).alias("found"))  # fewer than the words of one document
     return texts.select("o", "body").join(per, "o").select("o", "body", "found").mapInArrow(run, "anchor bigint, n int, o bigint, s int, e int, body binary")
@@ -332,15 +333,17 @@ def _finish(texts: DataFrame, removed: DataFrame, with_text: bool) -> DataFrame:
     def run(batches):
         for b in batches:
             for part in grouped(b, 1, 1000):
-                counts, gone, sums, kept_texts = [], [], [], []
-                for body, ranges in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                counts, gone, sums, kept_texts, at = [], [], [], [], 0
+                flat = part.column(2).flatten()
+                low, high = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("low", "high"))
+                for body, k in zip(part.column(1).to_pylist(), pc.fill_null(part.column(2).value_lengths(), 0).to_pylist(), strict=True):
                     words = body.split()
                     n = len(words)
-                    if ranges and n >= SPAN:
-                        step = np.zeros(n + 1, np.int64)
-                        np.add.at(step, [r["low"] for r in ranges], 1)
-                        np.add.at(step, [min(n, r["high"]) for r in ranges], -1)
-                        words = [words[i] for i in np.flatnonzero(np.cumsum(step[:-1]) == 0)]
+                    if k and n >= SPAN:
+                        step = np.bincount(low[at : at + k], minlength=n + 1) - np.bincount(np.minimum(high[at : at + k], n), minlength=n + 1)
+                        kept = (np.cumsum(step[:-1]) == 0).tolist()
+                        words = list(compress(words, kept))
+                    at += k
                     text = b" ".join(words)
                     counts.append(n)
                     gone.append(n - len(words))

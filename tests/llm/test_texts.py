@@ -130,6 +130,14 @@ def test_near_duplicates(spark):
     assert got == true_classes(rows)
 
 
+def test_recall_of_a_whole_table(spark):
+    """Classes of a thousand documents with their planted copies: the same as by brute force, so no link is lost."""
+    rows = texts_of("/root/testdata/sf0.01/documents.parquet")
+    want = true_classes(rows)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.report(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert len(set(want.values())) < len(rows) and got == want
+
+
 @pytest.mark.parametrize("small", [(1024, 400_000), (16, 1500)], ids=["one part", "many parts"])
 def test_a_large_group_of_near_copies(spark, monkeypatch, small):
     """Copies of one text, some of which are alike only to few others; buckets in one part and in many."""
