@@ -63,12 +63,18 @@ def common_keys(parts: DataFrame, key: str, part: str) -> DataFrame:
 def quota(rows: DataFrame, part: str, limits: dict[str, int], order: str) -> DataFrame:
     """The first limits[p] rows of each part p by `order`; parts without a limit go. A limit of 0 gives none.
 
-    The window is pruned to the limit before its shuffle, so a large part sends at most its limit from each task.
+    Limits are a registry's, so their table is broadcast. The window is pruned to the greatest before its shuffle, so a large
+    part sends at most that from each task.
     """
     most = max(limits.values(), default=0)
-    names = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]) if limits else F.create_map().cast("map<string,int>")
+    table = rows.sparkSession.createDataFrame(list(limits.items()), "__part string, __most bigint")
     ranked = rows.withColumn("__n", F.row_number().over(Window.partitionBy(part).orderBy(order))).where(F.col("__n") <= most)
-    return ranked.where(F.col("__n") <= F.coalesce(names[F.col(part)], F.lit(0))).drop("__n")
+    return ranked.join(F.broadcast(table), F.col(part) == F.col("__part")).where(F.col("__n") <= F.col("__most")).drop("__n", "__part", "__most")
+
+
+def last_rows(rows: DataFrame, n: int, order: str) -> DataFrame:
+    """The last n rows by `order`, in order: a report's tail."""
+    return rows.orderBy(F.desc(order)).limit(n).orderBy(order)
 
 
 def counted_until_full(rows: DataFrame, keep: str, n: int, order: str) -> DataFrame:

@@ -161,6 +161,11 @@ def pack(tokens: DataFrame, length: int, valid: int | None = None, part: str = "
     return short_rows.unionByName(long_rows).withColumn("block_hash", ids_hash(F.col("input_ids")))
 
 
+def known_domains(docs: DataFrame, domains: list[str]) -> DataFrame:
+    """Documents of the domains that blocks are made for; others and null go."""
+    return docs.where(F.col("domain").isin(*domains))
+
+
 def first_blocks(blocks: DataFrame, domains: list[str]) -> DataFrame:
     """Blocks whose hash no earlier block has, in the order of domains, block and chunk."""
     place = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("domain"))

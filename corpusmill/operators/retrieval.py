@@ -105,6 +105,18 @@ def candidates(queries: DataFrame, slots: DataFrame, planes, key: str = "vec_id"
     return q.join(s, ["tab", "code"]).select("query_id", "slot_id").distinct()
 
 
+def capped(found: DataFrame, most: int, seed: int = 0) -> DataFrame:
+    """At most so many candidates of each query, a seeded choice; the window is pruned before its shuffle."""
+    turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.sha1(F.concat_ws(":", F.lit(seed), "query_id", "slot_id").cast("binary")), "slot_id"))
+    return found.withColumn("__n", turn).where(F.col("__n") <= most).drop("__n")
+
+
+def short_lists(queries: DataFrame, found: DataFrame, least: int, key: str = "vec_id") -> DataFrame:
+    """(query_id, candidates): the queries that have fewer than `least` candidates, none included. Lists are not filled up at random."""
+    per = found.groupBy("query_id").agg(F.count("*").alias("candidates"))
+    return queries.select(F.col(key).alias("query_id")).join(per, "query_id", "left").select("query_id", F.coalesce("candidates", F.lit(0)).alias("candidates")).where(F.col("candidates") < least)
+
+
 def span_means(rows: DataFrame, seq: str, order: str, value: str, span: int) -> DataFrame:
     """(seq, span_idx, pos, mean) over consecutive spans of `span` rows of each sequence; a short tail is dropped."""
     n = F.row_number().over(Window.partitionBy(seq).orderBy(order)) - 1

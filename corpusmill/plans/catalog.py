@@ -149,6 +149,17 @@ def lsh_candidates(spark, d):
     return retrieval.candidates(v.where("vec_id % 50 = 0"), v, PLANES)
 
 
+def lsh_short(spark, d):
+    """Queries whose candidates, at most 40 each, are fewer than 12."""
+    q = table(spark, d, "embeddings").where("vec_id % 50 = 0")
+    return retrieval.short_lists(q, retrieval.capped(lsh_candidates(spark, d), 40), 12)
+
+
+def known(spark, d):
+    """Documents of three domains, counted by domain."""
+    return packing.known_domains(_docs(spark, d), ["general", "reasoning", "divergent"]).groupBy("domain").agg(F.count("*").alias("n"))
+
+
 def _edges(spark: SparkSession) -> DataFrame:
     """A graph of 24 nodes with made-up logits."""
     i = F.col("id")
@@ -301,6 +312,10 @@ def queries() -> dict:
         "q_vector_validation": lambda s, d: _rounded(retrieval.validation(table(s, d, "embeddings"), "embedding"), 6, "mean", "std", "mean_norm"),
         "q_training_text": lambda s, d: training_text(_docs(s, d)).select(F.sha1(F.col("value").cast("binary")).alias("line_hash"), F.length("value").cast("long").alias("n")),
         "q_dialogue_head": lambda s, d: _docs(s, d).where("domain = 'dialogue'").select("doc_id").orderBy("doc_id").limit(40),
+        "q_lsh_short": lsh_short,
+        "q_lsh_capped": lambda s, d: retrieval.capped(lsh_candidates(s, d), 5, 3),
+        "q_known_domains": known,
+        "q_last_rows": lambda s, d: dedup.last_rows(table(s, d, "events").select("event_id", "event_type"), 30, "event_id"),
         "q_text_number": lambda s, d: table(s, d, "documents").select("doc_id", T.number_of(F.col("text")).alias("number")),
     }
 
@@ -390,6 +405,10 @@ def oracle_sql() -> dict[str, str]:
         "q_cached_split": f"WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'stored ' || sha1(text) ELSE sha1({normal}) END AS h, {normal} AS t FROM documents), x AS (SELECT sha1(text) AS h FROM documents WHERE doc_id % 5 = 0 UNION SELECT 'stored ' || sha1(text) FROM documents WHERE doc_id % 10 = 4) SELECT doc_id, h AS text_hash FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS r FROM d WHERE t <> '' AND h NOT IN (SELECT h FROM x)) WHERE r = 1 ORDER BY doc_id LIMIT 500",
         "q_allocated": "WITH n AS (SELECT lang AS part, source AS name, count(*) AS n, substr(source, 4)::INT AS pos FROM documents GROUP BY ALL), e AS (SELECT *, 1009 * (n / sum(n) OVER (PARTITION BY part)) AS e FROM n), r AS (SELECT *, floor(e)::BIGINT AS low, row_number() OVER (PARTITION BY part ORDER BY e - floor(e) DESC, pos) AS turn FROM e) SELECT part, name, low + (turn <= 1009 - sum(low) OVER (PARTITION BY part))::BIGINT AS quota FROM r",
         "q_report_bits": f"WITH s AS (SELECT {bits} AS metric, arg_min(value, event_id) AS first, arg_max(value, event_id) AS last FROM events GROUP BY 1), b AS (SELECT max((first - last) / abs(first)) FILTER (metric = '{BITS[0]}') AS drop, coalesce(bool_or(last < first) FILTER (metric = '{BITS[1]}'), false) AS retrieval_entropy_decreased, coalesce(bool_or(last > 0.18) FILTER (metric = '{BITS[2]}'), false) AS retrieval_top10_over_0_18 FROM s) SELECT CASE WHEN drop >= 0.05 THEN 'PASS' ELSE 'REVIEW' END AS decision, round(drop, 6) AS drop, coalesce(drop >= 0.05, false) AS recon_drop_ge_5pct, retrieval_entropy_decreased, retrieval_top10_over_0_18 FROM b",
+        "q_lsh_short": f"WITH {CODES}, c AS (SELECT q.vec_id AS query_id, count(DISTINCT s.vec_id) AS n FROM codes q JOIN codes s USING (tab, code) WHERE q.vec_id % 50 = 0 GROUP BY 1) SELECT vec_id AS query_id, coalesce(least(n, 40), 0) AS candidates FROM embeddings LEFT JOIN c ON query_id = vec_id WHERE vec_id % 50 = 0 AND coalesce(n, 0) < 12",
+        "q_lsh_capped": f"WITH {CODES}, c AS (SELECT DISTINCT q.vec_id AS query_id, s.vec_id AS slot_id FROM codes q JOIN codes s USING (tab, code) WHERE q.vec_id % 50 = 0) SELECT query_id, slot_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sha1('3:' || query_id || ':' || slot_id), slot_id) AS r FROM c) WHERE r <= 5",
+        "q_known_domains": f"WITH {DOCS} SELECT domain, count(*) AS n FROM docs WHERE domain IN ('general', 'reasoning', 'divergent') GROUP BY 1",
+        "q_last_rows": "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 30",
         "q_averages": "SELECT event_type AS metric, round(avg(value), 6) AS mean, count(*) AS n FROM events WHERE event_id >= 1000 GROUP BY 1",
         "q_mock_reasons": "SELECT CASE WHEN length(text) >= 128 THEN 'mock_kept' ELSE 'too_short_chars' END AS reason, count(*) AS n FROM documents GROUP BY 1",
         "q_corpus_size": r"SELECT count(*) AS docs, sum(length(t))::BIGINT AS chars FROM (SELECT trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents) WHERE t <> ''",

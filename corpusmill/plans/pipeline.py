@@ -75,7 +75,7 @@ def split_documents(tables: dict[str, DataFrame], cfg: Config, split: str, block
 def split_blocks(docs: DataFrame, cfg: Config, blocks: int) -> DataFrame:
     """Packed blocks of one split: first of equal ones, the domain's count each, in a seeded order."""
     order = F.conv(F.substring(F.sha1(F.concat_ws(":", F.lit(str(cfg.seed)), "text_hash").cast("binary")), 1, 7), 16, 10).cast("bigint")
-    rows = docs.select("domain", "source", T.hash_tokens(F.col("text"), cfg.vocabulary).alias("ids"), order.alias("h"), "text_hash")
+    rows = packing.known_domains(docs, list(cfg.shares)).select("domain", "source", T.hash_tokens(F.col("text"), cfg.vocabulary).alias("ids"), order.alias("h"), "text_hash")
     # dense orders within a domain, by a seeded hash: counts of hash ranges, then ranks inside them
     from pyspark.sql.window import Window
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusmill.operators.formatting import selected_text
+from corpusmill.operators.formatting import selected_text, stamped
 from corpusmill.sources.shared import spread
 
 DOC = "text string, source string, domain string, subdomain string, selected_text_field string, text_hash string, split string, ord bigint"
@@ -48,6 +48,17 @@ def registry(path: str) -> dict[str, dict]:
     return yaml.safe_load(raw)["sources"]
 
 
+def load_source(spark: SparkSession, name: str, spec: dict) -> DataFrame:
+    """Rows of a source by its registry entry, with text chosen and source, domain and subdomain stamped.
+
+    path and format (parquet if not said) are any that Spark's readers, or data sources registered with it, can open; subset
+    and split are folders below the path.
+    """
+    path = "/".join([spec["path"], *[str(spec[k]) for k in ("subset", "split") if spec.get(k)]])
+    rows = selected_text(spark.read.format(spec.get("format", "parquet")).options(**spec.get("options", {})).load(path), spec)
+    return stamped(rows, name, spec.get("domain", "general"), spec.get("subdomain", "unknown"))
+
+
 def probe(source: DataFrame | Callable[[], DataFrame], spec: dict | None = None, n: int = 3) -> dict:
     """What a source's first rows look like: their fields, the text field chosen for each, and the text's length.
 

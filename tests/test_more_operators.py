@@ -113,6 +113,13 @@ def test_registries_and_reports(spark, tmp_path):
     assert synthetic.write_divergent(spark, f"{tmp_path}/d", 5, 1) == 5 and "uses" in io.read_jsonl(spark, f"{tmp_path}/d", "text string, prompt_type string").first()["prompt_type"]
 
 
+def test_sources_by_their_registry(spark, tmp_path):
+    spark.createDataFrame([("x" * 30, 1)], "body string, n int").write.json(f"{tmp_path}/s/en/train")
+    df = io.load_source(spark, "s", {"path": f"{tmp_path}/s", "format": "json", "subset": "en", "split": "train", "text_field": "body", "domain": "dialogue"})
+    r = df.first()
+    assert (r["text"], r["source"], r["domain"], r["subdomain"], r["selected_text_field"]) == ("x" * 30, "s", "dialogue", "unknown", "body")
+
+
 def test_cached_rows_are_filtered_again(spark, tmp_path):
     rows = [("a  text", 0, None), ("a text", 1, None), ("", 2, None), ("x\x00", 3, "stored"), ("y", 4, "gone"), ("z", 5, "")]
     df = spark.createDataFrame(rows, "text string, ord bigint, text_hash string")
