@@ -172,7 +172,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     side = lambda c: sets.select(F.col("rep").alias(c), F.col("h").alias(f"h{c}"), F.col("w").alias(f"w{c}"))
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in grouped(whole, 2)):
             columns = [b.column(c).to_pylist() for c in ("ha", "wa", "hb", "wb")]
             linked = [similarity(_set(ha, wa), _set(hb, wb)) >= THRESHOLD for ha, wa, hb, wb in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(linked, pa.bool_())) for c in ("a", "b")], ["a", "b"])
@@ -183,7 +183,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _runs(batches, keys: int):
     """(key, rows) of rows sorted by their first `keys` columns."""
     at, rows = None, []
-    for b in batches:
+    for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
         for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
             if row[:keys] != at:
                 if rows:

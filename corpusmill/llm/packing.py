@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import tokens
-from .common import settled, text_or_empty
+from .common import grouped, settled, text_or_empty
 
 SIZE = 2048
 GRAIN = 8
@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, size: int = SIZE, paths: tuple = (), with_ids: bool
 
     def run(batches):
         enc = tokens.encoder(*paths)
-        for b in batches:
+        for b in (part for whole in batches for part in grouped(whole, 1, 1000)):
             rows: list[list] = [[], [], [], [], []]
             ids_out: list[bytes] = []
             for row, ids in enumerate(enc.batch(b.column(1).to_pylist())):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, text_or_empty
+from .common import grouped, joined, text_or_empty
 
 #: Base kinds in their listed order, then those that validators and context add.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -139,7 +139,7 @@ def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(doc_id, spans): one row for each row of docs."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in grouped(whole, 1)):
             found = [scored(t, threshold) if t else [] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), _spans(found)], ["doc_id", "spans"])
 
@@ -152,7 +152,7 @@ def redact_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     at = names.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in grouped(whole, at)):
             texts = [t and redacted(t, scored(t, threshold)) for t in b.column(at).to_pylist()]
             cols = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns)]
             yield pa.RecordBatch.from_arrays(cols, names)

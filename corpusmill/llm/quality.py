@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import text_or_empty
+from .common import grouped, text_or_empty
 
 SAMPLE_PER_CLASS = 1200
 SAMPLE_CHARS = 32_768
@@ -129,7 +129,7 @@ def with_score(docs: DataFrame, model: Model, score: str = "score") -> DataFrame
 
     def run(batches):
         one = model.scorer()
-        for b in batches:
+        for b in (part for whole in batches for part in grouped(whole, whole.num_columns - 1)):
             scores = [one(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], [*names, score])
 
@@ -152,7 +152,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
 
     def run(batches):
         one = model.scorer()
-        for b in batches:
+        for b in (part for whole in batches for part in grouped(whole, whole.num_columns - 1)):
             kept = pa.array([one(t) >= threshold for t in b.column(b.num_columns - 1).to_pylist()], pa.bool_())
             yield pa.RecordBatch.from_arrays([c.filter(kept) for c in b.columns[:-1]], names)
 

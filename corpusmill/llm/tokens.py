@@ -18,7 +18,7 @@ import numpy as np
 #: Pieces that a worker remembers, and the longest of them in characters.
 KEPT, SHORT = 1_000_000, 24
 #: Characters of text that are encoded together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
 
 # U+180E was white space in old Unicode tables. All that any table takes for white space is here, so a boundary is sure.
 _PIECE = re.compile(r"[\s᠎]*[^\s᠎]+|[\s᠎]+")
