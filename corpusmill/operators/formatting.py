@@ -155,4 +155,5 @@ def example(ids: Column, length: int, start: Column | None = None) -> dict[str,
 
 def crop_start(ids: Column, length: int, key: Column, seed: int) -> Column:
     """A seeded place to cut a longer row."""
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.greatest(F.size(ids) - length + 1, F.lit(1))).cast("int")
+    drawn = F.conv(F.substring(F.sha1(F.concat_ws(":", F.lit(str(seed)), key).cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return (drawn % F.greatest(F.size(ids) - length + 1, F.lit(1))).cast("int")

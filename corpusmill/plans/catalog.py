@@ -150,9 +150,9 @@ def lsh_candidates(spark, d):
 
 
 def lsh_short(spark, d):
-    """Queries whose candidates, at most 40 each, are fewer than 12."""
+    """Queries whose candidates, at most 60 each, are fewer than 50."""
     q = table(spark, d, "embeddings").where("vec_id % 50 = 0")
-    return retrieval.short_lists(q, retrieval.capped(lsh_candidates(spark, d), 40), 12)
+    return retrieval.short_lists(q, retrieval.capped(lsh_candidates(spark, d), 60), 50)
 
 
 def known(spark, d):
@@ -399,13 +399,14 @@ def oracle_sql() -> dict[str, str]:
     return {
         "q_batch_contrast": "WITH e AS (SELECT vec_id AS i, vec_id // 64 AS b, embedding::DOUBLE[] AS q, list_reverse(embedding::DOUBLE[]) AS k FROM embeddings), l AS (SELECT a.i, a.i = c.i AS own, list_cosine_similarity(a.q, c.k) / 0.5 AS x FROM e a JOIN e c USING (b)), r AS (SELECT i, ln(sum(exp(x))) - max(x) FILTER (own) AS loss FROM l GROUP BY 1) SELECT count(*) AS n, round(avg(loss), 6) AS loss FROM r",
         "q_branch_cosines": "WITH e AS (SELECT vec_id, vec_id // 8 AS place, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT place, abs(list_cosine_similarity(a.v, b.v)) AS x FROM e a JOIN e b USING (place) WHERE a.vec_id <> b.vec_id) SELECT place, count(*) AS n, round(coalesce((SELECT avg(x) FROM p WHERE p.place = e.place), 0), 6) AS cosine FROM e GROUP BY place",
+        "q_pad_labels": f"WITH {IDS}, s AS (SELECT doc_id, ids, CASE WHEN len(ids) >= {LENGTH} THEN ('0x' || sha1('7:' || doc_id)[1:8])::BIGINT % (len(ids) - {LENGTH - 1}) ELSE 0 END AS at FROM tokens), p AS (SELECT doc_id, list_resize(ids[at + 1:at + {LENGTH}], {LENGTH}, 0) AS i FROM s) SELECT doc_id, {HASH.format('i')} AS ids_hash, {HASH.format('list_transform(i, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)')} AS labels_hash, len(list_filter(i, lambda x: x <> 0)) AS valid FROM p",
         "q_loader_ids": f"WITH {hashed_ids}, r AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN [(doc_id % 7)::INT] ELSE ids || [3] END AS i FROM tokens), p AS (SELECT doc_id, CASE WHEN len(i) < 2 THEN i || [0, 0] ELSE i END AS i FROM r) SELECT doc_id, len(i) AS n, {HASH.format('i')} AS ids_hash FROM p",
         "q_prompt_ids": f"WITH {said} SELECT doc_id AS conv_id, turn, len(ids) + 1 AS n, {HASH.format('[2] || ids')} AS ids_hash, {HASH.format('ids')} AS spoken_hash FROM tokens",
         "q_stringified": r"SELECT doc_id, sha1('by: b: ' || source || chr(10) || 'z: ' || lang || chr(10) || 'meta: gone: ' || chr(10) || 'n: ' || n_chars || chr(10) || 'ok: True' || chr(10) || 'tags: ' || source || chr(10) || chr(10) || lang || chr(10) || 'text: ' || text) AS text_hash FROM documents",
         "q_cached_split": f"WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'stored ' || sha1(text) ELSE sha1({normal}) END AS h, {normal} AS t FROM documents), x AS (SELECT sha1(text) AS h FROM documents WHERE doc_id % 5 = 0 UNION SELECT 'stored ' || sha1(text) FROM documents WHERE doc_id % 10 = 4) SELECT doc_id, h AS text_hash FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS r FROM d WHERE t <> '' AND h NOT IN (SELECT h FROM x)) WHERE r = 1 ORDER BY doc_id LIMIT 500",
         "q_allocated": "WITH n AS (SELECT lang AS part, source AS name, count(*) AS n, substr(source, 4)::INT AS pos FROM documents GROUP BY ALL), e AS (SELECT *, 1009 * (n / sum(n) OVER (PARTITION BY part)) AS e FROM n), r AS (SELECT *, floor(e)::BIGINT AS low, row_number() OVER (PARTITION BY part ORDER BY e - floor(e) DESC, pos) AS turn FROM e) SELECT part, name, low + (turn <= 1009 - sum(low) OVER (PARTITION BY part))::BIGINT AS quota FROM r",
         "q_report_bits": f"WITH s AS (SELECT {bits} AS metric, arg_min(value, event_id) AS first, arg_max(value, event_id) AS last FROM events GROUP BY 1), b AS (SELECT max((first - last) / abs(first)) FILTER (metric = '{BITS[0]}') AS drop, coalesce(bool_or(last < first) FILTER (metric = '{BITS[1]}'), false) AS retrieval_entropy_decreased, coalesce(bool_or(last > 0.18) FILTER (metric = '{BITS[2]}'), false) AS retrieval_top10_over_0_18 FROM s) SELECT CASE WHEN drop >= 0.05 THEN 'PASS' ELSE 'REVIEW' END AS decision, round(drop, 6) AS drop, coalesce(drop >= 0.05, false) AS recon_drop_ge_5pct, retrieval_entropy_decreased, retrieval_top10_over_0_18 FROM b",
-        "q_lsh_short": f"WITH {CODES}, c AS (SELECT q.vec_id AS query_id, count(DISTINCT s.vec_id) AS n FROM codes q JOIN codes s USING (tab, code) WHERE q.vec_id % 50 = 0 GROUP BY 1) SELECT vec_id AS query_id, coalesce(least(n, 40), 0) AS candidates FROM embeddings LEFT JOIN c ON query_id = vec_id WHERE vec_id % 50 = 0 AND coalesce(n, 0) < 12",
+        "q_lsh_short": f"WITH {CODES}, c AS (SELECT q.vec_id AS query_id, count(DISTINCT s.vec_id) AS n FROM codes q JOIN codes s USING (tab, code) WHERE q.vec_id % 50 = 0 GROUP BY 1) SELECT vec_id AS query_id, coalesce(least(n, 60), 0) AS candidates FROM embeddings LEFT JOIN c ON query_id = vec_id WHERE vec_id % 50 = 0 AND coalesce(n, 0) < 50",
         "q_lsh_capped": f"WITH {CODES}, c AS (SELECT DISTINCT q.vec_id AS query_id, s.vec_id AS slot_id FROM codes q JOIN codes s USING (tab, code) WHERE q.vec_id % 50 = 0) SELECT query_id, slot_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sha1('3:' || query_id || ':' || slot_id), slot_id) AS r FROM c) WHERE r <= 5",
         "q_known_domains": f"WITH {DOCS} SELECT domain, count(*) AS n FROM docs WHERE domain IN ('general', 'reasoning', 'divergent') GROUP BY 1",
         "q_last_rows": "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 30",
