@@ -399,7 +399,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "q_batch_contrast": "WITH e AS (SELECT vec_id AS i, vec_id // 64 AS b, embedding::DOUBLE[] AS q, list_reverse(embedding::DOUBLE[]) AS k FROM embeddings), l AS (SELECT a.i, a.i = c.i AS own, list_cosine_similarity(a.q, c.k) / 0.5 AS x FROM e a JOIN e c USING (b)), r AS (SELECT i, ln(sum(exp(x))) - max(x) FILTER (own) AS loss FROM l GROUP BY 1) SELECT count(*) AS n, round(avg(loss), 6) AS loss FROM r",
         "q_branch_cosines": "WITH e AS (SELECT vec_id, vec_id // 8 AS place, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT place, abs(list_cosine_similarity(a.v, b.v)) AS x FROM e a JOIN e b USING (place) WHERE a.vec_id <> b.vec_id) SELECT place, count(*) AS n, round(coalesce((SELECT avg(x) FROM p WHERE p.place = e.place), 0), 6) AS cosine FROM e GROUP BY place",
-        "q_pad_labels": f"WITH {IDS}, s AS (SELECT doc_id, ids, CASE WHEN len(ids) >= {LENGTH} THEN ('0x' || sha1('7:' || doc_id)[1:8])::BIGINT % (len(ids) - {LENGTH - 1}) ELSE 0 END AS at FROM tokens), p AS (SELECT doc_id, list_resize(ids[at + 1:at + {LENGTH}], {LENGTH}, 0) AS i FROM s) SELECT doc_id, {HASH.format('i')} AS ids_hash, {HASH.format('list_transform(i, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)')} AS labels_hash, len(list_filter(i, lambda x: x <> 0)) AS valid FROM p",
+        "q_pad_labels": f"WITH {IDS}, s AS (SELECT doc_id, ids, CASE WHEN len(ids) >= {LENGTH} THEN ('0x' || sha1('7:' || doc_id)[1:8])::BIGINT % (len(ids) - {LENGTH - 1}) ELSE 0 END AS place FROM tokens), p AS (SELECT doc_id, list_resize(ids[place + 1:place + {LENGTH}], {LENGTH}, 0) AS i FROM s) SELECT doc_id, {HASH.format('i')} AS ids_hash, {HASH.format('list_transform(i, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)')} AS labels_hash, len(list_filter(i, lambda x: x <> 0)) AS valid FROM p",
         "q_loader_ids": f"WITH {hashed_ids}, r AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN [(doc_id % 7)::INT] ELSE ids || [3] END AS i FROM tokens), p AS (SELECT doc_id, CASE WHEN len(i) < 2 THEN i || [0, 0] ELSE i END AS i FROM r) SELECT doc_id, len(i) AS n, {HASH.format('i')} AS ids_hash FROM p",
         "q_prompt_ids": f"WITH {said} SELECT doc_id AS conv_id, turn, len(ids) + 1 AS n, {HASH.format('[2] || ids')} AS ids_hash, {HASH.format('ids')} AS spoken_hash FROM tokens",
         "q_stringified": r"SELECT doc_id, sha1('by: b: ' || source || chr(10) || 'z: ' || lang || chr(10) || 'meta: gone: ' || chr(10) || 'n: ' || n_chars || chr(10) || 'ok: True' || chr(10) || 'tags: ' || source || chr(10) || chr(10) || lang || chr(10) || 'text: ' || text) AS text_hash FROM documents",
