@@ -39,8 +39,8 @@ GROWTH, QUERIES = 6, 8192
 FIRST = 8
 
 
-def terms(docs: DataFrame, where: Column | None = None) -> DataFrame:
-    """(id, d, size, terms array<bigint>, counts array<int>): hashed distinct words of each row (where a condition on id holds); size counts repeats."""
+def terms(docs: DataFrame) -> DataFrame:
+    """(id, d, size, terms array<bigint>, counts array<int>): hashed distinct words of each row; size counts repeats."""
 
     def run(batches):
         for b in batches:
@@ -53,7 +53,6 @@ def terms(docs: DataFrame, where: Column | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sizes, pa.ListArray.from_arrays(offsets, flat), pa.ListArray.from_arrays(offsets, counts)], ["id", "d", "size", "terms", "counts"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_or_empty()).alias("d"), text_or_empty().cast("binary").alias("body"))
-    rows = rows if where is None else rows.where(where)
     return rows.mapInArrow(run, "id bigint, d bigint, size bigint, terms array<bigint>, counts array<int>")
 
 
@@ -98,7 +97,7 @@ class Shard:
         else:
             by = np.lexsort((doc, term))
             term, doc, tf = term[by], doc[by], counts[by]
-        self.doc = doc
+        self.doc = doc.astype(np.intp)
         norm = K1 * (1 - B + B * sizes[order].astype(float) / max(mean, 1e-9))
         self.part = norm[doc]
         self.part += tf
@@ -140,9 +139,14 @@ class Shard:
             here = _ranges(cursor[chosen], cursor[chosen + 1] - cursor[chosen])
             n = count[here]
             postings = _ranges(start[here], n)
-            total = np.bincount(self.doc.take(postings), np.repeat(w[here], n) * self.part.take(postings), len(self.ids))
+            weights = np.repeat(w[here], n)
+            weights *= self.part.take(postings)
+            low = int(chosen[0]) * BLOCK  # places from the first chosen block on
+            doc = self.doc.take(postings)
+            doc -= low
+            total = np.bincount(doc, weights)
             hit = np.flatnonzero(total > threshold)
-            ids, scores = np.concatenate([ids, self.ids[hit]]), np.concatenate([scores, total[hit]])
+            ids, scores = np.concatenate([ids, self.ids[hit + low]]), np.concatenate([scores, total[hit]])
             if len(scores) >= k:
                 # by more than rounding below the k-th score: such a document or block cannot enter
                 threshold = max(threshold, float(np.partition(scores, -k)[-k]) - 1e-6)
@@ -150,7 +154,9 @@ class Shard:
             self.scored += len(chosen)
 
         best = np.argpartition(-bound, min(FIRST, self.blocks - 1))[:FIRST] if self.blocks > FIRST else np.arange(self.blocks)
-        score(np.sort(best[bound[best] > threshold]))
+        best = np.sort(best[bound[best] > threshold])
+        if len(best):
+            score(best)
         bound[best] = 0
         pivots = np.flatnonzero(bound > threshold)
         step = FIRST
@@ -180,11 +186,11 @@ def search(docs: DataFrame, queries: Column, k: int = TOP) -> DataFrame:
     if docs.isEmpty():
         return docs.sparkSession.createDataFrame([], "query_id bigint, rank int, doc_id bigint, score double")
     seen, rows = Observation(), terms(docs)
-    counted = rows.observe(seen, F.count("*").alias("n"), F.avg("size").alias("mean"))
-    df = settled(counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").cast("int").alias("df")), "df")
+    rows = settled(rows.observe(seen, F.count("*").alias("n"), F.avg("size").alias("mean")), "terms")
+    df = settled(rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").cast("int").alias("df")), "df")
     total, mean = seen.get["n"], float(seen.get["mean"] or 0)
     shards = max(1, -(-total // SHARD_DOCS), int(total * mean) // SHARD_WORDS + 1)
-    asked = terms(docs, queries).dropDuplicates(["id", "d"]).select("id", "d", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("id", "d", F.col("x.terms").alias("t"), F.col("x.counts").alias("c"))
+    asked = rows.where(queries).dropDuplicates(["id", "d"]).select("id", "d", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("id", "d", F.col("x.terms").alias("t"), F.col("x.counts").alias("c"))
     q = asked.join(df, "t").groupBy("id", "d").agg(F.array_sort(F.collect_list(F.struct("t", "c", "df"))).alias("x"))  # the distinct words of one text
     q = settled(q.select("id", "d", F.transform("x", lambda x: x["t"]).alias("terms"), F.transform("x", lambda x: x["c"]).alias("counts"), F.transform("x", lambda x: x["df"]).alias("df")), "queries")
     parts = max(1, -(-q.count() // QUERIES))
@@ -202,7 +208,7 @@ def search(docs: DataFrame, queries: Column, k: int = TOP) -> DataFrame:
             reached = so_far.where(F.col("rank") == k).select(F.col("query_id").alias("id"), "d", F.col("score").alias("least"))
             asking = q.join(reached, ["id", "d"], "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
         sent = asking.select(F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("shard"), F.pmod(F.xxhash64("id", "d"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "id", "d", F.lit(0).cast("bigint").alias("size"), "terms", "counts", "df", "least")
-        here = terms(docs, (shard >= low) & (shard < high)).select(shard, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), "id", "d", "size", "terms", "counts", F.lit(None).cast("array<int>").alias("df"), F.lit(0.0).alias("least"))
+        here = rows.where((shard >= low) & (shard < high)).select(shard, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), "id", "d", "size", "terms", "counts", F.lit(None).cast("array<int>").alias("df"), F.lit(0.0).alias("least"))
         # twice as many tasks as shards, so that few have two; a task holds one index at a time
         keys = ["shard", "part"]
         return here.unionByName(sent).repartition(2 * (high - low) * parts, *keys).sortWithinPartitions(*keys, "kind").mapInArrow(run, "query_id bigint, d bigint, doc_id bigint, score double")
