@@ -4,7 +4,8 @@ Documents are dealt to shards of about SHARD_DOCS, of about SHARD_WORDS where te
 a block of BLOCK documents, the same blocks for all terms, and keeps each term's largest contribution to each block. A query has
 a cursor on every term's entries in order of blocks. A walk finds the pivot, the next block at which the maxima of the terms that
 stand there reach the threshold (the k-th score so far); all cursors skip to it, what lies between is never scored; the pivot's
-documents are scored and the threshold rises. Pivots are taken a few at a time, more as the walk goes on, and the blocks of the
+documents are scored and the threshold rises. What terms that very many documents have add is taken for all of a shard first, in
+one row of numbers each: it needs no bound, and the walk goes over the other terms. Pivots are taken a few at a time, more as the walk goes on, and the blocks of the
 greatest bounds come before all others, so that the threshold is high from the start. Each shard returns k rows for a query, and
 the k best of all are exact because document frequencies, their number and their mean length are those of the whole table.
 
@@ -35,8 +36,10 @@ TOP = 10
 SHARD_DOCS, SHARD_WORDS = 16_384, 8 << 20
 BLOCK = 128
 GROWTH, QUERIES = 6, 8192
-#: Blocks that are scored at once: of the greatest bounds, then pivots, twice as many from turn to turn.
-FIRST = 8
+#: A term that more than this share of a shard's documents have is not walked: what it adds is taken for all of them at once.
+DENSE = 0.1
+#: Blocks that are scored at once: of the greatest bounds, then pivots, so many times as many from turn to turn.
+FIRST, WIDER = 8, 4
 
 
 def terms(docs: DataFrame) -> DataFrame:
@@ -111,6 +114,16 @@ class Shard:
         self.block = block[new].astype(np.uint16 if self.blocks < 1 << 16 else np.int32)
         self.names = names
         self.at = np.searchsorted(term[new], np.arange(len(names) + 1))
+        # lists of many documents as rows of what they add to each
+        size = np.diff(np.append(np.flatnonzero(np.diff(term, prepend=-1)), len(term)))
+        first = np.cumsum(size) - size
+        many = np.flatnonzero(size > max(BLOCK, DENSE * n))
+        self.row = np.full(len(names), -1)
+        self.row[many] = np.arange(len(many))
+        self.rows = np.zeros((len(many), self.blocks * BLOCK))
+        for i, at in enumerate(many.tolist()):
+            here = slice(first[at], first[at] + size[at])
+            self.rows[i, doc[here]] = self.part[here]
         self.scored = self.skipped = 0  # blocks
 
     def top(self, wanted: np.ndarray, weight: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
@@ -121,51 +134,41 @@ class Shard:
         slot = np.minimum(np.searchsorted(self.names, wanted), len(self.names) - 1)
         has = self.names[slot] == wanted
         slot, weight = slot[has], weight[has]
+        base, part = np.zeros(self.blocks * BLOCK), np.empty(self.blocks * BLOCK)
+        rows = self.row[slot]
+        for i, x in zip(rows[rows >= 0].tolist(), weight[rows >= 0].tolist(), strict=True):
+            base += np.multiply(self.rows[i], x, out=part)
+        slot, weight = slot[rows < 0], weight[rows < 0]
         n = self.at[slot + 1] - self.at[slot]
         entries, w = _ranges(self.at[slot], n), np.repeat(weight, n)
-        if not len(entries):
-            return none
         blocks = self.block[entries]
-        bound = np.bincount(blocks, w * self.most[entries], self.blocks)
-        by = np.argsort(blocks, kind="stable")  # cursors in order of blocks
-        entries, w = entries[by], w[by]
-        start, count = self.start[entries], self.count[entries]
-        cursor = np.concatenate([[0], np.cumsum(np.bincount(blocks, minlength=self.blocks))])
+        left = np.bincount(blocks, w * self.most[entries], self.blocks) + base.reshape(self.blocks, BLOCK).max(axis=1)
         ids, scores, threshold = *none, max(0.0, least - 1e-6)
-        before = self.scored
-
-        def score(chosen: np.ndarray) -> None:
-            nonlocal ids, scores, threshold
-            here = _ranges(cursor[chosen], cursor[chosen + 1] - cursor[chosen])
-            n = count[here]
-            postings = _ranges(start[here], n)
-            weights = np.repeat(w[here], n)
-            weights *= self.part.take(postings)
-            low = int(chosen[0]) * BLOCK  # places from the first chosen block on
-            doc = self.doc.take(postings)
-            doc -= low
-            total = np.bincount(doc, weights)
-            hit = np.flatnonzero(total > threshold)
-            ids, scores = np.concatenate([ids, self.ids[hit + low]]), np.concatenate([scores, total[hit]])
+        best = np.argpartition(-left, FIRST)[:FIRST] if self.blocks > FIRST else np.arange(self.blocks)
+        pivots = best[left[best] > threshold]
+        step, unseen = FIRST, int(np.count_nonzero(left))
+        while len(pivots):
+            self.scored += len(pivots)
+            unseen -= len(pivots)
+            left[pivots] = 0
+            here = np.zeros(self.blocks, bool)
+            here[pivots] = True
+            here = np.flatnonzero(here[blocks])
+            places = (pivots[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            total = self._sums(entries[here], w[here])[places] + base[places]
+            hit = total > threshold
+            ids, scores = np.concatenate([ids, self.ids[places[hit]]]), np.concatenate([scores, total[hit]])
             if len(scores) >= k:
                 # by more than rounding below the k-th score: such a document or block cannot enter
                 threshold = max(threshold, float(np.partition(scores, -k)[-k]) - 1e-6)
                 ids, scores = ids[scores >= threshold], scores[scores >= threshold]
-            self.scored += len(chosen)
-
-        best = np.argpartition(-bound, min(FIRST, self.blocks - 1))[:FIRST] if self.blocks > FIRST else np.arange(self.blocks)
-        best = np.sort(best[bound[best] > threshold])
-        if len(best):
-            score(best)
-        bound[best] = 0
-        pivots = np.flatnonzero(bound > threshold)
-        step = FIRST
-        while len(pivots):
-            score(pivots[:step])
-            pivots = pivots[step:]
-            pivots = pivots[bound[pivots] > threshold]
-            step *= 2
-        self.skipped += self.blocks - (self.scored - before)
+            # cursors skip what cannot reach the threshold, for good
+            open_ = left > threshold
+            keep = np.flatnonzero(open_[blocks])
+            entries, w, blocks = entries[keep], w[keep], blocks[keep]
+            step *= WIDER
+            pivots = np.flatnonzero(open_)[:step]
+        self.skipped += unseen
         scores = np.round(scores, 6)
         if len(scores) > k:  # ties at the k-th score stay until ids decide
             near = scores >= np.partition(scores, -k)[-k]
@@ -173,6 +176,14 @@ class Shard:
         best = np.lexsort((ids, -scores))[:k]
         return ids[best], scores[best]
 
+    def _sums(self, entries: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What the postings of some entries add to each document."""
+        n = self.count[entries]
+        postings = _ranges(self.start[entries], n)
+        weights = np.repeat(w, n)
+        weights *= self.part.take(postings)
+        return np.bincount(self.doc.take(postings), weights, self.blocks * BLOCK)
+
 
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """All numbers of the ranges of n from start, one after another."""
