@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, minhash, mixing, packing, pii, preference, quality, repeats, search, secrets
+from . import codes, fingerprint, media, minhash, mixing, packing, phrases, pii, preference, quality, repeats, search, secrets
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,9 @@ def queries() -> dict[str, Query]:
         "op8_fingerprint": lambda spark, d: fingerprint.report(documents(spark, d)),
         "op9_mixing": lambda spark, d: mixing.report(documents(spark, d)),
         "op10_pii": lambda spark, d: pii.report(documents(spark, d)),
+        "op11_codes": lambda spark, d: codes.report(spark.read.parquet(f"{d}/embeddings.parquet")),
+        "op12_phrases": lambda spark, d: phrases.report(documents(spark, d)),
+        "op13_media": lambda spark, d: media.report(documents(spark, d)),
     }
 
 
@@ -33,4 +36,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_search": search.SQL,
         "op5_preference": preference.SQL,
         "op6_repeats": repeats.SQL,
+        "op11_codes": codes.SQL,
+        "op12_phrases": phrases.sql(),
     }
