@@ -31,8 +31,8 @@ from pyspark.sql.window import Window
 from .common import settled, text_or_empty
 
 MAX_N, LEAST, SHARE, TOP = 3, 10, 50, 2000
-#: Bytes of text that are cut into words together, and words whose n-grams are counted together.
-SLICE, TOGETHER = 2 << 20, 4 << 20
+#: Bytes of text that are cut into words together, words whose n-grams are counted together, and rows that are sent together.
+SLICE, TOGETHER, SENT = 1 << 20, 1 << 20, 1 << 16
 #: Bits of the filter for each frequent phrase of the level below, its places for each, its greatest size (64 MB), and a block's.
 BITS, PLACES, MOST_BITS, BLOCK = 16, 3, 1 << 29, 1 << 19
 #: What ends a piece, and what stands between words.
@@ -151,7 +151,7 @@ class Counter:
             self.ids.append(np.fromiter(map(self.known.__getitem__, found), np.int32, len(found)))
             self.size += len(found)
 
-    def take(self) -> pa.RecordBatch:
+    def take(self) -> Iterator[pa.RecordBatch]:
         ids, names = np.concatenate(self.ids) if self.ids else np.zeros(0, np.int32), pa.array(list(self.known), pa.binary())
         n, starts = self.n, self._starts(ids)
         if n == 1:
@@ -160,9 +160,11 @@ class Counter:
             grams, counts = [rows], counts[rows]
         else:
             grams, counts = self._grams(ids, starts, len(names))
-        phrase = pc.binary_join_element_wise(*[names.take(pa.array(g)) for g in grams], b" ") if n > 1 else names.take(pa.array(grams[0]))
         self.clear()
-        return pa.RecordBatch.from_arrays([pa.array([self.lang] * len(phrase), pa.string()), phrase.cast(pa.string()), pa.array(counts.astype(np.int64))], ["lang", "phrase", "c"])
+        for i in range(0, len(counts), SENT):
+            words_of = [names.take(pa.array(g[i : i + SENT])) for g in grams]
+            phrase = (pc.binary_join_element_wise(*words_of, b" ") if n > 1 else words_of[0]).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([self.lang] * len(phrase), pa.string()), phrase, pa.array(counts[i : i + SENT].astype(np.int64))], ["lang", "phrase", "c"])
 
     def _starts(self, ids: np.ndarray) -> np.ndarray:
         """Where an n-gram begins that stays within a piece and whose parts of n - 1 words may be frequent."""
@@ -204,13 +206,15 @@ def counted(docs: DataFrame, n: int, below: Filter | None = None) -> DataFrame:
             for lang, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if lang not in counters:
                     if len(counters) >= 16:  # of many languages in a task none waits for long
-                        yield from [c.take() for c in counters.values()]
+                        for c in counters.values():
+                            yield from c.take()
                         counters.clear()
                     counters[lang] = Counter(lang, n, sent.value)
                 counters[lang].add(data.as_py())
                 if counters[lang].size > TOGETHER:
-                    yield counters[lang].take()
-        yield from [c.take() for c in counters.values()]
+                    yield from counters[lang].take()
+        for c in counters.values():
+            yield from c.take()
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_or_empty().cast("binary").alias("text"))
     return rows.mapInArrow(run, "lang string, phrase string, c bigint").groupBy("lang", "phrase").agg(F.sum("c").alias("f"))
