@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import ids_hash
 from corpusmill.operators.packing import BOS, EOS, PAD, least_valid
+from corpusmill.sources.shared import settled
 
 # How much an audit forgives.
 MOST_DUPLICATES = 0.01
@@ -29,11 +30,15 @@ def measured(blocks: DataFrame, vocabulary: int, length: int) -> DataFrame:
     })
 
 
-def _counts(blocks: DataFrame, split: str, column: str, name: str) -> DataFrame:
-    """(split, name): a map from each value of a column ("unknown" for null) to its blocks; a split has a few domains and sources."""
-    value = F.coalesce(F.col(column), F.lit("unknown")) if column in blocks.columns else F.lit("unknown")
-    rows = blocks.groupBy(split, value.alias("v")).agg(F.count("*").alias("c"))
-    return rows.groupBy(split).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("v", "c")))).alias(name))
+def _counts(measures: DataFrame, split: str) -> DataFrame:
+    """(split, domain_counts, source_counts): maps from each value ("unknown" for null) to its blocks; a split has a few domains and sources.
+
+    One aggregate by split, domain and source; the maps are made of its rows.
+    """
+    cells = measures.groupBy(split, "domain", "source").agg(F.count("*").alias("c"))
+    sums = cells.groupingSets([[split, "domain"], [split, "source"]], split, "domain", "source").agg(F.sum("c").alias("n"), F.grouping_id().alias("g"))
+    of = lambda name, g: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("g") == g, F.struct(F.col(name).alias("k"), F.col("n").alias("c")))))).alias(f"{name}_counts")
+    return sums.groupBy(split).agg(of("domain", 1), of("source", 2))
 
 
 def audit(blocks: DataFrame, vocabulary: int, length: int, split: str = "split", mix: dict[str, float] | None = None, mixed: tuple[str, ...] = ("train",), splits: tuple[str, ...] = ()) -> DataFrame:
@@ -42,13 +47,15 @@ def audit(blocks: DataFrame, vocabulary: int, length: int, split: str = "split",
     The shares of `mix` are held against the splits named in `mixed`. A split named in `splits` without any block is blocked as empty.
     """
     yes = lambda c: F.count_if(F.col(c))
-    sums = measured(blocks, vocabulary, length).groupBy(split).agg(
+    name = lambda c: (F.coalesce(F.col(c), F.lit("unknown")) if c in blocks.columns else F.lit("unknown")).alias(c)
+    # blocks are made once; what the checks need of them is a few numbers and a hash
+    measures = settled(measured(blocks, vocabulary, length).select(split, name("domain"), name("source"), "bad_length", "invalid", "bad_pad", "valid", "no_bos", "no_eos", "hash"), "measures")
+    sums = measures.groupBy(split).agg(
         F.count("*").alias("num_blocks"), (F.count("*") * length).alias("num_tokens"), yes("bad_length").alias("bad_length"), F.sum("invalid").alias("invalid_token_count"), yes("bad_pad").alias("bad_pad"),
         F.min("valid").alias("min_valid_tokens"), F.count_if(F.col("valid") > 1).alias("labelled"), yes("no_bos").alias("missing_bos"), yes("no_eos").alias("missing_eos"), F.countDistinct("hash").alias("distinct"),
     )
-    for column, name in (("domain", "domain_counts"), ("source", "source_counts")):
-        other = _counts(blocks, split, column, name).withColumnRenamed(split, "__split")
-        sums = sums.join(other, F.col(split).eqNullSafe(F.col("__split"))).drop("__split")  # a row a split
+    other = _counts(measures, split).withColumnRenamed(split, "__split")
+    sums = sums.join(other, F.col(split).eqNullSafe(F.col("__split"))).drop("__split")  # a row a split
     if splits:
         named = blocks.sparkSession.createDataFrame([(s,) for s in splits], f"{split} string")
         sums = sums.join(named, split, "full")

@@ -3,7 +3,11 @@
 Next fit is a state machine over the tokens used in the open block, so it is a function from 0..length to 0..length for any
 run of documents. Runs of RUN consecutive documents are summarised in parallel by that function (from every start at once),
 the functions of FAN runs are composed, and so on up; starts are then chained down again, and each run is replayed from its
-known start. No task ever holds more than a run of lengths or FAN functions.
+known start. No task ever holds more than a run of lengths or FAN functions. Runs are cut from dense numbers, so sparse orders
+make no more runs than documents fill.
+
+What was packed can be kept as the function's value at its end, so documents that come later are placed without reading
+those before (`Packed`).
 """
 
 from __future__ import annotations
@@ -65,10 +69,11 @@ def _composed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return used, opened
 
 
-def _starts(functions: DataFrame, part: str, last: int) -> DataFrame:
+def _starts(functions: DataFrame, part: str, last: int, begin: dict[str, tuple[int, int]]) -> DataFrame:
     """(part, run, start, base): the tokens used and blocks opened before each run, from the runs' functions; the last run is `last`.
 
-    FAN runs together are a function again, so a task holds FAN functions whatever the number of documents.
+    FAN runs together are a function again, so a task holds FAN functions whatever the number of documents. begin: what
+    stands before the first run of a part, (0, 0) where it is not named; there are as few parts as domains and splits.
     """
 
     def compose(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -85,10 +90,10 @@ def _starts(functions: DataFrame, part: str, last: int) -> DataFrame:
 
     out = f"{part} string, run bigint, start bigint, base bigint"
     if last < FAN:
-        return functions.groupBy(part).applyInPandas(lambda pdf: chained(pdf, 0, 0), out)
+        return functions.groupBy(part).applyInPandas(lambda pdf: chained(pdf, *begin.get(pdf[part].iloc[0], (0, 0))), out)
     group = F.floor(F.col("run") / FAN).alias("group")
     upper = functions.groupBy(part, group).applyInPandas(compose, f"{part} string, run bigint, used array<bigint>, opened array<bigint>")
-    known = _starts(settled(upper, "runs"), part, last // FAN)
+    known = _starts(settled(upper, "runs"), part, last // FAN, begin)
 
     def inside(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return chained(left, int(right["start"].iloc[0]), int(right["base"].iloc[0])) if len(left) else pd.DataFrame({part: [], "run": [], "start": [], "base": []})
@@ -96,29 +101,52 @@ def _starts(functions: DataFrame, part: str, last: int) -> DataFrame:
     return functions.groupBy(part, group).cogroup(known.withColumnRenamed("run", "group").groupBy(part, "group")).applyInPandas(inside, out)
 
 
-def assign(sizes: DataFrame, length: int, part: str = "domain", order: str = "ord") -> DataFrame:
-    """(part, order, n_tokens, block): sizes (part, order bigint, n_tokens) with the block each document opens or joins.
+def numbered(rows: DataFrame, part: str, order: str, name: str = "n") -> DataFrame:
+    """rows, written, with dense numbers from 0 by order in each part: ranges of orders are counted, then ranked each by itself.
+
+    The counts are a row for each range and part; no window holds more than a range.
+    """
+    ranged = settled(rows.repartitionByRange(part, order).withColumn("__range", F.spark_partition_id()), "ranged")
+    before = Window.partitionBy(part).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(part, "__range").count().select(part, "__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
+    rank = F.row_number().over(Window.partitionBy("__range", part).orderBy(order))
+    return ranged.withColumn("__rank", rank).join(counts, [part, "__range"]).withColumn(name, F.col("__base") + F.col("__rank") - 1).drop("__base", "__rank", "__range")
+
+
+def ends(placed: DataFrame, length: int, part: str = "domain") -> DataFrame:
+    """(part, used, opened): tokens in the open block of each part, 0 where the last document stands alone, and blocks opened so far.
+
+    From the last block's documents alone, so it is an aggregate over what assign() gave.
+    """
+    last = placed.groupBy(part).agg(F.max("block").alias("block"))
+    inside = placed.join(last, [part, "block"]).groupBy(part, "block").agg(F.sum(F.col("n_tokens") + 2).alias("used"))
+    return inside.select(part, F.when(F.col("used") > length, 0).otherwise(F.col("used")).alias("used"), F.col("block").alias("opened"))
+
+
+def assign(sizes: DataFrame, length: int, part: str = "domain", order: str = "ord", after: DataFrame | None = None) -> DataFrame:
+    """(part, order, n_tokens, block), written: sizes (part, order bigint, n_tokens) with the block each document opens or joins.
 
-    Documents of no tokens are to be left out before. Orders should be near dense: runs are ranges of them.
+    Documents of no tokens are to be left out before. after: ends() of what was packed before; these documents go on from there.
     """
-    cost = F.col("n_tokens") + 2
-    runs = sizes.select(part, order, "n_tokens", cost.alias("cost"), F.floor(F.col(order) / RUN).alias("run"))
+    runs = settled(numbered(sizes.select(part, order, "n_tokens"), part, order).withColumn("cost", F.col("n_tokens") + 2).withColumn("run", F.floor(F.col("n") / RUN)), "runs")
 
     def summarise(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        used, opened = _summary(pdf.sort_values(order)["cost"].to_numpy(), length)
+        used, opened = _summary(pdf.sort_values("n")["cost"].to_numpy(), length)
         return pd.DataFrame({part: [key[0]], "run": [key[1]], "used": [used.tolist()], "opened": [opened.tolist()]})
 
     def replay(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame({part: [], order: [], "n_tokens": [], "block": []})
-        left = left.sort_values(order)
+        left = left.sort_values("n")
         block = _replay(left["cost"].to_numpy(), length, int(right["start"].iloc[0])) + int(right["base"].iloc[0])
         return pd.DataFrame({part: left[part], order: left[order], "n_tokens": left["n_tokens"], "block": block})
 
     functions = runs.groupBy(part, "run").applyInPandas(summarise, f"{part} string, run bigint, used array<bigint>, opened array<bigint>")
-    last = sizes.agg(F.max(order)).first()[0]
-    starts = _starts(settled(functions, "runs"), part, 0 if last is None else int(last) // RUN)
-    return runs.groupBy(part, "run").cogroup(starts.groupBy(part, "run")).applyInPandas(replay, f"{part} string, {order} bigint, n_tokens bigint, block bigint")
+    last = runs.agg(F.max("run")).first()[0] or 0
+    begin = {} if after is None else {r[part]: (r["used"], r["opened"]) for r in after.collect()}  # a row a part
+    starts = _starts(settled(functions, "functions"), part, int(last), begin)
+    placed = runs.groupBy(part, "run").cogroup(starts.groupBy(part, "run")).applyInPandas(replay, f"{part} string, {order} bigint, n_tokens bigint, block bigint")
+    return settled(placed, "placed")
 
 
 def chunks(ids: Column, length: int) -> Column:
@@ -139,15 +167,10 @@ def long_chunks(tokens: DataFrame, length: int, valid: int | None = None) -> Dat
     return rows.where(F.size("c") >= valid).withColumn("valid_tokens", F.size("c")).withColumn("input_ids", padded(F.col("c"), length)).drop("c")
 
 
-def pack(tokens: DataFrame, length: int, valid: int | None = None, part: str = "domain", order: str = "ord") -> DataFrame:
-    """(part, block, chunk, input_ids, source, valid_tokens, doc_count, block_hash) from tokens (part, order, source, ids).
-
-    Blocks below `valid` tokens are given up with their documents. A block's source is its most common, of equals the first.
-    """
+def made(rows: DataFrame, placed: DataFrame, length: int, valid: int | None = None, part: str = "domain", order: str = "ord") -> DataFrame:
+    """The blocks of documents (part, order, source, ids) that stand where `placed` says."""
     valid = least_valid(length) if valid is None else valid
-    rows = settled(tokens.where(F.size("ids") > 0).withColumns({order: F.col(order).cast("bigint"), "n_tokens": F.size("ids").cast("bigint")}), "tokens")  # made once, read twice
-    placed = assign(rows.select(part, order, "n_tokens"), length, part, order).drop("n_tokens")
-    full = rows.drop("n_tokens").join(placed, [part, order])
+    full = rows.select(part, order, "source", "ids").join(placed.select(part, order, "block"), [part, order])
     wrapped = F.concat(F.array(F.lit(BOS)), F.col("ids"), F.array(F.lit(EOS)))
     short = full.where(F.size("ids") + 2 <= length)
     # a block holds at most length / 3 documents
@@ -161,6 +184,64 @@ def pack(tokens: DataFrame, length: int, valid: int | None = None, part: str = "
     return short_rows.unionByName(long_rows).withColumn("block_hash", ids_hash(F.col("input_ids")))
 
 
+def usable(tokens: DataFrame, part: str = "domain", order: str = "ord") -> DataFrame:
+    """Documents that have tokens, written, with their number of tokens: made once, read twice."""
+    rows = tokens.select(part, F.col(order).cast("bigint").alias(order), "source", "ids").where(F.size("ids") > 0)
+    return settled(rows.withColumn("n_tokens", F.size("ids").cast("bigint")), "tokens")
+
+
+def pack(tokens: DataFrame, length: int, valid: int | None = None, part: str = "domain", order: str = "ord") -> DataFrame:
+    """(part, block, chunk, input_ids, source, valid_tokens, doc_count, block_hash) from tokens (part, order, source, ids).
+
+    Blocks below `valid` tokens are given up with their documents. A block's source is its most common, of equals the first.
+    """
+    rows = usable(tokens, part, order)
+    return made(rows, assign(rows, length, part, order), length, valid, part, order)
+
+
+class Packed:
+    """Packing that documents are added to: what is kept for each addition are its tokens and places, and the parts' ends.
+
+    An addition reads the ends and its own documents, and of those before only the ones in the blocks that were still open.
+    Its orders follow those before. `blocks` is what pack() gives for all documents together.
+    """
+
+    def __init__(self, length: int, valid: int | None = None, part: str = "domain", order: str = "ord"):
+        self.how, self.length = {"part": part, "order": order}, length
+        self.valid = valid
+        self.closed: list[DataFrame] = []  # blocks that nothing joins any more
+        self.ends: DataFrame | None = None
+        self.open: DataFrame | None = None  # documents of the open blocks, with their places
+
+    def add(self, tokens: DataFrame) -> DataFrame:
+        """The blocks that this addition closed."""
+        part, order = self.how.values()
+        rows = usable(tokens, **self.how)
+        placed = assign(rows, self.length, part, order, self.ends)
+        own = rows.join(placed.select(part, order, "block"), [part, order])
+        if self.open is not None:
+            own = own.unionByName(self.open)
+        new = ends(own, self.length, part)
+        if self.ends is not None:  # parts without new documents keep their ends
+            new = new.unionByName(self.ends.join(new, part, "left_anti"))
+        self.ends = settled(new, "ends")
+        still = F.col("used") > 0
+        opened = self.ends.select(part, F.col("opened").alias("block"), "used").where(still).drop("used")
+        own = settled(own, "own")
+        self.open = settled(own.join(opened, [part, "block"], "left_semi").select(*own.columns), "open")
+        done = own.join(opened, [part, "block"], "left_anti")
+        out = settled(made(done.drop("block"), done, self.length, self.valid, part, order), "blocks")
+        self.closed.append(out)
+        return out
+
+    def blocks(self) -> DataFrame:
+        part, order = self.how.values()
+        out = made(self.open.drop("block"), self.open, self.length, self.valid, part, order)
+        for c in self.closed:
+            out = out.unionByName(c)
+        return out
+
+
 def known_domains(docs: DataFrame, domains: list[str]) -> DataFrame:
     """Documents of the domains that blocks are made for; others and null go."""
     return docs.where(F.col("domain").isin(*domains))

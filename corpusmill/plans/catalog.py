@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import schedule, subword
 from corpusmill.functions import text as T
-from corpusmill.operators import allocation, audit, dedup, formatting, memory, metrics, packing, quality, retrieval
+from corpusmill.operators import allocation, audit, collection, dedup, formatting, memory, metrics, packing, quality, retrieval
 from corpusmill.sources.io import table, training_text
 
 LENGTH = 512
@@ -155,6 +155,22 @@ def lsh_short(spark, d):
     return retrieval.short_lists(q, retrieval.capped(lsh_candidates(spark, d), 60), 50)
 
 
+def _quotas() -> dict[str, dict[str, int]]:
+    """Documents for 40 training blocks and the held-out splits, by source: every fourth number is of one domain."""
+    sources = {f"src{i}": {"domain": DOMAINS[i % 4], "default_weight": 1 + i % 3} for i in range(20)}
+    return {split: allocation.source_quotas(n, sources) for split, n in allocation.split_counts(40).items()}
+
+
+def split_documents(spark, d):
+    """Documents of three splits by quotas of their sources, none of which has a text of an earlier one."""
+    return collection.splits(_docs(spark, d), _quotas()).select("split", "source", "doc_id", "text_hash")
+
+
+def collect_reasons(spark, d):
+    """What became of the rows that were looked at for the training split."""
+    return collection.collected(_docs(spark, d), _quotas()["train"]).reasons
+
+
 def known(spark, d):
     """Documents of three domains, counted by domain."""
     return packing.known_domains(_docs(spark, d), ["general", "reasoning", "divergent"]).groupBy("domain").agg(F.count("*").alias("n"))
@@ -315,6 +331,8 @@ def queries() -> dict:
         "q_lsh_short": lsh_short,
         "q_lsh_capped": lambda s, d: retrieval.capped(lsh_candidates(s, d), 5, 3),
         "q_known_domains": known,
+        "q_split_documents": split_documents,
+        "q_collect_reasons": collect_reasons,
         "q_last_rows": lambda s, d: dedup.last_rows(table(s, d, "events").select("event_id", "event_type"), 30, "event_id"),
         "q_text_number": lambda s, d: table(s, d, "documents").select("doc_id", T.number_of(F.col("text")).alias("number")),
     }
@@ -396,7 +414,22 @@ def oracle_sql() -> dict[str, str]:
     said = IDS.replace("documents)", "(SELECT conv_id AS doc_id, turn, '' AS source, '' AS lang, coalesce(text, '') AS text FROM conversations))", 1).replace("(substr(source, 4)::INT % 4) + 1", "1").replace("SELECT doc_id, domain,", "SELECT doc_id, turn, domain,")
     bits = f"(['{BITS[0]}', '{BITS[1]}', '{BITS[2]}'])[event_id % 3 + 1]"
     normal = rf"trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+    judged = MEASURED.replace("FROM documents)", f"FROM (SELECT * REPLACE ({normal} AS text) FROM documents))", 1)
+    assert judged != MEASURED
+    judged += ", judged AS (SELECT source, doc_id, sha1(text) AS text_hash, reason FROM reasoned JOIN docs USING (doc_id))"
+    wanted = ", ".join(f"('{split}', '{source}', {n})" for split, q in _quotas().items() for source, n in q.items())
+    judged += f", quotas AS (SELECT * FROM (VALUES {wanted}) t(split, source, most))"
+    splits, before = "", []
+    for split in ("train", "val", "test"):
+        unseen = "".join(f" AND text_hash NOT IN (SELECT text_hash FROM {b})" for b in before)
+        firsts = f"SELECT * FROM (SELECT source, doc_id, text_hash, row_number() OVER (PARTITION BY source, text_hash ORDER BY doc_id) AS copy FROM judged WHERE reason = 'ok'{unseen}) WHERE copy = 1"
+        splits += f", {split} AS (SELECT split, source, doc_id, text_hash, most FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM ({firsts})) JOIN quotas USING (source) WHERE split = '{split}' AND place <= most)"
+        before.append(split)
+    ends = ", ends AS (SELECT source, CASE WHEN count(*) = any_value(most) THEN max(doc_id) END AS last FROM train GROUP BY source)"
+    again = "row_number() OVER (PARTITION BY source, text_hash, reason ORDER BY doc_id) > 1"
     return {
+        "q_split_documents": f"WITH {judged}{splits} SELECT split, source, doc_id, text_hash FROM train UNION ALL SELECT split, source, doc_id, text_hash FROM val UNION ALL SELECT split, source, doc_id, text_hash FROM test",
+        "q_collect_reasons": f"WITH {judged}{splits}{ends}, marked AS (SELECT source, doc_id, CASE WHEN reason = 'ok' AND {again} THEN 'duplicate' ELSE reason END AS reason FROM judged WHERE source IN (SELECT source FROM quotas WHERE split = 'train' AND most > 0)) SELECT source, reason, count(*) AS n FROM marked LEFT JOIN ends USING (source) WHERE last IS NULL OR doc_id <= last GROUP BY ALL",
         "q_batch_contrast": "WITH e AS (SELECT vec_id AS i, vec_id // 64 AS b, embedding::DOUBLE[] AS q, list_reverse(embedding::DOUBLE[]) AS k FROM embeddings), l AS (SELECT a.i, a.i = c.i AS own, list_cosine_similarity(a.q, c.k) / 0.5 AS x FROM e a JOIN e c USING (b)), r AS (SELECT i, ln(sum(exp(x))) - max(x) FILTER (own) AS loss FROM l GROUP BY 1) SELECT count(*) AS n, round(avg(loss), 6) AS loss FROM r",
         "q_branch_cosines": "WITH e AS (SELECT vec_id, vec_id // 8 AS place, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT place, abs(list_cosine_similarity(a.v, b.v)) AS x FROM e a JOIN e b USING (place) WHERE a.vec_id <> b.vec_id) SELECT place, count(*) AS n, round(coalesce((SELECT avg(x) FROM p WHERE p.place = e.place), 0), 6) AS cosine FROM e GROUP BY place",
         "q_pad_labels": f"WITH {IDS}, s AS (SELECT doc_id, ids, CASE WHEN len(ids) >= {LENGTH} THEN ('0x' || sha1('7:' || doc_id)[1:8])::BIGINT % (len(ids) - {LENGTH - 1}) ELSE 0 END AS place FROM tokens), p AS (SELECT doc_id, list_resize(ids[place + 1:place + {LENGTH}], {LENGTH}, 0) AS i FROM s) SELECT doc_id, {HASH.format('i')} AS ids_hash, {HASH.format('list_transform(i, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)')} AS labels_hash, len(list_filter(i, lambda x: x <> 0)) AS valid FROM p",

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import allocation, audit, dedup, formatting, packing, quality
+from corpusmill.operators import allocation, audit, collection, dedup, formatting, packing
 from corpusmill.sources import cache
 from corpusmill.sources.io import write_jsonl
+from corpusmill.sources.seen import Seen
 
 
 @dataclass
@@ -31,18 +32,19 @@ class TooFew(RuntimeError):
     """A source or domain cannot fill its quota; says what was found."""
 
 
-def collect(raw: DataFrame, spec: dict, name: str, n: int, earlier: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _seen(earlier: Seen | DataFrame | None) -> Seen | None:
+    """Rows of earlier splits as a table of their hashes."""
+    if isinstance(earlier, DataFrame):
+        rows, earlier = earlier, Seen(earlier.sparkSession)
+        earlier.add(rows)
+    return earlier
+
+
+def collect(raw: DataFrame, spec: dict, name: str, n: int, earlier: Seen | DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, reasons) of one source with an order `ord`: text selected, normalised, checked, not in earlier splits, first of its copies, at most n."""
-    rows = formatting.selected_text(raw, spec).withColumn("text", T.normalized(F.col("text")))
-    rows = formatting.stamped(rows, name, spec["domain"], spec.get("subdomain", "")).select("text", "source", "domain", "subdomain", "selected_text_field", "ord")
-    rows = dedup.hashed(quality.with_reason(rows))
-    if earlier is not None:
-        seen = earlier.select("text_hash").distinct().withColumn("excluded", F.lit(True))
-        rows = rows.join(seen, "text_hash", "left").withColumn("reason", F.when((F.col("reason") == "ok") & F.col("excluded"), "excluded_previous_split").otherwise(F.col("reason"))).drop("excluded")
-    first = rows.where("reason = 'ok'").groupBy("text_hash").agg(F.min("ord").alias("first"))
-    rows = rows.join(first, "text_hash", "left").withColumn("reason", F.when((F.col("reason") == "ok") & (F.col("ord") > F.col("first")), "duplicate").otherwise(F.col("reason"))).drop("first")
-    kept = rows.where("reason = 'ok'").orderBy("ord").limit(n).drop("reason")
-    return kept, dedup.counted_until_full(rows.select("reason", "ord"), "reason", n, "ord")
+    rows = formatting.stamped(formatting.selected_text(raw, spec), name, spec["domain"], spec.get("subdomain", ""))
+    found = collection.collected(rows.select("text", "source", "domain", "subdomain", "selected_text_field", "ord"), {name: n}, _seen(earlier))
+    return found.docs, found.reasons.select("reason", "n")
 
 
 def sample(raw: DataFrame, spec: dict, name: str, n: int, path: str, out: str, **cache_flags) -> tuple[int, dict]:
@@ -54,13 +56,13 @@ def sample(raw: DataFrame, spec: dict, name: str, n: int, path: str, out: str, *
     return written, found
 
 
-def split_documents(tables: dict[str, DataFrame], cfg: Config, split: str, blocks: int, earlier: DataFrame | None) -> DataFrame:
+def split_documents(tables: dict[str, DataFrame], cfg: Config, split: str, blocks: int, earlier: Seen | DataFrame | None) -> DataFrame:
     """The documents of one split, written by source; quotas by domain and source."""
-    parts = []
+    parts, earlier = [], _seen(earlier)
     for name, n in allocation.source_quotas(blocks, cfg.sources).items():
         if n == 0 or name not in tables:
             continue
-        docs, report = cache.through(tables[name].sparkSession, f"{cfg.out}/raw/{split}/{name}", lambda name=name, n=n: collect(tables[name], cfg.sources[name], name, n, earlier)[0], usable=lambda rows, n=n: dedup.first_usable(rows, n, earlier))
+        docs, report = cache.through(tables[name].sparkSession, f"{cfg.out}/raw/{split}/{name}", lambda name=name, n=n: collect(tables[name], cfg.sources[name], name, n, earlier)[0], usable=lambda rows, n=n: dedup.first_usable(rows, n, earlier and earlier.table()))
         usable = docs.count() if report["cache_hit"] else report["records_loaded"]
         if usable < n:
             reasons = {r["reason"]: r["n"] for r in collect(tables[name], cfg.sources[name], name, n, earlier)[1].collect()}
@@ -76,13 +78,8 @@ def split_blocks(docs: DataFrame, cfg: Config, blocks: int) -> DataFrame:
     """Packed blocks of one split: first of equal ones, the domain's count each, in a seeded order."""
     order = F.conv(F.substring(F.sha1(F.concat_ws(":", F.lit(str(cfg.seed)), "text_hash").cast("binary")), 1, 7), 16, 10).cast("bigint")
     rows = packing.known_domains(docs, list(cfg.shares)).select("domain", "source", T.hash_tokens(F.col("text"), cfg.vocabulary).alias("ids"), order.alias("h"), "text_hash")
-    # dense orders within a domain, by a seeded hash: counts of hash ranges, then ranks inside them
-    from pyspark.sql.window import Window
-
-    ranged = rows.withColumn("r", F.shiftright("h", 18))
-    per = ranged.groupBy("domain", "r").count().withColumn("base", F.coalesce(F.sum("count").over(Window.partitionBy("domain").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    dense = ranged.join(per, ["domain", "r"]).withColumn("ord", F.col("base") + F.row_number().over(Window.partitionBy("domain", "r").orderBy("h", "text_hash", "source")) - 1).drop("base", "r", "h", "text_hash")
-    packed = packing.first_blocks(packing.pack(dense, cfg.length, cfg.valid), list(cfg.shares))
+    ranked = packing.numbered(rows.withColumn("at", F.struct("h", "text_hash", "source")).drop("h", "text_hash"), "domain", "at", "ord").drop("at")
+    packed = packing.first_blocks(packing.pack(ranked, cfg.length, cfg.valid), list(cfg.shares))
     counts = allocation.allocate(blocks, cfg.shares)
     return packing.mix(packed, counts, 12345 + blocks)
 
@@ -90,10 +87,10 @@ def split_blocks(docs: DataFrame, cfg: Config, blocks: int) -> DataFrame:
 def run(tables: dict[str, DataFrame], cfg: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(blocks with split, audit, overlaps). Tables by source name; each needs an order `ord`. Written under cfg.out."""
     spark = next(iter(tables.values())).sparkSession
-    earlier, out = None, []
+    earlier, out = Seen(spark), []
     for split, n in allocation.split_counts(cfg.train_blocks).items():
         docs = split_documents(tables, cfg, split, n, earlier)
-        earlier = docs if earlier is None else earlier.unionByName(docs, allowMissingColumns=True)
+        earlier.add(docs)
         path = f"{cfg.out}/blocks/{split}"
         split_blocks(docs, cfg, n).withColumn("split", F.lit(split)).write.mode("overwrite").parquet(path)
         out.append(spark.read.parquet(path))

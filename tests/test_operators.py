@@ -226,3 +226,38 @@ def test_pipeline(spark, tmp_path):
     assert overlaps.count() == 0 and all(r["invalid_token_count"] == 0 and r["bad_pad"] == 0 for r in checked.collect())
     with pytest.raises(pipeline.TooFew):
         pipeline.run({n: t.limit(5) for n, t in tables.items()}, pipeline.Config(sources, 40, f"{tmp_path}/few"))
+
+
+def test_added_documents_are_packed_as_all_together(spark):
+    rng = __import__("random").Random(4)
+    sizes = [rng.choice([1, 5, 9, 14, 30, 31, 40, 70]) for _ in range(400)]
+    rows = [("ab"[rng.random() < 0.3], 10**12 * i, f"s{i % 3}", list(range(4, 4 + n))) for i, n in enumerate(sizes)]  # orders far apart
+    schema = "domain string, ord bigint, source string, ids array<int>"
+    key = lambda df: sorted((r["domain"], r["block"], r["chunk"], tuple(r["input_ids"]), r["source"], r["valid_tokens"], r["doc_count"], r["block_hash"]) for r in df.collect())
+    want = key(packing.pack(spark.createDataFrame(rows, schema), 32, 10))
+    p = packing.Packed(32, 10)
+    closed = []
+    for a, b in ((0, 150), (150, 151), (151, 300), (300, 400)):
+        part = rows[a:b] if a != 150 else [r for r in rows[a:b] if r[0] == "a"] or rows[a:b]
+        closed += key(p.add(spark.createDataFrame(part, schema)))
+    assert key(p.blocks()) == want and set(closed) <= set(want)
+
+
+def test_sparse_orders_make_full_runs(spark):
+    rows = spark.range(9000).selectExpr("if(id % 3 = 0, 'x', 'y') AS domain", "id * 1000003 AS ord", "id % 7 + 1 AS n_tokens")
+    n = packing.numbered(rows, "domain", "ord")
+    got = n.groupBy("domain").agg(F.min("n"), F.max("n"), F.countDistinct("n"), F.count("*")).collect()
+    assert sorted(map(tuple, got)) == [("x", 0, 2999, 3000, 3000), ("y", 0, 5999, 6000, 6000)]
+    assert n.selectExpr("domain", "ord", "n").exceptAll(rows.selectExpr("domain", "ord", "row_number() over (partition by domain order by ord) - 1L AS n")).count() == 0
+
+
+def test_long_runs_of_blanks_take_linear_time(spark):
+    import time
+
+    texts = [" " * 200_000 + "x", "x" + "\u2028" * 200_000 + "y", "a" + "  " * 100_000, " " * 100_000 + "\n" + " " * 100_000, "\n " * 100_000 + "z"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    df.select(T.normalized(F.lit("warm"))).collect()
+    began = time.time()
+    got = [r[0] for r in df.select(T.normalized(F.col("t"))).collect()]
+    assert time.time() - began < 10
+    assert got == ["x", "x" + "\u2028" * 200_000 + "y", "a", "", "z"]
