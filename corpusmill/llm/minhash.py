@@ -372,9 +372,8 @@ def report(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs whose id is their class's least, once each; its columns stay."""
     keep = settled(classes(docs).where("k = class_id").select("k", "d1", "d2").distinct(), "keep")
-    names = [f"`{c}`" for c in docs.columns]
-    rows = docs.withColumns({"__k": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), "__t": text_or_empty()})
-    rows = rows.withColumns({"__d1": F.xxhash64("__t"), "__d2": F.xxhash64(F.lit(0xD16E57), "__t")}).drop("__t")
-    kept = rows.join(keep.withColumnsRenamed({c: f"__{c}" for c in keep.columns}), ["__k", "__d1", "__d2"], "left_semi")
-    once = Window.partitionBy("__k", "__d1", "__d2").orderBy("__k")
-    return kept.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*names)
+    key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("k"), F.xxhash64(text_or_empty()).alias("d1"), F.xxhash64(F.lit(0xD16E57), text_or_empty()).alias("d2")]
+    rows = docs.select(*key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # whatever the columns' names
+    kept = rows.join(keep, ["k", "d1", "d2"], "left_semi")
+    once = Window.partitionBy("k", "d1", "d2").orderBy("k")
+    return kept.withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*")

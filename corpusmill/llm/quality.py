@@ -1,9 +1,8 @@
 """Compression classifier: one zstandard dictionary from good and one from bad labelled text; the normalised difference of
 the compressed sizes, calibrated by logistic regression, is the score.
 
-The model is fitted on the driver from at most SAMPLE_PER_CLASS labelled texts a class (the rows with the smallest hashed ids), of
-longer ones SAMPLE_CHARS code points at a place decided by the id, and is a few hundred KB, whatever the size of the corpus. Scoring reads every
-whole text, one row at a time, in pieces of PIECE bytes; nothing is shuffled. Null and empty texts get the score of a
+The model is fitted on the driver from at most SAMPLE_PER_CLASS labelled texts a class, whole (the rows with the smallest hashed
+ids), and is a few hundred KB, whatever the size of the corpus. Scoring reads every whole text, one row at a time, in pieces of PIECE bytes; nothing is shuffled. Null and empty texts get the score of a
 difference of 0. Rows repeat as they come; a null doc_id counts as the empty string for the split; a document with several
 labels is seen once with each. With labels of one class only, every score is the training rate (0.5 without labels).
 """
@@ -22,7 +21,6 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import grouped, text_or_empty
 
 SAMPLE_PER_CLASS = 1200
-SAMPLE_CHARS = 32_768
 PIECE = 2048
 DICT_BYTES = 131_072
 LEVEL = 3
@@ -107,8 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     texts: dict[int, list[str]] = {0: [], 1: []}
     for y in share:
         ids = train.where(F.col("y") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS)
-        place = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1  # of long texts a part
-        found = docs.select("doc_id", F.substring("text", place, F.lit(SAMPLE_CHARS)).alias("text")).where(F.length("text") > 0).join(F.broadcast(ids), "doc_id")
+        found = docs.select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(ids), "doc_id")
         texts[y] = [r["text"] for r in found.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text").limit(SAMPLE_PER_CLASS).collect()]
     if min(len(texts[0]), len(texts[1])) < 3:
         rate = share.get(1, 0) / max(1, sum(share.values())) if share else 0.5
@@ -137,8 +134,11 @@ def with_score(docs: DataFrame, model: Model, score: str = "score") -> DataFrame
 
 
 def _whole(docs: DataFrame) -> DataFrame:
-    """docs and, last, its text without nulls; columns go by place from here."""
-    return docs.select([F.col(f"`{n}`") for n in docs.columns] + [text_or_empty().alias("whole_text")])
+    """docs and, last, its text without nulls, in a column of a name that docs has not; columns go by place from here."""
+    name = "whole_text"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return docs.select([F.col(f"`{n}`") for n in docs.columns] + [text_or_empty().alias(name)])
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -16,12 +16,12 @@ ROWS = [
     (50, "mail bob@example.com or call +49 30 1234567 and password = hunter22x now"),
     (100, "of a text the end"),
 ]
-EXTRA = "lang string, source string, n_chars bigint, spans string, k bigint, h bigint, d bigint, size bigint, score double, rank int, n int, key string, o bigint, class_id bigint, blob string"
+EXTRA = "lang string, source string, n_chars bigint, spans string, k bigint, h bigint, d bigint, size bigint, score double, rank int, n int, key string, o bigint, class_id bigint, blob string, whole_text string, __k string, __n string, __t string, __d1 string, __d2 string"
 
 
 @pytest.fixture(scope="session")
 def odd(spark):
-    rows = [(i, t, None if j % 3 == 0 else "en", None if j % 4 == 0 else f"s{j % 2}", None if t is None else len(t), "x", j, j, j, j, 0.5, j, j, "k", j, j, "b") for j, (i, t) in enumerate(ROWS)]
+    rows = [(i, t, None if j % 3 == 0 else "en", None if j % 4 == 0 else f"s{j % 2}", None if t is None else len(t), "x", j, j, j, j, 0.5, j, j, "k", j, j, "b", *[f"own {j} {c}" for c in range(6)]) for j, (i, t) in enumerate(ROWS)]
     return spark.createDataFrame(rows, f"doc_id bigint, text string, {EXTRA}")
 
 

@@ -95,6 +95,9 @@ def test_stages_on_odd_and_empty_tables(spark, odd, none):
             n = out.count()
             if name != "packing":
                 assert out.columns == table.columns
+                clashes = ["doc_id", *[c for c in table.columns if c.startswith("__") or c == "whole_text"]]
+                given = {tuple(r) for r in table.select(clashes).collect()}
+                assert len(clashes) == 7 and {tuple(r) for r in out.select(clashes).collect()} <= given, name
             assert n == 0 if table is none else n > 0, name
     docs = odd
     for _, stage in corpus_pipeline.STAGES:
