@@ -40,10 +40,21 @@ def _seen(earlier: Seen | DataFrame | None) -> Seen | None:
     return earlier
 
 
+def _projected(raw: DataFrame, spec: dict, name: str) -> DataFrame:
+    rows = formatting.stamped(formatting.selected_text(raw, spec), name, spec["domain"], spec.get("subdomain", ""))
+    return rows.select("text", "source", "domain", "subdomain", "selected_text_field", "ord")
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p, allowMissingColumns=True)
+    return whole
+
+
 def collect(raw: DataFrame, spec: dict, name: str, n: int, earlier: Seen | DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, reasons) of one source with an order `ord`: text selected, normalised, checked, not in earlier splits, first of its copies, at most n."""
-    rows = formatting.stamped(formatting.selected_text(raw, spec), name, spec["domain"], spec.get("subdomain", ""))
-    found = collection.collected(rows.select("text", "source", "domain", "subdomain", "selected_text_field", "ord"), {name: n}, _seen(earlier))
+    found = collection.collected(_projected(raw, spec, name), {name: n}, _seen(earlier))
     return found.docs, found.reasons.select("reason", "n")
 
 
@@ -58,20 +69,20 @@ def sample(raw: DataFrame, spec: dict, name: str, n: int, path: str, out: str, *
 
 def split_documents(tables: dict[str, DataFrame], cfg: Config, split: str, blocks: int, earlier: Seen | DataFrame | None) -> DataFrame:
     """The documents of one split, written by source; quotas by domain and source."""
-    parts, earlier = [], _seen(earlier)
-    for name, n in allocation.source_quotas(blocks, cfg.sources).items():
-        if n == 0 or name not in tables:
-            continue
-        docs, report = cache.through(tables[name].sparkSession, f"{cfg.out}/raw/{split}/{name}", lambda name=name, n=n: collect(tables[name], cfg.sources[name], name, n, earlier)[0], usable=lambda rows, n=n: dedup.first_usable(rows, n, earlier and earlier.table()))
+    earlier, spark = _seen(earlier), next(iter(tables.values())).sparkSession
+    wanted = {name: n for name, n in allocation.source_quotas(blocks, cfg.sources).items() if n and name in tables}
+    path = lambda name: f"{cfg.out}/raw/{split}/{name}"
+    new = {name: n for name, n in wanted.items() if not cache.exists(spark, path(name))}
+    found = collection.collected(_united([_projected(tables[name], cfg.sources[name], name) for name in new]), new, earlier) if new else None
+    parts = []
+    for name, n in wanted.items():
+        docs, report = cache.through(spark, path(name), lambda name=name: found.docs.where(F.col("source") == name), usable=lambda rows, n=n: dedup.first_usable(rows, n, earlier and earlier.table()))
         usable = docs.count() if report["cache_hit"] else report["records_loaded"]
         if usable < n:
-            reasons = {r["reason"]: r["n"] for r in collect(tables[name], cfg.sources[name], name, n, earlier)[1].collect()}
-            raise TooFew(f"{split}/{name}: {usable} of {n} documents; {reasons}")
+            reasons = (found if name in new else collection.collected(_projected(tables[name], cfg.sources[name], name), {name: n}, earlier)).reasons
+            raise TooFew(f"{split}/{name}: {usable} of {n} documents; { {r['reason']: r['n'] for r in reasons.where(F.col('source') == name).collect()} }")
         parts.append(docs)
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p, allowMissingColumns=True)
-    return whole.withColumn("split", F.lit(split))
+    return _united(parts).withColumn("split", F.lit(split))
 
 
 def split_blocks(docs: DataFrame, cfg: Config, blocks: int) -> DataFrame:

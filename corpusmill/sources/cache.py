@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path holds rows that were written to the end."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
@@ -19,7 +20,7 @@ def through(spark: SparkSession, path: str, make: Callable[[], DataFrame], reuse
     """
     if reuse and refresh:
         raise ValueError("a cache is either reused or refreshed")
-    hit = reuse and _exists(spark, f"{path}/_SUCCESS")
+    hit = reuse and exists(spark, path)
     if not hit:
         make().write.mode("overwrite").parquet(path)
     rows = spark.read.parquet(path)
