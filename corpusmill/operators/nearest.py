@@ -159,9 +159,9 @@ def search(queries: DataFrame, slots: DataFrame, k: int, key: str = "vec_id", va
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(rows.astype(np.int32)), pa.list_(pa.int32())), pa.array([x[o] for x, o in zip(most, rows, strict=True)], pa.list_(pa.float64()))], ["query_id", "block", "bound"])
 
     order = settled(q.mapInArrow(bounds, "query_id bigint, block array<int>, bound array<double>"), "bounds")
-    name = spark_blocks = q.sparkSession.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(p, ring, strict=True))], "block int, p int, ring int")
+    name = q.sparkSession.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(p, ring, strict=True))], "block int, p int, ring int")
     # of the first rings as many as hold k slots, and `first` at least
-    held = F.lit([int(x) for x in n])
+    held = F.array(*[F.lit(int(x)) for x in n])
     until = F.aggregate("block", F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("n")), lambda a, b: F.struct((a["i"] + F.when((a["n"] < k) | (a["i"] < first), 1).otherwise(0)).alias("i"), (a["n"] + F.when((a["n"] < k) | (a["i"] < first), F.get(held, b)).otherwise(0)).cast("long").alias("n")))["i"]
     ahead = order.withColumn("until", until)
     pick = lambda rows: rows.join(F.broadcast(name), "block").select("query_id", "p", "ring")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.functions import vector as V
+from corpusmill.operators.packing import numbered
+from corpusmill.sources.shared import settled
 
 QUERY_BLOCK, SLOT_BLOCK = 512, 8192
 #: Scores further apart than this do not see each other in a softmax: exp(-STRETCH) is a double still, its square is not.
@@ -111,8 +113,30 @@ def capped(found: DataFrame, most: int, seed: int = 0) -> DataFrame:
     return found.withColumn("__n", turn).where(F.col("__n") <= most).drop("__n")
 
 
+def filled(queries: DataFrame, slots: DataFrame, found: DataFrame, least: int, seed: int = 0, key: str = "vec_id") -> DataFrame:
+    """(query_id, slot_id, drawn): `found`, and for queries with fewer than `least` of it as many other slots drawn at random as they lack.
+
+    Slots are numbered 0..n-1 by id, without collecting them. A query walks over 0..m-1, m the least prime from n on, in steps of its
+    own from a place of its own, both seeded: it comes to each number once, so it has `least` different slots (or all there are)
+    after as many steps as it lacks, has and skips. Numbers meet slots in a join; reruns draw the same.
+    """
+    ids = slots.select(F.col(key).cast("bigint").alias("slot_id")).where("slot_id is not null").distinct()
+    dense = settled(numbered(ids.withColumn("part", F.lit("")), "part", "slot_id", "number").select("slot_id", "number"), "numbers")
+    n = dense.count()
+    m = next(x for x in range(max(2, n), 2 * max(2, n) + 1) if all(x % f for f in range(2, int(x**0.5) + 1)))
+    have = found.select("query_id", "slot_id").distinct()
+    short = short_lists(queries, have, min(least, n), key)
+    number = lambda what: F.conv(F.substring(F.sha1(F.concat_ws(":", F.lit(str(seed)), F.lit(what), F.col("query_id")).cast("binary")), 1, 12), 16, 10).cast("bigint")
+    turns = F.sequence(F.lit(0).cast("bigint"), F.lit(min(least, n) + m - n - 1).cast("bigint"))  # lacking + candidates + skipped
+    walk = short.select("query_id", "candidates", number("place").alias("a"), (F.lit(1) + number("step") % (m - 1)).alias("s"), F.explode(turns).alias("turn"))
+    drawn = walk.withColumn("number", ((F.col("a") % m + F.col("turn") * F.col("s")) % m)).join(dense, "number").join(have, ["query_id", "slot_id"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("turn"))
+    more = drawn.withColumn("place", place).where(F.col("place") <= min(least, n) - F.col("candidates")).select("query_id", "slot_id", F.lit(True).alias("drawn"))
+    return have.withColumn("drawn", F.lit(False)).unionByName(more)
+
+
 def short_lists(queries: DataFrame, found: DataFrame, least: int, key: str = "vec_id") -> DataFrame:
-    """(query_id, candidates): the queries that have fewer than `least` candidates, none included. Lists are not filled up at random."""
+    """(query_id, candidates): the queries that have fewer than `least` candidates, none included; filled() gives them others."""
     per = found.groupBy("query_id").agg(F.count("*").alias("candidates"))
     return queries.select(F.col(key).alias("query_id")).join(per, "query_id", "left").select("query_id", F.coalesce("candidates", F.lit(0)).alias("candidates")).where(F.col("candidates") < least)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import schedule, subword
 from corpusmill.functions import text as T
-from corpusmill.operators import allocation, audit, collection, dedup, formatting, memory, metrics, packing, quality, retrieval
+from corpusmill.operators import allocation, audit, collection, dedup, formatting, memory, metrics, nearest, packing, quality, retrieval
 from corpusmill.sources.io import table, training_text
 
 LENGTH = 512
@@ -171,6 +171,17 @@ def collect_reasons(spark, d):
     return collection.collected(_docs(spark, d), _quotas()["train"]).reasons
 
 
+def lsh_filled(spark, d):
+    """Candidates by planes, at most 60 each, filled up at random to 50."""
+    v = table(spark, d, "embeddings")
+    return retrieval.filled(v.where("vec_id % 50 = 0"), v, retrieval.capped(lsh_candidates(spark, d), 60), 50, 11)
+
+
+def knn_pruned(spark, d):
+    v = table(spark, d, "embeddings")
+    return _rounded(nearest.search(v.where("vec_id % 50 = 0"), v, 10).rows, 6, "score")
+
+
 def known(spark, d):
     """Documents of three domains, counted by domain."""
     return packing.known_domains(_docs(spark, d), ["general", "reasoning", "divergent"]).groupBy("domain").agg(F.count("*").alias("n"))
@@ -331,6 +342,8 @@ def queries() -> dict:
         "q_lsh_short": lsh_short,
         "q_lsh_capped": lambda s, d: retrieval.capped(lsh_candidates(s, d), 5, 3),
         "q_known_domains": known,
+        "q_lsh_filled": lsh_filled,
+        "q_knn_pruned": knn_pruned,
         "q_split_documents": split_documents,
         "q_collect_reasons": collect_reasons,
         "q_last_rows": lambda s, d: dedup.last_rows(table(s, d, "events").select("event_id", "event_type"), 30, "event_id"),
@@ -440,6 +453,15 @@ def oracle_sql() -> dict[str, str]:
         "q_allocated": "WITH n AS (SELECT lang AS part, source AS name, count(*) AS n, substr(source, 4)::INT AS pos FROM documents GROUP BY ALL), e AS (SELECT *, 1009 * (n / sum(n) OVER (PARTITION BY part)) AS e FROM n), r AS (SELECT *, floor(e)::BIGINT AS low, row_number() OVER (PARTITION BY part ORDER BY e - floor(e) DESC, pos) AS turn FROM e) SELECT part, name, low + (turn <= 1009 - sum(low) OVER (PARTITION BY part))::BIGINT AS quota FROM r",
         "q_report_bits": f"WITH s AS (SELECT {bits} AS metric, arg_min(value, event_id) AS first, arg_max(value, event_id) AS last FROM events GROUP BY 1), b AS (SELECT max((first - last) / abs(first)) FILTER (metric = '{BITS[0]}') AS drop, coalesce(bool_or(last < first) FILTER (metric = '{BITS[1]}'), false) AS retrieval_entropy_decreased, coalesce(bool_or(last > 0.18) FILTER (metric = '{BITS[2]}'), false) AS retrieval_top10_over_0_18 FROM s) SELECT CASE WHEN drop >= 0.05 THEN 'PASS' ELSE 'REVIEW' END AS decision, round(drop, 6) AS drop, coalesce(drop >= 0.05, false) AS recon_drop_ge_5pct, retrieval_entropy_decreased, retrieval_top10_over_0_18 FROM b",
         "q_lsh_short": f"WITH {CODES}, c AS (SELECT q.vec_id AS query_id, count(DISTINCT s.vec_id) AS n FROM codes q JOIN codes s USING (tab, code) WHERE q.vec_id % 50 = 0 GROUP BY 1) SELECT vec_id AS query_id, coalesce(least(n, 60), 0) AS candidates FROM embeddings LEFT JOIN c ON query_id = vec_id WHERE vec_id % 50 = 0 AND coalesce(n, 0) < 50",
+        "q_lsh_filled": f"""WITH {CODES}, c AS (SELECT DISTINCT q.vec_id AS query_id, s.vec_id AS slot_id FROM codes q JOIN codes s USING (tab, code) WHERE q.vec_id % 50 = 0),
+k AS (SELECT query_id, slot_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sha1('0:' || query_id || ':' || slot_id), slot_id) AS r FROM c) WHERE r <= 60),
+ids AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS number, count(*) OVER () AS n FROM embeddings),
+p AS (SELECT n, min(x) AS m FROM (SELECT any_value(n) AS n FROM ids), range(2, 100000) t(x) WHERE x >= n AND NOT EXISTS (SELECT 1 FROM range(2, 317) f(y) WHERE y < x AND x % y = 0) GROUP BY n),
+short AS (SELECT vec_id AS query_id, coalesce(h, 0) AS h, n, m, ('0x' || sha1('11:place:' || vec_id)[1:12])::BIGINT % m AS a, 1 + ('0x' || sha1('11:step:' || vec_id)[1:12])::BIGINT % (m - 1) AS s FROM embeddings LEFT JOIN (SELECT query_id, count(*) AS h FROM k GROUP BY 1) ON query_id = vec_id, p WHERE vec_id % 50 = 0 AND coalesce(h, 0) < least(50, n)),
+walk AS (SELECT *, unnest(range(0, least(50, n) + m - n)) AS turn FROM short),
+drawn AS (SELECT w.query_id, i.vec_id AS slot_id, least(50, w.n) - h AS lack, row_number() OVER (PARTITION BY w.query_id ORDER BY turn) AS place FROM walk w JOIN ids i ON i.number = (a + turn * s) % m WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.query_id = w.query_id AND k.slot_id = i.vec_id))
+SELECT query_id, slot_id, false AS drawn FROM k UNION ALL SELECT query_id, slot_id, true FROM drawn WHERE place <= lack""",
+        "q_knn_pruned": f"WITH {FOUND} SELECT query_id, slot_id, round(score, 6) AS score, rank::INT AS rank FROM found",
         "q_lsh_capped": f"WITH {CODES}, c AS (SELECT DISTINCT q.vec_id AS query_id, s.vec_id AS slot_id FROM codes q JOIN codes s USING (tab, code) WHERE q.vec_id % 50 = 0) SELECT query_id, slot_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sha1('3:' || query_id || ':' || slot_id), slot_id) AS r FROM c) WHERE r <= 5",
         "q_known_domains": f"WITH {DOCS} SELECT domain, count(*) AS n FROM docs WHERE domain IN ('general', 'reasoning', 'divergent') GROUP BY 1",
         "q_last_rows": "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 30",
