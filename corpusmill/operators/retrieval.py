@@ -19,6 +19,8 @@ from corpusmill.sources.shared import settled
 QUERY_BLOCK, SLOT_BLOCK = 512, 8192
 #: Scores further apart than this do not see each other in a softmax: exp(-STRETCH) is a double still, its square is not.
 STRETCH = 500.0
+#: Slots that a code should have on average, and the bits of a code.
+BUCKET, LEAST_BITS, MOST_BITS = 8, 6, 24
 
 
 def _blocked(vectors: DataFrame, key: str, value: str, block: int) -> DataFrame:
@@ -100,6 +102,11 @@ def codes(vectors: DataFrame, planes: list[list[list[float]]], key: str = "vec_i
     return rows.select("id", F.posexplode(F.array(*[one(t).cast("int") for t in planes])).alias("tab", "code"))
 
 
+def bits_for(n: int) -> int:
+    """Bits of the codes of n slots: buckets do not grow with the table, so candidates grow as the queries do."""
+    return max(LEAST_BITS, min(MOST_BITS, sum(n > BUCKET << b for b in range(MOST_BITS))))
+
+
 def candidates(queries: DataFrame, slots: DataFrame, planes, key: str = "vec_id", value: str = "embedding") -> DataFrame:
     """(query_id, slot_id) that share a code in some table."""
     q = codes(queries, planes, key, value).withColumnRenamed("id", "query_id")

@@ -6,6 +6,7 @@ The tables have no domain; here a document's is decided by the number in its sou
 from __future__ import annotations
 
 from math import cos
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 from corpusmill.functions import schedule, subword
 from corpusmill.functions import text as T
 from corpusmill.operators import allocation, audit, collection, dedup, formatting, memory, metrics, nearest, packing, quality, retrieval
-from corpusmill.sources.io import table, training_text
+from corpusmill.sources import cache, shards
+from corpusmill.sources.io import load_source, probe_all, read_jsonl, table, training_text, write_jsonl
+from corpusmill.sources.shared import shared_dir
+from corpusmill.streaming import packing as online
 
 LENGTH = 512
 MIX = "general=0.60, dialogue=0.20, reasoning=0.15, divergent=0.05"
@@ -22,7 +26,7 @@ DECOMPOSED = "replace(replace(replace(text, 'é', 'é'), 'ü', 'ü'), 'ö', 'ö'
 DOMAINS = list(allocation.DOMAIN_SHARES)
 QUOTAS = allocation.allocate(205, {f"src{i}": 1 / 20 for i in range(20)})
 BITS = ("recon_loss", "retrieval_entropy_div_logtopk", "retrieval_top10_mass")
-PLANES = [[[round(cos(1.7 + 13 * t + 5.3 * b + 0.9 * d * (b + 1)), 6) for d in range(64)] for b in range(6)] for t in range(2)]
+PLANES = [[[round(cos(1.7 + 13 * t + 5.3 * b + 0.9 * d * (b + 1)), 6) for d in range(64)] for b in range(retrieval.MOST_BITS)] for t in range(2)]
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -145,8 +149,10 @@ def schedule_trace(spark, d):
 
 
 def lsh_candidates(spark, d):
+    """Codes have as many bits as the table's size asks for."""
     v = table(spark, d, "embeddings")
-    return retrieval.candidates(v.where("vec_id % 50 = 0"), v, PLANES)
+    bits = retrieval.bits_for(v.count())
+    return retrieval.candidates(v.where("vec_id % 50 = 0"), v, [t[:bits] for t in PLANES])
 
 
 def lsh_short(spark, d):
@@ -182,6 +188,66 @@ def knn_pruned(spark, d):
     return _rounded(nearest.search(v.where("vec_id % 50 = 0"), v, 10).rows, 6, "score")
 
 
+def selected(spark, d):
+    """Documents as records of four sources, each with its own formatter; the text that is chosen, and from where."""
+    docs = table(spark, d, "documents")
+    own = lambda k, *columns: docs.where(F.col("doc_id") % 4 == k).select("doc_id", *columns)
+    text, lang = F.col("text"), F.col("lang")
+    sources = {
+        "solved": ({"formatter": "problem_solution", "domain": "reasoning"}, own(0, F.when(F.col("doc_id") % 8 == 0, lang).alias("problem"), text.alias("answer"))),
+        "told": ({"formatter": "instruction_response", "domain": "dialogue"}, own(1, F.col("source").alias("prompt"), F.when(F.col("doc_id") % 3 == 0, lang).alias("input"), text.alias("output"))),
+        "plain": ({"text_field": "body", "domain": "general", "subdomain": "web"}, own(2, text.alias("body"), lang.alias("note"))),
+        "any": ({"domain": "general"}, own(3, text.alias("a"), F.concat(lang, F.lit(" is the language of this one")).alias("b"), F.col("source").alias("c"), F.lit("https://an.address.that.is.no.text").alias("url"))),
+    }
+    parts = [formatting.stamped(formatting.selected_text(rows, spec), name, spec["domain"], spec.get("subdomain", "unknown"), "train") for name, (spec, rows) in sources.items()]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p, allowMissingColumns=True)
+    return whole.select("doc_id", "source", "domain", "subdomain", "split", "selected_text_field", T.text_hash(F.col("text")).alias("text_hash"))
+
+
+def source_scan(spark, d):
+    """Documents through the data source of shards by a registry entry, checked by a filter that reaches it."""
+    shards.register(spark)
+    rows = load_source(spark, "shard_docs", {"path": f"{d}/documents.parquet", "format": "shards", "domain": "general", "text_field": "text"})
+    return rows.where("ord >= 0").select("doc_id", "source", "domain", "subdomain", "selected_text_field", T.text_hash(F.col("text")).alias("text_hash"))
+
+
+def probed(spark, d):
+    """Reports of a registry's sources, one a row, and what they lead to."""
+    docs, pages = table(spark, d, "documents"), table(spark, d, "pages")
+    sources = {"docs": {"text_field": "text", "required": True}, "pages": {"text_field_priority": ["title", "html"]}, "gone": {"required": True}}
+    found = probe_all(sources, {"docs": docs.orderBy("doc_id"), "pages": pages.orderBy("page_id")}, 2)
+    rows = [(name, r["status"], r.get("selected_text_field"), [x["text_len"] for x in r.get("rows", [])], found["decision"]) for name, r in found["sources"].items()]
+    return spark.createDataFrame(rows, "name string, status string, field string, lengths array<bigint>, decision string").select("name", "status", "field", F.array_join(F.col("lengths").cast("array<string>"), ",").alias("lengths"), "decision")
+
+
+def cached_source(spark, d):
+    """Hashes of documents through the read-through cache twice: what it holds, and both reports."""
+    path = f"{shared_dir(spark)}/cache-{uuid4().hex}"
+    make = lambda: dedup.hashed(table(spark, d, "documents")).select("source", "text_hash")
+    first, second = cache.through(spark, path, make), cache.through(spark, path, make)
+    seen = lambda i, r: F.struct(F.lit(i).alias("turn"), *[F.lit(r[c]).alias(c) for c in ("cache_hit", "records_written", "remote_accessed")])
+    return second[0].agg(F.count("*").alias("rows"), F.countDistinct("text_hash").alias("texts")).select("rows", "texts", F.explode(F.array(seen(1, first[1]), seen(2, second[1]))).alias("r")).select("rows", "texts", "r.*")
+
+
+def jsonl_round_trip(spark, d):
+    """Documents written as JSON lines and read again."""
+    path = f"{shared_dir(spark)}/lines-{uuid4().hex}"
+    docs = table(spark, d, "documents")
+    write_jsonl(docs, path)
+    return read_jsonl(spark, path, docs.schema).select("doc_id", "lang", "source", "n_chars", T.text_hash(F.col("text")).alias("text_hash"))
+
+
+def online_blocks(spark, d):
+    """Blocks that the stream of documents has closed; the last one of each domain is open still."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    n = F.substring("source", 4, 9).cast("int") % 4
+    stream = spark.readStream.schema(docs.schema).parquet(f"{d}/documents.parque[t]")  # a pattern, which may name one file or a folder of them
+    rows = stream.select(F.get(F.array(*[F.lit(x) for x in DOMAINS]), n).alias("part"), F.col("doc_id").alias("ord"), "source", T.hash_tokens(F.coalesce("text", F.lit(""))).alias("ids"))
+    return online.run(rows, LENGTH).select(F.col("part").alias("domain"), "block", F.col("chunk").cast("long"), "source", F.col("valid_tokens").cast("long"), F.col("doc_count").cast("long"), "block_hash")
+
+
 def known(spark, d):
     """Documents of three domains, counted by domain."""
     return packing.known_domains(_docs(spark, d), ["general", "reasoning", "divergent"]).groupBy("domain").agg(F.count("*").alias("n"))
@@ -342,6 +408,12 @@ def queries() -> dict:
         "q_lsh_short": lsh_short,
         "q_lsh_capped": lambda s, d: retrieval.capped(lsh_candidates(s, d), 5, 3),
         "q_known_domains": known,
+        "q_selected_text": selected,
+        "q_source_scan": source_scan,
+        "q_probe": probed,
+        "q_cached_source": cached_source,
+        "q_jsonl": jsonl_round_trip,
+        "q_online_blocks": online_blocks,
         "q_lsh_filled": lsh_filled,
         "q_knn_pruned": knn_pruned,
         "q_split_documents": split_documents,
@@ -406,7 +478,8 @@ def _sign(t: int, b: int) -> str:
     return f"(CASE WHEN list_dot_product(embedding::DOUBLE[], {PLANES[t][b]}::DOUBLE[]) > 0 THEN {1 << b} ELSE 0 END)"
 
 
-CODES = "codes AS (" + " UNION ALL ".join(f"SELECT vec_id, {t} AS tab, {' + '.join(_sign(t, b) for b in range(6))} AS code FROM embeddings" for t in range(2)) + ")"
+BITS_FOR = f"(SELECT greatest({retrieval.LEAST_BITS}, least({retrieval.MOST_BITS}, (SELECT count(*) FROM range({retrieval.MOST_BITS}) b(b) WHERE n > {retrieval.BUCKET} * (1 << b)))) FROM (SELECT count(*) AS n FROM embeddings))"
+CODES = "codes AS (" + " UNION ALL ".join(f"SELECT vec_id, {t} AS tab, ({' + '.join(_sign(t, b) for b in range(retrieval.MOST_BITS))}) % (1 << {BITS_FOR}) AS code FROM embeddings" for t in range(2)) + ")"
 
 
 EDGES = """g AS (SELECT range // 24 AS src, range % 24 AS dst, sin(range * 1.7) AS logit FROM range(576)),
@@ -415,6 +488,10 @@ GRAPH = EDGES + """, cosines AS (SELECT q.vec_id AS query, n.vec_id AS node, exp
 aff AS (SELECT query, node, x / sum(x) OVER (PARTITION BY query) AS p FROM cosines)"""
 
 
+#: Text without ASCII blanks around it.
+BLANKLESS = "trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
 def oracle_sql() -> dict[str, str]:
     expected = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in allocation.DOMAIN_SHARES.items())
     limits = ", ".join(f"('{k}', {v})" for k, v in QUOTAS.items())
@@ -453,6 +530,17 @@ def oracle_sql() -> dict[str, str]:
         "q_allocated": "WITH n AS (SELECT lang AS part, source AS name, count(*) AS n, substr(source, 4)::INT AS pos FROM documents GROUP BY ALL), e AS (SELECT *, 1009 * (n / sum(n) OVER (PARTITION BY part)) AS e FROM n), r AS (SELECT *, floor(e)::BIGINT AS low, row_number() OVER (PARTITION BY part ORDER BY e - floor(e) DESC, pos) AS turn FROM e) SELECT part, name, low + (turn <= 1009 - sum(low) OVER (PARTITION BY part))::BIGINT AS quota FROM r",
         "q_report_bits": f"WITH s AS (SELECT {bits} AS metric, arg_min(value, event_id) AS first, arg_max(value, event_id) AS last FROM events GROUP BY 1), b AS (SELECT max((first - last) / abs(first)) FILTER (metric = '{BITS[0]}') AS drop, coalesce(bool_or(last < first) FILTER (metric = '{BITS[1]}'), false) AS retrieval_entropy_decreased, coalesce(bool_or(last > 0.18) FILTER (metric = '{BITS[2]}'), false) AS retrieval_top10_over_0_18 FROM s) SELECT CASE WHEN drop >= 0.05 THEN 'PASS' ELSE 'REVIEW' END AS decision, round(drop, 6) AS drop, coalesce(drop >= 0.05, false) AS recon_drop_ge_5pct, retrieval_entropy_decreased, retrieval_top10_over_0_18 FROM b",
         "q_lsh_short": f"WITH {CODES}, c AS (SELECT q.vec_id AS query_id, count(DISTINCT s.vec_id) AS n FROM codes q JOIN codes s USING (tab, code) WHERE q.vec_id % 50 = 0 GROUP BY 1) SELECT vec_id AS query_id, coalesce(least(n, 60), 0) AS candidates FROM embeddings LEFT JOIN c ON query_id = vec_id WHERE vec_id % 50 = 0 AND coalesce(n, 0) < 50",
+        "q_selected_text": f"""WITH t AS (SELECT doc_id, doc_id % 4 AS k, lang, source AS s, {BLANKLESS} AS text, text AS raw FROM documents)
+SELECT doc_id, (['solved', 'told', 'plain', 'any'])[k + 1] AS source, (['reasoning', 'dialogue', 'general', 'general'])[k + 1] AS domain, CASE WHEN k = 2 THEN 'web' ELSE 'unknown' END AS subdomain, 'train' AS split,
+  CASE k WHEN 0 THEN CASE WHEN doc_id % 8 = 0 AND text <> '' THEN 'problem+generated_solution' WHEN length(raw) > 20 THEN '__concat_text_like__' END WHEN 1 THEN CASE WHEN text <> '' THEN 'instruction+response' WHEN length(raw) > 20 THEN '__concat_text_like__' END WHEN 2 THEN 'body' ELSE '__concat_text_like__' END AS selected_text_field,
+  sha1(CASE k WHEN 0 THEN CASE WHEN doc_id % 8 = 0 AND text <> '' THEN 'Problem:' || chr(10) || lang || chr(10) || chr(10) || 'Solution:' || chr(10) || text WHEN length(raw) > 20 THEN raw ELSE '' END
+    WHEN 1 THEN CASE WHEN text <> '' THEN '<|user|>' || chr(10) || s || CASE WHEN doc_id % 3 = 0 THEN chr(10) || lang ELSE '' END || chr(10) || '<|assistant|>' || chr(10) || text WHEN length(raw) > 20 THEN raw ELSE '' END
+    WHEN 2 THEN raw ELSE CASE WHEN length(raw) > 20 THEN raw || chr(10) ELSE '' END || lang || ' is the language of this one' END) AS text_hash FROM t""",
+        "q_source_scan": "SELECT doc_id, 'shard_docs' AS source, 'general' AS domain, 'unknown' AS subdomain, 'text' AS selected_text_field, sha1(text) AS text_hash FROM documents",
+        "q_probe": "SELECT 'docs' AS name, 'ok' AS status, 'text' AS field, (SELECT string_agg(length(text), ',' ORDER BY doc_id) FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 2)) AS lengths, 'BLOCKED' AS decision UNION ALL SELECT 'pages', 'ok', 'html', (SELECT string_agg(length(html), ',' ORDER BY page_id) FROM (SELECT * FROM pages ORDER BY page_id LIMIT 2)), 'BLOCKED' UNION ALL SELECT 'gone', 'error', NULL, '', 'BLOCKED'",
+        "q_cached_source": "SELECT count(*) AS rows, count(DISTINCT text) AS texts, turn, turn = 2 AS cache_hit, (CASE WHEN turn = 1 THEN count(*) ELSE 0 END)::INT AS records_written, turn = 1 AS remote_accessed FROM documents, (SELECT unnest([1, 2])::INT AS turn) GROUP BY turn",
+        "q_jsonl": "SELECT doc_id, lang, source, n_chars, sha1(text) AS text_hash FROM documents",
+        "q_online_blocks": f"WITH RECURSIVE {PACKED}, tail AS (SELECT domain, max(block) AS block FROM placed GROUP BY domain) SELECT p.* FROM packed p LEFT JOIN tail t USING (domain, block) WHERE t.block IS NULL OR EXISTS (SELECT 1 FROM placed l WHERE l.domain = p.domain AND l.block = p.block AND l.n + 2 > {LENGTH})",
         "q_lsh_filled": f"""WITH {CODES}, c AS (SELECT DISTINCT q.vec_id AS query_id, s.vec_id AS slot_id FROM codes q JOIN codes s USING (tab, code) WHERE q.vec_id % 50 = 0),
 k AS (SELECT query_id, slot_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sha1('0:' || query_id || ':' || slot_id), slot_id) AS r FROM c) WHERE r <= 60),
 ids AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS number, count(*) OVER () AS n FROM embeddings),

@@ -10,6 +10,7 @@ streams of few hot domains deal documents to several parts of a domain.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from corpusmill.operators.packing import BOS, EOS, PAD, least_valid
+from corpusmill.sources.shared import shared_dir
 
 OUT = "part string, block bigint, chunk int, input_ids array<int>, source string, valid_tokens int, doc_count int, block_hash string"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -99,3 +101,18 @@ def packed(tokens: DataFrame, length: int, valid: int | None = None, idle: int |
     made = OpenBlocks(length, least_valid(length) if valid is None else valid, idle)
     rows = tokens.select("part", "ord", "source", "ids")
     return rows.groupBy("part").transformWithStateInPandas(made, OUT, "Append", "None" if idle is None else "ProcessingTime")
+
+
+def run(tokens: DataFrame, length: int, valid: int | None = None, folder: str | None = None) -> DataFrame:
+    """What is there of a stream packed into a folder (a new one in the shared folder if not said), and all blocks closed so far."""
+    spark = tokens.sparkSession
+    folder = folder or f"{shared_dir(spark)}/online-{uuid.uuid4().hex}"
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, PROVIDER)
+    try:
+        writer = packed(tokens, length, valid).writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+        writer.start(f"{folder}/blocks").awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(OUT).parquet(f"{folder}/blocks")
