@@ -10,6 +10,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusmill.functions import schedule, subword
 from corpusmill.functions import text as T
@@ -144,8 +145,10 @@ def metric_summary(spark, d):
 
 
 def schedule_trace(spark, d):
-    steps = spark.range(0, 2000, 25).withColumnRenamed("id", "step")
-    return _rounded(steps.select("step", schedule.warmup_stable_decay(F.col("step"), 0.001, 2000, 200, 400).alias("rate"), schedule.ramp(F.col("step"), 300, 900, 0.1, 0.7).alias("ramp")), 9, "rate", "ramp")
+    """What each event would have been trained with, its number being the step."""
+    step = F.col("step")
+    rows = table(spark, d, "events").select(F.col("event_id").alias("step"))
+    return _rounded(rows.select("step", schedule.warmup_stable_decay(step, 0.001, 2000, 200, 400).alias("rate"), schedule.ramp(step, 300, 900, 0.1, 0.7).alias("ramp")), 9, "rate", "ramp")
 
 
 def lsh_candidates(spark, d):
@@ -253,10 +256,13 @@ def known(spark, d):
     return packing.known_domains(_docs(spark, d), ["general", "reasoning", "divergent"]).groupBy("domain").agg(F.count("*").alias("n"))
 
 
-def _edges(spark: SparkSession) -> DataFrame:
-    """A graph of 24 nodes with made-up logits."""
-    i = F.col("id")
-    return spark.range(24 * 24).select(F.floor(i / 24).cast("long").alias("src"), (i % 24).alias("dst"), F.sin(i * 1.7).alias("logit"))
+def _edges(spark: SparkSession, d) -> DataFrame:
+    """The hours of a day as a graph: how often a user's next event falls into which hour, as logits, all pairs of hours included."""
+    following = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    steps = table(spark, d, "events").select(F.hour("ts").alias("src"), F.hour(F.lead("ts").over(following)).alias("dst")).where("dst is not null")
+    n = steps.groupBy(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).agg(F.count("*").alias("n"))
+    grid = spark.range(24 * 24).select(F.floor(F.col("id") / 24).cast("long").alias("src"), (F.col("id") % 24).alias("dst"))
+    return grid.join(n, ["src", "dst"], "left").select("src", "dst", F.log(F.coalesce("n", F.lit(0)) + 1.0).alias("logit"))
 
 
 def _nodes(spark, d):
@@ -397,10 +403,10 @@ def queries() -> dict:
         "q_write_skips": write_skips,
         "q_running": running,
         "q_branch_weights": branches,
-        "q_graph_measures": lambda s, d: _rounded(retrieval.graph_measures(_edges(s)), 9, "entropy", "mean_max", "over_002", "over_005", "over_010"),
-        "q_edge_forgetting": lambda s, d: _rounded(retrieval.forget_edges(_edges(s), 0.2, 0.03), 6, "logit"),
-        "q_graph_overview": lambda s, d: _rounded(_longs(memory.overview(_sequences(s, d), _nodes(s, d), _edges(s)), "pos"), 6, "value"),
-        "q_coactivation": lambda s, d: _rounded(memory.coactivation(_sequences(s, d), _nodes(s, d), _edges(s), "label", "vec_id"), 9, "p"),
+        "q_graph_measures": lambda s, d: _rounded(retrieval.graph_measures(_edges(s, d)), 9, "entropy", "mean_max", "over_002", "over_005", "over_010"),
+        "q_edge_forgetting": lambda s, d: _rounded(retrieval.forget_edges(_edges(s, d), 0.2, 0.03), 6, "logit"),
+        "q_graph_overview": lambda s, d: _rounded(_longs(memory.overview(_sequences(s, d), _nodes(s, d), _edges(s, d)), "pos"), 6, "value"),
+        "q_coactivation": lambda s, d: _rounded(memory.coactivation(_sequences(s, d), _nodes(s, d), _edges(s, d), "label", "vec_id"), 9, "p"),
         "q_adjacent_contrast": lambda s, d: _rounded(memory.adjacent_contrast(_sequences(s, d), "label", "vec_id", "v", 0.1, 4), 6, "loss"),
         "q_vector_validation": lambda s, d: _rounded(retrieval.validation(table(s, d, "embeddings"), "embedding"), 6, "mean", "std", "mean_norm"),
         "q_training_text": lambda s, d: training_text(_docs(s, d)).select(F.sha1(F.col("value").cast("binary")).alias("line_hash"), F.length("value").cast("long").alias("n")),
@@ -482,7 +488,8 @@ BITS_FOR = f"(SELECT greatest({retrieval.LEAST_BITS}, least({retrieval.MOST_BITS
 CODES = "codes AS (" + " UNION ALL ".join(f"SELECT vec_id, {t} AS tab, ({' + '.join(_sign(t, b) for b in range(retrieval.MOST_BITS))}) % (1 << {BITS_FOR}) AS code FROM embeddings" for t in range(2)) + ")"
 
 
-EDGES = """g AS (SELECT range // 24 AS src, range % 24 AS dst, sin(range * 1.7) AS logit FROM range(576)),
+EDGES = """steps AS (SELECT hour(ts) AS src, hour(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS dst FROM events),
+g AS (SELECT range // 24 AS src, range % 24 AS dst, ln(1.0 + coalesce(n, 0)) AS logit FROM range(576) LEFT JOIN (SELECT src, dst, count(*) AS n FROM steps WHERE dst IS NOT NULL GROUP BY ALL) s ON s.src = range // 24 AND s.dst = range % 24),
 trans AS (SELECT src, dst, exp(logit) / sum(exp(logit)) OVER (PARTITION BY src) AS p FROM g)"""
 GRAPH = EDGES + """, cosines AS (SELECT q.vec_id AS query, n.vec_id AS node, exp(list_cosine_similarity(q.embedding::DOUBLE[], n.embedding::DOUBLE[])) AS x FROM embeddings q, embeddings n WHERE q.vec_id >= 24 AND n.vec_id < 24),
 aff AS (SELECT query, node, x / sum(x) OVER (PARTITION BY query) AS p FROM cosines)"""
@@ -611,6 +618,6 @@ UNION ALL SELECT 'empty', 0, 0, 0, 0, 0, 0, 0, NULL, NULL, 'empty,no_labels', 'B
         "q_knn_gather": f"WITH {FOUND} SELECT query_id, pos, round(sum(w * x), 5) AS value FROM (SELECT query_id, w, unnest(embedding::DOUBLE[]) AS x, unnest(range(0, 64)) AS pos FROM weights JOIN embeddings ON vec_id = slot_id) GROUP BY ALL",
         "q_span_pool": "WITH p AS (SELECT label, ((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 4)::BIGINT AS span_idx, embedding FROM embeddings), u AS (SELECT label, span_idx, unnest(embedding::DOUBLE[]) AS x, unnest(range(0, 64)) AS pos FROM p) SELECT label, span_idx, pos, round(avg(x), 6) AS mean FROM u GROUP BY ALL HAVING count(*) = 4",
         "q_metric_summary": "WITH s AS (SELECT event_type AS metric, count(*) AS n, arg_min(value, event_id) AS first, arg_max(value, event_id) AS last, min(value) AS least, max(value) AS greatest, avg(value) AS mean FROM events WHERE isfinite(value) GROUP BY 1), t AS (SELECT *, (first - last) / greatest(abs(first), 1e-12) AS d FROM s) SELECT metric, n, round(first, 6) AS first, round(last, 6) AS last, round(least, 6) AS least, round(greatest, 6) AS greatest, round(mean, 6) AS mean, round(d, 6) AS drop, CASE WHEN d >= 0.05 THEN 'PASS' ELSE 'REVIEW' END AS decision FROM t",
-        "q_schedule_trace": "SELECT step, round(CASE WHEN step < 200 THEN 0.001 * (step + 1) / 200 WHEN step < 1600 THEN 0.001 ELSE 0.001 * (0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(greatest((step - 1600) / 400, 0), 1)))) END::DOUBLE, 9) AS rate, round((0.1 + 0.6 * least(greatest((step - 300) / 600, 0), 1))::DOUBLE, 9) AS ramp FROM range(0, 2000, 25) t(step)",
+        "q_schedule_trace": "SELECT step, round(CASE WHEN step < 200 THEN 0.001 * (step + 1) / 200 WHEN step < 1600 THEN 0.001 ELSE 0.001 * (0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(greatest((step - 1600) / 400, 0), 1)))) END::DOUBLE, 9) AS rate, round((0.1 + 0.6 * least(greatest((step - 300) / 600, 0), 1))::DOUBLE, 9) AS ramp FROM (SELECT event_id AS step FROM events)",
         "q_lsh_candidates": f"WITH {CODES} SELECT DISTINCT q.vec_id AS query_id, s.vec_id AS slot_id FROM codes q JOIN codes s USING (tab, code) WHERE q.vec_id % 50 = 0",
     }
