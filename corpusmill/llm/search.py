@@ -1,12 +1,12 @@
 """Exact BM25 top-k: an inverted index with block maxima for each shard, block-max WAND inside it, merged by global statistics.
 
 Documents are dealt to shards of about SHARD_DOCS, of about SHARD_WORDS where texts are long, by a hash of id and text. A shard orders its documents so that like ones share
-a block of BLOCK documents, the same blocks for all terms, and keeps each term's largest contribution to each block. A query has
-a cursor on every term's entries in order of blocks. A walk finds the pivot, the next block at which the maxima of the terms that
-stand there reach the threshold (the k-th score so far); all cursors skip to it, what lies between is never scored; the pivot's
-documents are scored and the threshold rises. What terms that very many documents have add is taken for all of a shard first, in
-one row of numbers each: it needs no bound, and the walk goes over the other terms. Pivots are taken a few at a time, more as the walk goes on, and the blocks of the
-greatest bounds come before all others, so that the threshold is high from the start. Each shard returns k rows for a query, and
+a block of BLOCK documents, the same blocks for all terms, and keeps each term's largest contribution to each block. As blocks are
+the same for all terms, a block is a pivot if the maxima of the query's terms in it add up to the threshold (the k-th score so
+far). These sums are taken for all blocks of a shard at once, which reads every block entry of the query's terms but no posting; a
+block that is no pivot is never scored. Pivots are scored a few at a time, those of the greatest bounds first, more as the walk
+goes on; the threshold rises, and entries of blocks that fall below it are dropped. What terms that very many documents have add
+is taken for all of a shard first, in one row of numbers each, and the walk goes over the other terms. Each shard returns k rows for a query, and
 the k best of all are exact because document frequencies, their number and their mean length are those of the whole table.
 
 Shards are searched in waves, each GROWTH times as many as before: a query takes the threshold that it reached in all earlier
@@ -162,7 +162,7 @@ class Shard:
                 # by more than rounding below the k-th score: such a document or block cannot enter
                 threshold = max(threshold, float(np.partition(scores, -k)[-k]) - 1e-6)
                 ids, scores = ids[scores >= threshold], scores[scores >= threshold]
-            # cursors skip what cannot reach the threshold, for good
+            # what cannot reach the threshold is skipped for good
             open_ = left > threshold
             keep = np.flatnonzero(open_[blocks])
             entries, w, blocks = entries[keep], w[keep], blocks[keep]

@@ -6,7 +6,7 @@ scanned, each distinct blob once however many paths hold it; what is new is appe
 
 Equal texts meet in one blob before the scan by a grouping that combines on the map side, so a group of copies with a third
 of all rows costs no more than its share of one row for each task; the join back carries an id and a hash for each path and
-adaptive execution splits it where a blob has very many. Of the ledger, only rows of the blobs at hand are read into a join.
+adaptive execution splits it where a blob has very many. Of the ledger, only rows of the blobs at hand go beyond a semi-join of hashes, and its spans are read for them alone.
 Pairs that the ledger has twice (two scans at once) give each span once; what it has of other rules or versions stays unused.
 
 Null text counts as empty; an empty table gives an empty table; repeated rows are repeated paths; other columns are ignored. A
@@ -83,7 +83,8 @@ def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame
     if ledger is None:
         lacking = todo.withColumn("rules", names)
     else:
-        have = ledger.select("blob", F.explode("rules").alias("rule")).where(F.col("rule").isin(*[name(r) for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("have"))  # one entry for each rule at most
+        own = versions.select(F.sha2(text_or_empty(), 256).alias("blob")).distinct()
+        have = ledger.join(own, "blob", "left_semi").select("blob", F.explode("rules").alias("rule")).where(F.col("rule").isin(*[name(r) for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("have"))  # one entry for each rule at most
         lacking = todo.join(have, "blob", "left").withColumn("rules", F.array_except(names, F.coalesce("have", F.array().cast("array<string>")))).where(F.size("rules") > 0)
     none = F.array().cast(_PLACE)
     found = [F.when(F.array_contains("rules", name(r)) & F.col("text").rlike(r.pattern), gaps_and_hits(F.col("text"), r, i)).otherwise(none) for i, r in enumerate(rules)]
