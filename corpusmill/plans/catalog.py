@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.functions import schedule, subword
+from corpusmill.functions import schedule, sql, subword
 from corpusmill.functions import text as T
 from corpusmill.operators import allocation, audit, collection, dedup, formatting, memory, metrics, nearest, packing, quality, retrieval
 from corpusmill.sources import cache, shards
 from corpusmill.sources.io import load_source, probe_all, read_jsonl, table, training_text, write_jsonl
-from corpusmill.sources.shared import shared_dir
+from corpusmill.sources.shared import settled, shared_dir
 from corpusmill.streaming import packing as online
 
 LENGTH = 512
@@ -85,6 +85,16 @@ def pack_blocks(spark, d):
     return _longs(_packed(spark, d).drop("input_ids"), "block", "chunk", "valid_tokens", "doc_count")
 
 
+def pack_appended(spark, d):
+    """The blocks of documents that came in three deliveries."""
+    tokens = settled(_tokens(spark, d).select("domain", "ord", "source", "ids"), "tokens")
+    third = tokens.agg(F.max("ord")).first()[0] // 3 + 1
+    packed = packing.Packed(LENGTH)
+    for i in range(3):
+        packed.add(tokens.where((F.col("ord") >= i * third) & (F.col("ord") < (i + 1) * third)))
+    return _longs(packed.blocks().drop("input_ids"), "block", "chunk", "valid_tokens", "doc_count")
+
+
 def block_dedup(spark, d):
     return _longs(packing.first_blocks(_packed(spark, d), DOMAINS).select("domain", "block", "chunk", "block_hash"), "chunk")
 
@@ -246,11 +256,20 @@ def online_blocks(spark, d):
     """Blocks that the stream of documents has closed; the last one of each domain is open still."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
     n = F.substring("source", 4, 9).cast("int") % 4
-    stream = spark.readStream.schema(docs.schema).parquet(f"{d}/documents.parque[t]")  # a pattern, which may name one file or a folder of them
+    stream = spark.readStream.schema(docs.schema).option("maxBytesPerTrigger", 64 << 20).parquet(f"{d}/documents.parque[t]")  # a pattern, which may name one file or a folder of them
     rows = stream.select(F.get(F.array(*[F.lit(x) for x in DOMAINS]), n).alias("part"), F.col("doc_id").alias("ord"), "source", T.hash_tokens(F.coalesce("text", F.lit(""))).alias("ids"))
     return online.run(rows, LENGTH).select(F.col("part").alias("domain"), "block", F.col("chunk").cast("long"), "source", F.col("valid_tokens").cast("long"), F.col("doc_count").cast("long"), "block_hash")
 
 
+def by_sql(spark, d):
+    """Quality, tokens and chunks by functions of SQL alone: every reason, and the hash of every chunk."""
+    sql.register(spark)
+    _docs(spark, d).select("domain", "ord", "source", F.coalesce("text", F.lit("")).alias("text")).createOrReplaceTempView("sql_docs")
+    spark.sql("SELECT domain, ord, source, hash_tokens(text) AS ids FROM sql_docs").createOrReplaceTempView("sql_tokens")
+    return spark.sql(f"""SELECT 'chunk' AS kind, t.source AS name, t.ord AS n, CAST(c.chunk AS BIGINT) AS chunk, ids_hash(c.input_ids) AS hash FROM sql_tokens t, LATERAL token_chunks(t.ids, {LENGTH}) c WHERE size(t.ids) + 2 > {LENGTH}
+        UNION ALL SELECT 'reason', quality_reason(text, domain), ord, 0, NULL FROM sql_docs""")
+
+
 def known(spark, d):
     """Documents of three domains, counted by domain."""
     return packing.known_domains(_docs(spark, d), ["general", "reasoning", "divergent"]).groupBy("domain").agg(F.count("*").alias("n"))
@@ -414,6 +433,8 @@ def queries() -> dict:
         "q_lsh_short": lsh_short,
         "q_lsh_capped": lambda s, d: retrieval.capped(lsh_candidates(s, d), 5, 3),
         "q_known_domains": known,
+        "q_pack_appended": pack_appended,
+        "q_sql_functions": by_sql,
         "q_selected_text": selected,
         "q_source_scan": source_scan,
         "q_probe": probed,
@@ -548,6 +569,9 @@ SELECT doc_id, (['solved', 'told', 'plain', 'any'])[k + 1] AS source, (['reasoni
         "q_cached_source": "SELECT count(*) AS rows, count(DISTINCT text) AS texts, turn, turn = 2 AS cache_hit, (CASE WHEN turn = 1 THEN count(*) ELSE 0 END)::INT AS records_written, turn = 1 AS remote_accessed FROM documents, (SELECT unnest([1, 2])::INT AS turn) GROUP BY turn",
         "q_jsonl": "SELECT doc_id, lang, source, n_chars, sha1(text) AS text_hash FROM documents",
         "q_online_blocks": f"WITH RECURSIVE {PACKED}, tail AS (SELECT domain, max(block) AS block FROM placed GROUP BY domain) SELECT p.* FROM packed p LEFT JOIN tail t USING (domain, block) WHERE t.block IS NULL OR EXISTS (SELECT 1 FROM placed l WHERE l.domain = p.domain AND l.block = p.block AND l.n + 2 > {LENGTH})",
+        "q_sql_functions": f"""WITH {IDS}, {MEASURED.partition("," + chr(10))[2]}
+SELECT 'chunk' AS kind, source AS name, doc_id AS n, i // {LENGTH - 2} AS chunk, {HASH.format(f"list_resize([2] || ids[i + 1:i + {LENGTH - 2}] || [3], {LENGTH}, 0)")} AS hash FROM (SELECT source, doc_id, ids, unnest(range(0, len(ids), {LENGTH - 2})) AS i FROM tokens WHERE len(ids) + 2 > {LENGTH})
+UNION ALL SELECT 'reason', reason, doc_id, 0, NULL FROM reasoned""",
         "q_lsh_filled": f"""WITH {CODES}, c AS (SELECT DISTINCT q.vec_id AS query_id, s.vec_id AS slot_id FROM codes q JOIN codes s USING (tab, code) WHERE q.vec_id % 50 = 0),
 k AS (SELECT query_id, slot_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sha1('0:' || query_id || ':' || slot_id), slot_id) AS r FROM c) WHERE r <= 60),
 ids AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS number, count(*) OVER () AS n FROM embeddings),
@@ -587,6 +611,7 @@ SELECT query_id, slot_id, false AS drawn FROM k UNION ALL SELECT query_id, slot_
         "q_hash_tokens": f"WITH {IDS} SELECT doc_id, len(ids) AS n_tokens, {HASH.format('ids')} AS ids_hash FROM tokens",
         "q_token_stats": f"WITH {IDS} SELECT source, lang, count(*) AS docs, sum(len(ids))::BIGINT AS tokens, min(len(ids)) AS least, max(len(ids)) AS most FROM tokens GROUP BY ALL",
         "q_long_chunks": f"WITH {IDS}, cuts AS (SELECT doc_id, unnest(range(0, len(ids), {LENGTH - 2})) AS i, ids FROM tokens WHERE len(ids) + 2 > {LENGTH}), c AS (SELECT doc_id, (i // {LENGTH - 2})::BIGINT AS chunk, [2] || ids[i + 1:i + {LENGTH - 2}] || [3] AS c FROM cuts) SELECT doc_id, chunk, len(c) AS valid_tokens, {HASH.format(f'list_resize(c, {LENGTH}, 0)')} AS block_hash FROM c WHERE len(c) >= 480",
+        "q_pack_appended": f"WITH RECURSIVE {PACKED} SELECT domain, block, chunk, source, valid_tokens, doc_count, block_hash FROM packed",
         "q_pack_blocks": f"WITH RECURSIVE {PACKED} SELECT domain, block, chunk, source, valid_tokens, doc_count, block_hash FROM packed",
         "q_block_hash_dedup": f"WITH RECURSIVE {PACKED} SELECT domain, block, chunk, block_hash FROM (SELECT *, row_number() OVER (PARTITION BY block_hash ORDER BY list_position({DOMAINS}, domain), block, chunk) AS r FROM packed) WHERE r = 1",
         "q_domain_mix": f"WITH {DOCS}, want(domain, expected) AS (VALUES {expected}), c AS (SELECT domain, count(*) AS n FROM docs GROUP BY 1) SELECT domain, coalesce(n, 0) AS n, coalesce(n, 0) / (SELECT count(*) FROM docs) AS share, expected, expected IS NULL OR abs(coalesce(n, 0) / (SELECT count(*) FROM docs) - expected) <= 0.01 AS within FROM c FULL JOIN want USING (domain)",
