@@ -9,7 +9,8 @@
 3. Each cut of a candidate is joined with the counts of its two parts, scored in Decimal, and the lowest score stays.
 4. One-word extensions that are frequent enough drop a phrase (an anti-join). A longer phrase that would is in a one-word
    extension that is at least as frequent, so these are enough.
-5. A window ranks each language; Spark keeps its first rows in every task before it shuffles them.
+5. Windows rank parts of each language, then the language; Spark keeps the first rows in every task before it shuffles them, so the
+   last window has at most RANKED times the rows that are asked for, however many tasks there are.
 
 Null text counts as empty, a null lang is `und` and joins rows that say so. Repeated rows count each. Very long texts are cut into
 slices at the ends of pieces, where no phrase goes on. An empty table gives an empty table; other columns are ignored.
@@ -31,6 +32,8 @@ from pyspark.sql.window import Window
 from .common import settled, text_or_empty
 
 MAX_N, LEAST, SHARE, TOP = 3, 10, 50, 2000
+#: Parts of a language that are ranked by themselves before the language is.
+RANKED = 64
 #: Bytes of text that are cut into words together, words whose n-grams are counted together, and rows that are sent together.
 SLICE, TOGETHER, SENT = 1 << 20, 1 << 20, 1 << 16
 #: Bits of the filter for each frequent phrase of the level below, its places for each, its greatest size (64 MB), and a block's.
@@ -258,8 +261,10 @@ def collocations(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, share:
     longer = extended(phrases).withColumnsRenamed({"lang": "of", "phrase": "part"})
     rows = scored(phrases)
     kept = rows.join(longer, (F.col("lang") == F.col("of")) & (F.col("phrase") == F.col("part")) & (100 * F.col("longer") >= share * F.col("a")), "left_anti")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    first = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = F.desc("score"), F.desc("a"), F.col("phrase")
+    first = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANKED)))
+    for by in (("lang", "part"), ("lang",)):
+        first = first.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= top)
     return first.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
