@@ -161,9 +161,13 @@ def padded(ids: Column, length: int) -> Column:
 
 
 def long_chunks(tokens: DataFrame, length: int, valid: int | None = None) -> DataFrame:
-    """(part columns..., chunk, input_ids, valid_tokens) of the documents that do not fit a block."""
+    """(part columns..., chunk, input_ids, valid_tokens) of the documents that do not fit a block.
+
+    Others are left out in the generator: a filter would be pushed below whatever makes the ids, which would make them twice.
+    """
     valid = least_valid(length) if valid is None else valid
-    rows = tokens.where(F.size("ids") + 2 > length).select(*[c for c in tokens.columns if c != "ids"], F.posexplode(chunks(F.col("ids"), length)).alias("chunk", "c"))
+    long = F.when(F.size("ids") + 2 > length, chunks(F.col("ids"), length))
+    rows = tokens.select(*[c for c in tokens.columns if c != "ids"], F.posexplode(long).alias("chunk", "c"))
     return rows.where(F.size("c") >= valid).withColumn("valid_tokens", F.size("c")).withColumn("input_ids", padded(F.col("c"), length)).drop("c")
 
 
@@ -180,14 +184,14 @@ def made(rows: DataFrame, placed: DataFrame, length: int, valid: int | None = No
     names = F.transform("docs", lambda d: F.coalesce(d["source"], F.lit("")))
     tally = F.transform(F.array_distinct(names), lambda s: F.struct(F.size(F.filter(names, lambda x: x == s)).alias("n"), (-F.array_position(names, s)).alias("first"), s.alias("s")))
     short_rows = blocks.select(part, "block", F.lit(0).alias("chunk"), padded(F.col("c"), length).alias("input_ids"), F.array_max(tally)["s"].alias("source"), F.size("c").alias("valid_tokens"), F.size("docs").alias("doc_count"))
-    long_rows = long_chunks(full, length, valid).select(part, "block", "chunk", "input_ids", F.coalesce("source", F.lit("")).alias("source"), "valid_tokens", F.lit(1).alias("doc_count"))
+    long_rows = long_chunks(full.where(F.size("ids") + 2 > length), length, valid).select(part, "block", "chunk", "input_ids", F.coalesce("source", F.lit("")).alias("source"), "valid_tokens", F.lit(1).alias("doc_count"))
     return short_rows.unionByName(long_rows).withColumn("block_hash", ids_hash(F.col("input_ids")))
 
 
 def usable(tokens: DataFrame, part: str = "domain", order: str = "ord") -> DataFrame:
-    """Documents that have tokens, written, with their number of tokens: made once, read twice."""
-    rows = tokens.select(part, F.col(order).cast("bigint").alias(order), "source", "ids").where(F.size("ids") > 0)
-    return settled(rows.withColumn("n_tokens", F.size("ids").cast("bigint")), "tokens")
+    """Documents that have tokens, written, with their number of tokens: made once, read twice. All are written, lest a filter makes ids twice."""
+    rows = tokens.select(part, F.col(order).cast("bigint").alias(order), "source", "ids")
+    return settled(rows.withColumn("n_tokens", F.size("ids").cast("bigint")), "tokens").where("n_tokens > 0")
 
 
 def pack(tokens: DataFrame, length: int, valid: int | None = None, part: str = "domain", order: str = "ord") -> DataFrame:
