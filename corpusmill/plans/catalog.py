@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from corpusmill.functions import schedule, sql, subword
 from corpusmill.functions import text as T
 from corpusmill.operators import allocation, audit, collection, dedup, formatting, memory, metrics, nearest, packing, quality, retrieval
+from corpusmill.plans import pipeline
 from corpusmill.sources import cache, shards
 from corpusmill.sources.io import load_source, probe_all, read_jsonl, table, training_text, write_jsonl
 from corpusmill.sources.shared import settled, shared_dir
@@ -185,6 +186,16 @@ def split_documents(spark, d):
     return collection.splits(_docs(spark, d), _quotas()).select("split", "source", "doc_id", "text_hash")
 
 
+def split_blocks(spark, d):
+    """From documents to the mixed blocks of three splits: collection with exclusion, tokens, packing, first of equal blocks, domain counts."""
+    cfg = pipeline.Config({}, 40, "", LENGTH)
+    docs, out = settled(collection.splits(_docs(spark, d), _quotas()), "docs"), None
+    for split, n in allocation.split_counts(40).items():
+        made = pipeline.split_blocks(docs.where(F.col("split") == split), cfg, n).withColumn("split", F.lit(split))
+        out = made if out is None else out.unionByName(made)
+    return _longs(out.select("split", "domain", "source", "chunk", "valid_tokens", "doc_count", "block_hash"), "chunk", "valid_tokens", "doc_count")
+
+
 def collect_reasons(spark, d):
     """What became of the rows that were looked at for the training split."""
     return collection.collected(_docs(spark, d), _quotas()["train"]).reasons
@@ -445,6 +456,7 @@ def queries() -> dict:
         "q_knn_pruned": knn_pruned,
         "q_split_documents": split_documents,
         "q_collect_reasons": collect_reasons,
+        "q_split_blocks": split_blocks,
         "q_last_rows": lambda s, d: dedup.last_rows(table(s, d, "events").select("event_id", "event_type"), 30, "event_id"),
         "q_text_number": lambda s, d: table(s, d, "documents").select("doc_id", T.number_of(F.col("text")).alias("number")),
     }
@@ -545,7 +557,19 @@ def oracle_sql() -> dict[str, str]:
         before.append(split)
     ends = ", ends AS (SELECT source, CASE WHEN count(*) = any_value(most) THEN max(doc_id) END AS last FROM train GROUP BY source)"
     again = "row_number() OVER (PARTITION BY source, text_hash, reason ORDER BY doc_id) > 1"
+    # of each split by itself, in the order of a seeded hash of the text
+    own = "docs AS (SELECT split || ':' || t.domain AS domain, t.doc_id, t.source, t.lang, t.text, s.text_hash, ('0x' || sha1('1234:' || s.text_hash)[1:7])::BIGINT AS h FROM (SELECT split, doc_id, text_hash FROM train UNION ALL SELECT split, doc_id, text_hash FROM val UNION ALL SELECT split, doc_id, text_hash FROM test) s JOIN given t USING (doc_id))"
+    walked = PACKED.replace(DOCS, own).replace("SELECT doc_id, domain, source, lang, list_transform", "SELECT doc_id, domain, source, lang, h, text_hash, list_transform").replace("PARTITION BY domain ORDER BY doc_id", "PARTITION BY domain ORDER BY h, text_hash, source")
+    given = judged.replace("docs AS (", "given AS (", 1).replace("FROM docs)", "FROM given)").replace("JOIN docs USING", "JOIN given USING")
+    counts = ", ".join(f"('{split}', '{k}', {v}, {12345 + n})" for split, n in allocation.split_counts(40).items() for k, v in allocation.allocate(n, allocation.DOMAIN_SHARES).items())
+    place = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(DOMAINS))
     return {
+        "q_split_blocks": f"""WITH RECURSIVE {given}{splits}, {walked},
+parted AS (SELECT split_part(domain, ':', 1) AS split, split_part(domain, ':', 2) AS kind, block, chunk, source, valid_tokens, doc_count, block_hash FROM packed),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY split, block_hash ORDER BY CASE kind {place} END, block, chunk) AS copy FROM parted) WHERE copy = 1),
+amounts AS (SELECT * FROM (VALUES {counts}) t(split, kind, most, seed)),
+mixed AS (SELECT f.*, most, row_number() OVER (PARTITION BY f.split, f.kind ORDER BY sha1(seed || ':' || block_hash), block_hash) AS turn FROM firsts f JOIN amounts a ON a.split = f.split AND a.kind = f.kind)
+SELECT split, kind AS domain, source, chunk, valid_tokens, doc_count, block_hash FROM mixed WHERE turn <= most""",
         "q_split_documents": f"WITH {judged}{splits} SELECT split, source, doc_id, text_hash FROM train UNION ALL SELECT split, source, doc_id, text_hash FROM val UNION ALL SELECT split, source, doc_id, text_hash FROM test",
         "q_collect_reasons": f"WITH {judged}{splits}{ends}, marked AS (SELECT source, doc_id, CASE WHEN reason = 'ok' AND {again} THEN 'duplicate' ELSE reason END AS reason FROM judged WHERE source IN (SELECT source FROM quotas WHERE split = 'train' AND most > 0)) SELECT source, reason, count(*) AS n FROM marked LEFT JOIN ends USING (source) WHERE last IS NULL OR doc_id <= last GROUP BY ALL",
         "q_batch_contrast": "WITH e AS (SELECT vec_id AS i, vec_id // 64 AS b, embedding::DOUBLE[] AS q, list_reverse(embedding::DOUBLE[]) AS k FROM embeddings), l AS (SELECT a.i, a.i = c.i AS own, list_cosine_similarity(a.q, c.k) / 0.5 AS x FROM e a JOIN e c USING (b)), r AS (SELECT i, ln(sum(exp(x))) - max(x) FILTER (own) AS loss FROM l GROUP BY 1) SELECT count(*) AS n, round(avg(loss), 6) AS loss FROM r",
