@@ -133,19 +133,24 @@ def _best(scores: DataFrame, k: int) -> DataFrame:
 
 
 def search(queries: DataFrame, slots: DataFrame, k: int, key: str = "vec_id", value: str = "embedding", pivots: int = PIVOTS, first: int = FIRST, rings_each: int = RINGS) -> Found:
-    """What operators.retrieval.top_k gives for vectors of one length: the k slots of greatest cosine over the root of the dimension; ties to the lesser id."""
+    """What operators.retrieval.top_k gives: the k slots of greatest cosine over the root of the dimension; ties to the lesser id.
+
+    Vectors are of one length, that of the pivots; others have no cosine with them and are left out.
+    """
     s, q = _units(slots, key, value), settled(_units(queries, key, value), "queries")
     head = s.where(F.exists("v", lambda x: x != 0)).orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()
     if not head:
         from corpusmill.operators.retrieval import top_k
 
         return Found(top_k(queries, slots, k, key, value), 0, 0)
-    centre = _unit(np.array([r["v"] for r in head]))
+    width = len(head[0]["v"])
+    centre = _unit(np.array([r["v"] for r in head if len(r["v"]) == width]))
+    q = q.where(F.size("v") == width)
     placed = settled(rings(dealt(s, centre), rings_each), "rings")
     sizes = placed.groupBy("p", "ring").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect()  # pivots x rings at most
     parts = max(1, -(-max(r["n"] for r in sizes) // TOGETHER))
     p, ring, n, low, high = (np.array([r[c] for r in sizes]) for c in ("p", "ring", "n", "low", "high"))
-    width, root = centre.shape[1], np.sqrt(centre.shape[1])
+    root = np.sqrt(width)
 
     def bounds(batches):
         for b in batches:
