@@ -617,7 +617,7 @@ SELECT query_id, slot_id, false AS drawn FROM k UNION ALL SELECT query_id, slot_
         "q_branch_weights": "WITH l AS (SELECT l_orderkey AS seq, (l_linenumber % 2)::BIGINT AS branch, (l_linenumber // 2)::BIGINT AS pos, max(l_discount) AS s, max(l_tax) AS t FROM lineitem GROUP BY ALL), r AS (SELECT seq, branch, pos, 2 * avg(s) OVER (PARTITION BY seq, branch ORDER BY pos ROWS UNBOUNDED PRECEDING) + 3 * t AS s FROM l) SELECT seq, branch, pos, round(exp(s) / sum(exp(s)) OVER (PARTITION BY seq, pos), 9) AS weight FROM r",
         "q_graph_measures": f"WITH {EDGES}, r AS (SELECT src, -sum(p * ln(p)) AS e, max(p) AS m, count(*) AS n, count(*) FILTER (p > 0.02) AS a, count(*) FILTER (p > 0.05) AS b, count(*) FILTER (p > 0.1) AS c FROM trans GROUP BY 1) SELECT round(avg(e), 9) AS entropy, round(avg(m), 9) AS mean_max, round(sum(a) / sum(n), 9) AS over_002, round(sum(b) / sum(n), 9) AS over_005, round(sum(c) / sum(n), 9) AS over_010 FROM r",
         "q_edge_forgetting": f"WITH {EDGES}, m AS (SELECT src, dst, CASE WHEN 0.8 * p + 0.2 / 24 < 0.03 THEN 0 ELSE 0.8 * p + 0.2 / 24 END AS q FROM trans) SELECT src, dst, round(ln(greatest(q / sum(q) OVER (PARTITION BY src), 1e-8)), 6) AS logit FROM m",
-        "q_graph_overview": f"WITH {moved} SELECT query, pos, round(sum(w * x), 6) AS value FROM (SELECT query, w, unnest(embedding::DOUBLE[]) AS x, unnest(range(0, 64)) AS pos FROM moved JOIN embeddings ON vec_id = dst) GROUP BY ALL",
+        "q_graph_overview": f"WITH {moved} SELECT query, pos, round(sum(w * x), 6) + 0::DOUBLE AS value FROM (SELECT query, w, unnest(embedding::DOUBLE[]) AS x, unnest(range(0, 64)) AS pos FROM moved JOIN embeddings ON vec_id = dst) GROUP BY ALL",
         "q_coactivation": f"WITH {moved}, nx AS (SELECT label, vec_id, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings WHERE vec_id >= 24) SELECT label, vec_id, round(least(greatest(sum(w * b.p), 1e-6), 1 - 1e-6), 9) AS p FROM nx JOIN moved m ON m.query = vec_id JOIN aff b ON b.query = nxt AND b.node = m.dst GROUP BY ALL",
         "q_adjacent_contrast": "WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY label, vec_id) - 1 AS i, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings WHERE vec_id >= 24), q AS (SELECT e.v, n.v AS nv, row_number() OVER (ORDER BY e.label, e.vec_id) - 1 AS m FROM e JOIN e n ON n.vec_id = e.nxt), l AS (SELECT m, exp(any_value(list_cosine_similarity(q.v, q.nv)) / 0.1) AS own, sum(exp(list_cosine_similarity(q.v, e.v) / 0.1)) AS others FROM q, range(2, 6) s(s) JOIN e ON e.i = (m + s) % (SELECT count(*) FROM e) GROUP BY m) SELECT count(*) AS n, round(avg(ln(others + own) - ln(own)), 6) AS loss FROM l",
         "q_vector_validation": "WITH u AS (SELECT unnest(embedding::DOUBLE[]) AS x FROM embeddings) SELECT round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, count(*) FILTER (isnan(x)) AS nan_count, count(*) FILTER (isinf(x)) AS inf_count, (SELECT round(avg(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) FROM embeddings) AS mean_norm, CASE WHEN count(*) FILTER (isnan(x) OR isinf(x)) = 0 THEN 'PASS' ELSE 'FAIL' END AS decision FROM u",
