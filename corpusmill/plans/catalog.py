@@ -264,12 +264,10 @@ def jsonl_round_trip(spark, d):
 
 
 def online_blocks(spark, d):
-    """Blocks that the stream of documents has closed; the last one of each domain is open still."""
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    n = F.substring("source", 4, 9).cast("int") % 4
-    stream = spark.readStream.schema(docs.schema).option("maxBytesPerTrigger", 64 << 20).parquet(f"{d}/documents.parque[t]")  # a pattern, which may name one file or a folder of them
-    rows = stream.select(F.get(F.array(*[F.lit(x) for x in DOMAINS]), n).alias("part"), F.col("doc_id").alias("ord"), "source", T.hash_tokens(F.coalesce("text", F.lit(""))).alias("ids"))
-    return online.run(rows, LENGTH).select(F.col("part").alias("domain"), "block", F.col("chunk").cast("long"), "source", F.col("valid_tokens").cast("long"), F.col("doc_count").cast("long"), "block_hash")
+    """Blocks that the stream of documents has closed, which come by doc_id; the last one of each domain is open still."""
+    docs = _docs(spark, d).select(F.col("domain").alias("part"), "ord", "source", F.coalesce("text", F.lit("")).alias("text"))
+    found = online.run_in_order(docs, lambda rows: rows.select("part", "ord", "source", T.hash_tokens(F.col("text")).alias("ids")), LENGTH)
+    return _longs(found.select(F.col("part").alias("domain"), "block", "chunk", "source", "valid_tokens", "doc_count", "block_hash"), "chunk", "valid_tokens", "doc_count")
 
 
 def by_sql(spark, d):

@@ -22,8 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read again: lineage is cut, a lost executor costs nothing before this.
+def written(df: DataFrame, name: str, *by: str) -> str:
+    """The new folder in the shared folder that the rows were written to, in folders by the columns `by`.
 
     The shuffle files of the write go as it ends; nothing reads them again. The folder is the cluster's to clean.
     """
@@ -32,10 +32,15 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read again: lineage is cut, a lost executor costs nothing before this."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
 
 
 def spread(df: DataFrame) -> DataFrame:

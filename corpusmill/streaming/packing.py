@@ -5,22 +5,28 @@ trigger. A part's state is its open block (at most `length` tokens), however lon
 checkpoint. A block closes when a document does not fit, when a row without ids (null) comes for its part, or, if `idle` is given,
 when a part has been silent for so many milliseconds of processing time. A part is one key, handled by one task of a trigger:
 streams of few hot domains deal documents to several parts of a domain.
+
+A stream of files comes by the time they were written, not by `ord`. A table whose blocks are to follow `ord` is given in
+deliveries, ranges of `ord`, each a trigger of its own (`run_in_order`).
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from corpusmill.operators.packing import BOS, EOS, PAD, least_valid
-from corpusmill.sources.shared import shared_dir
+from corpusmill.sources.shared import shared_dir, written
 
 OUT = "part string, block bigint, chunk int, input_ids array<int>, source string, valid_tokens int, doc_count int, block_hash string"
+#: Characters of a delivery, and the files that it is read from.
+DELIVERY, FILES = 128 << 20, 8
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -107,12 +113,33 @@ def run(tokens: DataFrame, length: int, valid: int | None = None, folder: str |
     """What is there of a stream packed into a folder (a new one in the shared folder if not said), and all blocks closed so far."""
     spark = tokens.sparkSession
     folder = folder or f"{shared_dir(spark)}/online-{uuid.uuid4().hex}"
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, PROVIDER)
+    # parts are few: more tasks than cores would only open empty state
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    own = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.shuffle.partitions": str(tasks)}
+    before = {key: spark.conf.get(key) for key in own}
+    for key, value in own.items():
+        spark.conf.set(key, value)
     try:
         writer = packed(tokens, length, valid).writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
         writer.start(f"{folder}/blocks").awaitTermination()
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(OUT).parquet(f"{folder}/blocks")
+
+
+def run_in_order(docs: DataFrame, tokens: Callable[[DataFrame], DataFrame], length: int, valid: int | None = None) -> DataFrame:
+    """All blocks that a table (ord, text, ...) closes which comes by `ord`; `tokens` makes (part, ord, source, ids) of its rows.
+
+    Rows of one `ord` come in one delivery. Each delivery goes on from the checkpoint of the one before.
+    """
+    spark = docs.sparkSession
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    rows = tokens(docs.repartitionByRange(FILES * (1 + chars // DELIVERY), "ord")).withColumn("delivery", F.floor(F.spark_partition_id() / FILES).cast("int"))
+    path, folder = written(rows, "deliveries", "delivery"), f"{shared_dir(spark)}/online-{uuid.uuid4().hex}"
+    numbers = spark.read.schema(rows.schema).parquet(path).select("delivery").distinct().collect()  # one for each DELIVERY of text
+    out = spark.createDataFrame([], OUT)
+    for n in sorted(r[0] for r in numbers):
+        # a pattern, so that files of earlier deliveries, which are in the checkpoint, need not lie in the same folder
+        out = run(spark.readStream.schema(rows.drop("delivery").schema).parquet(f"{path}/delivery={{{n}}}"), length, valid, folder)
+    return out

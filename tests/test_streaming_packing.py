@@ -42,6 +42,24 @@ def test_online_equals_batch(rocks, tmp_path):
     assert got == want
 
 
+def test_blocks_follow_the_order_of_documents(spark, tmp_path, monkeypatch):
+    """Of files that were written last first, a trigger each: blocks are those of packing by doc_id, without the open ones."""
+    from pyspark.sql.streaming import DataStreamReader
+
+    from corpusmill.plans import catalog
+
+    option = DataStreamReader.option
+    monkeypatch.setattr(DataStreamReader, "option", lambda self, key, value: option(self, key, 1 if key == "maxBytesPerTrigger" else value))
+    monkeypatch.setattr(online, "DELIVERY", 20_000, raising=False)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["to", "be", "or", "not"]) for _ in range(rng.choice([5, 11, 30]))), "en", f"src{i % 3}", 0) for i in range(1200)]
+    for i in (800, 400, 0):
+        spark.createDataFrame(rows[i : i + 400], "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    told = lambda df: set(map(tuple, df.select("domain", "block", "chunk", "source", "valid_tokens", "doc_count", "block_hash").collect()))
+    got, want = told(catalog.online_blocks(spark, str(tmp_path))), told(catalog.pack_blocks(spark, str(tmp_path)))
+    assert len(got) > 20 and got <= want and len(got) >= len(want) - 3
+
+
 def test_idle_parts_are_closed(rocks, tmp_path):
     spark = rocks
     given, out = f"{tmp_path}/in", f"{tmp_path}/out"
