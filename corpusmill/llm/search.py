@@ -12,7 +12,8 @@ the k best of all are exact because document frequencies, their number and their
 Shards are searched in waves, each GROWTH times as many as before: a query takes the threshold that it reached in all earlier
 shards along, so the more there are, the less of each is scored. Queries are rows too and may grow with the corpus: their terms
 are sent to every shard, never broadcast or collected, which is queries times shards rows; more than QUERIES meet a copy of the
-shard in as many tasks as it takes. Words are taken as they stand. Scores are rounded to six digits; ties go to the smaller doc_id (null
+shard in as many tasks as it takes. All waves together thus send the square of the corpus, so a wave has no more shards than
+send about SENT of the index's terms: what lies on disk at once grows as the input. Words are taken as they stand. Scores are rounded to six digits; ties go to the smaller doc_id (null
 first). Null and empty texts match nothing and ask nothing; a very long text is a row, and its shard has few others. Equal query
 rows are one query; rows of one id with different texts are queries of their own; equal rows are documents each. Empty tables
 give an empty table; other columns are ignored.
@@ -35,7 +36,7 @@ K1, B = 1.2, 0.75
 TOP = 10
 SHARD_DOCS, SHARD_WORDS = 16_384, 8 << 20
 BLOCK = 128
-GROWTH, QUERIES = 6, 8192
+GROWTH, QUERIES, SENT = 6, 8192, 0.5
 #: A term that more than this share of a shard's documents have is not walked: what it adds is taken for all of them at once.
 DENSE = 0.1
 #: Blocks that are scored at once: of the greatest bounds, then pivots, so many times as many from turn to turn.
@@ -192,19 +193,26 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def shards_at_once(terms: int, asked: int, shards: int, parts: int) -> int:
+    """How many shards a wave may have: each is sent once for every part of the queries, and all terms that are asked for go to it."""
+    return max(1, int(SENT * terms / max(1.0, parts * terms / shards + 1.25 * asked)))  # a term of a query comes with its frequency
+
+
 def search(docs: DataFrame, queries: Column, k: int = TOP) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best rows of docs for each row of docs that `queries` (over id) selects."""
     if docs.isEmpty():
         return docs.sparkSession.createDataFrame([], "query_id bigint, rank int, doc_id bigint, score double")
     seen, rows = Observation(), terms(docs)
-    rows = settled(rows.observe(seen, F.count("*").alias("n"), F.avg("size").alias("mean")), "terms")
+    rows = settled(rows.observe(seen, F.count("*").alias("n"), F.avg("size").alias("mean"), F.sum(F.size("terms")).alias("terms")), "terms")
     df = settled(rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").cast("int").alias("df")), "df")
     total, mean = seen.get["n"], float(seen.get["mean"] or 0)
     shards = max(1, -(-total // SHARD_DOCS), int(total * mean) // SHARD_WORDS + 1)
     asked = rows.where(queries).dropDuplicates(["id", "d"]).select("id", "d", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("id", "d", F.col("x.terms").alias("t"), F.col("x.counts").alias("c"))
     q = asked.join(df, "t").groupBy("id", "d").agg(F.array_sort(F.collect_list(F.struct("t", "c", "df"))).alias("x"))  # the distinct words of one text
     q = settled(q.select("id", "d", F.transform("x", lambda x: x["t"]).alias("terms"), F.transform("x", lambda x: x["c"]).alias("counts"), F.transform("x", lambda x: x["df"]).alias("df")), "queries")
-    parts = max(1, -(-q.count() // QUERIES))
+    count, asked_for = q.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    parts = max(1, -(-count // QUERIES))
+    most = shards_at_once(seen.get["terms"] or 0, asked_for, shards, parts)
     shard = F.pmod(F.xxhash64("id", "d"), F.lit(shards)).cast("int").alias("shard")
     order = F.desc("score"), "doc_id"
 
@@ -220,9 +228,9 @@ def search(docs: DataFrame, queries: Column, k: int = TOP) -> DataFrame:
             asking = q.join(reached, ["id", "d"], "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
         sent = asking.select(F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("shard"), F.pmod(F.xxhash64("id", "d"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "id", "d", F.lit(0).cast("bigint").alias("size"), "terms", "counts", "df", "least")
         here = rows.where((shard >= low) & (shard < high)).select(shard, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), "id", "d", "size", "terms", "counts", F.lit(None).cast("array<int>").alias("df"), F.lit(0.0).alias("least"))
-        # twice as many tasks as shards, so that few have two; a task holds one index at a time
+        # a task for each shard and part
         keys = ["shard", "part"]
-        return here.unionByName(sent).repartition(2 * (high - low) * parts, *keys).sortWithinPartitions(*keys, "kind").mapInArrow(run, "query_id bigint, d bigint, doc_id bigint, score double")
+        return here.unionByName(sent).repartitionById((high - low) * parts, (F.col("shard") - low) * parts + F.col("part")).sortWithinPartitions(*keys, "kind").mapInArrow(run, "query_id bigint, d bigint, doc_id bigint, score double")
 
     def run(batches):
         at_shard, held, index, out = None, [], None, []
@@ -265,7 +273,7 @@ def search(docs: DataFrame, queries: Column, k: int = TOP) -> DataFrame:
         high = min(shards, low + step)
         found = wave(low, high, top)
         top = settled(best(found if top is None else found.unionByName(top.drop("rank"))), "best")
-        low, step = high, step * GROWTH
+        low, step = high, min(most, step * GROWTH)
     return top.select("query_id", F.col("rank").cast("int").alias("rank"), F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "score")
 
 

@@ -193,6 +193,21 @@ def test_search_in_waves(spark, docs, monkeypatch):
     assert sorted(map(tuple, search.report(docs).collect())) == whole and len(whole) == 40
 
 
+def test_search_sends_no_wave_that_grows_with_the_square(spark, docs, monkeypatch):
+    """Shards times parts of the queries: a wave sends about half the terms, however many shards and parts there are."""
+    whole = sorted(map(tuple, search.report(docs).collect()))
+    tasks, deal = [], type(docs).repartitionById
+    monkeypatch.setattr(type(docs), "repartitionById", lambda self, n, by: tasks.append(n) or deal(self, n, by))
+    monkeypatch.setattr(search, "SHARD_DOCS", max(1, docs.count() // 24))
+    monkeypatch.setattr(search, "QUERIES", 2)
+    assert sorted(map(tuple, search.report(docs).collect())) == whole
+    assert max(tasks) < 12  # 25 shards in two parts were waves of 2, 12 and 36 tasks
+    for n in (1, 10, 100):  # a fiftieth of the terms is asked for
+        shards, parts, asked = 18 * n, n, 20_000 * n
+        sent = search.shards_at_once(1_000_000 * n, asked, shards, parts) * (parts * 1_000_000 * n / shards + 1.25 * asked)
+        assert sent <= 500_000 * n + parts * 1_000_000 * n / shards + 1.25 * asked
+
+
 def test_search_odd_rows(odd, none):
     rows = search.report(odd).collect()
     assert {r["query_id"] for r in rows} == {50, 100}
