@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Character classes and quality thresholds that results depend on.
 BLANK = r"\x{1c}-\x{1f}\t\n\x{0b}\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 WORD = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_" + BLANK + "]"
 LINE_END = r"\r\n|[\n\r\x{0b}\f\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 URL = r"(?i)https?://|www\."
@@ -15,14 +16,15 @@ URL = r"(?i)https?://|www\."
 def normalized(text: Column) -> Column:
     """Compatibility composition, control characters out, one kind of line end, single blanks, no blank around lines, one empty line at most.
 
-    Runs of blanks are matched from their beginning only and given back nowhere, so the time is linear in the text's length.
+    Runs of blanks are matched from their beginning only and given back nowhere, so the time is linear in the text's length. What is
+    before a blank is looked at after the blank is found, not at each character.
     """
     t = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
     for pattern, to in (
-        (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), (r"\r\n?", "\n"), (r"[ \t]+", " "), (rf"(?:(?<=\n)|^)[{BLANK}&&[^\n]]+", ""), (rf"(?<![{BLANK}&&[^\n]])[{BLANK}&&[^\n]]++(?=\n|\z)", ""), (r"\n{3,}", "\n\n"), (rf"^[{BLANK}]+|(?<![{BLANK}])[{BLANK}]++\z", ""),
+        (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), (r"\r\n?", "\n"), (r"[ \t]+", " "), (rf"(?:(?<=\n)|^)[{BLANK}&&[^\n]]+", ""), (rf"[{BLANK}&&[^\n]](?<![{BLANK}&&[^\n]]{{2}})[{BLANK}&&[^\n]]*+(?=\n|\z)", ""), (r"\n{3,}", "\n\n"),
     ):
         t = F.regexp_replace(t, pattern, to)
-    return t
+    return F.btrim(t, F.lit(BLANKS))
 
 
 def repeated_chars(text: Column) -> Column:
@@ -43,8 +45,9 @@ def repeated_ngrams(text: Column, n: int = 5) -> Column:
 
 
 def alpha_share(text: Column) -> Column:
-    solid = F.length(text) - F.regexp_count(text, F.lit(f"[{BLANK}]"))
-    return F.when(solid == 0, 0.0).otherwise(F.regexp_count(text, F.lit(r"\p{L}")) / F.greatest(solid, F.lit(1)))
+    # by what is left: regexp_count makes a string of each match
+    solid, rest = F.length(F.regexp_replace(text, f"[{BLANK}]+", "")), F.length(F.regexp_replace(text, r"\p{L}+", ""))
+    return F.when(solid == 0, 0.0).otherwise((F.length(text) - rest) / F.greatest(solid, F.lit(1)))
 
 
 def url_rate(text: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, StringType, StructType
 from pyspark.sql.window import Window
 
+from corpusmill.functions.text import BLANKS
+
 # Tags, and the names a field may have, in their order.
 USER, ASSISTANT = "<|user|>", "<|assistant|>"
 PROBLEM, SOLUTION = ("problem", "question"), ("generated_solution", "solution", "answer")
@@ -16,7 +18,6 @@ INSTRUCTION, RESPONSE = ("instruction", "prompt", "query", "question"), ("output
 TURNS, ROLE, VALUE = ("conversations", "messages", "conversation"), ("from", "role", "user"), ("value", "content", "text")
 ASSISTANT_ROLES = ("assistant", "gpt", "bot")
 NOT_TEXT = ("id", "url", "license")
-BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def stripped(c: Column) -> Column:

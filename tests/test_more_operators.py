@@ -193,3 +193,13 @@ def test_few_files_are_spread_over_all_cores(spark):
     assert shared.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(0, 100, 1, 64)
     assert shared.spread(many) is many
+
+
+def test_first_usable_normalises_once(spark):
+    """The rows are joined with a table of hashes that was written, not with texts that are normalised again."""
+    from corpusmill.operators import dedup
+
+    docs = spark.createDataFrame([(i, f"  text {i % 7}　  \n") for i in range(20)] + [(20, " 　\n"), (21, None)], "ord bigint, text string")
+    got = dedup.first_usable(docs, 5, dedup.hashed(spark.createDataFrame([("text 2",)], "text string")).select("text_hash"))
+    assert [(r["ord"], r["text"]) for r in got.collect()] == [(i, f"text {i}") for i in (0, 1, 3, 4, 5)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Normalizer") == 1
