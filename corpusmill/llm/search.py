@@ -30,7 +30,9 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NULL_ID, settled, text_or_empty
+from corpusmill.sources.shared import settled_in_batches
+
+from .common import NULL_ID, grouped, settled, text_or_empty
 
 K1, B = 1.2, 0.75
 TOP = 10
@@ -41,6 +43,10 @@ GROWTH, QUERIES, SENT = 6, 8192, 0.5
 DENSE = 0.1
 #: Blocks that are scored at once: of the greatest bounds, then pivots, so many times as many from turn to turn.
 FIRST, WIDER = 8, 4
+#: Rows with their texts or terms that are sent to Python at a time.
+BATCH_ROWS = 1024
+#: Postings that are worked out at a time while an index is built.
+SLICE = 1 << 18
 
 
 def terms(docs: DataFrame) -> DataFrame:
@@ -48,7 +54,7 @@ def terms(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
+            for part in grouped(b, 2):
                 found = [Counter(t.split()) for t in part.column(2).to_pylist()]
                 offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
                 flat = pa.array(np.fromiter((xxhash.xxh3_64_intdigest(w) for c in found for w in c), np.uint64).astype(np.int64))
@@ -77,22 +83,28 @@ class Shard:
             del most
         order = np.lexsort((ids, sizes, lead))
         self.ids, self.blocks = ids[order], -(-n // BLOCK)
-        place = np.empty(n, np.int64)
+        place = np.empty(n, np.int32)
         place[order] = np.arange(n)
-        doc = np.repeat(place.astype(np.int32), lengths)
-        by = np.argsort(terms)
-        terms, doc, counts = terms[by], doc[by], counts[by]
-        del by
-        new = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.zeros(0, np.int64)
-        names, term = terms[new], np.repeat(np.arange(len(new), dtype=np.int32), np.diff(new, append=len(terms)))
+        names = terms.copy()  # sorted in place: a sort of places would hold all terms twice more
+        names.sort()
+        names = names[np.diff(names, prepend=~names[:1]) != 0]
+        term = np.empty(len(terms), np.int32)
+        for i in range(0, len(terms), SLICE):
+            term[i : i + SLICE] = np.searchsorted(names, terms[i : i + SLICE])
         del terms
+        doc = np.repeat(place, lengths)
         # postings by term and document: one sort of packed numbers where they fit, else of indices
         tf_bits, doc_bits = int(counts.max(initial=1)).bit_length(), max(1, n).bit_length()
         if len(names).bit_length() + tf_bits + doc_bits < 63:
-            packed = (term.astype(np.int64) << doc_bits | doc) << tf_bits | counts
-            del doc, term, counts
+            packed = term.astype(np.int64)
+            del term
+            packed <<= doc_bits
+            packed |= doc
+            packed <<= tf_bits
+            packed |= counts
+            del doc, counts
             packed.sort()
-            tf = (packed & ((1 << tf_bits) - 1)).astype(np.int32)
+            tf = (packed & ((1 << tf_bits) - 1)).astype(np.min_scalar_type((1 << tf_bits) - 1))
             packed >>= tf_bits
             doc = (packed & ((1 << doc_bits) - 1)).astype(np.int32)
             packed >>= doc_bits
@@ -101,30 +113,39 @@ class Shard:
         else:
             by = np.lexsort((doc, term))
             term, doc, tf = term[by], doc[by], counts[by]
-        self.doc = doc.astype(np.intp)
+            del by, counts
         norm = K1 * (1 - B + B * sizes[order].astype(float) / max(mean, 1e-9))
-        self.part = norm[doc]
-        self.part += tf
-        np.divide(tf * (K1 + 1), self.part, out=self.part)
-        del tf
-        # one entry for each term and block: where its postings start, how many they are, their largest part
-        block = doc // BLOCK
-        new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
-        self.most = np.maximum.reduceat(self.part, new) if len(new) else self.part
-        self.start, self.count = new, np.diff(new, append=len(term))
-        self.block = block[new].astype(np.uint16 if self.blocks < 1 << 16 else np.int32)
-        self.names = names
-        self.at = np.searchsorted(term[new], np.arange(len(names) + 1))
-        # lists of many documents as rows of what they add to each
-        size = np.diff(np.append(np.flatnonzero(np.diff(term, prepend=-1)), len(term)))
+        # lists of many documents as rows of what they add to each; nothing else is kept of them
+        size = np.bincount(term, minlength=len(names))
         first = np.cumsum(size) - size
         many = np.flatnonzero(size > max(BLOCK, DENSE * n))
-        self.row = np.full(len(names), -1)
+        self.row = np.full(len(names), -1, np.int32)
         self.row[many] = np.arange(len(many))
         self.rows = np.zeros((len(many), self.blocks * BLOCK))
         for i, at in enumerate(many.tolist()):
             here = slice(first[at], first[at] + size[at])
-            self.rows[i, doc[here]] = self.part[here]
+            self.rows[i, doc[here]] = _part(tf[here], norm[doc[here]])
+        if len(many):
+            walked = np.repeat(self.row < 0, size)
+            term, doc, tf = term[walked], doc[walked], tf[walked]
+            del walked
+        self.doc, self.part = doc, np.empty(len(doc))
+        for i in range(0, len(doc), SLICE):
+            self.part[i : i + SLICE] = _part(tf[i : i + SLICE], norm[doc[i : i + SLICE]])
+        del tf
+        # one entry for each term and block: where its postings start, how many they are (a block's documents at most), a bound of their largest part
+        block = (doc // BLOCK).astype(np.uint16 if self.blocks < 1 << 16 else np.int32)
+        change = np.ones(len(term), bool)
+        np.logical_or(term[1:] != term[:-1], block[1:] != block[:-1], out=change[1:])
+        new = np.flatnonzero(change)
+        del change
+        self.most = np.zeros(0, np.float32)
+        if len(new):
+            self.most = np.nextafter(np.maximum.reduceat(self.part, new).astype(np.float32), np.float32(np.inf))
+        self.start = new.astype(np.int32 if len(term) < 1 << 31 else np.int64)
+        self.count = np.diff(new, append=len(term)).astype(np.uint8 if BLOCK < 1 << 8 else np.int32)
+        self.block, self.names = block[new], names
+        self.at = np.searchsorted(term[new], np.arange(len(names) + 1, dtype=np.int32)).astype(self.start.dtype)
         self.scored = self.skipped = 0  # blocks
 
     def top(self, wanted: np.ndarray, weight: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
@@ -179,13 +200,19 @@ class Shard:
 
     def _sums(self, entries: np.ndarray, w: np.ndarray) -> np.ndarray:
         """What the postings of some entries add to each document."""
-        n = self.count[entries]
+        n = self.count[entries].astype(np.int64)
         postings = _ranges(self.start[entries], n)
         weights = np.repeat(w, n)
         weights *= self.part.take(postings)
         return np.bincount(self.doc.take(postings), weights, self.blocks * BLOCK)
 
 
+def _part(tf: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """What a term adds to documents, but for its weight."""
+    tf = tf.astype(float)
+    return tf * (K1 + 1) / (tf + norm)
+
+
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """All numbers of the ranges of n from start, one after another."""
     out = np.repeat(start - np.cumsum(n) + n, n)
@@ -203,7 +230,7 @@ def search(docs: DataFrame, queries: Column, k: int = TOP) -> DataFrame:
     if docs.isEmpty():
         return docs.sparkSession.createDataFrame([], "query_id bigint, rank int, doc_id bigint, score double")
     seen, rows = Observation(), terms(docs)
-    rows = settled(rows.observe(seen, F.count("*").alias("n"), F.avg("size").alias("mean"), F.sum(F.size("terms")).alias("terms")), "terms")
+    rows = settled_in_batches(rows.observe(seen, F.count("*").alias("n"), F.avg("size").alias("mean"), F.sum(F.size("terms")).alias("terms")), "terms", BATCH_ROWS)
     df = settled(rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").cast("int").alias("df")), "df")
     total, mean = seen.get["n"], float(seen.get["mean"] or 0)
     shards = max(1, -(-total // SHARD_DOCS), int(total * mean) // SHARD_WORDS + 1)
@@ -240,9 +267,9 @@ def search(docs: DataFrame, queries: Column, k: int = TOP) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols[:3]] + [pa.array(cols[3].astype(float))], ["query_id", "d", "doc_id", "score"])
 
         def built():
-            parts = [np.concatenate(c) for c in zip(*held, strict=True)] if held else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.int32)]
+            columns = [list(c) for c in zip(*held, strict=True)] or [[np.zeros(0, np.int64)]] * 4 + [[np.zeros(0, np.int32)]]
             held.clear()
-            return Shard(parts, mean)
+            return Shard([np.concatenate(columns.pop(0)) for _ in range(5)], mean)
 
         for b in batches:
             plain = {n: b.column(n).to_numpy(zero_copy_only=False) for n in ("shard", "part", "kind", "id", "d", "size", "least")}
@@ -272,7 +299,7 @@ def search(docs: DataFrame, queries: Column, k: int = TOP) -> DataFrame:
     while low < shards:
         high = min(shards, low + step)
         found = wave(low, high, top)
-        top = settled(best(found if top is None else found.unionByName(top.drop("rank"))), "best")
+        top = settled_in_batches(best(found if top is None else found.unionByName(top.drop("rank"))), "best", BATCH_ROWS)
         low, step = high, min(most, step * GROWTH)
     return top.select("query_id", F.col("rank").cast("int").alias("rank"), F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "score")
 

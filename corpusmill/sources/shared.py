@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for what is run inside; what was set before comes back."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str, *by: str) -> str:
     """The new folder in the shared folder that the rows were written to, in folders by the columns `by`.
 
@@ -29,12 +43,8 @@ def written(df: DataFrame, name: str, *by: str) -> str:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with setting(spark, CLEANUP, "true"):
         df.write.partitionBy(*by).parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return path
 
 
@@ -43,6 +53,14 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
 
 
+def settled_in_batches(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """settled(), with at most so many rows at a time on their way to Python: for rows that are large."""
+    spark = df.sparkSession
+    most = int(spark.conf.get(BATCH))
+    with setting(spark, BATCH, str(min(most, rows) if most > 0 else rows)):
+        return settled(df, name)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its files are too few to be read by as many tasks; else as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism

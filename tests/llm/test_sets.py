@@ -1,5 +1,6 @@
 """Packing, mixing, search, preference pairs, the pipeline."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -184,6 +185,19 @@ def test_search_prunes_without_loss(monkeypatch):
     assert shard.skipped > shard.scored
 
 
+def test_search_index_is_built_in_few_bytes_a_posting():
+    rng = np.random.default_rng(0)
+    n, each = 8000, 250
+    terms = rng.integers(-(2**62), 2**62, 300_000)[rng.zipf(1.2, n * each) % 300_000]
+    parts = [np.arange(n), np.full(n, each), np.full(n, each), terms, np.ones(n * each, np.int32)]
+    del terms
+    tracemalloc.start()
+    search.Shard(parts, float(each))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 36 * n * each, peak / (n * each)
+
+
 def test_search_in_waves(spark, docs, monkeypatch):
     """Thresholds of earlier shards, queries in parts: the same result as from one shard."""
     whole = sorted(map(tuple, search.report(docs).collect()))
