@@ -275,7 +275,7 @@ def by_sql(spark, d):
     sql.register(spark)
     _docs(spark, d).select("domain", "ord", "source", F.coalesce("text", F.lit("")).alias("text")).createOrReplaceTempView("sql_docs")
     spark.sql("SELECT domain, ord, source, hash_tokens(text) AS ids FROM sql_docs").createOrReplaceTempView("sql_tokens")
-    return spark.sql(f"""SELECT 'chunk' AS kind, t.source AS name, t.ord AS n, CAST(c.chunk AS BIGINT) AS chunk, ids_hash(c.input_ids) AS hash FROM sql_tokens t, LATERAL token_chunks(t.ids, {LENGTH}) c WHERE size(t.ids) + 2 > {LENGTH}
+    return spark.sql(f"""SELECT 'chunk' AS kind, t.source AS name, t.ord AS n, CAST(c.chunk AS BIGINT) AS chunk, ids_hash(c.input_ids) AS hash FROM sql_tokens t, LATERAL token_chunks(if(size(t.ids) + 2 > {LENGTH}, t.ids, NULL), {LENGTH}) c
         UNION ALL SELECT 'reason', quality_reason(text, domain), ord, 0, NULL FROM sql_docs""")
 
 

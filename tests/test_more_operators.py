@@ -203,3 +203,15 @@ def test_first_usable_normalises_once(spark):
     got = dedup.first_usable(docs, 5, dedup.hashed(spark.createDataFrame([("text 2",)], "text string")).select("text_hash"))
     assert [(r["ord"], r["text"]) for r in got.collect()] == [(i, f"text {i}") for i in (0, 1, 3, 4, 5)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Normalizer") == 1
+
+
+def test_functions_of_sql_make_tokens_once_and_no_string_of_each_letter(spark):
+    from corpusmill.functions import sql
+    from corpusmill.plans import catalog
+
+    plan = catalog.queries()["q_sql_functions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("16777619") == 1 and "\\p{L}, 0" not in plan
+    sql.register(spark)
+    assert spark.sql("SELECT c.chunk FROM VALUES (CAST(NULL AS ARRAY<INT>)), (array(4)), (array()) AS t(ids), LATERAL token_chunks(t.ids, 8) c").count() == 2
+    shares = spark.sql("SELECT alpha_share(t) AS a FROM VALUES (''), (' \n'), ('ab 1é'), ('..') AS x(t)").collect()
+    assert [r["a"] for r in shares] == [0.0, 0.0, 0.75, 0.0]
