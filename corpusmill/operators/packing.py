@@ -173,8 +173,12 @@ def long_chunks(tokens: DataFrame, length: int, valid: int | None = None) -> Dat
 
 def made(rows: DataFrame, placed: DataFrame, length: int, valid: int | None = None, part: str = "domain", order: str = "ord") -> DataFrame:
     """The blocks of documents (part, order, source, ids) that stand where `placed` says."""
+    return formed(rows.select(part, order, "source", "ids").join(placed.select(part, order, "block"), [part, order]), length, valid, part, order)
+
+
+def formed(full: DataFrame, length: int, valid: int | None = None, part: str = "domain", order: str = "ord") -> DataFrame:
+    """The blocks of documents (part, order, source, ids, block)."""
     valid = least_valid(length) if valid is None else valid
-    full = rows.select(part, order, "source", "ids").join(placed.select(part, order, "block"), [part, order])
     wrapped = F.concat(F.array(F.lit(BOS)), F.col("ids"), F.array(F.lit(EOS)))
     short = full.where(F.size("ids") + 2 <= length)
     # a block holds at most length / 3 documents
@@ -234,13 +238,13 @@ class Packed:
         own = settled(own, "own")
         self.open = settled(own.join(opened, [part, "block"], "left_semi").select(*own.columns), "open")
         done = own.join(opened, [part, "block"], "left_anti")
-        out = settled(made(done.drop("block"), done, self.length, self.valid, part, order), "blocks")
+        out = settled(formed(done, self.length, self.valid, part, order), "blocks")
         self.closed.append(out)
         return out
 
     def blocks(self) -> DataFrame:
         part, order = self.how.values()
-        out = made(self.open.drop("block"), self.open, self.length, self.valid, part, order)
+        out = formed(self.open, self.length, self.valid, part, order)
         for c in self.closed:
             out = out.unionByName(c)
         return out

@@ -215,3 +215,13 @@ def test_functions_of_sql_make_tokens_once_and_no_string_of_each_letter(spark):
     assert spark.sql("SELECT c.chunk FROM VALUES (CAST(NULL AS ARRAY<INT>)), (array(4)), (array()) AS t(ids), LATERAL token_chunks(t.ids, 8) c").count() == 2
     shares = spark.sql("SELECT alpha_share(t) AS a FROM VALUES (''), (' \n'), ('ab 1é'), ('..') AS x(t)").collect()
     assert [r["a"] for r in shares] == [0.0, 0.0, 0.75, 0.0]
+
+
+def test_added_documents_are_joined_with_their_places_once(spark, monkeypatch):
+    """An addition and the open blocks at the end form blocks of rows that have their places."""
+    monkeypatch.setattr(packing, "made", lambda *a, **k: pytest.fail("joined with their places again"))
+    rows = spark.createDataFrame([("a", i, "s", [7] * 20) for i in range(6)], "domain string, ord bigint, source string, ids array<int>")
+    packed = packing.Packed(64, 1)
+    for low in (0, 3):
+        packed.add(rows.where((rows.ord >= low) & (rows.ord < low + 3)))
+    assert sorted((r["block"], r["doc_count"]) for r in packed.blocks().collect()) == [(1, 2), (2, 2), (3, 2)]
