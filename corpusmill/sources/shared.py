@@ -48,17 +48,17 @@ def written(df: DataFrame, name: str, *by: str) -> str:
     return path
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
+def settled(df: DataFrame, name: str, *by: str) -> DataFrame:
     """The rows written to the shared folder and read again: lineage is cut, a lost executor costs nothing before this."""
-    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name, *by))
 
 
-def settled_in_batches(df: DataFrame, name: str, rows: int) -> DataFrame:
+def settled_in_batches(df: DataFrame, name: str, rows: int, *by: str) -> DataFrame:
     """settled(), with at most so many rows at a time on their way to Python: for rows that are large."""
     spark = df.sparkSession
     most = int(spark.conf.get(BATCH))
     with setting(spark, BATCH, str(min(most, rows) if most > 0 else rows)):
-        return settled(df, name)
+        return settled(df, name, *by)
 
 
 def spread(df: DataFrame) -> DataFrame:

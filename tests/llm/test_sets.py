@@ -198,6 +198,44 @@ def test_search_index_is_built_in_few_bytes_a_posting():
     assert peak < 36 * n * each, peak / (n * each)
 
 
+def test_search_answers_queries_together(monkeypatch):
+    """Queries searched at once, with and without scores from elsewhere: the results of each alone, by matrix products and value by value."""
+    monkeypatch.setattr(search, "BLOCK", 32)
+    monkeypatch.setattr(search, "WIDE", 5)
+    monkeypatch.setattr(search, "SLICE", 64)
+    rng = np.random.default_rng(1)
+    n, k, asked = 1500, 5, 40
+    lists = [np.unique(rng.zipf(1.3, rng.integers(1, 60)) % 1000).astype(np.int64) for _ in range(n)]
+    flat = [np.arange(n), np.array([len(t) for t in lists]), np.array([len(t) for t in lists]), np.concatenate(lists), np.ones(sum(map(len, lists)), np.int32)]
+    shard = search.Shard(flat, float(np.mean([len(t) for t in lists])))
+    wanted = [np.append(lists[q], 5000) if q % 7 else np.zeros(0, np.int64) for q in range(asked)]  # of none and of terms that no document has, too
+    weights = [rng.uniform(0.1, 5, len(t)) for t in wanted]
+    who = np.repeat(np.arange(asked), [len(t) for t in wanted])
+    alone = [shard.top(t, w, k) for t, w in zip(wanted, weights, strict=True)]
+    known = np.array([s[2] if len(s) == k and q % 2 else 0.0 for q, (_, s) in enumerate(alone)])
+    for product in (0, 1, 200, 10**9):
+        monkeypatch.setattr(search, "PRODUCT", max(product, 1e-9))
+        for least in (np.zeros(asked), known):
+            q, ids, scores = shard.best(who, np.concatenate(wanted), np.concatenate(weights), least, k)
+            for i, (want, s) in enumerate(alone):
+                near = s >= least[i]
+                assert ids[q == i][: near.sum()].tolist() == want[near].tolist() and np.allclose(scores[q == i][: near.sum()], s[near])
+
+
+def test_search_builds_an_index_for_all_queries(spark, docs, monkeypatch):
+    """A shard is sent and its index built once for tens of thousands of queries, not once for every 8,192."""
+    tasks, deal = [], type(docs).repartitionById
+    monkeypatch.setattr(type(docs), "repartitionById", lambda self, n, by: tasks.append(n) or deal(self, n, by))
+    assert -(-61_500 // search.QUERIES) == 1
+    monkeypatch.setattr(search, "SHARD_DOCS", max(1, docs.count() // 24))
+    whole = sorted(map(tuple, search.report(docs).collect()))
+    assert sum(tasks) == -(-docs.count() // search.SHARD_DOCS)
+    monkeypatch.setattr(search, "COPY", 1)  # where cores are idle, the first shards have copies
+    monkeypatch.setattr(search, "COPIES", 0.2)
+    before = sum(tasks)
+    assert sorted(map(tuple, search.report(docs).collect())) == whole and sum(tasks) > 2 * before
+
+
 def test_search_in_waves(spark, docs, monkeypatch):
     """Thresholds of earlier shards, queries in parts: the same result as from one shard."""
     whole = sorted(map(tuple, search.report(docs).collect()))
