@@ -14,8 +14,8 @@ shards along, so the more there are, the less of each is scored. Queries are row
 are sent to every shard, never broadcast or collected, which is queries times shards rows; more than QUERIES meet a copy of the
 shard in as many tasks as it takes, fewer where a wave has fewer shards than there are cores. All waves together thus send the square of the corpus, so a wave has no more shards than
 send about SENT of the index's terms: what lies on disk at once grows as the input. Words are taken as they stand. Scores are rounded to six digits; ties go to the smaller doc_id (null
-first). Null and empty texts match nothing and ask nothing; a very long text is a row, and its shard has few others. Equal query
-rows are one query; rows of one id with different texts are queries of their own; equal rows are documents each. Empty tables
+first). Null and empty texts match nothing and ask nothing; a very long text is a row, and its shard has few others. Equal texts
+are searched for once and answer all rows that ask them, equal rows once; rows of one id with different texts are queries of their own; equal rows are documents each. Empty tables
 give an empty table; other columns are ignored.
 """
 
@@ -291,7 +291,8 @@ def search(docs: DataFrame, queries: Column, k: int = TOP) -> DataFrame:
     df = settled(rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").cast("int").alias("df")), "df")
     mean = float(seen.get["mean"] or 0)
     shards = max(1, -(-total // SHARD_DOCS), int(total * mean) // SHARD_WORDS + 1)
-    asked = rows.where(queries).dropDuplicates(["id", "d"]).select("id", "d", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("id", "d", F.col("x.terms").alias("t"), F.col("x.counts").alias("c"))
+    asking_rows = rows.where(queries).select("id", "d").distinct()
+    asked = rows.where(queries).dropDuplicates(["d"]).select("id", "d", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("id", "d", F.col("x.terms").alias("t"), F.col("x.counts").alias("c"))
     q = asked.join(df, "t").groupBy("id", "d").agg(F.array_sort(F.collect_list(F.struct("t", "c", "df"))).alias("x"))  # the distinct words of one text
     lead = F.array_max(F.transform("x", lambda x: F.struct(x["c"].alias("c"), F.bitwise_not(x["t"]).alias("t"))))["t"]  # as a shard orders its documents
     q = settled(q.select("id", "d", lead.alias("lead"), F.transform("x", lambda x: x["t"]).alias("terms"), F.transform("x", lambda x: x["c"]).alias("counts"), F.transform("x", lambda x: x["df"]).alias("df")), "queries")
@@ -368,7 +369,8 @@ def search(docs: DataFrame, queries: Column, k: int = TOP) -> DataFrame:
         found = wave(low, high, top)
         top = settled_in_batches(best(found if top is None else found.unionByName(top.drop("rank"))), "best", BATCH_ROWS)
         low, step = high, min(most, step * GROWTH)
-    return top.select("query_id", F.col("rank").cast("int").alias("rank"), F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "score")
+    top = top.drop("query_id").join(asking_rows, "d")  # each row that asks, also those whose text another row has too
+    return top.select(F.col("id").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "score")
 
 
 def report(docs: DataFrame) -> DataFrame:

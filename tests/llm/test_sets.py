@@ -260,6 +260,17 @@ def test_search_sends_no_wave_that_grows_with_the_square(spark, docs, monkeypatc
         assert sent <= 500_000 * n + parts * 1_000_000 * n / shards + 1.25 * asked
 
 
+def test_search_asks_equal_texts_once(spark, monkeypatch):
+    """Rows that ask with the same text are one query, sent to the shards once; each has its results."""
+    batches, best = [], search.settled_in_batches
+    monkeypatch.setattr(search, "settled_in_batches", lambda df, name, *a: best(df, name, *a) if name != "best" else batches.append(x := best(df, name, *a)) or x)
+    rows = [(50 * i, "a text that many rows have") for i in range(30)] + [(7, "a text of its own"), (5000, "a text of its own that asks")]
+    found = search.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len({r["query_id"] for r in found}) == 31 and len(found) == 310
+    assert all([r["doc_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == 50 * i] == [50 * j for j in range(10)] for i in range(30))
+    assert batches[-1].count() == 20  # two texts
+
+
 def test_search_odd_rows(odd, none):
     rows = search.report(odd).collect()
     assert {r["query_id"] for r in rows} == {50, 100}
