@@ -47,7 +47,7 @@ PLACES, FOLDER = 1 << 20, 8
 #: Blocks that are scored first where no score is known yet: those of the greatest bounds.
 FIRST = 8
 #: Queries that are searched together, blocks that are scored together, and multiplications of a matrix product in the time of adding one value.
-ASKED, WIDE, PRODUCT = 256, 32, 200
+ASKED, WIDE, PRODUCT = 256, 16, 200
 #: Rows with their texts or terms that are sent to Python at a time.
 BATCH_ROWS = 1024
 #: Postings that are worked out at a time while an index is built.
